@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import fingerprints, langid, lm, mixing, ngram_join, quality, sentencepiece, urls
+
+#: The folder of public vocabulary files; a parameter, not part of the package.
+TOKENIZERS = os.environ.get("BARQUALITY_TOKENIZERS", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), epochs=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.held_out("doc_id", 7, 2)
+    return lm.score(docs, lm.train(docs, ~held_out), held_out)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.held_out("doc_id", 5, 0)
+    predicted = langid.predict(docs, langid.train(docs, ~held_out))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    f.__name__: f
+    for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_mixing, op4_fingerprints, op5_url_filters, op6_lm_scoring, op9_sentencepiece, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {}
