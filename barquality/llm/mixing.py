@@ -4,8 +4,8 @@ Every source has a weight and a size (words of its documents).  Sources share
 all words by weight; a source is clamped at ``epochs`` times its size, and what
 it cannot give is shared again by weight until no source is above its clamp.
 A target of ``e`` epochs then takes every document ``floor(e)`` times and a
-seeded sample of documents once more: documents in the order of a seeded hash,
-up to the target.
+seeded sample of documents once more: documents in the order of a seeded hash
+while they fit, then the one document of the rest that fills the gap best.
 
 All sizes are grouped with partial aggregation; the table of sources stays
 distributed and only scalars come to the driver.  The sampling never sorts a
@@ -62,8 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
     """doc_id, source, size, source_size, target, taken of every row of ``docs(doc_id, source, text)``.
 
     Weights go to the sources in order, repeating.  ``taken`` is a multiple of
-    ``size`` and at most ``epochs`` times it; the document at the cut is taken
-    when that brings the source nearer to its target.
+    ``size`` and at most ``epochs`` times it.
     """
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = slim(docs, "doc_id", "source", "text").select(
@@ -71,7 +70,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         order.alias("h"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    # written once, so the row numbers stay what they are
     sized = persist_table(sized, "sizes")
     sources = ranked_sources(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -93,12 +94,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
         .join(slices.withColumnRenamed("slice", "_slice"), F.col("source").eqNullSafe(F.col("_t")) & (F.col("slice") == F.col("_slice")))
     )
     cut = (F.col("before") < F.col("part")) & (F.col("part") < F.col("before") + F.col("n"))
-    sure = placed.where(~cut).withColumn("once", F.col("before") + F.col("n") <= F.col("part"))
-    at = Window.partitionBy("source", "slice").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = placed.where(cut).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(at), F.lit(0)))
-    at_cut = at_cut.withColumn("once", F.col("at") + F.col("size") / 2 <= F.col("part")).drop("at")
-    taken = (F.col("whole") + F.col("once").cast("bigint")) * F.col("size")
-    return sure.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).alias("taken"))
+    sure = placed.where(~cut).withColumn("end", F.when(F.col("before") + F.col("n") <= F.col("part"), F.col("before") + F.col("n")))
+    at = Window.partitionBy("source", "slice").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = placed.where(cut).withColumn("end", F.col("before") + F.sum("size").over(at))
+    at_cut = at_cut.withColumn("end", F.when(F.col("end") <= F.col("part"), F.col("end")))
+    columns = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "part", "h", "end"]
+    drawn = persist_table(sure.select(*columns).unionByName(at_cut.select(*columns)), "drawn")
+
+    left = drawn.groupBy("source").agg((F.first("part") - F.coalesce(F.max("end"), F.lit(0))).alias("gap")).withColumnRenamed("source", "_s")
+    rest = drawn.where("end is null and size > 0").join(left, F.col("source").eqNullSafe(F.col("_s"))).where("abs(size - gap) < gap")
+    fill = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "row")).alias("best")).select(F.col("best.row").alias("row"), F.lit(1).alias("fills"))
+    once = F.when(F.col("end").isNotNull() | F.col("fills").isNotNull(), 1).otherwise(0)
+    taken = (F.col("whole") + once) * F.col("size")
+    return drawn.join(fill, "row", "left").select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
