@@ -5,14 +5,15 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
 ``(q+p) * D <= (q-p) * (|A|+|B|)`` (at 90 of 100: ``19 D <= |A|+|B|``).
 
 1. Equal sets become one class, named by a 64-bit digest of the set.
-2. Sizes fall into bands.  Each class XORs one bit per shingle into the bit
-   sketch of its band (and of the lower band it can still link with).  A
-   changed shingle flips one bit, so the Hamming distance of two sketches, in
-   all and in any part, is at most ``D``.
-3. A sketch is cut into enough segments that two linked sets differ by at most
-   one bit in some segment (pigeonhole).  A segment has three 64-bit thirds, of
-   which two are then equal: every pair of thirds is a key, and linked sets
-   share a key.  Keys are grouped with partial aggregation.
+2. Sizes fall into bands.  Each class XORs the 64-bit hash of every shingle into
+   one word of the sketch of its band (and of the lower bands it can still link
+   with).  A changed shingle changes one word, so the Hamming distance of two
+   sketches, counted in words or in bits of a one-bit hash, is at most ``D``.
+3. A sketch has so many words that two linked sets agree in some of them
+   (pigeonhole).  Words that got no shingle say little; a set with fewer of them
+   than the words that must agree leaves them out, and still shares a word with
+   whatever it links to.  Every other word is a key.  Keys that occur twice are
+   found from packed, pre-combined arrays; only those become rows.
 4. The member of a bucket that lies in the most crowded buckets is its pivot;
    each member is verified against the pivot only, never against all others.
 5. What is left are pairs of members of which one is not linked to the pivot.
@@ -40,7 +41,9 @@ from .common import int64_list, mix64, persist_table, pieces, slim, text_bytes,
 from .components import connected_components
 
 #: Upper end of a size band over its lower end.
-BAND_RATIO = 1.2
+BAND_RATIO = 1.5
+#: Keys that a task combines before it sends them on.
+COMBINED = 4_000_000
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -69,21 +72,21 @@ def digest(shingles: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands and the number of segments that each needs."""
+    """Size bands, the words of their sketches, and how many of these agree in linked sets."""
 
     def __init__(self, percent: int, longest: int):
         self.p, self.q = percent, 100
-        # smallest sizes that can link with a different set: one element more or less
-        least = next(n for n in range(1, 1_000_000) if self.q * n >= self.p * (n + 1))
-        self.low, self.high, self.segments = [], [], []
-        at = least
+        # smallest size that can link with a different set: one element more or less
+        at = next(n for n in range(1, 1_000_000) if self.q * n >= self.p * (n + 1))
+        self.low, self.high, self.words, self.agree = [], [], [], []
         while at <= longest:
             end = max(at + 1, int(at * BAND_RATIO))
             partner = (end - 1) * self.q // self.p
             most = (self.q - self.p) * (end - 1 + partner) // (self.q + self.p)
             self.low.append(at)
             self.high.append(partner)
-            self.segments.append(most // 2 + 1)
+            self.agree.append(2 + most // 12)
+            self.words.append(most + self.agree[-1])
             at = end
 
     def of(self, n: int) -> range:
@@ -99,14 +102,14 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """The bucket keys of one set over all its bands."""
     keys = []
     for band in bands.of(len(shingles)):
-        g = bands.segments[band]
-        place = mix64(shingles + np.uint64(band + 1))
-        bit = (place >> np.uint64(20)) % np.uint64(g * 192)
-        parity = np.bincount(bit.astype(np.int64), minlength=g * 192).astype(np.uint8) & 1
-        thirds = np.packbits(parity).view(np.uint64).reshape(g, 3)
-        seg = np.arange(g, dtype=np.uint64) * np.uint64(3) + (np.uint64(band + 1) << np.uint64(32))
-        one, two, three = (mix64(thirds[:, i] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) for i in range(3))
-        keys += [mix64(mix64(a ^ (seg + np.uint64(i))) + b) for i, (a, b) in enumerate(((one, two), (one, three), (two, three)))]
+        g = bands.words[band]
+        word = ((mix64(shingles + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+        sketch = np.zeros(g, np.uint64)
+        np.bitwise_xor.at(sketch, word, shingles)
+        place = np.arange(g, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(32))
+        key = mix64(sketch ^ mix64(place))
+        empty = np.bincount(word, minlength=g) == 0
+        keys.append(key[~empty] if empty.sum() < bands.agree[band] else key)
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -141,6 +144,72 @@ def _set_rows(words: int):
     return run
 
 
+_PACKED = "part int, keys binary"
+
+
+def _packed_keys(parts: int):
+    """Distinct keys of what a task has read, in one array per part of the key space."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        edges = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+        edges[-1] = len(keys)
+        full = [i for i in range(parts) if edges[i] < edges[i + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())], ["part", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, nodes = [], 0, set()
+        for batch in batches:
+            # the keys of a class count once in a task
+            first = [n not in nodes and not nodes.add(n) for n in batch.column("node").to_pylist()]
+            keys = batch.column("keys").filter(pa.array(first, pa.bool_())).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if size + len(keys) > COMBINED and held:
+                yield from doubled(held, packed)
+                held, size = [], 0
+            held.append(keys)
+            size += len(keys)
+            if len(nodes) > COMBINED:
+                nodes.clear()
+        if size:
+            yield from doubled(held, packed)
+
+    def doubled(held: list[np.ndarray], packed) -> Iterator[pa.RecordBatch]:
+        """All keys once, and those that two classes of this task share a second time."""
+        yield packed(held)
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        if (n > 1).any():
+            yield packed([keys[n > 1]])
+
+    return run
+
+
+def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, keys in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist()):
+            held.setdefault(part, []).append(np.frombuffer(keys, np.uint64))
+    for part in sorted(held):
+        keys, n = np.unique(np.concatenate(held.pop(part)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64))], ["key"])
+
+
+def repeated_keys(sketched: DataFrame) -> DataFrame:
+    """``key`` of every key that may belong to more than one class (copies in other tasks count too)."""
+    parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = sketched.where("node is not null").select("node", "keys").mapInArrow(_packed_keys(parts), _PACKED)
+    return packed.repartition(parts, "part").mapInArrow(_repeated_keys, "key bigint")
+
+
+def _place(column: str) -> Column:
+    return F.xxhash64(column).bitwiseAND(FILTER_BITS - 1)
+
+
+def _bitmap(values: DataFrame, column: str) -> DataFrame:
+    """``_word, _bits``: the bits of all values, at most ``FILTER_BITS / 64`` rows."""
+    at = values.select(_place(column).alias("at")).select(F.shiftright("at", 6).alias("_word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    return at.groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+
+
 def bit_filter(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` may occur in ``values`` (one column of that name).
 
@@ -150,16 +219,8 @@ def bit_filter(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     ``values``; an exact join has to follow.
     """
 
-    def place(c: Column) -> Column:
-        return F.xxhash64(c).bitwiseAND(FILTER_BITS - 1)
-
-    bits = (
-        values.select(place(F.col(column)).alias("at"))
-        .select(F.shiftright("at", 6).alias("_word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-        .groupBy("_word")
-        .agg(F.bit_or("bit").alias("_bits"))
-    )
-    keyed = df.withColumn("_at", place(F.col(column)))
+    bits = _bitmap(values, column)
+    keyed = df.withColumn("_at", _place(column))
     return (
         keyed.join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"))
         .where(F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1 = 1"))
@@ -182,8 +243,10 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     classes = membership.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
 
     keyed = sketched.where("node is not null").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
-    shared = persist_table(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key"), "buckets")
-    members = persist_table(bit_filter(keyed, shared, "key").join(shared, "key").distinct(), "members")
+    maybe = persist_table(repeated_keys(sketched), "keys")
+    held = persist_table(bit_filter(keyed, maybe, "key").distinct(), "held")
+    shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    members = persist_table(held.join(shared, "key"), "members")
 
     crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
     central = members.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("central"))
@@ -258,5 +321,13 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     Documents without words stay.  Rows that repeat the kept doc_id stay with it.
     """
-    found = jaccard_components(docs, words, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = persist_table(jaccard_components(docs, words, percent), "components")
+    dropped = found.where("doc_id != component_id").select(F.col("doc_id")).distinct()
+    # only rows that may go are shuffled
+    maybe = docs.withColumn("_maybe", _place("doc_id"))
+    bits = _bitmap(dropped, "doc_id")
+    marked = maybe.join(F.broadcast(bits), F.shiftright("_maybe", 6) == F.col("_word"), "left").withColumn("_hit", F.expr("coalesce(shiftright(_bits, cast(_maybe & 63 as int)) & 1 = 1, false)"))
+    sure = marked.where("not _hit").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = marked.where("_hit").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = dropped.select(F.col("doc_id").alias("_gone"))
+    return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, lm, mixing, ngram_join, quality, sentencepiece, urls
+from . import fingerprints, html_extract, langid, lm, mixing, ngram_join, preference, quality, sentencepiece, urls
 
 #: The folder of public vocabulary files; a parameter, not part of the package.
 TOKENIZERS = os.environ.get("BARQUALITY_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +44,15 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs, ~held_out), held_out)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return preference.digests(preference.format_pairs(turns, preference.neighbours(turns)))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -55,9 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_mixing, op4_fingerprints, op5_url_filters, op6_lm_scoring, op9_sentencepiece, op10_language_id)
+    for f in (
+        op1_quality_rules, op2_ngram_jaccard_join, op3_mixing, op4_fingerprints, op5_url_filters,
+        op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_sentencepiece, op10_language_id, pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {}
