@@ -1,15 +1,482 @@
-"""Every query of the engine by name, with its DuckDB counterpart."""
+"""Every query of the engine by name, with its DuckDB counterpart.
+
+The SQL states each operator from its definition, in another way than the plan.
+Figures that are rounded for comparison are moved off exact ties by a hair on
+both sides, as the last bits of a sum depend on its order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import clock, display
+from .operators import analytics, duplicates, evidence, gaps, normalize, occurrences, outliers, values
+from .plans import report, store
+from .schema import CODES, DAILY, MINUTE, OHLC, Settings
+from .sources import derived
+
+TIGHT = Settings(outlier_mad_threshold=3.0, volume_spike_threshold=3.0)
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_O: dict[str, str] = {}
+
+
+def query(sql: str, dates: tuple[str, ...] = ()):
+    """Register a query and its SQL; both show ``dates`` as ISO text."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({d: F.col(d).cast("string") for d in dates})
+
+        _Q[f.__name__] = run if dates else f
+        shown = ", ".join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dates)
+        _O[f.__name__] = f"SELECT * REPLACE ({shown}) FROM ({sql}) AS q" if dates else sql
+        return f
+
+    return add
+
+
+def naive(name: str = "ts") -> Column:
+    return F.col(name).cast("timestamp_ntz").alias(name)
+
+
+def rounded(*names: str, digits: int = 6) -> list[Column]:
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+INTRADAY = """bars AS (
+  SELECT event_type AS contract, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS open, max(value) AS high,
+         min(value) AS low, arg_max(value, event_id) AS close, CAST(sum(user_id) AS BIGINT) AS volume
+  FROM events WHERE NOT (event_type = 'click' AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-12') GROUP BY 1, 2)"""
+CHICAGO = "timezone('America/Chicago', timezone('UTC', {0}))"
+DATED = f"dated AS (SELECT *, CAST({CHICAGO.format('ts')} AS DATE) AS trading_date FROM bars)"
+DAYS = """days AS (
+  SELECT o_orderpriority AS contract, CAST(o_orderdate AS DATE) AS trading_date, arg_min(o_totalprice, o_orderkey) AS open,
+         max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume
+  FROM orders GROUP BY 1, 2)"""
+DIRTY = f"""{INTRADAY}, hours AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM bars), dirty AS (
+  SELECT contract, ts, CASE WHEN h % 13 = 0 THEN high + 5 WHEN h % 19 = 0 THEN 0.0 ELSE open END AS open,
+         CASE WHEN h % 11 = 0 THEN low - 1 ELSE high END AS high, low,
+         CASE WHEN h % 17 = 0 THEN low - 5 WHEN h % 23 = 0 THEN CAST('inf' AS DOUBLE) ELSE close END AS close,
+         CASE WHEN h % 29 = 0 THEN -volume WHEN h % 31 = 0 THEN NULL ELSE volume END AS volume FROM hours)"""
+LINES = """lines AS (
+  SELECT concat('P', l_partkey) AS contract, CAST(l_shipdate AS TIMESTAMP) AS ts, l_extendedprice AS price,
+         CAST(trunc(l_quantity) AS BIGINT) AS volume, l_orderkey * 100 + l_linenumber AS row_number FROM lineitem),
+  twice AS (SELECT * FROM lines UNION ALL SELECT contract, ts, price, volume, row_number + 1000000000000 FROM lines WHERE row_number % 50 = 0)"""
+GAPS = f"""{INTRADAY}, actives AS (SELECT contract, coalesce(min(ts) FILTER (WHERE volume > 0), min(ts)) AS a FROM bars GROUP BY 1),
+  steps AS (SELECT contract, ts, lag(ts) OVER (PARTITION BY contract ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT b.contract, ts FROM bars b JOIN actives USING (contract) WHERE ts >= a)),
+  spaced AS (SELECT *, date_diff('second', prev_ts, ts) AS gap_s FROM steps WHERE prev_ts IS NOT NULL),
+  modal AS (SELECT contract, gap_s AS expected_s FROM (SELECT contract, gap_s, row_number() OVER (PARTITION BY contract ORDER BY count(*) DESC, gap_s) AS r, sum(count(*)) OVER (PARTITION BY contract) AS n FROM spaced WHERE gap_s > 0 GROUP BY 1, 2) WHERE r = 1 AND n >= 10),
+  wide AS (SELECT s.*, expected_s, CAST({CHICAGO.format('prev_ts')} AS DATE) AS d0, CAST({CHICAGO.format('ts')} AS DATE) AS d1 FROM spaced s JOIN modal USING (contract) WHERE gap_s > 1.5 * expected_s),
+  flagged AS (SELECT *, d1 > d0 AND (isodow(d0) >= 5 OR isodow(d1) = 1) AS weekend FROM wide),
+  classified AS (SELECT contract, prev_ts, ts, gap_s, expected_s, gap_s // expected_s - 1 AS missing_bars, round(gap_s / 60.0, 1) AS gap_minutes,
+    CASE WHEN weekend THEN 'session_break' WHEN gap_s > 129600 THEN 'extended_gap' WHEN d1 > d0 THEN 'session_break' ELSE 'intra_session_gap' END AS code, weekend FROM flagged)"""
+
+
+# -- analytics ---------------------------------------------------------------
+
+
+@query(f"""WITH {INTRADAY}, {DATED} SELECT contract, trading_date,
+  (SELECT round(open, 6) FROM dated x WHERE x.contract = d.contract AND x.trading_date = d.trading_date ORDER BY ts LIMIT 1) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low,
+  (SELECT round(close, 6) FROM dated x WHERE x.contract = d.contract AND x.trading_date = d.trading_date ORDER BY ts DESC LIMIT 1) AS close,
+  CAST(sum(volume) AS BIGINT) AS volume, count(*) AS bar_count FROM dated d GROUP BY contract, trading_date""", dates=("trading_date",))
+def daily_ohlcv(spark, sf_dir):
+    return analytics.daily_ohlcv(derived.intraday_bars(spark, sf_dir)).select("contract", "trading_date", *rounded(*OHLC), "volume", "bar_count")
+
+
+@query(f"WITH {DAYS} SELECT contract, trading_date, open, high, low, close, volume, CAST(1 AS BIGINT) AS bar_count FROM days", dates=("trading_date",))
+def daily_passthrough(spark, sf_dir):
+    return analytics.daily_passthrough(derived.daily_bars(spark, sf_dir)).drop("open_interest")
+
+
+def _vwap_sql(minutes: int) -> str:
+    return f"""WITH {INTRADAY} SELECT a.contract, a.ts, CAST(sum(b.volume) AS BIGINT) AS window_volume,
+      CASE WHEN sum(b.volume) > 0 THEN round(sum((b.high + b.low + b.close) / 3 * b.volume) / sum(b.volume) + 1.23e-11, 9) END AS vwap
+      FROM bars a JOIN bars b ON a.contract = b.contract AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL {minutes} MINUTE GROUP BY 1, 2"""
+
+
+@query(_vwap_sql(180))
+def rolling_vwap_180m(spark, sf_dir):
+    return analytics.rolling_vwap(derived.intraday_bars(spark, sf_dir), 180).select("contract", naive(), "window_volume", F.round(F.col("vwap") + 1.23e-11, 9).alias("vwap"))
+
+
+@query(_vwap_sql(360))
+def rolling_vwap_360m(spark, sf_dir):
+    return analytics.rolling_vwap(derived.intraday_bars(spark, sf_dir), 360).select("contract", naive(), "window_volume", F.round(F.col("vwap") + 1.23e-11, 9).alias("vwap"))
+
+
+@query(f"""WITH points AS ({_vwap_sql(180)}) SELECT contract, ts, vwap, (SELECT count(*) FROM points) AS total_points, (SELECT count(*) FROM points) > 500 AS truncated FROM points ORDER BY contract DESC, ts DESC LIMIT 500""")
+def vwap_latest_n(spark, sf_dir):
+    points = analytics.rolling_vwap(derived.intraday_bars(spark, sf_dir), 180)
+    return analytics.latest(points, 500).select("contract", naive(), F.round(F.col("vwap") + 1.23e-11, 9).alias("vwap"), "total_points", "truncated")
+
+
+@query(f"""WITH {INTRADAY}, {DATED}, {DAYS} SELECT contract, 'minute' AS frequency, left(contract, 2) AS root, 'TEST' AS exchange, min(trading_date) AS first_date, max(trading_date) AS last_date, count(*) AS bar_count FROM dated GROUP BY 1
+  UNION ALL SELECT contract, 'daily', left(contract, 2), 'TEST', min(trading_date), max(trading_date), count(*) FROM days GROUP BY 1""", dates=("first_date", "last_date"))
+def contract_catalogue(spark, sf_dir):
+    return analytics.catalogue(derived.intraday_bars(spark, sf_dir).unionByName(derived.daily_bars(spark, sf_dir)))
+
+
+@query(f"WITH {DAYS} SELECT contract, trading_date, close, volume FROM days WHERE contract = '1-URGENT' AND trading_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", dates=("trading_date",))
+def bar_scan_filtered(spark, sf_dir):
+    return analytics.scan(derived.daily_bars(spark, sf_dir), DAILY, "1-URGENT", "1996-01-01", "1996-12-31").select("contract", "trading_date", "close", "volume")
+
+
+@query(f"""WITH {DAYS} SELECT contract, round((arg_max(close, trading_date) - arg_min(close, trading_date)) / arg_min(close, trading_date) * 100, 6) AS change_pct, arg_max(close, trading_date) AS last_close, CAST(sum(volume) AS BIGINT) AS total_volume FROM days GROUP BY 1""")
+def range_change(spark, sf_dir):
+    return analytics.range_change(derived.daily_bars(spark, sf_dir)).select("contract", *rounded("change_pct"), "last_close", "total_volume")
+
+
+@query(f"""WITH {INTRADAY}, {DATED}, c AS (SELECT contract, min(trading_date) AS f, max(trading_date) AS l FROM dated GROUP BY 1)
+  SELECT contract, 'minute' AS frequency, greatest(CAST(l - INTERVAL 30 DAY AS DATE), f) AS start, l AS "end" FROM c""", dates=("start", "end"))
+def default_chart_range(spark, sf_dir):
+    return analytics.default_range(analytics.catalogue(derived.intraday_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {INTRADAY} SELECT contract, ts, CAST(epoch({CHICAGO.format('ts')}) AS BIGINT) AS wall_s FROM bars""")
+def chart_wall_seconds(spark, sf_dir):
+    return analytics.chart_points(derived.intraday_bars(spark, sf_dir)).select("contract", naive(), "wall_s")
+
+
+@query(f"WITH {INTRADAY} SELECT DISTINCT contract FROM bars")
+def contract_names(spark, sf_dir):
+    return analytics.contracts(derived.intraday_bars(spark, sf_dir))
+
+
+@query(f"""WITH {INTRADAY} SELECT contract, ts, CASE WHEN close < open THEN 'down' ELSE 'up' END AS colour, strftime({CHICAGO.format('ts')}, '%d/%m/%Y, %H:%M:%S') AS exchange_time, strftime({CHICAGO.format('ts')}, '%H:%M') AS clock, printf('%+.2f%%', (close - open) / open * 100 + 1e-7) AS change FROM bars""")
+def chart_labels(spark, sf_dir):
+    bars = derived.intraday_bars(spark, sf_dir)
+    zone = "America/Chicago"
+    change = display.signed_percent((F.col("close") - F.col("open")) / F.col("open") * 100 + 1e-7)
+    return bars.select("contract", naive(), display.candle(F.col("open"), F.col("close")).alias("colour"), clock.exchange_datetime(F.col("ts"), zone).alias("exchange_time"), clock.exchange_clock(F.col("ts"), zone).alias("clock"), change.alias("change"))
+
+
+# -- single-row checks -------------------------------------------------------
+
+_CHECKS = {
+    "high_lt_low": "high < low",
+    "open_out_of_range": "open > high OR open < low",
+    "close_out_of_range": "close > high OR close < low",
+    "non_positive_price": "open <= 0 OR high <= 0 OR low <= 0 OR close <= 0",
+    "non_finite_price": "NOT (isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close))",
+    "negative_volume": "volume < 0",
+    "missing_volume": "volume IS NULL",
+}
+
+
+def _check(code: str):
+    def run(spark, sf_dir):
+        found = values.invalid_values(derived.intraday_bars_dirty(spark, sf_dir), MINUTE).where(F.col("code") == code)
+        return found.select("contract", naive(), *rounded("open", "high", "low"), F.round("close", 6).cast("string").alias("close"), F.coalesce(F.col("volume").cast("string"), F.lit("none")).alias("volume"))
+
+    run.__name__ = code
+    query(f"""WITH {DIRTY} SELECT contract, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, CASE WHEN isinf(close) THEN 'Infinity' ELSE CAST(round(close, 6) AS VARCHAR) END AS close, coalesce(CAST(volume AS VARCHAR), 'none') AS volume FROM dirty WHERE {_CHECKS[code]}""")(run)
+
+
+for _code in _CHECKS:
+    _check(_code)
+
+
+# -- duplicates, conflicts, upserts --------------------------------------------
+
+
+@query(f"""WITH {LINES} SELECT contract, ts, round(price, 4) AS close, volume, count(*) - 1 AS extra_copies, count(*) AS copies FROM twice GROUP BY contract, ts, price, volume HAVING count(*) > 1""")
+def exact_duplicates(spark, sf_dir):
+    found = duplicates.exact_duplicates(derived.line_bars(spark, sf_dir))
+    return found.select("contract", naive(), F.round("close", 4).alias("close"), "volume", (F.col("copies") - 1).alias("extra_copies"), "copies")
+
+
+@query(f"""WITH {LINES} SELECT contract, ts, count(*) AS rows, count(DISTINCT (price, volume)) AS variants, round(arg_min(price, row_number), 4) AS close FROM twice GROUP BY 1, 2 HAVING count(DISTINCT (price, volume)) > 1""")
+def conflicting_duplicates(spark, sf_dir):
+    return duplicates.conflicting_duplicates(derived.line_bars(spark, sf_dir)).select("contract", naive(), "rows", "variants", F.round("close", 4).alias("close"))
+
+
+@query(f"""WITH {LINES} SELECT contract, ts, count(*) AS rows, round(min(price), 4) AS close FROM twice GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT (price, volume)) = 1""")
+def repeated_timestamps(spark, sf_dir):
+    return duplicates.repeated_timestamps(derived.line_bars(spark, sf_dir)).select("contract", naive(), "rows", F.round("close", 4).alias("close"))
+
+
+_UNIQUE = f"{LINES}, uniq AS (SELECT contract, ts, price, volume, min(row_number) AS row_number FROM twice GROUP BY contract, ts, price, volume)"
+
+
+@query(f"""WITH {_UNIQUE} SELECT contract, ts, round(price, 4) AS close, volume, row_number FROM uniq QUALIFY row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) = 1""")
+def last_write_wins(spark, sf_dir):
+    winners, _ = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
+    return winners.select("contract", naive(), F.round("close", 4).alias("close"), "volume", "row_number")
+
+
+@query(f"""WITH {_UNIQUE}, w AS (SELECT *, first_value(price) OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS win, row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS n FROM uniq)
+  SELECT contract, ts, round(price, 4) AS close, volume, row_number, round(win, 4) AS winning_close FROM w WHERE n > 1""")
+def superseded_audit(spark, sf_dir):
+    winners, losers = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
+    by_hash = winners.select(F.col("contract").alias("c"), F.col("row_hash").alias("h"), F.round("close", 4).alias("winning_close"))
+    met = losers.join(by_hash, (F.col("contract") == F.col("c")) & (F.col("winning_row_hash") == F.col("h")))
+    return met.select("contract", naive(), F.round("close", 4).alias("close"), "volume", "row_number", "winning_close")
+
+
+@query(f"""WITH {_UNIQUE}, w AS (SELECT *, row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS n FROM uniq)
+  SELECT contract, count(DISTINCT ts) AS instants, count(*) AS discarded_rows, 'superseded_in_file' AS reasons FROM w WHERE n > 1 GROUP BY 1""")
+def resolved_conflicts(spark, sf_dir):
+    _, losers = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
+    found = duplicates.resolved_conflicts(losers.withColumn("reason", F.lit(normalize.SUPERSEDED_IN_FILE)))
+    return found.select("contract", "instants", "discarded_rows", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _batch(bars: DataFrame) -> DataFrame:
+    """A later delivery: every third day again, of which every second has other closes, and one new day."""
+    day = F.datediff("trading_date", F.lit("1995-01-01").cast("date"))
+    again = bars.where(day % 3 == 0).withColumn("close", F.when(day % 2 == 0, F.col("close") + 1).otherwise(F.col("close")))
+    new = bars.where(day == 0).withColumn("trading_date", F.lit("2005-01-01").cast("date")).withColumn("ts", F.lit("2005-01-01").cast("timestamp"))
+    return again.unionByName(new).withColumn("row_hash", normalize.row_hash())
+
+
+_BATCH = f"""{DAYS}, numbered AS (SELECT *, CAST(trading_date - DATE '1995-01-01' AS BIGINT) AS n FROM days),
+  batch AS (SELECT contract, trading_date, CASE WHEN n % 2 = 0 THEN close + 1 ELSE close END AS close FROM numbered WHERE n % 3 = 0 UNION ALL SELECT contract, DATE '2005-01-01', close FROM numbered WHERE n = 0)"""
+
+
+@query(f"WITH {_BATCH} SELECT contract, trading_date, round(coalesce(b.close, d.close), 4) AS close FROM days d FULL JOIN batch b USING (contract, trading_date)", dates=("trading_date",))
+def upsert_result(spark, sf_dir):
+    bars = derived.daily_bars(spark, sf_dir)
+    return store.merge(bars, _batch(bars)).select("contract", "trading_date", F.round("close", 4).alias("close"))
+
+
+@query(f"WITH {_BATCH} SELECT contract, trading_date, round(d.close, 4) AS close, 'superseded_by_run' AS reason FROM days d JOIN batch b USING (contract, trading_date) WHERE round(b.close, 4) <> round(d.close, 4)", dates=("trading_date",))
+def displaced_by_run(spark, sf_dir):
+    bars = derived.daily_bars(spark, sf_dir)
+    return store.displaced_rows(bars, _batch(bars)).select("contract", "trading_date", F.round("close", 4).alias("close"), "reason")
+
+
+# -- gaps ----------------------------------------------------------------------
+
+
+@query(f"WITH {GAPS} SELECT contract, expected_s FROM modal")
+def modal_interval(spark, sf_dir):
+    return gaps.modal_interval(gaps.spacings(derived.intraday_bars(spark, sf_dir))).select("contract", "expected_s")
+
+
+def _gaps(spark, sf_dir, *codes: str) -> DataFrame:
+    found = gaps.classified(derived.intraday_bars(spark, sf_dir))
+    found = found.where(F.col("code").isin(*codes)) if codes else found
+    return found.select("contract", naive("prev_ts"), naive(), "gap_s", "expected_s", "missing_bars", "gap_minutes", "code", "weekend")
+
+
+_ALL_GAPS = f"WITH {GAPS} SELECT * FROM classified"
+
+
+@query(_ALL_GAPS)
+def gap_classified(spark, sf_dir):
+    return _gaps(spark, sf_dir)
+
+
+@query(f"{_ALL_GAPS} WHERE code = 'intra_session_gap'")
+def intra_session_gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir, "intra_session_gap")
+
+
+@query(f"{_ALL_GAPS} WHERE code = 'extended_gap'")
+def extended_gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir, "extended_gap")
+
+
+@query(f"{_ALL_GAPS} WHERE code = 'session_break'")
+def session_breaks(spark, sf_dir):
+    return _gaps(spark, sf_dir, "session_break")
+
+
+_SESSIONS = f"""WITH {DAYS}, kept AS (SELECT * FROM days WHERE trading_date NOT IN (DATE '1996-03-05', DATE '1997-07-09')), s AS (SELECT contract, min(trading_date) AS lo, max(trading_date) AS hi FROM kept GROUP BY 1),
+  cal AS (SELECT contract, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS missing_date FROM s) SELECT contract, missing_date FROM cal WHERE isodow(missing_date) <= 5 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.contract = cal.contract AND k.trading_date = cal.missing_date)"""
+
+
+@query(_SESSIONS, dates=("missing_date",))
+def missing_sessions(spark, sf_dir):
+    return gaps.missing_sessions(_holed(spark, sf_dir))
+
+
+def _holed(spark, sf_dir) -> DataFrame:
+    return derived.daily_bars(spark, sf_dir).where(~F.col("trading_date").isin("1996-03-05", "1997-07-09"))
+
+
+@query(_SESSIONS.replace("SELECT contract, missing_date FROM cal", "SELECT contract, CAST(missing_date AS TIMESTAMP) AS ts, strftime(missing_date, '%Y-%m-%d') AS label, 'missing_session' AS classification FROM cal"))
+def missing_instants_daily(spark, sf_dir):
+    return gaps.missing_daily(_holed(spark, sf_dir)).select("contract", naive(), "label", "classification")
+
+
+_MISSING = f"""WITH {GAPS}, g AS (SELECT contract, code, unnest(generate_series(prev_ts + to_seconds(expected_s), ts - to_seconds(expected_s), to_seconds(expected_s))) AS ts FROM classified WHERE code IN ('intra_session_gap', 'extended_gap')),
+  missing AS (SELECT contract, ts, CASE code WHEN 'intra_session_gap' THEN 'intra_session' ELSE 'extended' END AS classification FROM g)"""
+
+
+@query(f"{_MISSING} SELECT * FROM missing")
+def missing_instants_minute(spark, sf_dir):
+    return gaps.missing_instants(derived.intraday_bars(spark, sf_dir)).select("contract", naive(), "classification")
+
+
+@query(f"{_MISSING} SELECT contract, ts, classification FROM missing ORDER BY contract, ts LIMIT 50 OFFSET 100")
+def missing_instants_page(spark, sf_dir):
+    _, page = report.missing_timestamps(derived.intraday_bars(spark, sf_dir), MINUTE, 50, 100)
+    return page.select("contract", naive(), "classification")
+
+
+@query(f"{_MISSING} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, count(*) AS n FROM missing GROUP BY 1, 2", dates=("day",))
+def missing_by_exchange_date(spark, sf_dir):
+    return report.by_exchange_date(gaps.missing_instants(derived.intraday_bars(spark, sf_dir)).withColumn("label", F.lit(None).cast("string")))
+
+
+# -- outliers ------------------------------------------------------------------
+
+_OUTLIERS = f"""{INTRADAY}, r AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY contract ORDER BY ts) AS ret FROM bars WHERE close > 0), m AS (SELECT contract, median(ret) AS med FROM r GROUP BY 1 HAVING count(*) >= 30),
+  d AS (SELECT contract, median(abs(ret - med)) AS mad FROM r JOIN m USING (contract) GROUP BY 1), scored AS (SELECT r.*, abs(ret - med) / (1.4826 * mad) AS score FROM r JOIN m USING (contract) JOIN d USING (contract) WHERE mad > 0)"""
+_SPIKES = f"""{INTRADAY}, w AS (SELECT *, CASE WHEN count(*) OVER f >= 20 THEN quantile_cont(volume, 0.5) OVER f END AS local_median FROM bars WINDOW f AS (PARTITION BY contract ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {_OUTLIERS} SELECT contract, ts, round(ret, 6) AS log_return, round(score, 1) AS mad_score, round(close, 6) AS close FROM scored WHERE score > 3")
+def price_return_outliers(spark, sf_dir):
+    return outliers.price_return_outliers(derived.intraday_bars(spark, sf_dir), TIGHT).select("contract", naive(), "log_return", "mad_score", *rounded("close"))
+
+
+@query(f"WITH {_SPIKES} SELECT contract, ts, round(local_median, 4) AS local_median, round(volume / local_median, 1) AS x_median, volume FROM w WHERE local_median > 0 AND volume > 3 * local_median AND (SELECT count(*) FROM bars b WHERE b.contract = w.contract) >= 50")
+def volume_spikes(spark, sf_dir):
+    return outliers.volume_spikes(derived.intraday_bars(spark, sf_dir), TIGHT).select("contract", naive(), F.round("local_median", 4).alias("local_median"), "x_median", "volume")
+
+
+# -- ingest --------------------------------------------------------------------
+
+_VENDOR = """vendor AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE upper(substr(o_orderpriority, 3, 2)) || 'H' || left(o_orderpriority, 1) END AS contract,
+  CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 150 MINUTE END AS wall, o_totalprice AS price FROM orders),
+  zoned AS (SELECT *, timezone('UTC', timezone('America/Chicago', wall)) AS utc FROM vendor),
+  checked AS (SELECT *, timezone('America/Chicago', timezone('UTC', utc)) <> wall OR timezone('America/Chicago', timezone('UTC', utc + INTERVAL 1 HOUR)) = wall OR timezone('America/Chicago', timezone('UTC', utc - INTERVAL 1 HOUR)) = wall AS odd FROM zoned),
+  judged AS (SELECT *, CASE WHEN contract IS NULL THEN 'missing_contract' WHEN k % 61 = 0 THEN 'unparseable_price' WHEN k % 67 = 0 OR k % 71 = 0 THEN 'missing_ohlc' WHEN odd THEN 'ambiguous_or_nonexistent_local_time' WHEN wall IS NULL THEN 'unparseable_timestamp' END AS reason FROM checked)"""
+
+
+def _normalized(spark, sf_dir) -> normalize.Normalized:
+    return normalize.normalize(derived.vendor_rows(spark, sf_dir))
+
+
+@query(f"WITH {_VENDOR} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1")
+def reject_reasons(spark, sf_dir):
+    return _normalized(spark, sf_dir).rejected.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_VENDOR} SELECT 'orders' AS source_file, k AS row_number, reason FROM judged WHERE reason IS NOT NULL")
+def rejected_rows(spark, sf_dir):
+    return _normalized(spark, sf_dir).rejected
+
+
+@query(f"""WITH {_VENDOR}, good AS (SELECT contract, utc AS ts, price, min(k) AS k FROM judged WHERE reason IS NULL GROUP BY 1, 2, 3)
+  SELECT contract, ts, CAST(timezone('America/Chicago', timezone('UTC', ts)) AS DATE) AS trading_date, left(contract, length(contract) - 2) AS root, 'minute' AS frequency, round(price, 4) AS close, CAST(10 AS BIGINT) AS volume FROM good QUALIFY row_number() OVER (PARTITION BY contract, ts ORDER BY k DESC) = 1""", dates=("trading_date",))
+def alias_normalise(spark, sf_dir):
+    return _normalized(spark, sf_dir).clean.select("contract", naive(), "trading_date", "root", "frequency", F.round("close", 4).alias("close"), "volume")
+
+
+@query(f"""WITH {_VENDOR}, good AS (SELECT contract, utc AS ts, price, min(k) AS k FROM judged WHERE reason IS NULL GROUP BY 1, 2, 3), w AS (SELECT *, row_number() OVER (PARTITION BY contract, ts ORDER BY k DESC) AS n FROM good) SELECT contract, ts, round(price, 4) AS close, 'superseded_in_file' AS reason FROM w WHERE n > 1""")
+def superseded_in_file(spark, sf_dir):
+    return _normalized(spark, sf_dir).superseded.select("contract", naive(), F.round("close", 4).alias("close"), "reason")
+
+
+@query("""SELECT name AS contract, coalesce(nullif(regexp_extract(name, '^([A-Za-z0-9]+?)[FGHJKMNQUVXZ]\\d{1,2}$', 1), ''), left(name, 2)) AS root FROM (SELECT DISTINCT substr(p, 3, 3) || chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || (o_orderkey % 120) AS name FROM (SELECT o_orderkey, o_orderpriority AS p FROM orders))""")
+def root_extract(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = F.concat(F.substring("o_orderpriority", 3, 3), F.char(65 + F.col("o_orderkey") % 26), (F.col("o_orderkey") % 120).cast("string"))
+    return orders.select(name.alias("contract")).distinct().select("contract", normalize.root_of(F.col("contract")).alias("root"))
+
+
+@query("""WITH w AS (SELECT unnest(generate_series(TIMESTAMP '2024-03-09 22:00:00', TIMESTAMP '2024-03-10 06:00:00', INTERVAL 30 MINUTE)) AS wall UNION ALL SELECT unnest(generate_series(TIMESTAMP '2024-11-02 22:00:00', TIMESTAMP '2024-11-03 06:00:00', INTERVAL 30 MINUTE)))
+  SELECT wall, CASE WHEN wall >= TIMESTAMP '2024-03-10 02:00:00' AND wall < TIMESTAMP '2024-03-10 03:00:00' THEN NULL WHEN wall >= TIMESTAMP '2024-11-03 01:00:00' AND wall < TIMESTAMP '2024-11-03 02:00:00' THEN NULL
+    WHEN wall >= TIMESTAMP '2024-03-10 03:00:00' AND wall < TIMESTAMP '2024-11-03 01:00:00' THEN wall + INTERVAL 5 HOUR ELSE wall + INTERVAL 6 HOUR END AS ts FROM w""")
+def localise_dst(spark, sf_dir):
+    def span(lo: str, hi: str) -> DataFrame:
+        return spark.range(1).select(F.explode(F.expr(f"sequence(timestamp_ntz'{lo}', timestamp_ntz'{hi}', interval 30 minutes)")).alias("wall"))
+
+    walls = span("2024-03-09 22:00:00", "2024-03-10 06:00:00").unionByName(span("2024-11-02 22:00:00", "2024-11-03 06:00:00"))
+    return walls.select("wall", clock.localised(F.col("wall"), "America/Chicago").cast("timestamp_ntz").alias("ts"))
+
+
+# -- reports and evidence --------------------------------------------------------
+
+
+def _occurrences(spark, sf_dir, dirty: bool = True) -> DataFrame:
+    bars = (derived.intraday_bars_dirty if dirty else derived.intraday_bars)(spark, sf_dir)
+    return occurrences.of_bars(bars, MINUTE, TIGHT)
+
+
+_ALL = "WITH " + DIRTY + ", " + " , ".join(f"q_{c} AS (SELECT contract, '{c}' AS code FROM dirty WHERE {p})" for c, p in _CHECKS.items()) + ", found AS (" + " UNION ALL ".join(f"SELECT * FROM q_{c}" for c in _CHECKS) + ")"
+_RANKS = "CASE code " + " ".join(f"WHEN '{c}' THEN '{v[1]}'" for c, v in CODES.items()) + " END"
+
+
+@query(f"{_ALL} SELECT contract, code, {_RANKS} AS severity, 'invalid_value' AS category, count(*) AS count FROM found GROUP BY 1, 2")
+def quality_summary(spark, sf_dir):
+    found = report.findings(_occurrences(spark, sf_dir))
+    return found.where(F.col("code").isin(*_CHECKS)).select("contract", "code", "severity", "category", "count")
+
+
+@query(f"{_ALL} SELECT {_RANKS} AS severity, CAST(count(*) AS BIGINT) AS count, count(DISTINCT (contract, code)) AS issues FROM found GROUP BY 1")
+def severity_tally(spark, sf_dir):
+    return report.severity_tally(report.findings(_occurrences(spark, sf_dir)).where(F.col("code").isin(*_CHECKS)))
+
+
+@query(f"WITH {DIRTY} SELECT contract, ts FROM dirty WHERE {_CHECKS['high_lt_low']} ORDER BY contract, ts LIMIT 40 OFFSET 20")
+def issue_detail_page(spark, sf_dir):
+    _, page = report.issue_details(_occurrences(spark, sf_dir), "high_lt_low", 40, 20)
+    return page.select("contract", naive())
+
+
+@query(f"WITH {DIRTY}, n AS (SELECT contract, ts, row_number() OVER (PARTITION BY contract ORDER BY ts) AS r, count(*) OVER (PARTITION BY contract) AS t FROM dirty WHERE {_CHECKS['open_out_of_range']}) SELECT contract, ts, t AS detail_total, t > 10 AS truncated FROM n WHERE r <= 10")
+def issue_detail_samples(spark, sf_dir):
+    rows = report.samples(_occurrences(spark, sf_dir).where(F.col("code") == "open_out_of_range"), 10)
+    return rows.select("contract", naive(), "detail_total", "truncated")
+
+
+def _dated(spark, sf_dir, *codes: str) -> DataFrame:
+    return evidence.dated(_occurrences(spark, sf_dir, dirty=False).where(F.col("code").isin(*codes)))
+
+
+_OCC = f"WITH {GAPS}, occ AS (SELECT contract, code, prev_ts + to_seconds(expected_s) AS ts, ts AS resume, gap_minutes FROM classified), placed AS (SELECT *, CAST({CHICAGO.format('ts')} AS DATE) AS day, hour({CHICAGO.format('ts')}) AS hour FROM occ)"
+_GAP_CODES = ("intra_session_gap", "extended_gap", "session_break")
+
+
+@query(f"{_OCC}, h AS (SELECT contract, code, hour, count(*) AS n, sum(count(*)) OVER (PARTITION BY contract, code) AS t, row_number() OVER (PARTITION BY contract, code ORDER BY count(*) DESC, hour) AS r FROM placed GROUP BY 1, 2, 3) SELECT contract, code, CAST(r AS INTEGER) AS rank, CAST(hour AS INTEGER) AS hour, n, CAST(round_even(n / t, 3) AS DOUBLE) AS share FROM h WHERE r <= 3")
+def evidence_top_hours(spark, sf_dir):
+    return evidence.top_hours(_dated(spark, sf_dir, *_GAP_CODES), ["contract", "code"])
+
+
+@query(f"{_OCC} SELECT contract, code, left(dayname(day), 3) AS weekday, count(*) AS n FROM placed GROUP BY 1, 2, 3")
+def evidence_weekday(spark, sf_dir):
+    return evidence.weekday_counts(_dated(spark, sf_dir, *_GAP_CODES), ["contract", "code"])
+
+
+@query(f"{_OCC}, p AS (SELECT *, CASE WHEN max(day) OVER w - min(day) OVER w <= 182 THEN 'week' WHEN max(day) OVER w - min(day) OVER w <= 1098 THEN 'month' ELSE 'quarter' END AS period FROM placed WINDOW w AS (PARTITION BY contract, code)) SELECT contract, code, period, CAST(CASE period WHEN 'week' THEN date_trunc('week', day) WHEN 'month' THEN date_trunc('month', day) ELSE date_trunc('quarter', day) END AS DATE) AS start, count(*) AS n FROM p GROUP BY 1, 2, 3, 4", dates=("start",))
+def evidence_periods(spark, sf_dir):
+    return evidence.periods(_dated(spark, sf_dir, *_GAP_CODES), ["contract", "code"])
+
+
+@query(f"{_OCC}, s AS (SELECT contract, code, list(gap_minutes ORDER BY gap_minutes) AS m FROM occ GROUP BY 1, 2) SELECT contract, code, CAST(round_even(list_aggregate(m, 'median'), 1) AS DOUBLE) AS median_duration_min, CAST(round_even(m[CAST(floor((len(m) - 1) * 0.9 + 0.5) AS BIGINT) + 1], 1) AS DOUBLE) AS p90_duration_min FROM s")
+def evidence_durations(spark, sf_dir):
+    return evidence.durations(_dated(spark, sf_dir, *_GAP_CODES), ["contract", "code"])
+
+
+@query(f"{_OCC}, {_SPIKES.split(', w AS', 1)[1].join(['w AS', ''])}, hit AS (SELECT contract, ts FROM w WHERE local_median > 0 AND volume > 3 * local_median) SELECT contract, CAST(round_even(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM occ o WHERE o.contract = hit.contract AND o.resume <= hit.ts AND hit.ts - o.resume <= INTERVAL 5 MINUTE)) / count(*), 3) AS DOUBLE) AS share_after_gap FROM hit GROUP BY 1")
+def evidence_after_gap(spark, sf_dir):
+    occ = _occurrences(spark, sf_dir, dirty=False)
+    return evidence.share_after_gap(occ.where("code = 'volume_spike'"), evidence.resumes(occ), ["contract"])
+
+
+@query(f"{_OCC} SELECT contract, code, count(*) AS occurrences, count(DISTINCT day) AS days_affected FROM placed GROUP BY 1, 2")
+def evidence_days_affected(spark, sf_dir):
+    return _dated(spark, sf_dir, *_GAP_CODES).groupBy("contract", "code").agg(F.count("*").alias("occurrences"), F.countDistinct("day").alias("days_affected"))
+
+
+@query(f"""WITH {_OUTLIERS}, {DATED}, hit AS (SELECT contract, 'price_return_outlier' AS code, ts, round(score, 1) AS x FROM scored WHERE score > 3), n AS (SELECT count(*) AS bars, count(DISTINCT trading_date) AS days FROM dated)
+  SELECT contract, code, count(*) AS occurrences, CAST(round_even(count(*) * 1000 / (SELECT bars FROM n), 2) AS DOUBLE) AS per_1k_bars, CAST(round_even(count(DISTINCT CAST({CHICAGO.format('ts')} AS DATE)) / (SELECT days FROM n), 3) AS DOUBLE) AS days_affected_share, CAST(max(x) AS DOUBLE) AS max_magnitude, min(ts) AS first_seen FROM hit GROUP BY 1, 2""")
+def evidence_pack(spark, sf_dir):
+    bars = derived.intraday_bars(spark, sf_dir)
+    full = evidence.evidence(occurrences.of_bars(bars, MINUTE, TIGHT).where("code = 'price_return_outlier'"), bars, MINUTE, TIGHT)
+    return full.select("contract", "code", "occurrences", "per_1k_bars", "days_affected_share", "max_magnitude", naive("first_seen"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_O)
