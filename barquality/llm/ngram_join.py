@@ -5,6 +5,10 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
 ``(q+p) * D <= (q-p) * (|A|+|B|)`` (at 90 of 100: ``19 D <= |A|+|B|``).
 
 1. Equal sets become one class, named by a 64-bit digest of the set.
+   A sampled share of all shingles is counted: a set with more shingles of its
+   own (found nowhere else) than any link allows links with nothing and is done.
+   The repeated ones are known by a bit table of fixed size; where it is
+   crowded, fewer sets are done early, and nothing is lost.
 2. Sizes fall into bands.  Each class XORs the 64-bit hash of every shingle into
    one word of the sketch of its band (and of the lower bands it can still link
    with).  A changed shingle changes one word, so the Hamming distance of two
@@ -18,9 +22,9 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
    each member is verified against the pivot only, never against all others.
 5. What is left are pairs of members of which one is not linked to the pivot.
    With ``E`` a member's difference to the pivot, such a pair can only link if
-   it shares more than half of the other's ``E``; a prefix-filtered join on the
-   elements of ``E`` finds all of those.  So no link is lost and no bucket is
-   expanded to all pairs.
+   both share much of their ``E``; prefix-filtered joins on the elements of
+   ``E`` find all of those.  So no link is lost and no bucket is expanded to all
+   pairs.
 
 Nulls and texts without words have the empty set and link with nothing.  Very
 long texts are handled whole; repeated rows and equal texts fall into one
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +49,8 @@ from .components import connected_components
 BAND_RATIO = 1.5
 #: Keys that a task combines before it sends them on.
 COMBINED = 4_000_000
+#: Bits of the table of repeated shingles: 32 MiB, broadcast.
+REPEATED_BITS = 1 << 28
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -113,7 +120,17 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _sketch_rows(words: int, percent: int):
+def _sketch_rows(words: int, percent: int, share: int, repeated):
+    gap = 100 - percent
+
+    def alone(s: np.ndarray) -> bool:
+        """Whether the set has more shingles of its own than any link allows."""
+        own = sampled(s, share)
+        at = own >> np.uint64(64 - REPEATED_BITS.bit_length() + 1)
+        bits = repeated.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        # a partner has at most n * 100 / percent shingles, so they differ in n * gap / percent at most
+        return percent * int(len(own) - bits.sum()) > gap * len(s)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, 1 << 12)
         for whole in batches:
@@ -123,7 +140,7 @@ def _sketch_rows(words: int, percent: int):
                 if bands.low and longest >= bands.low[-1]:
                     bands = Bands(percent, 2 * longest)
                 nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
-                keys = [sketch_keys(s, bands) for s in sets]
+                keys = [np.zeros(0, np.uint64) if alone(s) else sketch_keys(s, bands) for s in sets]
                 size = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(size), pa.array(nodes, mask=size == 0), int64_list(np.concatenate(keys), np.array([len(k) for k in keys]))],
@@ -147,7 +164,29 @@ def _set_rows(words: int):
 _PACKED = "part int, keys binary"
 
 
-def _packed_keys(parts: int):
+def _stored_keys(batch: pa.RecordBatch):
+    """(node, keys) of stored sketches."""
+    keys = batch.column("keys")
+    flat, offsets = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False))])
+    return ((n, flat[offsets[i] : offsets[i + 1]]) for i, n in enumerate(batch.column("node").to_pylist()))
+
+
+def sampled(shingles: np.ndarray, share: int) -> np.ndarray:
+    """One in ``share`` of the shingles, by their hash; scrambled so that all bits can place them."""
+    mixed = mix64(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    return mixed[mixed % np.uint64(share) == 0]
+
+
+def _sampled_shingles(words: int, share: int):
+    def read(whole: pa.RecordBatch):
+        for batch in pieces(whole, "text"):
+            for s in shingle_sets(text_bytes(batch.column("text")), words):
+                yield digest(s), sampled(s, share)
+
+    return read
+
+
+def _packed_keys(parts: int, read):
     """Distinct keys of what a task has read, in one array per part of the key space."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -160,16 +199,18 @@ def _packed_keys(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, nodes = [], 0, set()
         for batch in batches:
-            # the keys of a class count once in a task
-            first = [n not in nodes and not nodes.add(n) for n in batch.column("node").to_pylist()]
-            keys = batch.column("keys").filter(pa.array(first, pa.bool_())).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if size + len(keys) > COMBINED and held:
-                yield from doubled(held, packed)
-                held, size = [], 0
-            held.append(keys)
-            size += len(keys)
-            if len(nodes) > COMBINED:
-                nodes.clear()
+            for node, keys in read(batch):
+                # the keys of a class count once in a task
+                if node in nodes or not len(keys):
+                    continue
+                nodes.add(node)
+                if size + len(keys) > COMBINED and held:
+                    yield from doubled(held, packed)
+                    held, size = [], 0
+                held.append(keys)
+                size += len(keys)
+                if len(nodes) > COMBINED:
+                    nodes.clear()
         if size:
             yield from doubled(held, packed)
 
@@ -193,10 +234,30 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64))], ["key"])
 
 
+def _repeated_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the bit table in which repeated keys of a part fall: (place, bits)."""
+    for batch in _repeated_keys(batches):
+        at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - REPEATED_BITS.bit_length() + 1)
+        at = np.unique(at)
+        place, first = np.unique(at >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array([place.astype(np.uint32).tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())], ["place", "bits"])
+
+
+def repeated_shingles(docs: DataFrame, words: int, share: int) -> np.ndarray:
+    """A bit table of the sampled shingles that occur in more than one class (or in copies)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("text").mapInArrow(_packed_keys(parts, _sampled_shingles(words, share)), _PACKED)
+    table = np.zeros(REPEATED_BITS // 64, np.uint64)
+    for row in packed.repartition(parts, "part").mapInArrow(_repeated_bits, "place binary, bits binary").toLocalIterator(prefetchPartitions=True):
+        table[np.frombuffer(row["place"], np.uint32)] |= np.frombuffer(row["bits"], np.uint64)
+    return table
+
+
 def repeated_keys(sketched: DataFrame) -> DataFrame:
     """``key`` of every key that may belong to more than one class (copies in other tasks count too)."""
     parts = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = sketched.where("node is not null").select("node", "keys").mapInArrow(_packed_keys(parts), _PACKED)
+    packed = sketched.where("node is not null").select("node", "keys").mapInArrow(_packed_keys(parts, _stored_keys), _PACKED)
     return packed.repartition(parts, "part").mapInArrow(_repeated_keys, "key bigint")
 
 
@@ -238,7 +299,10 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     """
     docs = slim(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = persist_table(docs.mapInArrow(_sketch_rows(words, percent), f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>"), "sketches")
+    # twice as many as a set of its own needs to be told from others
+    share = max(1, percent // (2 * (100 - percent)))
+    repeated = docs.sparkSession.sparkContext.broadcast(repeated_shingles(docs, words, share))
+    sketched = persist_table(docs.mapInArrow(_sketch_rows(words, percent, share, repeated), f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>"), "sketches")
     membership = sketched.select("doc_id", "n_shingles", "node")
     classes = membership.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
 
@@ -261,24 +325,35 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     sets = persist_table(sets.join(wanted.select("node"), "node").dropDuplicates(["node"]), "sets")
 
     # every member against its pivot, with what it lacks or has beyond the pivot
-    off = persist_table(
-        _with_sets(pairs, sets).select(
-            "x", "nx", "y", "ny",
-            F.concat(F.array_except("sx", "sy"), F.array_except("sy", "sx")).alias("off"),
-            F.size(F.array_except("sx", "sy")).alias("beyond"),
-        ).withColumn("linked", _links(F.size("off"), F.col("nx"), F.col("ny"), percent)),
+    gap, total = 100 - percent, 100 + percent
+    met = _with_sets(pairs, sets).select("x", "nx", "y", "ny", F.array_except("sx", "sy").alias("beyond"), F.array_except("sy", "sx").alias("lacks"))
+    met = met.withColumn("e", F.size("beyond") + F.size("lacks")).withColumn("linked", _links(F.col("e"), F.col("nx"), F.col("ny"), percent))
+    # a member links to a linked one only if its own difference is at most both their limits
+    middle = ~F.col("linked") & (F.expr(f"{total} * e <= {gap} * (nx + ny + 2 * nx * 100 / {percent})"))
+    need = F.expr(f"int(floor(({total} * e + {gap} * (ny - nx)) / {2 * total})) + 1")
+    most = F.expr(f"int(floor({gap} * nx / {percent})) + 1")
+    off = F.concat("beyond", "lacks")
+    deltas = persist_table(
+        met.select(
+            "x", "nx", "y", "ny", "e", "linked",
+            F.when(F.col("linked"), F.slice(off, F.lit(1), F.greatest(F.lit(1), F.col("e") - need + 1))).alias("near"),
+            F.when(middle, off).alias("far"),
+            F.when(~F.col("linked"), F.slice(F.array_sort(off), F.lit(1), most)).alias("apart"),
+        ),
         "deltas",
     )
-    first = off.where("linked").select("x", "y")
-
-    # pairs of which one is not linked to the pivot: the far one has all of its
-    # difference as keys, the other a prefix of its own (what it has beyond the pivot first)
-    far = off.where("not linked").select("y", F.col("x").alias("far"), F.col("nx").alias("n_far"), F.size("off").alias("e_far"), F.explode("off").alias("e"))
-    gap, total = 100 - percent, 100 + percent
-    need = F.expr(f"int(floor(({total} * size(off) + {gap} * (ny - nx)) / {2 * total})) + 1")
-    near = off.select("y", F.col("x").alias("near"), F.col("nx").alias("n_near"), F.size("off").alias("e_near"), F.explode(F.slice("off", F.lit(1), F.greatest(F.lit(1), F.size("off") - need + 1))).alias("e"))
-    met = far.join(near, ["y", "e"]).where("far != near").where(f"{total} * abs(e_far - e_near) <= {gap} * (n_far + n_near)")
-    rest = met.select(F.least("far", "near").alias("x"), F.greatest("far", "near").alias("y"), F.expr("if(far < near, n_far, n_near)").alias("nx"), F.expr("if(far < near, n_near, n_far)").alias("ny")).distinct()
+    first = deltas.where("linked").select("x", "y")
+
+    # pairs of which one is not linked to the pivot: against linked members, all of its difference
+    # meets a prefix of theirs (what they have beyond the pivot first); among each other, prefixes
+    # in the order of the hash meet
+    def keyed_by(name: str, x: str, n: str, e: str) -> DataFrame:
+        return deltas.where(f"{name} is not null").select("y", F.col("x").alias(x), F.col("nx").alias(n), F.col("e").alias(e), F.explode(name).alias("key"))
+
+    with_linked = keyed_by("far", "a", "na", "ea").join(keyed_by("near", "b", "nb", "eb"), ["y", "key"])
+    apart = keyed_by("apart", "a", "na", "ea").join(keyed_by("apart", "b", "nb", "eb"), ["y", "key"]).where("a < b")
+    rest = with_linked.unionByName(apart).where(f"{total} * abs(ea - eb) <= {gap} * (na + nb)")
+    rest = rest.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("if(a < b, na, nb)").alias("nx"), F.expr("if(a < b, nb, na)").alias("ny")).distinct()
     second = _with_sets(rest, sets).where(_links(F.size(F.array_except("sx", "sy")) + F.size(F.array_except("sy", "sx")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
     links = first.unionByName(second).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return membership, persist_table(links, "links")
