@@ -7,9 +7,8 @@ weighted by how well each bit's classifier separated the training texts, names
 the language.  A text is ambiguous when the runner-up is almost as near.
 
 Training reads a bounded sample: of each language the ``per_language`` labelled
-documents with the smallest hash of their id, whole texts.  Their ids are found
-with a per-language top-k that is applied before the shuffle, their n-grams are
-counted where they lie and summed with partial aggregation; only the counts
+documents with the smallest hash of their id, whole texts.  A bound on the hash
+per language leaves few rows for the top-k, their n-grams are counted where they lie and summed with partial aggregation; only the counts
 (languages x ``FEATURES``) reach the driver.  Prediction is one narrow pass.
 
 A text that is null or has no letter is ``und`` with score 0.  With no labelled
@@ -123,8 +122,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, usable: Column, per_language: int = 1000) -> Model:
     """Fit on ``docs(doc_id, text, lang)`` where ``usable`` holds and lang is not null."""
     labelled = docs.select("doc_id", "lang", "text").where(usable & F.col("lang").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_language)
+    place = F.xxhash64("doc_id")
+    # hashes below a bound that lets about three times as many through, so the top-k sorts few rows
+    counts = persist_table(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    bounds = counts.select("lang", (3.0 * per_language / F.col("n") + 100.0 / F.col("n")).alias("share"))
+    few = labelled.select("doc_id", "lang").join(bounds, "lang").where(place.bitwiseAND(0xFFFFFFFF) < F.col("share") * float(1 << 32))
+    first = Window.partitionBy("lang").orderBy(place.bitwiseAND(0xFFFFFFFF), place, "doc_id")
+    chosen = few.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_language)
     chosen = persist_table(chosen.select("doc_id").distinct(), "sample")
     rows = bit_filter(labelled, chosen, "doc_id").join(chosen, "doc_id", "left_semi")
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, feature bigint, n bigint")
