@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..schema import OHLC
 
-_TUPLE = F.struct
-
 
 def exact_duplicates(bars: DataFrame, ordinal: str = "row_number") -> DataFrame:
     """One row per repeated row hash: copies, first and last instant, prices of the first row."""
