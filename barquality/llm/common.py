@@ -91,6 +91,8 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
             start, total = i, 0
         total += n
     yield batch.slice(start)
+    # what Arrow holds for later goes back, as many workers share a machine
+    pa.default_memory_pool().release_unused()
 
 
 def int64_list(values: np.ndarray, lengths: np.ndarray) -> pa.Array:

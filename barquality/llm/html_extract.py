@@ -46,7 +46,6 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr caption figcaption summary legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
-_CDATA = ("script", "style")
 
 
 class Lines(HTMLParser):

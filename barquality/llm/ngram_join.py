@@ -48,9 +48,9 @@ from .components import connected_components
 #: Upper end of a size band over its lower end.
 BAND_RATIO = 1.5
 #: Keys that a task combines before it sends them on.
-COMBINED = 4_000_000
-#: Bits of the table of repeated shingles: 32 MiB, broadcast.
-REPEATED_BITS = 1 << 28
+COMBINED = 1_000_000
+#: Bits of the table of repeated shingles: 16 MiB, broadcast.
+REPEATED_BITS = 1 << 27
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
 FILTER_BITS = 1 << 24
 

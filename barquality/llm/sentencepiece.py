@@ -366,5 +366,7 @@ def _mapped(docs: DataFrame, model_file: str, rows, names: list[str], ddl: str)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 yield pa.RecordBatch.from_arrays(rows(model, batch), names)
+        # a worker outlives its task; what it has cached would stay in its memory
+        model.cache.clear()
 
     return docs.mapInArrow(run, ddl)

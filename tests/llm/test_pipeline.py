@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from barquality.llm import langid, mixing, ngram_join, quality
+from barquality.llm import mixing, ngram_join, quality
 from barquality.llm.queries import ORACLES, QUERIES
 
 
