@@ -14,7 +14,7 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
    with).  A changed shingle changes one word, so the Hamming distance of two
    sketches, counted in words or in bits of a one-bit hash, is at most ``D``.
 3. A sketch has so many words that two linked sets agree in some of them
-   (pigeonhole).  Words that got no shingle say little; a set with fewer of them
+   (pigeonhole); sets with too few shared words are taken out.  Words that got no shingle say little; a set with fewer of them
    than the words that must agree leaves them out, and still shares a word with
    whatever it links to.  Every other word is a key.  Keys that occur twice are
    found from packed, pre-combined arrays; only those become rows.
@@ -49,6 +49,10 @@ from .components import connected_components
 BAND_RATIO = 1.5
 #: Keys that a task combines before it sends them on.
 COMBINED = 1_000_000
+#: How often keys and classes that cannot be part of a link are taken out; any number is right.
+PRUNINGS = 3
+#: Low bits of a key's tag, for the least number of shared keys.
+TAG_BITS = 20
 #: Bits of the table of repeated shingles: 16 MiB, broadcast.
 REPEATED_BITS = 1 << 27
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
@@ -105,9 +109,13 @@ class Bands:
         return range(first, last + 1) if last >= 0 else range(0)
 
 
-def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The bucket keys of one set over all its bands."""
-    keys = []
+def sketch_keys(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of one set over all its bands, and a tag of each.
+
+    A tag holds the band and how many keys of the band the set shares at least
+    with any set it links to.
+    """
+    keys, tags = [], []
     for band in bands.of(len(shingles)):
         g = bands.words[band]
         word = ((mix64(shingles + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
@@ -115,9 +123,14 @@ def sketch_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         np.bitwise_xor.at(sketch, word, shingles)
         place = np.arange(g, dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(32))
         key = mix64(sketch ^ mix64(place))
-        empty = np.bincount(word, minlength=g) == 0
-        keys.append(key[~empty] if empty.sum() < bands.agree[band] else key)
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        empty, agree = np.bincount(word, minlength=g) == 0, bands.agree[band]
+        omits = int(empty.sum()) < agree
+        keys.append(key[~empty] if omits else key)
+        # of the words that must agree, at most those that this set has empty are no keys;
+        # a set that leaves none out may meet one that does
+        least = agree - int(empty.sum()) if omits else 1
+        tags.append(np.full(len(keys[-1]), (band << TAG_BITS) + min(least, (1 << TAG_BITS) - 1), np.int64))
+    return (np.concatenate(keys), np.concatenate(tags)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _sketch_rows(words: int, percent: int, share: int, repeated):
@@ -140,11 +153,13 @@ def _sketch_rows(words: int, percent: int, share: int, repeated):
                 if bands.low and longest >= bands.low[-1]:
                     bands = Bands(percent, 2 * longest)
                 nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
-                keys = [np.zeros(0, np.uint64) if alone(s) else sketch_keys(s, bands) for s in sets]
+                none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                keys, tags = zip(*(none if alone(s) else sketch_keys(s, bands) for s in sets))
+                lengths = np.array([len(k) for k in keys])
                 size = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size), pa.array(nodes, mask=size == 0), int64_list(np.concatenate(keys), np.array([len(k) for k in keys]))],
-                    ["doc_id", "n_shingles", "node", "keys"],
+                    [batch.column("doc_id"), pa.array(size), pa.array(nodes, mask=size == 0), int64_list(np.concatenate(keys), lengths), int64_list(np.concatenate(tags), lengths)],
+                    ["doc_id", "n_shingles", "node", "keys", "tags"],
                 )
 
     return run
@@ -302,15 +317,21 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     # twice as many as a set of its own needs to be told from others
     share = max(1, percent // (2 * (100 - percent)))
     repeated = docs.sparkSession.sparkContext.broadcast(repeated_shingles(docs, words, share))
-    sketched = persist_table(docs.mapInArrow(_sketch_rows(words, percent, share, repeated), f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>"), "sketches")
+    sketched = persist_table(docs.mapInArrow(_sketch_rows(words, percent, share, repeated), f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, tags array<bigint>"), "sketches")
     membership = sketched.select("doc_id", "n_shingles", "node")
     classes = membership.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
 
-    keyed = sketched.where("node is not null").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
+    keyed = sketched.where("node is not null").select(F.explode(F.arrays_zip("keys", "tags")).alias("k"), "node", F.col("n_shingles").alias("n")).select(F.col("k.keys").alias("key"), F.col("k.tags").alias("tag"), "node", "n")
     maybe = persist_table(repeated_keys(sketched), "keys")
     held = persist_table(bit_filter(keyed, maybe, "key").distinct(), "held")
-    shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    members = persist_table(held.join(shared, "key"), "members")
+    members = held
+    for _ in range(PRUNINGS):
+        # keys of two classes, then classes that share as many keys of a band as a link takes
+        shared = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+        members = members.join(shared, "key")
+        enough = members.groupBy("node", "tag").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("tag").bitwiseAND((1 << TAG_BITS) - 1)).select("node", "tag")
+        members = persist_table(members.join(enough, ["node", "tag"]), "members")
+    members = members.drop("tag")
 
     crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
     central = members.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("central"))
