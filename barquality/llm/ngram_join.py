@@ -359,7 +359,7 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
             "x", "nx", "y", "ny", "e", "linked",
             F.when(F.col("linked"), F.slice(off, F.lit(1), F.greatest(F.lit(1), F.col("e") - need + 1))).alias("near"),
             F.when(middle, off).alias("far"),
-            F.when(~F.col("linked"), F.slice(F.array_sort(off), F.lit(1), most)).alias("apart"),
+            F.when(~F.col("linked"), F.slice(F.concat(F.array_sort("beyond"), F.array_sort("lacks")), F.lit(1), F.greatest(F.lit(1), F.least(most, F.col("e") - need + 1)))).alias("apart"),
         ),
         "deltas",
     )
@@ -367,7 +367,7 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
 
     # pairs of which one is not linked to the pivot: against linked members, all of its difference
     # meets a prefix of theirs (what they have beyond the pivot first); among each other, prefixes
-    # in the order of the hash meet
+    # in that order meet, as two members that are not linked to the pivot share over half as well
     def keyed_by(name: str, x: str, n: str, e: str) -> DataFrame:
         return deltas.where(f"{name} is not null").select("y", F.col("x").alias(x), F.col("nx").alias(n), F.col("e").alias(e), F.explode(name).alias("key"))
 
