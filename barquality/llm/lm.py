@@ -4,11 +4,11 @@ Tokens are lower-cased words and one end per text.  Token and bigram counts
 cover every training text: tasks combine what they read and send packed arrays
 of (hash, count) to segments of the hash space, where they are merged.  Counts
 are quantised on a log scale, and an n-gram of level q enters the filter q
-times, once per level.  A segment of the hash space owns a block of the filter,
-so blocks are built where the counts lie; the finished filter is broadcast.
-Its size follows the number of entries (``BITS_PER_ENTRY``) up to ``MOST_BITS``,
-which bounds the broadcast (512 MiB); beyond that, each entry has fewer bits and
-probes, and false positives grow.
+times, once per level.  A segment of the hash space owns a block of the filter
+with ``BITS_PER_ENTRY`` bits for each of its entries, whatever the size of the
+input: the filter is never in one place.  Batches of texts send their distinct
+n-grams to the segments, and the levels come back to the batch, where they are
+laid along its tokens.
 
 A level is read back by probing membership of level 1, 2, ... until one is
 absent.  The probability of a word is an interpolation of its bigram estimate
@@ -29,12 +29,14 @@ Tokens are known by a 64-bit hash.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,7 @@ from .common import int64_list, mix64, persist_table, pieces, slim, text_bytes
 
 BASE = 1.5
 BITS_PER_ENTRY = 8
-MOST_BITS = 1 << 32
-MOST_PROBES = 4
+PROBES = 4
 HEAVY = 1 << 17
 SAMPLE = 1000
 #: Bigrams below this count are left to the unigram estimate.
@@ -53,9 +54,13 @@ LEAST_BIGRAM = 2
 KNOWN_WORDS = 250_000
 #: N-grams that a task combines before it sends them on.
 COMBINED = 1_500_000
+#: Bytes of the texts that ask for their n-grams together.
+ASKING = 8 << 20
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 _LEVELS = 96
+#: In place of the level of a context: the start of a text.
+_AT_START = _LEVELS + 1
 GRID = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])
 
 
@@ -157,18 +162,22 @@ def _count_rows(segments: int):
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[int, int], list] = {}
+    """Per segment: its tokens with their counts, and its block of the filter."""
+    held: dict[int, dict[int, list]] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            held.setdefault((r["seg"], r["kind"]), []).append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)))
-    for seg, kind in sorted(held):
-        keys, counts = _summed(*map(np.concatenate, zip(*held.pop((seg, kind)))))
-        if kind == 1:
-            keep = counts >= LEAST_BIGRAM
-            keys, counts = keys[keep], counts[keep]
+            held.setdefault(r["seg"], {0: [], 1: []})[r["kind"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)))
+    for seg in sorted(held):
+        of_kind = held.pop(seg)
+        summed = [_summed(*map(np.concatenate, zip(*of_kind[kind]))) if of_kind[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1)]
+        keep = summed[1][1] >= LEAST_BIGRAM
+        summed[1] = summed[1][0][keep], summed[1][1][keep]
+        levels = [level_of(counts) for _, counts in summed]
+        shape = Filter(1, block_bits(sum(int(x.sum()) for x in levels)), PROBES, np.zeros(0, np.uint64))
+        bits = shape.block(summed[0][0], levels[0], 0) | shape.block(summed[1][0], levels[1], 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([seg], pa.int32()), pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(level_of(counts).sum()) if len(counts) else 0], pa.int64())],
-            ["seg", "kind", "keys", "counts", "entries"],
+            [pa.array([seg], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (*summed[0], np.packbits(bits, bitorder="little")))],
+            ["seg", "keys", "counts", "block"],
         )
 
 
@@ -178,6 +187,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["token", "c"])
 
 
+def block_bits(entries: int) -> int:
+    """Bits of a block with so many entries, in whole words."""
+    return max(64, -(-BITS_PER_ENTRY * entries // 64) * 64)
+
+
 class Filter:
     """A Bloom filter of (n-gram, level) in blocks, one per segment of the hash space."""
 
@@ -218,23 +232,102 @@ class Filter:
         return out
 
 
-def _block_rows(segments: int, block_bits: int, probes: int):
+#: Rows on their way between batches of texts and segments, by kind.
+_ROUTED = "seg int, kind int, batch bigint, body binary"
+_BLOCK, _BATCH, _ASKED = 0, 1, 2
+
+
+def _routed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["seg", "kind", "batch", "body"])
+
+
+def _distinct(tokens: np.ndarray, lengths: np.ndarray):
+    """The sorted distinct bigrams of a batch, and where each token's bigram is among them."""
+    return np.unique(bigrams(tokens, lengths)[1], return_inverse=True)
+
+
+def _ask_rows(segments: int):
+    """A batch of texts as indices into its distinct tokens, and per segment the n-grams it asks for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Filter(segments, block_bits, probes, np.zeros(0, np.uint64))
-        for batch in batches:
-            for seg, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, level = np.frombuffer(keys, np.uint64), level_of(np.frombuffer(counts, np.int64))
-                bits = shape.block(keys, level, kind)
-                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
+        hashes, packer = Tokens(), zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 20
+        for whole in batches:
+            for batch in pieces(whole, "text", ASKING):
+                tokens, lengths = hashes(text_bytes(batch.column("text")))
+                types, at = np.unique(tokens, return_inverse=True)
+                pairs, _ = _distinct(tokens, lengths)
+                sink = pa.BufferOutputStream()
+                rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("used"), pa.array(lengths)], ["doc_id", "held_out", "used", "n_tokens"])
+                with pa.ipc.new_stream(sink, rows.schema) as stream:
+                    stream.write_batch(rows)
+                head = sink.getvalue().to_pybytes()
+                edges = [np.searchsorted(_segment(keys, segments), np.arange(segments + 1)) for keys in (types, pairs)]
+                full = np.flatnonzero((edges[0][1:] > edges[0][:-1]) | (edges[1][1:] > edges[1][:-1])).tolist()
+                out = [(full[number % len(full)], _BATCH, number, struct.pack("<qq", len(head), types.nbytes) + head + types.tobytes() + packer.compress(at.astype(np.uint32).tobytes()))]
+                for s in full:
+                    mine = [keys[e[s] : e[s + 1]] for keys, e in zip((types, pairs), edges)]
+                    out.append((s, _ASKED, number, struct.pack("<q", len(mine[0])) + mine[0].tobytes() + mine[1].tobytes()))
+                yield _routed(out)
+                number += 1
 
     return run
 
 
+def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment and kind: n-grams become levels, batches pass through."""
+    at, words, asked = -1, b"", []
+
+    def answers() -> pa.RecordBatch:
+        first = [struct.unpack_from("<q", body)[0] for _, body in asked]
+        keys = [(np.frombuffer(body, np.uint64, n, 8), np.frombuffer(body, np.uint64, -1, 8 + 8 * n)) for n, (_, body) in zip(first, asked)]
+        out = []
+        for kind in (0, 1):
+            mine = [k[kind] for k in keys]
+            flat = np.concatenate(mine)
+            level = Filter(1, 8 * len(words), PROBES, np.frombuffer(words, np.uint64)).levels(flat, kind) if words else np.zeros(len(flat), np.int64)
+            out.append(np.split(level.astype(np.uint8), np.cumsum([len(x) for x in mine])[:-1]))
+        return _routed([(at, _ASKED, number, struct.pack("<q", len(a)) + a.tobytes() + b.tobytes()) for (number, _), a, b in zip(asked, *out)])
+
+    for batch in batches:
+        for seg, kind, number, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if seg != at:
+                if asked:
+                    yield answers()
+                at, words, asked = seg, b"", []
+            if kind == _BLOCK:
+                words = body
+            elif kind == _BATCH:
+                yield _routed([(seg, kind, number, body)])
+            else:
+                asked.append((number, body))
+    if asked:
+        yield answers()
+
+
+def _along_tokens(body: bytes, answers: dict[int, bytes]):
+    """The rows of a batch with its tokens, the level of each token and of its bigram."""
+    n_head, n_types = struct.unpack_from("<qq", body)
+    rows = next(iter(pa.ipc.open_stream(body[16 : 16 + n_head])))
+    types = np.frombuffer(body, np.uint64, n_types // 8, 16 + n_head)
+    tokens = types[np.frombuffer(zstandard.decompress(body[16 + n_head + n_types :]), np.uint32)]
+    lengths = rows.column("n_tokens").to_numpy()
+    found = ([], [])
+    for _, answer in sorted(answers.items()):
+        n = struct.unpack_from("<q", answer)[0]
+        found[0].append(np.frombuffer(answer, np.uint8, n, 8))
+        found[1].append(np.frombuffer(answer, np.uint8, -1, 8 + n))
+    of_type, of_pair = map(np.concatenate, found)
+    return rows, tokens, lengths, of_type[np.searchsorted(types, tokens)], of_pair[_distinct(tokens, lengths)[1]]
+
+
 @dataclass(frozen=True)
 class Trained:
-    """The model on the driver and the exact counts as a table."""
+    """The model on the driver; the exact counts and the blocks of the filter as tables."""
 
-    filter: Filter
+    segments: int
+    blocks: DataFrame
     train_tokens: int
     types: int
     texts: int
@@ -243,80 +336,131 @@ class Trained:
     weights: np.ndarray
 
 
-def train(docs: DataFrame, usable: Column) -> Trained:
-    """Count and fit on the rows of ``docs(doc_id, text)`` for which ``usable`` holds."""
-    spark = docs.sparkSession
-    texts = slim(docs.where(usable), "doc_id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _counted(texts: DataFrame) -> Trained:
+    """The model of all rows of ``texts(text)``, with equal weights."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = 4 * parts
     packed = texts.select("text").mapInArrow(_count_rows(segments), _PACKED)
-    merged = persist_table(packed.repartition(parts, "seg").mapInArrow(_merge_rows, f"{_PACKED}, entries bigint"), "counts")
-    entries = merged.agg(F.sum("entries")).first()[0] or 0
-    block_bits = max(64, -(-min(BITS_PER_ENTRY * entries, MOST_BITS) // segments) // 64 * 64 + 64)
-    probes = int(np.clip(round(block_bits * segments / max(entries, 1) * np.log(2)), 1, MOST_PROBES))
-    blocks = merged.select("seg", "kind", "keys", "counts").mapInArrow(_block_rows(segments, block_bits, probes), "seg int, bits binary")
-    words = np.zeros((segments, block_bits // 64), np.uint64)
-    for row in blocks.toLocalIterator(prefetchPartitions=True):
-        words[row["seg"]] |= np.frombuffer(row["bits"], np.uint64)
-    counts = persist_table(merged.where("kind = 0").select("keys", "counts").mapInArrow(_unpacked, "token bigint, c bigint"), "tokens")
+    merged = persist_table(packed.repartition(parts, "seg").mapInArrow(_merge_rows, "seg int, keys binary, counts binary, block binary"), "counts")
+    counts = persist_table(merged.select("keys", "counts").mapInArrow(_unpacked, "token bigint, c bigint"), "tokens")
     total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == int(END.astype(np.int64)), F.col("c")))).first()
     top = counts.orderBy(F.col("c").desc(), "token").limit(HEAVY).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    model = Trained(Filter(segments, block_bits, probes, words.ravel()), total[0] or 0, total[1], total[2] or 0, counts, (tokens[order], top["c"].to_numpy(np.int64)[order]), np.full(_LEVELS + 1, 0.3))
-    return _tuned(model, texts)
+    blocks = merged.select("seg", F.lit(_BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("batch"), F.col("block").alias("body"))
+    return Trained(segments, blocks, total[0] or 0, total[1], total[2] or 0, counts, (tokens[order], top["c"].to_numpy(np.int64)[order]), np.full(_LEVELS + 1, 0.3))
+
+
+def _looked_up(docs: DataFrame, model: Trained) -> DataFrame:
+    """``docs(doc_id, text, held_out, used)`` with exact figures and the levels of each text's tokens and bigrams, as a table."""
+    parts = model.segments // 4
+    light = docs.sparkSession.sparkContext.broadcast(_light(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = light.value.heavy
+
+        def placed(number: int, body: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
+            rows, tokens, lengths, of_token, of_pair = _along_tokens(body, answers)
+            start = np.cumsum(lengths) - lengths
+            at = np.searchsorted(known, tokens)
+            at[at == len(known)] = 0
+            heavy = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
+            exact = np.where(heavy, np.log10(count[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens))
+            rare = ~heavy
+            levels = [of_token[i : i + n].tobytes() + of_pair[i : i + n].tobytes() for i, n in zip(start.tolist(), lengths.tolist())]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array((number << 23) + np.arange(len(lengths))), *rows.columns, pa.array(np.add.reduceat(heavy.astype(np.int64), start)),
+                    pa.array(np.add.reduceat(exact, start)), int64_list(tokens[rare], np.add.reduceat(rare.astype(np.int64), start)), pa.array(levels, pa.binary()),
+                ],
+                ["row", "doc_id", "held_out", "used", "n_tokens", "n_heavy", "heavy_sum", "rare", "levels"],
+            )
+
+        at, text, answers = -1, b"", {}
+        for batch in batches:
+            for seg, kind, number, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != at:
+                    if text:
+                        yield placed(at, text, answers)
+                    at, text, answers = number, b"", {}
+                if kind == _BATCH:
+                    text = body
+                else:
+                    answers[seg] = body
+        if text:
+            yield placed(at, text, answers)
+
+    asked = docs.mapInArrow(_ask_rows(model.segments), _ROUTED)
+    answered = model.blocks.unionByName(asked).repartition(parts, "seg").sortWithinPartitions("seg", "kind").mapInArrow(_answer_rows, _ROUTED)
+    gathered = answered.repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+    kind = dict(docs.dtypes)["doc_id"]
+    ddl = f"row bigint, doc_id {kind}, held_out boolean, used boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, rare array<bigint>, levels binary"
+    return persist_table(gathered.mapInArrow(run, ddl), "levels")
+
+
+def train(docs: DataFrame, usable: Column) -> Trained:
+    """Count and fit on the rows of ``docs(doc_id, text)`` for which ``usable`` holds."""
+    texts = slim(docs.where(usable), "doc_id", "text")
+    model = _counted(texts)
+    return _tuned(model, _looked_up(texts.select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(True).alias("used")), model))
+
 
+def train_and_score(docs: DataFrame, usable: Column, held_out: Column) -> DataFrame:
+    """``score`` of all rows by a model of those for which ``usable`` holds; the n-grams are looked up once for both."""
+    model = _counted(slim(docs.where(usable), "doc_id", "text"))
+    rows = _looked_up(docs.select("doc_id", "text", held_out.alias("held_out"), F.coalesce(usable, F.lit(False)).alias("used")), model)
+    return _scored(rows, _tuned(model, rows.where("used")))
 
-def _estimates(model: Trained, tokens: np.ndarray, lengths: np.ndarray, less: int):
+
+def _split_levels(levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level of the context, of the token and of the bigram of the tokens of several texts; where each text starts."""
+    lengths = np.array([len(x) // 2 for x in levels], np.int64)
+    token = np.frombuffer(b"".join(x[: len(x) // 2] for x in levels), np.uint8).astype(np.int64)
+    pair = np.frombuffer(b"".join(x[len(x) // 2 :] for x in levels), np.uint8).astype(np.int64)
+    context, start = np.empty_like(token), np.cumsum(lengths) - lengths
+    context[1:] = token[:-1]
+    context[start] = _AT_START
+    return context, token, pair, start
+
+
+def _estimates(model: Trained, context: np.ndarray, token: np.ndarray, pair: np.ndarray, less: int):
     """Per token: level of the context, bigram estimate, unigram estimate; ``less`` is taken from each count."""
-    context, pairs = bigrams(tokens, lengths)
-    types, at = np.unique(tokens, return_inverse=True)
-    level = model.filter.levels(types, 0)[at]
-    of_context = np.empty_like(level)
-    of_context[1:] = level[:-1]
-    first = np.cumsum(lengths) - lengths
-    seen = LEVEL_VALUE[level]
-    before = np.empty_like(seen)
-    before[1:] = seen[:-1]
-    before[first] = model.texts
-    of_context[first] = int(level_of(np.array([max(model.texts, 1)]))[0])
-    pair_types, pair_at = np.unique(pairs, return_inverse=True)
-    both = LEVEL_VALUE[model.filter.levels(pair_types, 1)[pair_at]]
-    both = np.minimum(np.maximum(both - less, 0), before)
+    first = context == _AT_START
+    of_context = np.where(first, level_of(np.array([max(model.texts, 1)]))[0], context)
+    before = np.where(first, model.texts, LEVEL_VALUE[np.where(first, 0, context)])
+    both = np.minimum(np.maximum(LEVEL_VALUE[pair] - less, 0), before)
     bigram = both / np.maximum(before - less, 1)
-    unigram = (np.maximum(seen - less, 0) + 1) / (model.train_tokens + model.types + 1)
+    unigram = (np.maximum(LEVEL_VALUE[token] - less, 0) + 1) / (model.train_tokens + model.types + 1)
     return of_context, np.minimum(bigram, 1.0), unigram
 
 
-def _tuned(model: Trained, texts: DataFrame) -> Trained:
-    """The weight of the bigram estimate for each context level, by leaving one out on ``SAMPLE`` texts."""
-    spark = texts.sparkSession
-    chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toPandas()["doc_id"]
-    light = spark.sparkContext.broadcast(_light(model))
-    ids = [x.item() if hasattr(x, "item") else x for x in chosen.dropna().unique()]
+def _level_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens have which levels of context, token and bigram."""
+    side, total = _LEVELS + 2, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        context, token, pair, _ = _split_levels(batch.column("levels").to_pylist())
+        for cell, n in zip(*(x.tolist() for x in np.unique((context * side + token) * side + pair, return_counts=True))):
+            total[cell] = total.get(cell, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = Tokens(), np.zeros((_LEVELS + 1, len(GRID)))
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                level, bigram, unigram = _estimates(light.value, *hashes(text_bytes(batch.column("text"))), 1)
-                for g, w in enumerate(GRID):
-                    total[:, g] += np.bincount(level, np.log10(w * bigram + (1 - w) * unigram), _LEVELS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "gain"])
-
-    table = texts.where(F.col("doc_id").isin(ids)).select("text").mapInArrow(run, "cell bigint, gain double").groupBy("cell").agg(F.sum("gain").alias("gain")).collect()
-    light.destroy()
-    gain = np.zeros((_LEVELS + 1) * len(GRID))
-    for cell, value in table:
-        gain[cell] = value
-    gain = gain.reshape(_LEVELS + 1, len(GRID))
+
+def _tuned(model: Trained, rows: DataFrame) -> Trained:
+    """The weight of the bigram estimate for each context level, by leaving one out on ``SAMPLE`` texts."""
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    found = chosen.select("levels").mapInArrow(_level_rows, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cell, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+    side = _LEVELS + 2
+    level, bigram, unigram = _estimates(model, cell // side**2, cell // side % side, cell % side, 1)
+    gain = np.stack([np.bincount(level, n * np.log10(w * bigram + (1 - w) * unigram), _LEVELS + 1) for w in GRID], axis=1)
     weights = np.where(gain.any(1), GRID[gain.argmax(1)], 0.3)
     return Trained(**{**model.__dict__, "weights": weights})
 
 
 def _light(model: Trained) -> Trained:
-    """The model without its table, to be sent to workers."""
-    return Trained(**{**model.__dict__, "counts": None})
+    """The model without its tables, to be sent to workers."""
+    return Trained(**{**model.__dict__, "counts": None, "blocks": None})
 
 
 def score(docs: DataFrame, model: Trained, held_out: Column) -> DataFrame:
@@ -325,40 +469,30 @@ def score(docs: DataFrame, model: Trained, held_out: Column) -> DataFrame:
     base_score is the exact add-one unigram score, score the model's log10
     probability of the whole text.
     """
-    docs = slim(docs, "doc_id", "text").select("doc_id", "text", held_out.alias("held_out"))
-    light = docs.sparkSession.sparkContext.broadcast(_light(model))
+    return _scored(_looked_up(docs.select("doc_id", "text", held_out.alias("held_out"), F.lit(False).alias("used")), model), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes = light.value, Tokens()
-        known, count = model.heavy
-        row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                tokens, lengths = hashes(text_bytes(batch.column("text")))
-                start = np.cumsum(lengths) - lengths
-                level, bigram, unigram = _estimates(model, tokens, lengths, 0)
-                w = model.weights[level]
-                scores = np.add.reduceat(np.log10(w * bigram + (1 - w) * unigram), start)
-                at = np.searchsorted(known, tokens)
-                at[at == len(known)] = 0
-                heavy = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-                exact = np.where(heavy, np.log10(count[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens))
-                rare = ~heavy
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(heavy.astype(np.int64), start)),
-                        pa.array(np.add.reduceat(exact, start)), pa.array(scores), int64_list(tokens[rare], np.add.reduceat(rare.astype(np.int64), start)),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_heavy", "heavy_sum", "score", "rare"],
-                )
-                row += batch.num_rows
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = persist_table(docs.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, score double, rare array<bigint>"), "scores")
+def _scored(rows: DataFrame, model: Trained) -> DataFrame:
+    light = rows.sparkSession.sparkContext.broadcast(_light(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = light.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            context, token, pair, start = _split_levels(batch.column("levels").to_pylist())
+            level, bigram, unigram = _estimates(model, context, token, pair, 0)
+            w = model.weights[level]
+            scores = np.add.reduceat(np.log10(w * bigram + (1 - w) * unigram), start)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_heavy", "heavy_sum"]
+    kind = dict(rows.dtypes)["doc_id"]
+    each = rows.select(*names, "levels").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, score double")
     rare = rows.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("tf"))
     found = rare.join(model.counts, "token").groupBy("row").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare_sum"))
     space = float(np.log10(model.train_tokens + model.types + 1))
-    return rows.drop("rare").join(found, "row", "left").select(
+    return each.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

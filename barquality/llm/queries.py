@@ -42,7 +42,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = langid.held_out("doc_id", 7, 2)
-    return lm.score(docs, lm.train(docs, ~held_out), held_out)
+    return lm.train_and_score(docs, ~held_out, held_out)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,35 @@ def test_no_training_texts_and_empty_table(docs_of):
     row = lm.score(docs, model, ~out).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
     assert lm.score(docs_of([]), model, ~out).count() == 0
+
+
+def test_blocks_keep_their_bits_at_every_size(docs_of):
+    """Each segment has the same bits per entry, in parts of their own, and no count is read too low."""
+    rows = some(600, 5)
+    docs = docs_of(rows)
+    out = langid.held_out("doc_id", 7, 2)
+    model = lm.train(docs, ~out)
+    hashes, count = lm.Tokens(), (Counter(), Counter())
+    for t in train_rows(rows):
+        tokens, lengths = hashes([t.encode()])
+        count[0].update(tokens.tolist())
+        count[1].update(lm.bigrams(tokens, lengths)[1].tolist())
+    blocks = {r["seg"]: r["body"] for r in model.blocks.collect()}
+    assert len(blocks) == model.segments > 1
+    for kind, least in ((0, 1), (1, getattr(lm, "LEAST_BIGRAM", 1))):
+        keys = np.array(sorted(k for k, n in count[kind].items() if n >= least), np.uint64)
+        want = lm.level_of(np.array([count[kind][k] for k in keys.tolist()]))
+        seg, found = lm._segment(keys, model.segments), np.zeros(len(keys), np.int64)
+        for s, block in blocks.items():
+            found[seg == s] = lm.Filter(1, 8 * len(block), lm.PROBES, np.frombuffer(block, np.uint64)).levels(keys[seg == s], kind)
+        assert (found >= want).all() and (found == want).mean() > 0.93
+    for size in (10**3, 10**6, 10**10):
+        assert lm.block_bits(size) >= lm.BITS_PER_ENTRY * size
+
+
+def test_one_lookup_gives_the_scores_of_two(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "ASKING", 4000)
+    docs = docs_of(some(300) + [(900, None), (901, ""), (901, "w1 w2"), (903, "w1 " * 20000)])
+    out = langid.held_out("doc_id", 7, 2)
+    rows = [sorted(map(str, d.collect())) for d in (lm.score(docs, lm.train(docs, ~out), out), lm.train_and_score(docs, ~out, out))]
+    assert rows[0] == rows[1] and len(rows[0]) == 304
