@@ -48,8 +48,6 @@ BITS_PER_ENTRY = 8
 PROBES = 4
 HEAVY = 1 << 17
 SAMPLE = 1000
-#: Bigrams below this count are left to the unigram estimate.
-LEAST_BIGRAM = 2
 #: Words of which a worker keeps the hash.
 KNOWN_WORDS = 250_000
 #: N-grams that a task combines before it sends them on.
@@ -170,8 +168,6 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for seg in sorted(held):
         of_kind = held.pop(seg)
         summed = [_summed(*map(np.concatenate, zip(*of_kind[kind]))) if of_kind[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1)]
-        keep = summed[1][1] >= LEAST_BIGRAM
-        summed[1] = summed[1][0][keep], summed[1][1][keep]
         levels = [level_of(counts) for _, counts in summed]
         shape = Filter(1, block_bits(sum(int(x.sum()) for x in levels)), PROBES, np.zeros(0, np.uint64))
         bits = shape.block(summed[0][0], levels[0], 0) | shape.block(summed[1][0], levels[1], 1)

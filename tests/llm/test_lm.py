@@ -99,8 +99,8 @@ def test_blocks_keep_their_bits_at_every_size(docs_of):
         count[1].update(lm.bigrams(tokens, lengths)[1].tolist())
     blocks = {r["seg"]: r["body"] for r in model.blocks.collect()}
     assert len(blocks) == model.segments > 1
-    for kind, least in ((0, 1), (1, getattr(lm, "LEAST_BIGRAM", 1))):
-        keys = np.array(sorted(k for k, n in count[kind].items() if n >= least), np.uint64)
+    for kind in (0, 1):
+        keys = np.array(sorted(count[kind]), np.uint64)
         want = lm.level_of(np.array([count[kind][k] for k in keys.tolist()]))
         seg, found = lm._segment(keys, model.segments), np.zeros(len(keys), np.int64)
         for s, block in blocks.items():
@@ -116,3 +116,15 @@ def test_one_lookup_gives_the_scores_of_two(docs_of, monkeypatch):
     out = langid.held_out("doc_id", 7, 2)
     rows = [sorted(map(str, d.collect())) for d in (lm.score(docs, lm.train(docs, ~out), out), lm.train_and_score(docs, ~out, out))]
     assert rows[0] == rows[1] and len(rows[0]) == 304
+
+
+def test_bigrams_seen_once_count(docs_of):
+    """Words that are all equally rare: only the bigram, seen once, tells a text of the training set from its reverse."""
+    words = [f"u{i}" for i in range(400)]
+    docs = docs_of([(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(20)])
+    model = lm.train(docs, langid.held_out("doc_id", 7, 99) == False)  # noqa: E712
+    # the weights are set: leaving one out takes all weight from what is seen once
+    model = lm.Trained(**{**model.__dict__, "weights": np.full(lm._LEVELS + 1, 0.5)})
+    both = docs_of([(1, " ".join(words[:20])), (2, " ".join(words[19::-1]))])
+    got = {r["doc_id"]: r["score"] for r in lm.score(both, model, langid.held_out("doc_id", 7, 99)).collect()}
+    assert got[1] > got[2] + 15 * math.log10(50)
