@@ -13,8 +13,7 @@ laid along its tokens.
 A level is read back by probing membership of level 1, 2, ... until one is
 absent.  The probability of a word is an interpolation of its bigram estimate
 and a unigram estimate from those levels; the interpolation weight depends on
-the level of the context and is fitted by leaving one out on a bounded sample
-of training texts.
+the level of the context and is fitted by leaving one out on all training texts.
 
 Beside it stands an exact add-one unigram score.  Counts of the ``HEAVY`` most
 frequent tokens (a table of fixed size) are broadcast; the few other tokens of
@@ -47,7 +46,6 @@ BASE = 1.5
 BITS_PER_ENTRY = 8
 PROBES = 4
 HEAVY = 1 << 17
-SAMPLE = 1000
 #: Words of which a worker keeps the hash.
 KNOWN_WORDS = 250_000
 #: N-grams that a task combines before it sends them on.
@@ -228,6 +226,28 @@ class Filter:
         return out
 
 
+def _squeezed(packer: zstandard.ZstdCompressor, *arrays: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed; the lengths stand in front."""
+    planes = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + packer.compress(planes)
+
+
+def _spread(body: bytes, *types) -> list[np.ndarray]:
+    """The arrays of ``_squeezed``."""
+    lengths = struct.unpack_from(f"<{len(types)}q", body)
+    planes, at, out = zstandard.decompress(body[8 * len(types) :]) if any(lengths) else b"", 0, []
+    for n, t in zip(lengths, types):
+        wide = np.dtype(t).itemsize
+        out.append(np.frombuffer(planes, np.uint8, n * wide, at).reshape(wide, n).T.copy().view(t).ravel() if n else np.zeros(0, t))
+        at += n * wide
+    return out
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 #: Rows on their way between batches of texts and segments, by kind.
 _ROUTED = "seg int, kind int, batch bigint, body binary"
 _BLOCK, _BATCH, _ASKED = 0, 1, 2
@@ -252,7 +272,11 @@ def _ask_rows(segments: int):
         for whole in batches:
             for batch in pieces(whole, "text", ASKING):
                 tokens, lengths = hashes(text_bytes(batch.column("text")))
-                types, at = np.unique(tokens, return_inverse=True)
+                types, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
+                # frequent tokens have small numbers, which compress well
+                ranked = np.argsort(-often, kind="stable")
+                rank = np.empty(len(types), np.uint32)
+                rank[ranked] = np.arange(len(types), dtype=np.uint32)
                 pairs, _ = _distinct(tokens, lengths)
                 sink = pa.BufferOutputStream()
                 rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("used"), pa.array(lengths)], ["doc_id", "held_out", "used", "n_tokens"])
@@ -261,10 +285,10 @@ def _ask_rows(segments: int):
                 head = sink.getvalue().to_pybytes()
                 edges = [np.searchsorted(_segment(keys, segments), np.arange(segments + 1)) for keys in (types, pairs)]
                 full = np.flatnonzero((edges[0][1:] > edges[0][:-1]) | (edges[1][1:] > edges[1][:-1])).tolist()
-                out = [(full[number % len(full)], _BATCH, number, struct.pack("<qq", len(head), types.nbytes) + head + types.tobytes() + packer.compress(at.astype(np.uint32).tobytes()))]
+                out = [(full[number % len(full)], _BATCH, number, struct.pack("<q", len(head)) + head + _squeezed(packer, types[ranked], rank[at]))]
                 for s in full:
                     mine = [keys[e[s] : e[s + 1]] for keys, e in zip((types, pairs), edges)]
-                    out.append((s, _ASKED, number, struct.pack("<q", len(mine[0])) + mine[0].tobytes() + mine[1].tobytes()))
+                    out.append((s, _ASKED, number, _squeezed(packer, *map(_steps, mine))))
                 yield _routed(out)
                 number += 1
 
@@ -273,18 +297,17 @@ def _ask_rows(segments: int):
 
 def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by segment and kind: n-grams become levels, batches pass through."""
-    at, words, asked = -1, b"", []
+    at, words, asked, packer = -1, b"", [], zstandard.ZstdCompressor(level=1)
 
     def answers() -> pa.RecordBatch:
-        first = [struct.unpack_from("<q", body)[0] for _, body in asked]
-        keys = [(np.frombuffer(body, np.uint64, n, 8), np.frombuffer(body, np.uint64, -1, 8 + 8 * n)) for n, (_, body) in zip(first, asked)]
+        keys = [[np.cumsum(x) for x in _spread(body, np.uint64, np.uint64)] for _, body in asked]
         out = []
         for kind in (0, 1):
             mine = [k[kind] for k in keys]
             flat = np.concatenate(mine)
             level = Filter(1, 8 * len(words), PROBES, np.frombuffer(words, np.uint64)).levels(flat, kind) if words else np.zeros(len(flat), np.int64)
             out.append(np.split(level.astype(np.uint8), np.cumsum([len(x) for x in mine])[:-1]))
-        return _routed([(at, _ASKED, number, struct.pack("<q", len(a)) + a.tobytes() + b.tobytes()) for (number, _), a, b in zip(asked, *out)])
+        return _routed([(at, _ASKED, number, _squeezed(packer, a, b)) for (number, _), a, b in zip(asked, *out)])
 
     for batch in batches:
         for seg, kind, number, body in zip(*(c.to_pylist() for c in batch.columns)):
@@ -304,18 +327,15 @@ def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _along_tokens(body: bytes, answers: dict[int, bytes]):
     """The rows of a batch with its tokens, the level of each token and of its bigram."""
-    n_head, n_types = struct.unpack_from("<qq", body)
-    rows = next(iter(pa.ipc.open_stream(body[16 : 16 + n_head])))
-    types = np.frombuffer(body, np.uint64, n_types // 8, 16 + n_head)
-    tokens = types[np.frombuffer(zstandard.decompress(body[16 + n_head + n_types :]), np.uint32)]
+    n_head = struct.unpack_from("<q", body)[0]
+    rows = next(iter(pa.ipc.open_stream(body[8 : 8 + n_head])))
+    types, rank = _spread(body[8 + n_head :], np.uint64, np.uint32)
+    tokens = types[rank]
     lengths = rows.column("n_tokens").to_numpy()
-    found = ([], [])
-    for _, answer in sorted(answers.items()):
-        n = struct.unpack_from("<q", answer)[0]
-        found[0].append(np.frombuffer(answer, np.uint8, n, 8))
-        found[1].append(np.frombuffer(answer, np.uint8, -1, 8 + n))
+    found = zip(*(_spread(answers[seg], np.uint8, np.uint8) for seg in sorted(answers)))
     of_type, of_pair = map(np.concatenate, found)
-    return rows, tokens, lengths, of_type[np.searchsorted(types, tokens)], of_pair[_distinct(tokens, lengths)[1]]
+    sorted_types = np.sort(types)
+    return rows, tokens, lengths, of_type[np.searchsorted(sorted_types, types)][rank], of_pair[_distinct(tokens, lengths)[1]]
 
 
 @dataclass(frozen=True)
@@ -332,13 +352,27 @@ class Trained:
     weights: np.ndarray
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``persist_table``, compressed more; the shuffles behind it are given up as soon as it is written."""
+    conf = df.sparkSession.conf
+    asked = {"spark.sql.parquet.compression.codec": "zstd", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: conf.get(k, None) for k in asked}
+    try:
+        for k, v in asked.items():
+            conf.set(k, v)
+        return persist_table(df, name)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def _counted(texts: DataFrame) -> Trained:
     """The model of all rows of ``texts(text)``, with equal weights."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = 4 * parts
     packed = texts.select("text").mapInArrow(_count_rows(segments), _PACKED)
-    merged = persist_table(packed.repartition(parts, "seg").mapInArrow(_merge_rows, "seg int, keys binary, counts binary, block binary"), "counts")
-    counts = persist_table(merged.select("keys", "counts").mapInArrow(_unpacked, "token bigint, c bigint"), "tokens")
+    merged = _table(packed.repartition(parts, "seg").mapInArrow(_merge_rows, "seg int, keys binary, counts binary, block binary"), "counts")
+    counts = _table(merged.select("keys", "counts").mapInArrow(_unpacked, "token bigint, c bigint"), "tokens")
     total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == int(END.astype(np.int64)), F.col("c")))).first()
     top = counts.orderBy(F.col("c").desc(), "token").limit(HEAVY).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
@@ -391,7 +425,7 @@ def _looked_up(docs: DataFrame, model: Trained) -> DataFrame:
     gathered = answered.repartition(parts, "batch").sortWithinPartitions("batch", "kind")
     kind = dict(docs.dtypes)["doc_id"]
     ddl = f"row bigint, doc_id {kind}, held_out boolean, used boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, rare array<bigint>, levels binary"
-    return persist_table(gathered.mapInArrow(run, ddl), "levels")
+    return _table(gathered.mapInArrow(run, ddl), "levels")
 
 
 def train(docs: DataFrame, usable: Column) -> Trained:
@@ -443,14 +477,21 @@ def _level_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tuned(model: Trained, rows: DataFrame) -> Trained:
-    """The weight of the bigram estimate for each context level, by leaving one out on ``SAMPLE`` texts."""
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    found = chosen.select("levels").mapInArrow(_level_rows, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    """The weight of the bigram estimate for each context level, by leaving one out on all training texts.
+
+    An unseen context has no bigrams, and so no weight; a level that no text
+    reaches has the weight of the one nearest to it.
+    """
+    found = rows.select("levels").mapInArrow(_level_rows, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cell, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
     side = _LEVELS + 2
     level, bigram, unigram = _estimates(model, cell // side**2, cell // side % side, cell % side, 1)
     gain = np.stack([np.bincount(level, n * np.log10(w * bigram + (1 - w) * unigram), _LEVELS + 1) for w in GRID], axis=1)
-    weights = np.where(gain.any(1), GRID[gain.argmax(1)], 0.3)
+    reached = np.flatnonzero(gain.any(1))
+    if not len(reached):
+        return model
+    weights = GRID[gain.argmax(1)][reached[np.abs(np.arange(_LEVELS + 1)[:, None] - reached).argmin(1)]]
+    weights[0] = 0.0
     return Trained(**{**model.__dict__, "weights": weights})
 
 

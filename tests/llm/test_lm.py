@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barquality.llm import langid, lm
 
@@ -128,3 +129,13 @@ def test_bigrams_seen_once_count(docs_of):
     both = docs_of([(1, " ".join(words[:20])), (2, " ".join(words[19::-1]))])
     got = {r["doc_id"]: r["score"] for r in lm.score(both, model, langid.held_out("doc_id", 7, 99)).collect()}
     assert got[1] > got[2] + 15 * math.log10(50)
+
+
+def test_weights_are_fitted_on_every_training_text(docs_of):
+    """The one text that reaches a high level is the last in the order of hashes."""
+    ids = docs_of([(i, "") for i in range(1200)]).orderBy(F.xxhash64("doc_id").desc()).limit(1)
+    last = ids.first()["doc_id"]
+    docs = docs_of([(i, "z " * 5000 if i == last else f"a{i % 7} b") for i in range(1200)])
+    weights = lm.train(docs, F.lit(True)).weights
+    assert weights[lm.level_of(np.array([5000]))[0]] == lm.GRID[-1]
+    assert weights[0] == 0
