@@ -79,9 +79,12 @@ PATTERN_RULES = (
     PatternRule("bets", r"(?:^|[.-])free-bets?\.", ("free",)),
     PatternRule("bets-site", r"(?:^|[.-])bets-[a-z]+\.", ("bets",)),
     PatternRule("spam", r"(?:^|[.-])spam-farm\.", ("spam", "farm")),
-    PatternRule("adult", r"(?:^|[.-])(?:xxx|porn)(?:-[a-z0-9]+)*\.", ()),
+    PatternRule("adult", r"(?:^|[.-])(?:adult|xxx|porn)(?:-[a-z0-9]+)*\.", ()),
     PatternRule("loans", r"(?:^|[.-])(?:payday|quick)-loans?\.", ()),
-    PatternRule("tracker-path", r"/(?:ads?|adserver|banner)/click", ("click",)),
+    PatternRule("ads", r"^(?:[^/]*[.-])?(?:ads?|adservers?)(?:-[a-z0-9]+)*\.", ()),
+    PatternRule("tracker", r"^(?:[^/]*[.-])?track(?:ers?|ing)?(?:-[a-z0-9]+)*\.", ()),
+    # no literal: the url may go on after "click" inside the token
+    PatternRule("tracker-path", r"/(?:ads?|adserver|banner)/click", ()),
 )
 
 

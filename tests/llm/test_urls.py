@@ -50,3 +50,24 @@ def test_empty_table_and_repeated_rows(spark):
     schema = "page_id long, url string"
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
     assert urls.judge(spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (None, None)], schema)).count() == 3
+
+
+GO_ON = [
+    "http://a.net/ads/clicks", "http://a.net/banner/click2/x", "http://cheap-pillsx.net/", "http://cheaper-pills.net/", "http://pills-nows.net/", "http://casinos.net/", "http://casino2-x.net/",
+    "http://free-betss.net/", "http://bets-xs.net/", "http://spam-farms.net/", "http://adults.net/", "http://xxx2.net/", "http://quick-loanss.net/", "http://adsl.net/", "http://tracks.net/", "http://a.net/ads.x",
+]
+
+
+def test_index_and_rules_agree_where_literals_go_on(spark):
+    pages = spark.createDataFrame(list(enumerate(GO_ON)), "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:5] for r in urls.judge(pages).collect()}
+    assert [got[i] for i in range(len(GO_ON))] == [plain(u) for u in GO_ON]
+    assert [u for i, u in enumerate(GO_ON) if got[i][3] == "block"] == [*GO_ON[:2], "http://pills-nows.net/", "http://bets-xs.net/"]
+
+
+def test_all_families_of_hosts_are_blocked():
+    index = urls.RuleIndex(urls.SITE_RULES, urls.PATTERN_RULES, {})
+    for host in ("ads-track.example.com", "adult-x.example.net", "www.ad.example.net", "tracker.example.net", "x-tracking-1.example.net"):
+        assert index.judge(f"http://{host}/x")[3] == "block", host
+    for host in ("adsl.example.net", "soundtrack.example.net", "racetracks.example.net", "example.ad"):
+        assert index.judge(f"http://{host}/ads.html")[3] == "allow", host
