@@ -1,7 +1,9 @@
+import hashlib
 import random
 
 import pytest
 
+from barquality.llm import sentencepiece
 from barquality.llm.queries import TOKENIZERS
 from barquality.llm.sentencepiece import MARK, Model, digests, encode
 
@@ -49,9 +51,30 @@ def test_round_trip(model):
         assert model.decode(model.encode([text])[0]) == text
 
 
-def test_long_words_alone_and_together_agree(model):
-    words = [MARK + w for w in ("internationalisation", "thththe", "aaaaaaaaaaaa", "éàñ")]
-    assert model.encode_words(words) == [model._alone(w) for w in words]
+def test_words_of_all_lengths_advance_together_as_alone(model, monkeypatch):
+    rng = random.Random(9)
+    words = [MARK + "".join(rng.choices("theranising", k=n)) for n in [*range(1, 60), 300, 301, 4000]] + [MARK + "internationalisation"]
+    together = dict(model.encode_words(words))
+    monkeypatch.setattr(sentencepiece, "CELLS", 1)
+    assert dict(model.encode_words(words)) == together and len(together) == len(set(words))
+
+
+def test_small_caches_change_nothing(model, monkeypatch):
+    cases = texts()
+    want = model.encode(cases)
+    model.forget()
+    monkeypatch.setattr(sentencepiece, "CACHE_BYTES", 2000)
+    assert [model.encode([t])[0] for t in cases] == want
+
+
+def test_digests_are_those_of_the_librarys_ids(docs_of):
+    library = spm.SentencePieceProcessor(model_file=FILE)
+    cases = texts()
+    for r in digests(docs_of(list(enumerate(cases))), FILE).collect():
+        ids = library.encode(cases[r["doc_id"]])
+        data = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r["ids"], r["n_pieces"], r["ids_sha256"]) == (ids, len(ids), hashlib.sha256(data).hexdigest())
+        assert (r["n_chars"], r["n_byte_pieces"]) == (len(cases[r["doc_id"]]), sum(library.is_byte(i) for i in ids))
 
 
 def test_table(docs_of):
