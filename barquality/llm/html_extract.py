@@ -4,16 +4,25 @@ The standard-library parser streams a page as events.  Block elements cut the
 text into lines; each line knows its characters, its tags and the containers it
 lies in.  The ratio of characters to tags is smoothed over neighbouring lines
 with a Gaussian kernel, and lines above the standard deviation of the page form
-the content cluster.  The region returned is the container that holds that
-cluster (an article or main element if there is one around it): all of its
-lines, in page order, without those inside elements that are boilerplate by tag
-or by class, id or role.
+the content clusters.  The clusters select the regions:
+
+* each line of a cluster speaks for the article or main element around it; where
+  these hold half of the clustered text, the regions are the elements spoken
+  for (those with at least a quarter of what the largest holds);
+* elsewhere the region is the least container around all lines of clusters, less
+  lines outside the clusters that are links and nothing else.
+
+A page without a cluster has no region and an empty text.  Of a region all lines
+are returned, in page order; elements that are boilerplate by tag or by class, id
+or role only trim it.  Where every clustered line lies in such elements, the
+ratios are smoothed once more without them.
 
 A null or empty page has an empty text, and so has a page without text.  Broken
 markup is read as far as it goes: unknown end tags are ignored, an unclosed
 element ends with its parent, an article ends what was left open before it.
-Very long pages are taken whole, one at a time; repeated rows give repeated
-results; an empty table an empty result; other columns are ignored.
+Very long and very deep pages are taken whole, one at a time, with constant work
+per tag; repeated rows give repeated results; an empty table an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,23 +58,29 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, container) of every line, and the tree of containers."""
+    """Collects (text, tags, container, all links) of every line, and the tree of containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         # container: tag, parent, whether it is boilerplate itself, whether it is a reader's comment
         self.tags, self.parents, self.marked, self.comment = ["#page"], [-1], [False], [False]
         self.open = [0]
+        #: where in ``open`` the containers of each tag are
+        self.places: dict[str, list[int]] = {}
         self.text: list[str] = []
-        self.n_tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.plain = False
+        self.n_tags, self.n_links = 0, 0
+        self.lines: list[tuple[str, int, int, bool]] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.n_tags, self.open[-1]))
+            self.lines.append((text, self.n_tags, self.open[-1], not self.plain))
             self.n_tags = 0
-        self.text = []
+        self.text, self.plain = [], False
+
+    def _pop(self) -> None:
+        self.places[self.tags[self.open.pop()]].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -73,6 +88,8 @@ class Lines(HTMLParser):
         self.n_tags += 1
         if tag == "br":
             self.text.append(" ")
+        elif tag == "a":
+            self.n_links += 1
         if tag not in CONTAINERS:
             return
         words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v.lower())}
@@ -80,8 +97,8 @@ class Lines(HTMLParser):
         if tag in CONTENT and not comment:
             # what is still open and no content ends here, unless it is a thread of comments
             while self.open[-1] and self._ends(self.open[-1]):
-                self.open.pop()
-        inside = any(self.tags[c] in CONTENT for c in self.open)
+                self._pop()
+        inside = any(self.places.get(c) for c in CONTENT)
         marked = tag in UNSEEN or tag in BOILERPLATE or bool(words & MARKERS) or (tag == "header" and not inside)
         if tag in ("html", "body") or (tag in CONTENT and not comment):
             marked = False
@@ -89,6 +106,7 @@ class Lines(HTMLParser):
         self.parents.append(self.open[-1])
         self.marked.append(marked)
         self.comment.append(comment)
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tags) - 1)
 
     def _ends(self, container: int) -> bool:
@@ -109,14 +127,16 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.n_tags += 1
-        if tag in CONTAINERS:
-            for depth in range(len(self.open) - 1, 0, -1):
-                if self.tags[self.open[depth]] == tag:
-                    del self.open[depth:]
-                    break
+        if tag == "a":
+            self.n_links = max(0, self.n_links - 1)
+        elif self.places.get(tag):
+            depth = self.places[tag][-1]
+            while len(self.open) > depth:
+                self._pop()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        self.plain = self.plain or (not self.n_links and not data.isspace())
 
     def finish(self) -> None:
         self.close()
@@ -131,8 +151,48 @@ def smooth(values: np.ndarray, sigma: float, radius: int) -> np.ndarray:
     return full / np.convolve(np.ones(n), kernel)[radius : radius + n]
 
 
-def main_text(html: str, sigma: float = 1.0, radius: int = 2) -> tuple[str, int, int]:
-    """The content of a page, its number of lines, and how many of all lines were in the content cluster."""
+def clustered(lines: list[tuple[str, int]], sigma: float, radius: int) -> np.ndarray:
+    """Which of the lines (text, tags) are in a content cluster: smoothed ratio at or above the standard deviation."""
+    if not lines:
+        return np.zeros(0, bool)
+    smoothed = smooth(np.array([len(t) / max(n, 1) for t, n in lines]), sigma, radius)
+    return smoothed >= smoothed.std()
+
+
+def _summed(parents: list[int], held: np.ndarray) -> np.ndarray:
+    """What each container holds, with all containers in it; parents come before their children."""
+    total = held.tolist()
+    for i in range(len(total) - 1, 0, -1):
+        total[parents[i]] += total[i]
+    return np.array(total)
+
+
+def regions(page: Lines, lines: list, clusters: np.ndarray, hidden: list[bool]) -> tuple[set[int], bool]:
+    """The containers that the clustered lines select, and whether they are content elements."""
+    size = len(page.tags)
+    held = np.zeros(size)
+    for (text, _, container, _), in_cluster in zip(lines, clusters):
+        held[container] += len(text) * in_cluster
+    if not held.any():
+        return set(), False
+    content = [0] * size
+    for i in range(1, size):
+        content[i] = i if page.tags[i] in CONTENT and not hidden[i] else content[page.parents[i]]
+    spoken = np.bincount(content, held, size)
+    spoken[0] = 0
+    if 2 * spoken.sum() >= held.sum():
+        with_inner = _summed(page.parents, held)
+        least = 0.25 * with_inner[spoken > 0].max()
+        return {i for i in np.flatnonzero(spoken).tolist() if with_inner[i] >= least}, True
+    count = np.zeros(size)
+    for (_, _, container, _), in_cluster in zip(lines, clusters):
+        count[container] += in_cluster
+    around = _summed(page.parents, count)
+    return {int(np.flatnonzero(around == around[0])[-1])}, False
+
+
+def main_text(html: str, sigma: float = 1.0, radius: int = 2, cluster=clustered) -> tuple[str, int, int]:
+    """The content of a page, its number of lines, and how many of all lines were in a content cluster."""
     page = Lines()
     page.feed(html)
     page.finish()
@@ -142,38 +202,18 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2) -> tuple[str, int,
         parent = page.parents[i]
         hidden.append(hidden[parent] or page.comment[i])
         out.append(page.marked[i] or (out[parent] and page.tags[i] not in CONTENT))
-    lines = [(t, n, c) for t, n, c in page.lines if page.tags[c] not in UNSEEN]
-    if not lines:
-        return "", 0, 0
-    ratio = np.array([len(t) / max(n, 1) for t, n, _ in lines])
-    smoothed = smooth(ratio, sigma, radius)
-    dense = smoothed >= smoothed.std()
-    kept = [not out[c] and not hidden[c] for _, _, c in lines]
-    mass = np.zeros(len(page.tags))
-    for (t, _, c), d, k in zip(lines, dense, kept):
-        if k and d:
-            mass[c] += len(t)
-    if not mass.any():
-        for (t, _, c), k in zip(lines, kept):
-            if k:
-                mass[c] += len(t)
-    for i in range(len(mass) - 1, 0, -1):
-        mass[page.parents[i]] += mass[i]
-    whole = mass[0]
-    within = 0
-    content = [i for i in range(1, len(mass)) if page.tags[i] in CONTENT and mass[i] >= 0.5 * whole and whole]
-    if content:
-        within = min(content, key=lambda i: (mass[i], -i))
-    else:
-        for i in range(1, len(mass)):  # parents come before their children
-            if mass[i] >= 0.95 * whole and page.parents[i] == within and whole:
-                within = i
-    inside = [False] * len(mass)
-    inside[within] = True
-    for i in range(within + 1, len(mass)):
-        inside[i] = inside[page.parents[i]]
-    chosen = [t for (t, _, c), k in zip(lines, kept) if k and inside[c]]
-    return "\n\n".join(chosen), len(chosen), int(dense.sum())
+    lines = [x for x in page.lines if page.tags[x[2]] not in UNSEEN]
+    kept = np.array([not out[c] and not hidden[c] for _, _, c, _ in lines], bool)
+    dense = cluster([x[:2] for x in lines], sigma, radius)
+    chosen = dense & kept
+    if dense.any() and not chosen.any():
+        chosen[kept] = cluster([x[:2] for x, k in zip(lines, kept) if k], sigma, radius)
+    selected, content = regions(page, lines, chosen, hidden)
+    inside = [0 in selected]
+    for i in range(1, len(page.tags)):
+        inside.append(i in selected or inside[page.parents[i]])
+    text = [t for (t, _, c, links), k, d in zip(lines, kept, chosen) if k and inside[c] and (content or d or not links)]
+    return "\n\n".join(text), len(text), int(dense.sum())
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
-import pytest
-
-from barquality.llm.html_extract import extract, main_text, smooth
+import math
+import random
+import time
 
 import numpy as np
+import pytest
+
+from barquality.llm.html_extract import clustered, extract, main_text, smooth
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header class="site"><h1>Site name</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
@@ -55,3 +58,52 @@ def test_smoothing_keeps_constants_and_mass_centre():
     assert np.allclose(smooth(np.full(7, 3.0), 1.0, 2), 3.0)
     peak = smooth(np.array([0, 0, 0, 9.0, 0, 0, 0]), 1.0, 2)
     assert peak.argmax() == 3 and peak[2] == pytest.approx(peak[4])
+
+
+def plain_clusters(lines, sigma, radius):
+    """Ratio, kernel and threshold from their definitions, one line at a time."""
+    ratio = [len(t) / max(n, 1) for t, n in lines]
+    out = []
+    for i in range(len(ratio)):
+        near = range(max(0, i - radius), min(len(ratio), i + radius + 1))
+        weight = [math.exp(-((j - i) ** 2) / (2 * sigma**2)) for j in near]
+        out.append(sum(w * ratio[j] for w, j in zip(weight, near)) / sum(weight))
+    mean = sum(out) / len(out)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in out) / len(out))
+    return [x >= deviation for x in out]
+
+
+def test_clusters_match_their_definition():
+    rng = random.Random(3)
+    for _ in range(50):
+        lines = [("x" * rng.randint(1, 400), rng.randint(0, 9)) for _ in range(rng.randint(1, 30))]
+        assert clustered(lines, 1.0, 2).tolist() == plain_clusters(lines, 1.0, 2)
+
+
+LONG = "A sentence of the story that goes on for a while, with words enough. " * 5
+UNMARKED = f"<body><div><a>Home</a></div><div><a>News</a></div><div><a>Shop</a></div><div><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div></div><div><a>Terms</a></div><div><a>About</a></div></body>"
+
+
+def test_clusters_select_the_region():
+    want = f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}\n\nShort."
+    assert main_text(UNMARKED)[0] == want
+    everything = lambda lines, sigma, radius: np.ones(len(lines), bool)
+    nothing = lambda lines, sigma, radius: np.zeros(len(lines), bool)
+    assert main_text(UNMARKED, cluster=everything)[0].startswith("Home")
+    assert main_text(UNMARKED, cluster=nothing)[0] == "" and main_text(PAGE, cluster=nothing)[0] == ""
+
+
+def test_sibling_articles_and_text_beside_them():
+    two = f"<main><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article></main>"
+    assert main_text(two)[1] == 3
+    beside = f"<main><p>{LONG}</p><article><p>{LONG}</p></article></main>"
+    assert main_text(beside)[1] == 2
+    teaser = f"<article><p>{LONG * 3}</p><p>{LONG * 3}</p></article><div class='related'><article><p>Read this too.</p></article></div>"
+    assert main_text(teaser)[1] == 2
+
+
+def test_work_is_constant_per_tag():
+    start = time.perf_counter()
+    assert main_text("<div>" * 100_000 + "deep" + "</span></p></section>" * 30_000)[0] == "deep"
+    assert main_text("<article>" * 50_000 + "deep")[0] == "deep"
+    assert time.perf_counter() - start < 8
