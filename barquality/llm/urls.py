@@ -1,20 +1,26 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression with a literal token that any match must hold as
-a whole token of the url.  Each rule is filed under the one of its literal
-tokens that is rarest in the urls judged; the tokens of a url fetch candidate
-rules, and only those run their expression.
+A rule is a regular expression.  Its literal tokens are derived from the parsed
+expression: runs of letters and digits that every match holds, with something
+that is no letter or digit on both sides.  So they are whole tokens of every url
+the rule matches; a rule without one is refused.  Each rule is filed under the
+one of its literal tokens that is rarest in the urls judged; the tokens of a url
+fetch candidate rules, and only those run their expression.
 
 Site rules (host and path prefix) go through the same index.  Of the site rules
 that fit, the longest wins and decides; otherwise the url is blocked when any
 pattern rule matches, and allowed when none does.
 
+Pattern rules come as lines of the syntax of public filter lists, in code or in a
+table (``rules_of``): ``/expression/``, or text with ``*`` for anything, ``^`` for
+a separator, ``|`` for an end of the url and ``||`` for the start of a host label.
+
 Token counts are taken over all urls, in one grouped aggregation over the
 tokens that occur in rules, so at most that many rows reach the driver.  The
-rules are configuration and travel with the function.  Null urls and urls
-without ``://`` have an empty host and path, no rule, and are allowed.  Urls of
-any length are read whole; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+rules are configuration of bounded number and travel with the function.  Null
+urls and urls without ``://`` have an empty host and path, no rule, and are
+allowed.  Urls of any length are read whole; repeated rows give repeated results;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from re import _constants as op
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,19 +58,90 @@ class SiteRule:
         whole = _TOKEN.findall(path)
         if whole and path[-1:].isalnum():
             whole.pop()
+        if not _TOKEN.search(self.host):
+            raise ValueError(f"rule {self.name}: the host must hold a token")
         return _TOKEN.findall(self.host) + whole
 
     def fits(self, host: str, path: str) -> bool:
         return (host == self.host or host.endswith("." + self.host)) and path.startswith(self.path)
 
 
+_TOKEN_CHAR, _OTHER, _NOTHING = "token", "other", "nothing"
+
+
+def _edge(items: list, last: bool) -> set[str]:
+    """What a match of parsed items may begin (or end) with; nothing, where it may be empty."""
+    out: set[str] = set()
+    for kind, value in reversed(items) if last else items:
+        if kind is op.LITERAL:
+            found = {_TOKEN_CHAR if _TOKEN.fullmatch(chr(value)) else _OTHER}
+        elif kind is op.AT and value in ((op.AT_BEGINNING, op.AT_BEGINNING_STRING) if last else (op.AT_END_STRING,)):
+            found = {_OTHER}
+        elif kind is op.IN and all(k is op.LITERAL for k, _ in value):
+            found = set().union(*(_edge([x], last) for x in value))
+        elif kind is op.SUBPATTERN:
+            found = _edge(list(value[3]), last)
+        elif kind is op.BRANCH:
+            found = set().union(*(_edge(list(x), last) for x in value[1]))
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+            found = _edge(list(value[2]), last) | (set() if value[0] else {_NOTHING})
+        else:
+            found = {_TOKEN_CHAR, _OTHER, _NOTHING}
+        out |= found - {_NOTHING}
+        if _NOTHING not in found:
+            return out
+    return out | {_NOTHING}
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The whole tokens that every text with a match of ``pattern`` holds; the pattern is of lower-case texts."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & (re.IGNORECASE | re.MULTILINE | re.VERBOSE):
+        raise ValueError(f"{pattern}: patterns have no flags")
+    items, found, at = list(parsed), [], 0
+    while at < len(items):
+        end = at
+        while end < len(items) and _edge(items[end : end + 1], False) == {_TOKEN_CHAR} and items[end][0] is op.LITERAL:
+            end += 1
+        if end > at and _edge(items[:at], True) == {_OTHER} == _edge(items[end:], False):
+            found.append("".join(chr(c) for _, c in items[at:end]))
+        at = max(end, at + 1)
+    return tuple(found)
+
+
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` runs over ``host + path`` in lower case; ``literals`` are tokens of every match."""
+    """``pattern`` runs over ``host + path`` in lower case."""
 
     name: str
     pattern: str
-    literals: tuple[str, ...]
+
+    @cached_property
+    def literals(self) -> tuple[str, ...]:
+        found = literal_tokens(self.pattern)
+        if not found:
+            raise ValueError(f"rule {self.name}: every match must hold a whole token; write one rule for each alternative")
+        return found
+
+
+def pattern_of(line: str) -> str:
+    """The expression of a line of a filter list, over ``host + path`` in lower case."""
+    if len(line) > 1 and line[0] == line[-1] == "/":
+        return line[1:-1]
+    line = line.translate(ASCII_LOWER)
+    start = r"^(?:[^/]*\.)?" if line.startswith("||") else "^" if line.startswith("|") else ""
+    body = line.lstrip("|")
+    end = r"\Z" if body.endswith("|") else ""
+    parts = {"*": ".*", "^": r"(?:/|:|\Z)"}
+    return start + "".join(parts.get(c) or re.escape(c) for c in body.rstrip("|")) + end
+
+
+def rules_of(table: DataFrame, most: int = 100_000) -> tuple[PatternRule, ...]:
+    """The rules of ``table(name, line)``, without null lines; more than ``most`` are refused."""
+    rows = slim(table, "name", "line").where("line is not null").distinct().orderBy("name", "line").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(PatternRule(r["name"] or r["line"], pattern_of(r["line"])) for r in rows)
 
 
 SITE_RULES = (
@@ -72,19 +152,22 @@ SITE_RULES = (
     SiteRule("block", "com", "/de/"),
 )
 
-PATTERN_RULES = (
-    PatternRule("pills", r"(?:^|[.-])cheap-pills?\.", ("cheap",)),
-    PatternRule("pills-plural", r"(?:^|[.-])pills-[a-z]+\.", ("pills",)),
-    PatternRule("casino", r"(?:^|[.-])casino(?:-[a-z0-9]+)*\.", ("casino",)),
-    PatternRule("bets", r"(?:^|[.-])free-bets?\.", ("free",)),
-    PatternRule("bets-site", r"(?:^|[.-])bets-[a-z]+\.", ("bets",)),
-    PatternRule("spam", r"(?:^|[.-])spam-farm\.", ("spam", "farm")),
-    PatternRule("adult", r"(?:^|[.-])(?:adult|xxx|porn)(?:-[a-z0-9]+)*\.", ()),
-    PatternRule("loans", r"(?:^|[.-])(?:payday|quick)-loans?\.", ()),
-    PatternRule("ads", r"^(?:[^/]*[.-])?(?:ads?|adservers?)(?:-[a-z0-9]+)*\.", ()),
-    PatternRule("tracker", r"^(?:[^/]*[.-])?track(?:ers?|ing)?(?:-[a-z0-9]+)*\.", ()),
-    # no literal: the url may go on after "click" inside the token
-    PatternRule("tracker-path", r"/(?:ads?|adserver|banner)/click", ()),
+#: Words of host labels that name adverts, trackers, adult sites, gambling and spam; further parts of a label may follow.
+HOST_TERMS = (
+    "ad", "ads", "adserver", "adservers", "track", "tracker", "trackers", "tracking", "adult", "xxx", "porn", "casino", "free-bet", "free-bets",
+    "cheap-pill", "cheap-pills", "payday-loan", "payday-loans", "quick-loan", "quick-loans", "spam-farm",
+)
+#: Words that need a further part of the label.
+LEADING_TERMS = ("pills", "bets")
+#: Folders of click counters.
+CLICK_FOLDERS = ("ad", "ads", "adserver", "banner")
+PATTERN_RULES = tuple(
+    PatternRule(name, pattern_of(line))
+    for name, line in [
+        *((f"host-{t}", rf"/^(?:[^/]*[.-])?{t}(?:-[a-z0-9]+)*\./") for t in HOST_TERMS),
+        *((f"host-{t}-", rf"/^(?:[^/]*[.-])?{t}-[a-z]+\./") for t in LEADING_TERMS),
+        *((f"click-{t}", f"*/{t}/click") for t in CLICK_FOLDERS),
+    ]
 )
 
 
@@ -104,21 +187,20 @@ class RuleIndex:
 
     def __init__(self, sites, patterns, counts: dict[str, int]):
         self.by_token: dict[str, list] = {}
-        self.always: list = []
         rarest = lambda tokens: min(tokens, key=lambda t: (counts.get(t, 0), t))
         for rule in sites:
-            self._file(rarest(rule.tokens()) if rule.tokens() else None, (0, rule, None))
+            self._file(rarest(rule.tokens()), (0, rule, None))
         for rule in patterns:
-            self._file(rarest(rule.literals) if rule.literals else None, (1, rule, re.compile(rule.pattern)))
+            self._file(rarest(rule.literals), (1, rule, re.compile(rule.pattern)))
 
-    def _file(self, token: str | None, entry: tuple) -> None:
-        (self.always if token is None else self.by_token.setdefault(token, [])).append(entry)
+    def _file(self, token: str, entry: tuple) -> None:
+        self.by_token.setdefault(token, []).append(entry)
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, str | None, int]:
         """host, path, rule, verdict, pattern, candidates."""
         host, path = host_and_path(url)
         lowered = (host + path).translate(ASCII_LOWER)
-        found = [e for t in set(_TOKEN.findall(lowered)) for e in self.by_token.get(t, ())] + self.always
+        found = [e for t in set(_TOKEN.findall(lowered)) for e in self.by_token.get(t, ())]
         best = max((e[1] for e in found if e[0] == 0 and e[1].fits(host, path)), key=lambda r: (len(r.name), r.name), default=None)
         if best:
             return host, path, best.name, best.verdict, None, len(found)
