@@ -3,6 +3,8 @@
 Each whole text is compressed with zstandard, as one piece and in fixed chunks.
 Text that compresses too well is repetitive, text that hardly compresses is
 noise; both limits depend on the length, because longer texts compress better.
+Chunks cover every byte: the last one ends at the end of the text (and overlaps
+the one before), and a text shorter than a chunk is a chunk of its own length.
 Cheap base rules (word counts and repetition) are computed in the same pass.
 
 One narrow pass over the rows: nothing is shuffled, so neither skew nor a lost
@@ -15,6 +17,7 @@ passed through (``keep``).
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,29 +35,32 @@ SYMBOLS = b"#*$%&|<>"
 class Bands:
     """Limits of the compression ratio (bytes before over bytes after).
 
-    ``whole``: (texts shorter than so many bytes, lowest, highest ratio).
-    Chunks have one length and so one pair of limits; a text fails when more
-    than ``chunk_share`` of its full chunks are outside.
+    The highest ratio rises by ``per_doubling`` with each doubling of the length
+    and is ``at_1024`` for 1,024 bytes; the lowest lies ``width`` below, but is 1 at
+    least and ``noise`` at most.  The defaults let through all but one in a thousand of the texts
+    labelled clean in a sample of 3,243, with a margin of about 0.03.  A text
+    fails when more than ``chunk_share`` of its chunks are outside the limits of
+    their length.
     """
 
-    whole: tuple[tuple[float, float, float], ...] = (
-        (256, 1.00, 1.95),
-        (500, 1.15, 1.97),
-        (1_000, 1.25, 2.08),
-        (2_000, 1.40, 2.20),
-        (4_000, 1.50, 2.32),
-        (8_000, 1.55, 2.42),
-        (16_000, 1.60, 2.54),
-        (65_536, 1.60, 2.75),
-        (float("inf"), 1.60, 2.95),
-    )
-    chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (1.30, 2.20)
-    chunk_share: float = 1 / 3
+    at_1024: float = 2.06
+    per_doubling: float = 0.131
+    width: float = 0.70
+    noise: float = 1.60
+    chunk_bytes: int = 1024
+    chunk_share: float = 1 / 4
     level: int = 3
 
     def limits(self, n: int) -> tuple[float, float]:
-        return next((lo, hi) for upto, lo, hi in self.whole if n < upto)
+        highest = self.at_1024 + self.per_doubling * math.log2(n / 1024)
+        return max(1.0, min(self.noise, highest - self.width)), highest
+
+    def chunks(self, data: bytes) -> list[bytes]:
+        size = self.chunk_bytes
+        found = [data[at : at + size] for at in range(0, len(data) - size + 1, size)]
+        if len(data) % size:
+            found.append(data[-size:])
+        return found
 
 
 @dataclass(frozen=True)
@@ -87,16 +93,18 @@ def assess(data: bytes, bands: Bands, base: BaseRules, packer: zstandard.ZstdCom
     lines = [x for x in data.split(b"\n") if x.strip()]
     repeated = repeated_words(words)
     base_failed = len(words) < base.least_words or 100 * repeated > base.most_repeated_percent * len(words)
-    ratio, out, chunks = 0.0, 0, 0
+    ratio, out, chunks, verdict = 0.0, 0, [], False
     if data:
-        ratio = len(data) / len(packer.compress(data))
-        size = bands.chunk_bytes
-        for at in range(0, len(data) - size + 1, size):
-            r = size / len(packer.compress(data[at : at + size]))
-            chunks += 1
-            out += not bands.chunk[0] <= r <= bands.chunk[1]
-    low, high = bands.limits(len(data))
-    verdict = low <= ratio <= high and out <= bands.chunk_share * chunks
+
+        def outside(part: bytes) -> tuple[float, bool]:
+            r = len(part) / len(packer.compress(part))
+            low, high = bands.limits(len(part))
+            return r, not low <= r <= high
+
+        ratio, bad = outside(data)
+        chunks = bands.chunks(data)
+        out = sum(outside(c)[1] for c in chunks) if len(data) > bands.chunk_bytes else int(bad)
+        verdict = not bad and out <= bands.chunk_share * len(chunks)
     return (
         len(words),
         len(joined) - continuation,
@@ -106,7 +114,7 @@ def assess(data: bytes, bands: Bands, base: BaseRules, packer: zstandard.ZstdCom
         base_failed,
         verdict and not base_failed,
         ratio,
-        chunks,
+        len(chunks),
         out,
     )
 
@@ -122,8 +130,8 @@ def score(docs: DataFrame, bands: Bands = Bands(), base: BaseRules = BaseRules()
     """doc_id and the figures and verdicts of every row of ``docs(doc_id, text)``.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept (false if the base rules or the bands reject), ratio, n_chunks (full
-    chunks) and n_bad_chunks.
+    kept (false if the base rules or the bands reject), ratio, n_chunks and
+    n_bad_chunks.
     """
     docs = slim(docs, "doc_id", "text")
 

@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import zstandard
 
 from barquality.llm import quality
 
@@ -72,3 +74,41 @@ def test_empty_table(docs_of):
 @pytest.mark.parametrize("words,expected", [([b"a"] * 2, 0), ([b"a"] * 4, 4), ([b"a", b"b", b"c", b"x", b"a", b"b", b"c"], 6)])
 def test_repeated_words(words, expected):
     assert quality.repeated_words(words) == expected
+
+
+def plain_verdict(text, at_1024=2.06, per_doubling=0.131, width=0.70, size=1024):
+    """ratio, chunks, chunks outside, kept: every chunk by its first byte."""
+    data = (text or "").encode()
+    if not data:
+        return 0.0, 0, 0, False
+
+    def ratio(part):
+        return len(part) / len(zstandard.ZstdCompressor(level=3).compress(part))
+
+    def outside(part):
+        high = at_1024 + per_doubling * (math.log(len(part)) - math.log(1024)) / math.log(2)
+        return not max(1.0, min(1.6, high - width)) <= ratio(part) <= high
+
+    starts = [0] if len(data) <= size else [*range(0, len(data) - size + 1, size)]
+    if len(data) > size and starts[-1] + size < len(data):
+        starts.append(len(data) - size)
+    bad = sum(outside(data[a : a + size]) for a in starts)
+    return ratio(data), len(starts), bad, not plain(text)[5] and not outside(data) and 4 * bad <= len(starts)
+
+
+def test_verdicts_match_a_plain_version(docs_of):
+    rng = random.Random(7)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", k=3000))
+    cases = CASES + [prose(n, n) for n in (55, 120, 160, 200, 260, 300)] + [prose(150, 2) + " $ %" * 90, prose(150, 3) + noise[:900], noise, prose(250, 4)[:1024], prose(250, 4)[:1025], prose(450, 5)[:2048]]
+    rows = {r["doc_id"]: r for r in quality.score(docs_of(list(enumerate(cases)))).collect()}
+    for i, text in enumerate(cases):
+        want = plain_verdict(text)
+        assert rows[i]["ratio"] == pytest.approx(want[0]) and (rows[i]["n_chunks"], rows[i]["n_bad_chunks"], rows[i]["kept"]) == want[1:], i
+
+
+def test_the_tail_is_judged(docs_of):
+    """What lies behind the last full chunk counts, noise and repetition alike."""
+    start = prose(200, 6)[:1024]
+    tails = {1: prose(200, 8)[:700], 2: "ab " * 233, 3: "$ | " * 175}
+    bad = {r["doc_id"]: r["n_bad_chunks"] for r in quality.score(docs_of([(i, start + t) for i, t in tails.items()])).collect()}
+    assert bad == {1: 0, 2: 1, 3: 1}
