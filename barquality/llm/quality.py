@@ -38,12 +38,12 @@ class Bands:
     The highest ratio rises by ``per_doubling`` with each doubling of the length
     and is ``at_1024`` for 1,024 bytes; the lowest lies ``width`` below, but is 1 at
     least and ``noise`` at most.  The defaults let through all but one in a thousand of the texts
-    labelled clean in a sample of 3,243, with a margin of about 0.03.  A text
+    labelled clean in a sample of 3,243, with a margin of about 0.06.  A text
     fails when more than ``chunk_share`` of its chunks are outside the limits of
     their length.
     """
 
-    at_1024: float = 2.06
+    at_1024: float = 2.09
     per_doubling: float = 0.131
     width: float = 0.70
     noise: float = 1.60

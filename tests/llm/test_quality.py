@@ -76,7 +76,7 @@ def test_repeated_words(words, expected):
     assert quality.repeated_words(words) == expected
 
 
-def plain_verdict(text, at_1024=2.06, per_doubling=0.131, width=0.70, size=1024):
+def plain_verdict(text, at_1024=2.09, per_doubling=0.131, width=0.70, size=1024):
     """ratio, chunks, chunks outside, kept: every chunk by its first byte."""
     data = (text or "").encode()
     if not data:
