@@ -2,23 +2,32 @@
 
 Tokens are lower-cased words and one end per text.  Token and bigram counts
 cover every training text: tasks combine what they read and send packed arrays
-of (hash, count) to segments of the hash space, where they are merged.  Counts
-are quantised on a log scale, and an n-gram of level q enters the filter q
-times, once per level.  A segment of the hash space owns a block of the filter
-with ``BITS_PER_ENTRY`` bits for each of its entries, whatever the size of the
-input: the filter is never in one place.  Batches of texts send their distinct
-n-grams to the segments, and the levels come back to the batch, where they are
-laid along its tokens.
-
-A level is read back by probing membership of level 1, 2, ... until one is
-absent.  The probability of a word is an interpolation of its bigram estimate
-and a unigram estimate from those levels; the interpolation weight depends on
-the level of the context and is fitted by leaving one out on all training texts.
-
-Beside it stands an exact add-one unigram score.  Counts of the ``HEAVY`` most
-frequent tokens (a table of fixed size) are broadcast; the few other tokens of
-each text are joined with the full table of counts, so a frequent token is
-never shuffled per occurrence.
+of (hash, count) to segments of the hash space, where they are merged.
+
+Counts are quantised on a log scale: the octave of a count and ``MANTISSA`` more
+bits, so counts below 2^(MANTISSA+1) are exact and larger ones within 0.4%.  An
+n-gram enters the filter once per octave up to its own and once per set bit.  A
+segment of the hash space owns a block of the filter with ``BITS_PER_ENTRY`` bits
+for each of its entries, whatever the size of the input: the filter is never in
+one place.  Batches of texts send their distinct n-grams to the segments, and
+the codes come back to the batch, where they are laid along its tokens.  A code
+is read by probing membership of one octave after the other until one is
+absent, then of the bits below it; ``PROBES`` probes at this density answer for an
+absent entry in 6 of 10,000 cases.
+
+The probability of a word is an interpolation, with a weight that depends on the
+octave of the context's count and is fitted by leaving one out on all training
+texts:
+
+    w * v(context, word) / v(context) + (1 - w) * (v(word) + 1) / (sum of v + types + 1)
+
+with v the quantised counts.  As the counts of a context's bigrams add up to its
+own, and both parts of that fraction are within 0.4%, the words of the vocabulary
+and one unknown word have a probability of 1 in sum, within 1%, up to false
+positives of the filter.  An unseen context has weight 0.
+
+Beside it stands an exact add-one unigram score from the merged counts, which the
+segments answer together with the codes.
 
 A null text is empty: it has the end token alone.  Very long texts are scored
 whole, repeated rows each on their own; extra columns are ignored; an empty
@@ -30,7 +39,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +49,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import int64_list, mix64, persist_table, pieces, slim, text_bytes
+from .common import mix64, persist_table, pieces, slim, text_bytes
 
-BASE = 1.5
-BITS_PER_ENTRY = 8
-PROBES = 4
-HEAVY = 1 << 17
+#: Bits of a count below its highest.
+MANTISSA = 7
+BITS_PER_ENTRY = 16
+PROBES = 8
 #: Words of which a worker keeps the hash.
 KNOWN_WORDS = 250_000
 #: N-grams that a task combines before it sends them on.
@@ -54,26 +63,28 @@ COMBINED = 1_500_000
 ASKING = 8 << 20
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
-_LEVELS = 96
-#: In place of the level of a context: the start of a text.
-_AT_START = _LEVELS + 1
-GRID = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])
+_OCTAVES = 48
+GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    return (1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype(np.int64)
+def code_of(counts: np.ndarray) -> np.ndarray:
+    """Octave + 1 of each count, and the bits below its highest; 0 for 0."""
+    counts = np.asarray(counts, np.int64)
+    octave = np.frexp(counts.astype(float))[1].astype(np.int64) - 1
+    bits = (counts << MANTISSA >> np.maximum(octave, 0)) - (1 << MANTISSA)
+    return np.where(counts > 0, (octave + 1 << MANTISSA) | bits, 0)
 
 
-def _level_values() -> np.ndarray:
-    """The mean count of each level; level 0 is 0."""
-    value = [0.0]
-    for q in range(1, _LEVELS + 1):
-        low, high = np.ceil(BASE ** (q - 1) - 1e-9), np.ceil(BASE**q - 1e-9) - 1
-        value.append((low + max(high, low)) / 2)
-    return np.array(value)
+def _code_values() -> np.ndarray:
+    """The mean of the counts of each code."""
+    code = np.arange(_OCTAVES << MANTISSA)
+    step = 2.0 ** ((code >> MANTISSA) - 1 - MANTISSA)
+    low = ((1 << MANTISSA) + (code & (1 << MANTISSA) - 1)) * step
+    value = (np.ceil(low) + np.maximum(np.ceil(low + step) - 1, np.ceil(low))) / 2
+    return np.where(code >> MANTISSA, value, 0.0)
 
 
-LEVEL_VALUE = _level_values()
+VALUE = _code_values()
 
 
 class Tokens:
@@ -157,73 +168,100 @@ def _count_rows(segments: int):
     return run
 
 
+_MERGED = "seg int, body binary, tokens bigint, types bigint, ends bigint, value double"
+
+
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment: its tokens with their counts, and its block of the filter."""
-    held: dict[int, dict[int, list]] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault(r["seg"], {0: [], 1: []})[r["kind"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)))
-    for seg in sorted(held):
-        of_kind = held.pop(seg)
-        summed = [_summed(*map(np.concatenate, zip(*of_kind[kind]))) if of_kind[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1)]
-        levels = [level_of(counts) for _, counts in summed]
-        shape = Filter(1, block_bits(sum(int(x.sum()) for x in levels)), PROBES, np.zeros(0, np.uint64))
-        bits = shape.block(summed[0][0], levels[0], 0) | shape.block(summed[1][0], levels[1], 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([seg], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (*summed[0], np.packbits(bits, bitorder="little")))],
-            ["seg", "keys", "counts", "block"],
-        )
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per segment, from rows sorted by it: its tokens with their counts and its block of the filter, and sums over its tokens."""
+    at, held = -1, {0: [], 1: []}
+
+    def merged() -> pa.RecordBatch:
+        (tokens, n), (pairs, m) = (_summed(*map(np.concatenate, zip(*held[kind]))) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1))
+        codes = code_of(n), code_of(m)
+        shape = Filter(sum(map(entries, codes)))
+        bits = shape.block(tokens, codes[0], 0) | shape.block(pairs, codes[1], 1)
+        body = struct.pack("<q", len(tokens)) + tokens.tobytes() + n.tobytes() + np.packbits(bits, bitorder="little").tobytes()
+        row = at, body, int(n.sum()), len(n), int(n[tokens == END].sum()), float(VALUE[codes[0]].sum())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["seg", "body", "tokens", "types", "ends", "value"])
+
     for batch in batches:
-        for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["token", "c"])
+        for seg, kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("seg", "kind", "keys", "counts"))):
+            if seg != at:
+                if at >= 0:
+                    yield merged()
+                at, held = seg, {0: [], 1: []}
+            held[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+    if at >= 0:
+        yield merged()
 
 
-def block_bits(entries: int) -> int:
-    """Bits of a block with so many entries, in whole words."""
-    return max(64, -(-BITS_PER_ENTRY * entries // 64) * 64)
+def entries(codes: np.ndarray) -> int:
+    """How often n-grams with these codes enter the filter."""
+    return int((codes >> MANTISSA).sum()) + int(sum((codes >> i & 1).sum() for i in range(MANTISSA)))
 
 
 class Filter:
-    """A Bloom filter of (n-gram, level) in blocks, one per segment of the hash space."""
+    """A block of the Bloom filter, of (n-gram, octave) and (n-gram, octave, bit)."""
 
-    def __init__(self, segments: int, block_bits: int, probes: int, words: np.ndarray):
-        self.segments, self.block_bits, self.probes, self.words = segments, block_bits, probes, words
+    def __init__(self, entries: int = 0, words: np.ndarray | None = None):
+        self.words = words
+        self.bits = 64 * len(words) if words is not None else max(64, -(-BITS_PER_ENTRY * entries // 64) * 64)
 
-    def _hashes(self, keys: np.ndarray, level: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix64(keys + np.uint64((level * 2 + kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    def _hashes(self, keys: np.ndarray, tag, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        tag = np.asarray(tag, np.uint64) * np.uint64(2) + np.uint64(kind + 1)
+        h = mix64(keys + tag * np.full(1, 0x9E3779B97F4A7C15, np.uint64))
         return h, (h >> np.uint64(32)) | np.uint64(1)
 
     def _place(self, h: np.ndarray, step: np.ndarray, probe: int) -> np.ndarray:
-        """The bit of a probe inside its block."""
-        return ((h + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) % np.uint64(self.block_bits)
-
-    def block(self, keys: np.ndarray, levels: np.ndarray, kind: int) -> np.ndarray:
-        """The bits that keys of one segment set, each at all levels up to its own."""
-        bits = np.zeros(self.block_bits, bool)
-        for q in range(1, int(levels.max(initial=0)) + 1):
-            h, step = self._hashes(keys[levels >= q], q, kind)
-            for probe in range(self.probes):
+        return (h + np.uint64(probe) * step) % np.uint64(self.bits)
+
+    def _parts(self, octave: np.ndarray, bit: int) -> np.ndarray:
+        """The tag of a bit (0 is the highest below the leading one) of counts of an octave."""
+        return _OCTAVES + octave * MANTISSA + bit
+
+    def block(self, keys: np.ndarray, codes: np.ndarray, kind: int) -> np.ndarray:
+        """The bits that keys set."""
+        bits = np.zeros(self.bits, bool)
+
+        def enter(keys: np.ndarray, tag) -> None:
+            h, step = self._hashes(keys, tag, kind)
+            for probe in range(PROBES):
                 bits[self._place(h, step, probe).astype(np.int64)] = True
+
+        octave = codes >> MANTISSA
+        for q in range(1, int(octave.max(initial=0)) + 1):
+            enter(keys[octave >= q], q)
+        for bit in range(MANTISSA):
+            there = codes >> (MANTISSA - 1 - bit) & 1 == 1
+            enter(keys[there], self._parts(octave[there], bit))
         return bits
 
-    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """The level of each key, by probing one level after the other."""
-        out = np.zeros(len(keys), np.int64)
+    def _holds(self, keys: np.ndarray, tag, kind: int) -> np.ndarray:
+        """Indices of the keys whose entry is in the filter."""
+        left = np.arange(len(keys))
+        h, step = self._hashes(keys, tag, kind)
+        for probe in range(PROBES):
+            place = self._place(h, step, probe)
+            hit = self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) != 0
+            left, h, step = left[hit], h[hit], step[hit]
+        return left
+
+    def codes(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The code of each key, by probing one octave after the other and then the bits."""
+        octave = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
-        base = _segment(keys, self.segments).astype(np.uint64) * np.uint64(self.block_bits)
-        for level in range(1, _LEVELS + 1):
-            h, step = self._hashes(keys[left], level, kind)
-            for probe in range(self.probes):
-                place = self._place(h, step, probe) + base[left]
-                hit = self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) != 0
-                left, h, step = left[hit], h[hit], step[hit]
+        for q in range(1, _OCTAVES):
+            left = left[self._holds(keys[left], q, kind)]
             if not len(left):
                 break
-            out[left] = level
-        return out
+            octave[left] = q
+        codes = octave << MANTISSA
+        for bit in range(MANTISSA):
+            # a count of octave q has q - 1 bits below its highest
+            some = np.flatnonzero(octave > bit + 1)
+            hit = some[self._holds(keys[some], self._parts(octave[some], bit), kind)]
+            codes[hit] |= 1 << (MANTISSA - 1 - bit)
+        return codes
 
 
 def _squeezed(packer: zstandard.ZstdCompressor, *arrays: np.ndarray) -> bytes:
@@ -296,27 +334,36 @@ def _ask_rows(segments: int):
 
 
 def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by segment and kind: n-grams become levels, batches pass through."""
-    at, words, asked, packer = -1, b"", [], zstandard.ZstdCompressor(level=1)
+    """Rows sorted by segment and kind: n-grams become codes and token counts, batches pass through."""
+    at, block, asked, packer = -1, b"", [], zstandard.ZstdCompressor(level=1)
 
     def answers() -> pa.RecordBatch:
         keys = [[np.cumsum(x) for x in _spread(body, np.uint64, np.uint64)] for _, body in asked]
+        n = struct.unpack_from("<q", block)[0] if block else 0
+        known, count = (np.frombuffer(block[8 + 8 * n * i : 8 + 8 * n * (i + 1)], t) for i, t in ((0, np.uint64), (1, np.int64))) if n else (None, None)
+        held = Filter(words=np.frombuffer(block[8 + 16 * n :], np.uint64)) if block else None
         out = []
         for kind in (0, 1):
             mine = [k[kind] for k in keys]
-            flat = np.concatenate(mine)
-            level = Filter(1, 8 * len(words), PROBES, np.frombuffer(words, np.uint64)).levels(flat, kind) if words else np.zeros(len(flat), np.int64)
-            out.append(np.split(level.astype(np.uint8), np.cumsum([len(x) for x in mine])[:-1]))
-        return _routed([(at, _ASKED, number, _squeezed(packer, a, b)) for (number, _), a, b in zip(asked, *out)])
+            flat, edges = np.concatenate(mine), np.cumsum([len(x) for x in mine])[:-1]
+            codes = held.codes(flat, kind) if held else np.zeros(len(flat), np.int64)
+            out.append(np.split(codes.astype(np.uint16), edges))
+            if kind == 0:
+                exact = np.zeros(len(flat), np.int64)
+                if n:
+                    place = np.minimum(np.searchsorted(known, flat), n - 1)
+                    exact = np.where(known[place] == flat, count[place], 0)
+                out.append(np.split(exact, edges))
+        return _routed([(at, _ASKED, number, _squeezed(packer, *x)) for (number, _), *x in zip(asked, *out)])
 
     for batch in batches:
         for seg, kind, number, body in zip(*(c.to_pylist() for c in batch.columns)):
             if seg != at:
                 if asked:
                     yield answers()
-                at, words, asked = seg, b"", []
+                at, block, asked = seg, b"", []
             if kind == _BLOCK:
-                words = body
+                block = body
             elif kind == _BATCH:
                 yield _routed([(seg, kind, number, body)])
             else:
@@ -326,29 +373,28 @@ def _answer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _along_tokens(body: bytes, answers: dict[int, bytes]):
-    """The rows of a batch with its tokens, the level of each token and of its bigram."""
+    """The rows of a batch; of each token its code and count, and the code of its bigram."""
     n_head = struct.unpack_from("<q", body)[0]
     rows = next(iter(pa.ipc.open_stream(body[8 : 8 + n_head])))
     types, rank = _spread(body[8 + n_head :], np.uint64, np.uint32)
     tokens = types[rank]
     lengths = rows.column("n_tokens").to_numpy()
-    found = zip(*(_spread(answers[seg], np.uint8, np.uint8) for seg in sorted(answers)))
-    of_type, of_pair = map(np.concatenate, found)
-    sorted_types = np.sort(types)
-    return rows, tokens, lengths, of_type[np.searchsorted(sorted_types, types)][rank], of_pair[_distinct(tokens, lengths)[1]]
+    found = zip(*(_spread(answers[seg], np.uint16, np.int64, np.uint16) for seg in sorted(answers)))
+    of_type, count, of_pair = map(np.concatenate, found)
+    place = np.searchsorted(np.sort(types), types)
+    return rows, lengths, of_type[place][rank], count[place][rank], of_pair[_distinct(tokens, lengths)[1]]
 
 
 @dataclass(frozen=True)
 class Trained:
-    """The model on the driver; the exact counts and the blocks of the filter as tables."""
+    """The model on the driver; the counts and blocks of its segments as a table."""
 
     segments: int
-    blocks: DataFrame
+    blocks: DataFrame | None
     train_tokens: int
     types: int
     texts: int
-    counts: DataFrame
-    heavy: tuple[np.ndarray, np.ndarray]
+    value: float
     weights: np.ndarray
 
 
@@ -371,60 +417,42 @@ def _counted(texts: DataFrame) -> Trained:
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = 4 * parts
     packed = texts.select("text").mapInArrow(_count_rows(segments), _PACKED)
-    merged = _table(packed.repartition(parts, "seg").mapInArrow(_merge_rows, "seg int, keys binary, counts binary, block binary"), "counts")
-    counts = _table(merged.select("keys", "counts").mapInArrow(_unpacked, "token bigint, c bigint"), "tokens")
-    total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == int(END.astype(np.int64)), F.col("c")))).first()
-    top = counts.orderBy(F.col("c").desc(), "token").limit(HEAVY).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    blocks = merged.select("seg", F.lit(_BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("batch"), F.col("block").alias("body"))
-    return Trained(segments, blocks, total[0] or 0, total[1], total[2] or 0, counts, (tokens[order], top["c"].to_numpy(np.int64)[order]), np.full(_LEVELS + 1, 0.3))
+    merged = _table(packed.repartition(parts, "seg").sortWithinPartitions("seg").mapInArrow(_merge_rows, _MERGED), "counts")
+    total = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ends")], F.coalesce(F.sum("value"), F.lit(0.0))).first()
+    blocks = merged.select("seg", F.lit(_BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("batch"), "body")
+    return Trained(segments, blocks, *total, np.where(np.arange(_OCTAVES), 0.3, 0.0))
 
 
 def _looked_up(docs: DataFrame, model: Trained) -> DataFrame:
-    """``docs(doc_id, text, held_out, used)`` with exact figures and the levels of each text's tokens and bigrams, as a table."""
+    """``docs(doc_id, text, held_out, used)`` with exact figures and the codes of each text's tokens and bigrams, as a table."""
     parts = model.segments // 4
-    light = docs.sparkSession.sparkContext.broadcast(_light(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = light.value.heavy
-
-        def placed(number: int, body: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
-            rows, tokens, lengths, of_token, of_pair = _along_tokens(body, answers)
+        def placed(body: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
+            rows, lengths, of_token, count, of_pair = _along_tokens(body, answers)
             start = np.cumsum(lengths) - lengths
-            at = np.searchsorted(known, tokens)
-            at[at == len(known)] = 0
-            heavy = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-            exact = np.where(heavy, np.log10(count[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens))
-            rare = ~heavy
-            levels = [of_token[i : i + n].tobytes() + of_pair[i : i + n].tobytes() for i, n in zip(start.tolist(), lengths.tolist())]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array((number << 23) + np.arange(len(lengths))), *rows.columns, pa.array(np.add.reduceat(heavy.astype(np.int64), start)),
-                    pa.array(np.add.reduceat(exact, start)), int64_list(tokens[rare], np.add.reduceat(rare.astype(np.int64), start)), pa.array(levels, pa.binary()),
-                ],
-                ["row", "doc_id", "held_out", "used", "n_tokens", "n_heavy", "heavy_sum", "rare", "levels"],
-            )
+            codes = [of_token[i : i + n].tobytes() + of_pair[i : i + n].tobytes() for i, n in zip(start.tolist(), lengths.tolist())]
+            known, exact = np.add.reduceat((count > 0).astype(np.int64), start), np.add.reduceat(np.log10(count + 1.0), start)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(known), pa.array(exact), pa.array(codes, pa.binary())], ["doc_id", "held_out", "used", "n_tokens", "n_known", "exact", "codes"])
 
         at, text, answers = -1, b"", {}
         for batch in batches:
             for seg, kind, number, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != at:
                     if text:
-                        yield placed(at, text, answers)
+                        yield placed(text, answers)
                     at, text, answers = number, b"", {}
                 if kind == _BATCH:
                     text = body
                 else:
                     answers[seg] = body
         if text:
-            yield placed(at, text, answers)
+            yield placed(text, answers)
 
     asked = docs.mapInArrow(_ask_rows(model.segments), _ROUTED)
     answered = model.blocks.unionByName(asked).repartition(parts, "seg").sortWithinPartitions("seg", "kind").mapInArrow(_answer_rows, _ROUTED)
     gathered = answered.repartition(parts, "batch").sortWithinPartitions("batch", "kind")
-    kind = dict(docs.dtypes)["doc_id"]
-    ddl = f"row bigint, doc_id {kind}, held_out boolean, used boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, rare array<bigint>, levels binary"
+    ddl = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, used boolean, n_tokens bigint, n_known bigint, exact double, codes binary"
     return _table(gathered.mapInArrow(run, ddl), "levels")
 
 
@@ -442,62 +470,60 @@ def train_and_score(docs: DataFrame, usable: Column, held_out: Column) -> DataFr
     return _scored(rows, _tuned(model, rows.where("used")))
 
 
-def _split_levels(levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Level of the context, of the token and of the bigram of the tokens of several texts; where each text starts."""
-    lengths = np.array([len(x) // 2 for x in levels], np.int64)
-    token = np.frombuffer(b"".join(x[: len(x) // 2] for x in levels), np.uint8).astype(np.int64)
-    pair = np.frombuffer(b"".join(x[len(x) // 2 :] for x in levels), np.uint8).astype(np.int64)
+def _split_codes(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code of the context (-1: start), of the token and of the bigram of the tokens of several texts; where each text starts."""
+    lengths = np.array([len(x) // 4 for x in codes], np.int64)
+    token = np.frombuffer(b"".join(x[: len(x) // 2] for x in codes), np.uint16).astype(np.int64)
+    pair = np.frombuffer(b"".join(x[len(x) // 2 :] for x in codes), np.uint16).astype(np.int64)
     context, start = np.empty_like(token), np.cumsum(lengths) - lengths
     context[1:] = token[:-1]
-    context[start] = _AT_START
+    context[start] = -1
     return context, token, pair, start
 
 
-def _estimates(model: Trained, context: np.ndarray, token: np.ndarray, pair: np.ndarray, less: int):
-    """Per token: level of the context, bigram estimate, unigram estimate; ``less`` is taken from each count."""
-    first = context == _AT_START
-    of_context = np.where(first, level_of(np.array([max(model.texts, 1)]))[0], context)
-    before = np.where(first, model.texts, LEVEL_VALUE[np.where(first, 0, context)])
-    both = np.minimum(np.maximum(LEVEL_VALUE[pair] - less, 0), before)
-    bigram = both / np.maximum(before - less, 1)
-    unigram = (np.maximum(LEVEL_VALUE[token] - less, 0) + 1) / (model.train_tokens + model.types + 1)
-    return of_context, np.minimum(bigram, 1.0), unigram
+def estimates(model: Trained, context: np.ndarray, token: np.ndarray, pair: np.ndarray, less: int = 0):
+    """Per token: octave of the context, bigram estimate, unigram estimate; ``less`` is taken from each count."""
+    first = context < 0
+    octave = np.where(first, code_of(np.array([model.texts]))[0], context) >> MANTISSA
+    before = np.where(first, model.texts, VALUE[np.where(first, 0, context)])
+    both = np.minimum(np.maximum(VALUE[pair] - less, 0), before)
+    unigram = (np.maximum(VALUE[token] - less, 0) + 1) / (model.value + model.types + 1)
+    return octave, both / np.maximum(before - less, 1), unigram
 
 
-def _level_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many tokens have which levels of context, token and bigram."""
-    side, total = _LEVELS + 2, {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        context, token, pair, _ = _split_levels(batch.column("levels").to_pylist())
-        for cell, n in zip(*(x.tolist() for x in np.unique((context * side + token) * side + pair, return_counts=True))):
-            total[cell] = total.get(cell, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
+def _gain_rows(model: Trained):
+    """The log-likelihood, in millionths and leaving one out, of each weight for each octave of contexts."""
+    names = ["octave", *(f"g{i}" for i in range(len(GRID)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_OCTAVES, len(GRID)))
+        for batch in batches:
+            if batch.num_rows:
+                octave, bigram, unigram = estimates(model, *_split_codes(batch.column("codes").to_pylist())[:3], less=1)
+                bigram = np.minimum(bigram, 1.0)
+                for i, w in enumerate(GRID):
+                    total[:, i] += np.bincount(octave, np.log10(w * bigram + (1 - w) * unigram), _OCTAVES)
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.rint(1e6 * total[at, i]).astype(np.int64)) for i in range(len(GRID)))], names)
+
+    return run, "octave int, " + ", ".join(f"{c} bigint" for c in names[1:])
 
 
 def _tuned(model: Trained, rows: DataFrame) -> Trained:
-    """The weight of the bigram estimate for each context level, by leaving one out on all training texts.
+    """The weight of the bigram estimate for each octave of contexts, by leaving one out on all training texts.
 
-    An unseen context has no bigrams, and so no weight; a level that no text
+    An unseen context has no bigrams, and so no weight; an octave that no text
     reaches has the weight of the one nearest to it.
     """
-    found = rows.select("levels").mapInArrow(_level_rows, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cell, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
-    side = _LEVELS + 2
-    level, bigram, unigram = _estimates(model, cell // side**2, cell // side % side, cell % side, 1)
-    gain = np.stack([np.bincount(level, n * np.log10(w * bigram + (1 - w) * unigram), _LEVELS + 1) for w in GRID], axis=1)
-    reached = np.flatnonzero(gain.any(1))
-    if not len(reached):
+    run, ddl = _gain_rows(replace(model, blocks=None))
+    sums = rows.select("codes").mapInArrow(run, ddl).groupBy("octave").agg(*[F.sum(f"g{i}") for i in range(len(GRID))]).collect()
+    if not sums:
         return model
-    weights = GRID[gain.argmax(1)][reached[np.abs(np.arange(_LEVELS + 1)[:, None] - reached).argmin(1)]]
+    reached = np.array([r[0] for r in sums])
+    best = GRID[np.array([r[1:] for r in sums], float).argmax(1)]
+    weights = best[np.abs(np.arange(_OCTAVES)[:, None] - reached).argmin(1)]
     weights[0] = 0.0
-    return Trained(**{**model.__dict__, "weights": weights})
-
-
-def _light(model: Trained) -> Trained:
-    """The model without its tables, to be sent to workers."""
-    return Trained(**{**model.__dict__, "counts": None, "blocks": None})
+    return replace(model, weights=weights)
 
 
 def score(docs: DataFrame, model: Trained, held_out: Column) -> DataFrame:
@@ -510,31 +536,26 @@ def score(docs: DataFrame, model: Trained, held_out: Column) -> DataFrame:
 
 
 def _scored(rows: DataFrame, model: Trained) -> DataFrame:
-    light = rows.sparkSession.sparkContext.broadcast(_light(model))
+    model = replace(model, blocks=None)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = light.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            context, token, pair, start = _split_levels(batch.column("levels").to_pylist())
-            level, bigram, unigram = _estimates(model, context, token, pair, 0)
-            w = model.weights[level]
-            scores = np.add.reduceat(np.log10(w * bigram + (1 - w) * unigram), start)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
-
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_heavy", "heavy_sum"]
-    kind = dict(rows.dtypes)["doc_id"]
-    each = rows.select(*names, "levels").mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_heavy bigint, heavy_sum double, score double")
-    rare = rows.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("tf"))
-    found = rare.join(model.counts, "token").groupBy("row").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare_sum"))
+            if batch.num_rows:
+                context, token, pair, start = _split_codes(batch.column("codes").to_pylist())
+                octave, bigram, unigram = estimates(model, context, token, pair)
+                w = model.weights[octave]
+                scores = np.add.reduceat(np.log10(w * bigram + (1 - w) * unigram), start)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
+
+    each = rows.select(*names, "codes").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, exact double, score double")
     space = float(np.log10(model.train_tokens + model.types + 1))
-    return each.join(found, "row", "left").select(
+    return each.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_heavy") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("heavy_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * space).alias("base_score"),
+        (F.col("exact") - F.col("n_tokens") * space).alias("base_score"),
         "score",
     )

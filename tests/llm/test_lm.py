@@ -24,12 +24,7 @@ def train_rows(rows):
     return [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
 
 
-@pytest.fixture
-def few_heavy(monkeypatch):
-    monkeypatch.setattr(lm, "HEAVY", 20)
-
-
-def test_base_score_and_counts_are_exact(docs_of, few_heavy):
+def test_base_score_and_counts_are_exact(docs_of):
     rows = some(300) + [(900, None), (901, ""), (902, "Unseen words only éÉ"), (903, "w1 " * 20000)]
     docs = docs_of(rows)
     out = langid.held_out("doc_id", 7, 2)
@@ -58,24 +53,25 @@ def test_bigrams_help_where_the_order_of_words_is_fixed(docs_of):
     assert sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
 
 
-def test_levels_come_back_from_the_filter():
+def test_codes_come_back_from_the_filter():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
-    counts = rng.geometric(0.05, len(keys))
-    levels = lm.level_of(counts)
-    segments, bits = 4, 64 * (8 * int(levels.sum()) // 4 // 64 + 1)
-    f = lm.Filter(segments, bits, 4, np.zeros(0, np.uint64))
-    seg = lm._segment(keys, segments)
-    blocks = [np.packbits(f.block(keys[seg == s], levels[seg == s], 0), bitorder="little").view(np.uint64) for s in range(segments)]
-    f.words = np.concatenate(blocks)
-    found = f.levels(keys, 0)
-    assert (found >= levels).all() and (found == levels).mean() > 0.93
-    assert (f.levels(rng.integers(0, 1 << 63, 5000, np.uint64), 0) > 0).mean() < 0.1
+    codes = lm.code_of(np.maximum(1, rng.geometric(0.05, len(keys)) ** rng.integers(1, 4, len(keys))))
+    f = lm.Filter(lm.entries(codes))
+    assert f.bits >= lm.BITS_PER_ENTRY * lm.entries(codes)
+    f.words = np.packbits(f.block(keys, codes, 0), bitorder="little").view(np.uint64)
+    found = f.codes(keys, 0)
+    assert (found >> lm.MANTISSA >= codes >> lm.MANTISSA).all() and (found == codes).mean() > 0.99
+    assert (f.codes(rng.integers(0, 1 << 63, 50_000, np.uint64), 0) > 0).mean() < 0.0012
+    assert (f.codes(keys, 1) > 0).mean() < 0.0025
 
 
-def test_level_values_lie_in_their_level():
-    for c in range(1, 3000):
-        assert abs(lm.LEVEL_VALUE[lm.level_of(np.array([c]))[0]] / c - 1) <= 0.3
+def test_values_of_codes():
+    small = np.arange(2 << lm.MANTISSA)
+    assert (lm.VALUE[lm.code_of(small)] == small).all()
+    large = np.unique(np.random.default_rng(2).integers(1, 1 << 40, 5000))
+    assert np.abs(lm.VALUE[lm.code_of(large)] / large - 1).max() <= 0.004
+    assert (np.diff(lm.code_of(np.arange(100_000))) >= 0).all()
 
 
 def test_no_training_texts_and_empty_table(docs_of):
@@ -87,28 +83,95 @@ def test_no_training_texts_and_empty_table(docs_of):
     assert lm.score(docs_of([]), model, ~out).count() == 0
 
 
-def test_blocks_keep_their_bits_at_every_size(docs_of):
-    """Each segment has the same bits per entry, in parts of their own, and no count is read too low."""
-    rows = some(600, 5)
+def plain_model(texts):
+    """Counts of tokens and bigrams, with None as the end and 0 as the start."""
+    tokens, pairs = Counter(), Counter()
+    for t in texts:
+        words = lowered(t)
+        tokens.update(words)
+        pairs.update(zip([0, *words], words))
+    return tokens, pairs
+
+
+def value(n):
+    return float(lm.VALUE[lm.code_of(np.array([n]))[0]])
+
+
+def reader(model):
+    """Codes of hashes, read from the blocks of a model one by one."""
+    blocks = {r["seg"]: r["body"] for r in model.blocks.collect()}
+    assert len(blocks) > 1
+
+    def codes(found, kind):
+        seg, out = lm._segment(found, model.segments), np.zeros(len(found), np.int64)
+        for s, body in blocks.items():
+            n = int.from_bytes(body[:8], "little")
+            out[seg == s] = lm.Filter(words=np.frombuffer(body[8 + 16 * n :], np.uint64)).codes(found[seg == s], kind)
+        return out
+
+    return codes
+
+
+def bigram_hash(context, tokens):
+    return lm.mix64(np.full(len(tokens), context) * np.uint64(0x9E3779B97F4A7C15) + lm.mix64(tokens))
+
+
+def test_scores_match_a_plain_model(docs_of):
+    """Token by token from the codes in the filter, of which all but a few are those of the counts."""
+    rows = some(400, 8) + [(900, None), (901, ""), (902, "Unseen words only éÉ"), (903, "w1 " * 3000), (903, "w1 w2")]
     docs = docs_of(rows)
     out = langid.held_out("doc_id", 7, 2)
     model = lm.train(docs, ~out)
-    hashes, count = lm.Tokens(), (Counter(), Counter())
-    for t in train_rows(rows):
-        tokens, lengths = hashes([t.encode()])
-        count[0].update(tokens.tolist())
-        count[1].update(lm.bigrams(tokens, lengths)[1].tolist())
-    blocks = {r["seg"]: r["body"] for r in model.blocks.collect()}
-    assert len(blocks) == model.segments > 1
-    for kind in (0, 1):
-        keys = np.array(sorted(count[kind]), np.uint64)
-        want = lm.level_of(np.array([count[kind][k] for k in keys.tolist()]))
-        seg, found = lm._segment(keys, model.segments), np.zeros(len(keys), np.int64)
-        for s, block in blocks.items():
-            found[seg == s] = lm.Filter(1, 8 * len(block), lm.PROBES, np.frombuffer(block, np.uint64)).levels(keys[seg == s], kind)
-        assert (found >= want).all() and (found == want).mean() > 0.93
-    for size in (10**3, 10**6, 10**10):
-        assert lm.block_bits(size) >= lm.BITS_PER_ENTRY * size
+    tokens, pairs = plain_model(train_rows(rows))
+    codes, hashes = reader(model), lm.Tokens()
+    key = lambda w: lm.START if w == 0 else lm.END if w is None else np.uint64(hashes([w])[0][0])
+    words = {w for _, t in rows for w in lowered(t)}
+    of_token = {w: float(lm.VALUE[codes(np.array([key(w)]), 0)[0]]) for w in words}
+    met = {p for _, t in rows for p in zip([0, *lowered(t)], lowered(t))}
+    of_pair = {p: float(lm.VALUE[codes(bigram_hash(key(p[0]), np.array([key(p[1])])), 1)[0]]) for p in met}
+    assert sum(of_pair[p] != value(pairs[p]) for p in met) < 0.005 * len(met) and sum(of_token[w] != value(tokens[w]) for w in words) < 0.02 * len(words)
+    space = sum(map(value, tokens.values())) + len(tokens) + 1
+
+    def log10(text):
+        total = 0.0
+        for c, w in zip([0, *lowered(text)], lowered(text)):
+            before = model.texts if c == 0 else of_token[c]
+            weight = model.weights[int(before).bit_length()]
+            seen = of_pair[c, w] / before if before else 0.0
+            total += math.log10(weight * min(seen, 1.0) + (1 - weight) * (of_token[w] + 1) / space)
+        return total
+
+    got = sorted((r["doc_id"], r["score"]) for r in lm.score(docs, model, out).collect())
+    for g, w in zip(got, sorted((i, log10(t)) for i, t in rows)):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-6)
+
+
+def test_probabilities_add_up_to_one(docs_of):
+    """Over the whole vocabulary and one unknown word, for 200 contexts with and without counts, read from the filter."""
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(500)], k=rng.randint(1, 120)))) for i in range(900)] + [(1000 + i, "v0 v1 " * 300) for i in range(9)]
+    docs = docs_of(rows)
+    model = lm.train(docs, F.lit(True))
+    tokens, pairs = plain_model(t for _, t in rows)
+    hashes = lm.Tokens()
+    types = list(tokens)
+    keys = {w: hashes([w])[0][0] if w else lm.END for w in types}
+    vocabulary = np.array([keys[w] for w in types], np.uint64)
+    codes = reader(model)
+    contexts = [0, *[w for w, _ in tokens.most_common() if w][:150], *(f"unseen{i}" for i in range(50))]
+    false = 0
+    for c in contexts:
+        h = lm.START if c == 0 else keys.get(c.encode() if isinstance(c, str) else c, hashes([c.encode() if isinstance(c, str) else c])[0][0])
+        pair = codes(bigram_hash(h, vocabulary), 1)
+        seen = np.array([pairs[c, w] > 0 for w in types])
+        false += int((pair[~seen] > 0).sum())
+        context = -1 if c == 0 else int(codes(np.array([h]), 0)[0])
+        octave, bigram, unigram = lm.estimates(model, np.full(len(types), context), codes(vocabulary, 0), np.where(seen, pair, 0))
+        weight = model.weights[octave]
+        unknown = (1 - weight[0]) / (model.value + model.types + 1)
+        assert 0.99 < (weight * bigram + (1 - weight) * unigram).sum() + unknown < 1.01, c
+    assert false < 0.002 * len(contexts) * len(types)
 
 
 def test_one_lookup_gives_the_scores_of_two(docs_of, monkeypatch):
@@ -125,7 +188,7 @@ def test_bigrams_seen_once_count(docs_of):
     docs = docs_of([(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(20)])
     model = lm.train(docs, langid.held_out("doc_id", 7, 99) == False)  # noqa: E712
     # the weights are set: leaving one out takes all weight from what is seen once
-    model = lm.Trained(**{**model.__dict__, "weights": np.full(lm._LEVELS + 1, 0.5)})
+    model = lm.Trained(**{**model.__dict__, "weights": np.full(lm._OCTAVES, 0.5)})
     both = docs_of([(1, " ".join(words[:20])), (2, " ".join(words[19::-1]))])
     got = {r["doc_id"]: r["score"] for r in lm.score(both, model, langid.held_out("doc_id", 7, 99)).collect()}
     assert got[1] > got[2] + 15 * math.log10(50)
@@ -137,5 +200,5 @@ def test_weights_are_fitted_on_every_training_text(docs_of):
     last = ids.first()["doc_id"]
     docs = docs_of([(i, "z " * 5000 if i == last else f"a{i % 7} b") for i in range(1200)])
     weights = lm.train(docs, F.lit(True)).weights
-    assert weights[lm.level_of(np.array([5000]))[0]] == lm.GRID[-1]
+    assert weights[(5000).bit_length()] == lm.GRID[-1]
     assert weights[0] == 0
