@@ -126,9 +126,10 @@ def test_scores_match_a_plain_model(docs_of):
     codes, hashes = reader(model), lm.Tokens()
     key = lambda w: lm.START if w == 0 else lm.END if w is None else np.uint64(hashes([w])[0][0])
     words = {w for _, t in rows for w in lowered(t)}
-    of_token = {w: float(lm.VALUE[codes(np.array([key(w)]), 0)[0]]) for w in words}
-    met = {p for _, t in rows for p in zip([0, *lowered(t)], lowered(t))}
-    of_pair = {p: float(lm.VALUE[codes(bigram_hash(key(p[0]), np.array([key(p[1])])), 1)[0]]) for p in met}
+    read = lambda h, kind: lm.VALUE[codes(np.array(h, np.uint64), kind)].tolist()
+    of_token = dict(zip(words, read([key(w) for w in words], 0)))
+    met = list({p for _, t in rows for p in zip([0, *lowered(t)], lowered(t))})
+    of_pair = dict(zip(met, read([bigram_hash(key(c), np.array([key(w)]))[0] for c, w in met], 1)))
     assert sum(of_pair[p] != value(pairs[p]) for p in met) < 0.005 * len(met) and sum(of_token[w] != value(tokens[w]) for w in words) < 0.02 * len(words)
     space = sum(map(value, tokens.values())) + len(tokens) + 1
 
