@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One word of a text; ``bytes.split()`` on the UTF-8 form yields exactly these.
@@ -52,6 +52,11 @@ def slim(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def boxed(df: DataFrame, **inner: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``doc`` beside columns of our own, so that no name can clash; ``select("doc.*")`` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *[c.alias(name) for name, c in inner.items()])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

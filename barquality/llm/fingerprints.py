@@ -26,6 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import persist_table, pieces, slim, texts_of
 from .ngram_join import bit_filter
@@ -42,7 +43,7 @@ def canonical(text: str) -> str:
 
 
 def fingerprint(text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+    return _digest(canonical(text))
 
 
 def edited(text: str, following: str) -> str:
@@ -57,11 +58,16 @@ _OPEN_DDL = f"{_DDL}, part int, role int, text string"
 _DONE, _LAST, _FIRST = 0, 1, 2
 
 
-def _row(doc_id, text: str, mark: str, following: str, next_mark: str) -> tuple:
+def _digest(form: str) -> str:
+    return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
+
+
+def _row(doc_id, text: str, form: str, following: str, next_form: str) -> tuple:
+    """The figures of a row; likeness is of the canonical texts themselves."""
     new = edited(text, following)
-    new_mark = fingerprint(new)
+    new_form = canonical(new)
     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), sha, mark, new_mark, float(new_mark == mark), float(next_mark == mark)
+    return doc_id, len(text), sha, _digest(form), _digest(new_form), float(new_form == form), float(next_form == form)
 
 
 def _chained(doc_type: pa.DataType):
@@ -76,16 +82,16 @@ def _chained(doc_type: pa.DataType):
             for batch in pieces(whole, "text"):
                 out = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                    mark = fingerprint(text)
+                    form = canonical(text)
                     if held is None:
-                        out.append((doc_id, len(text), None, mark, None, None, None, part, _FIRST, text))
+                        out.append((doc_id, len(text), None, None, None, None, None, part, _FIRST, text))
                     else:
-                        out.append((*_row(*held, text, mark), part, _DONE, None))
-                    held = doc_id, text, mark
+                        out.append((*_row(*held, text, form), part, _DONE, None))
+                    held = doc_id, text, form
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
         if held:
-            row = (held[0], len(held[1]), None, held[2], None, None, None, part, _LAST, held[1])
+            row = (held[0], len(held[1]), None, None, None, None, None, part, _LAST, held[1])
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
     return run
@@ -97,7 +103,7 @@ def _closed(doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out = [_row(r["doc_id"], r["text"], r["fingerprint"], r["next_text"], r["next_mark"]) for r in rows]
+            out = [_row(r["doc_id"], r["text"], canonical(r["text"]), r["next_text"], canonical(r["next_text"])) for r in rows]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], _COLUMNS)
 
@@ -113,20 +119,20 @@ def successors(docs: DataFrame) -> DataFrame:
     """
     docs = slim(docs, "doc_id", "text").withColumn("_tie", F.md5(F.coalesce("text", F.lit(""))))
     kind = dict(docs.dtypes)["doc_id"]
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
     key = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     ordered = docs.repartitionByRange(parts, *key).sortWithinPartitions(*key).drop("_tie")
     rows = persist_table(ordered.mapInArrow(_chained(doc_type), f"doc_id {kind}, {_OPEN_DDL}"), "chained")
     # one first and one last row per task: as many rows as tasks, not as documents
     ends = rows.where(F.col("role") != _DONE)
-    heads = ends.where(F.col("role") == _FIRST).select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
+    heads = ends.where(F.col("role") == _FIRST).select("part", F.col("text").alias("next_text"))
     order = Window.orderBy("part")
     follows = heads.select("part", F.lead("part").over(order).alias("after"), F.min("part").over(Window.partitionBy()).alias("least"))
     follows = follows.select("part", F.coalesce("after", "least").alias("after"))
-    tails = ends.where(F.col("role") == _LAST).select("doc_id", "text", "fingerprint", "part")
+    tails = ends.where(F.col("role") == _LAST).select("doc_id", "text", "part")
     tails = tails.join(follows, "part").join(heads.withColumnRenamed("part", "after"), "after")
-    closed = tails.select("doc_id", "text", "fingerprint", "next_text", "next_mark").mapInArrow(_closed(doc_type), f"doc_id {kind}, {_DDL}")
+    closed = tails.select("doc_id", "text", "next_text").mapInArrow(_closed(doc_type), f"doc_id {kind}, {_DDL}")
     return rows.where(F.col("role") == _DONE).select(*_COLUMNS).unionByName(closed)
 
 

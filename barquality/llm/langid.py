@@ -7,9 +7,11 @@ weighted by how well each bit's classifier separated the training texts, names
 the language.  A text is ambiguous when the runner-up is almost as near.
 
 Training reads a bounded sample: of each language the ``per_language`` labelled
-documents with the smallest hash of their id, whole texts.  A bound on the hash
-per language leaves few rows for the top-k, their n-grams are counted where they lie and summed with partial aggregation; only the counts
-(languages x ``FEATURES``) reach the driver.  Prediction is one narrow pass.
+different documents with the smallest hash of id and text, whole texts.  A bound
+on the hash per language leaves few rows for the top-k, their n-grams are counted
+where they lie and summed with partial aggregation; only the counts (languages x
+``FEATURES``, for at most ``MOST_LANGUAGES`` languages) reach the driver.  Prediction
+is one narrow pass.
 
 A text that is null or has no letter is ``und`` with score 0.  With no labelled
 documents everything is ``und``.  Equal texts get equal predictions, ties go to
@@ -37,6 +39,8 @@ UNKNOWN = "und"
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 ORDERS = (2, 3, 4)
+#: More languages than this are refused; it bounds what is broadcast and collected.
+MOST_LANGUAGES = 500
 #: Bytes scored at a time.
 SLICE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -121,16 +125,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, usable: Column, per_language: int = 1000) -> Model:
     """Fit on ``docs(doc_id, text, lang)`` where ``usable`` holds and lang is not null."""
-    labelled = docs.select("doc_id", "lang", "text").where(usable & F.col("lang").isNotNull())
-    place = F.xxhash64("doc_id")
+    labelled = slim(docs.where(usable & F.col("lang").isNotNull()), "doc_id", "lang", "text").withColumn("place", F.xxhash64("doc_id", "text"))
+    low = F.col("place").bitwiseAND(0xFFFFFFFF)
     # hashes below a bound that lets about three times as many through, so the top-k sorts few rows
-    counts = persist_table(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = persist_table(labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).limit(MOST_LANGUAGES + 1), "languages")
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     bounds = counts.select("lang", (3.0 * per_language / F.col("n") + 100.0 / F.col("n")).alias("share"))
-    few = labelled.select("doc_id", "lang").join(bounds, "lang").where(place.bitwiseAND(0xFFFFFFFF) < F.col("share") * float(1 << 32))
-    first = Window.partitionBy("lang").orderBy(place.bitwiseAND(0xFFFFFFFF), place, "doc_id")
+    few = labelled.select("lang", "place").join(F.broadcast(bounds), "lang").where(low < F.col("share") * float(1 << 32)).select("lang", "place").distinct()
+    first = Window.partitionBy("lang").orderBy(low, "place")
     chosen = few.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_language)
-    chosen = persist_table(chosen.select("doc_id").distinct(), "sample")
-    rows = bit_filter(labelled, chosen, "doc_id").join(chosen, "doc_id", "left_semi")
+    chosen = persist_table(chosen.select("lang", "place"), "sample")
+    # a row that is repeated counts once
+    rows = bit_filter(labelled, chosen.select("place"), "place").join(F.broadcast(chosen), ["lang", "place"], "left_semi").dropDuplicates(["lang", "place"])
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, feature bigint, n bigint")
     table = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     return fit(table["lang"].to_numpy(), table["feature"].to_numpy(), table["n"].to_numpy())
@@ -182,5 +189,5 @@ def confident(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(column: str, parts: int, left: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``, is ``left``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % parts == left
+    """crc32 of the id as text, modulo ``parts``, is ``left``; false for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == left, F.lit(False))

@@ -23,8 +23,15 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
 5. What is left are pairs of members of which one is not linked to the pivot.
    With ``E`` a member's difference to the pivot, such a pair can only link if
    both share much of their ``E``; prefix-filtered joins on the elements of
-   ``E`` find all of those.  So no link is lost and no bucket is expanded to all
-   pairs.
+   ``E`` find all of those.  Of these candidates only the pairs whose parity
+   sketches of ``SKETCH_BITS`` single bits are near enough get their sets: each
+   shingle flips one bit, so the Hamming distance is at most the symmetric
+   difference.  No link is lost.  Groups are not expanded as such, but members that
+   differ from their pivot in the same places do meet in pairs: within such a
+   group the candidates grow faster than its members (README has figures).
+
+A class is known by a 64-bit digest of its set; at 10^9 different sets two of them
+are expected to share one with a probability of 3%.
 
 Nulls and texts without words have the empty set and link with nothing.  Very
 long texts are handled whole; repeated rows and equal texts fall into one
@@ -42,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import int64_list, mix64, persist_table, pieces, slim, text_bytes, word_hashes
+from .common import boxed, int64_list, mix64, persist_table, pieces, slim, text_bytes, word_hashes
 from .components import connected_components
 
 #: Upper end of a size band over its lower end.
@@ -53,6 +60,8 @@ COMBINED = 1_000_000
 PRUNINGS = 3
 #: Low bits of a key's tag, for the least number of shared keys.
 TAG_BITS = 20
+#: Single bits of the parity sketch that is compared before sets are fetched.
+SKETCH_BITS = 1024
 #: Bits of the table of repeated shingles: 16 MiB, broadcast.
 REPEATED_BITS = 1 << 27
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
@@ -82,6 +91,17 @@ def digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch: a bit per slot, flipped by each shingle that falls into it; as 64-bit words."""
+    slot = (mix64(shingles + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) % np.uint64(SKETCH_BITS)
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.uint64)
+
+
+def hamming(one: str, two: str) -> Column:
+    """The number of bits in which two sketches differ."""
+    return F.expr(f"aggregate(zip_with({one}, {two}, (p, q) -> bit_count(p ^ q)), 0, (n, c) -> n + c)")
+
+
 class Bands:
     """Size bands, the words of their sketches, and how many of these agree in linked sets."""
 
@@ -171,7 +191,8 @@ def _set_rows(words: int):
             for batch in pieces(whole, "text"):
                 sets = shingle_sets(text_bytes(batch.column("text")), words)
                 nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), int64_list(np.concatenate(sets), np.array([len(s) for s in sets]))], ["node", "shingles"])
+                bits = int64_list(np.concatenate([parity_bits(s) for s in sets]), np.full(len(sets), SKETCH_BITS // 64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), int64_list(np.concatenate(sets), np.array([len(s) for s in sets])), bits], ["node", "shingles", "bits"])
 
     return run
 
@@ -342,7 +363,7 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
 
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
     wanted = persist_table(wanted.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
-    sets = bit_filter(docs, wanted.select("doc_id"), "doc_id").mapInArrow(_set_rows(words), "node bigint, shingles array<bigint>")
+    sets = bit_filter(docs, wanted.select("doc_id"), "doc_id").mapInArrow(_set_rows(words), "node bigint, shingles array<bigint>, bits array<bigint>")
     sets = persist_table(sets.join(wanted.select("node"), "node").dropDuplicates(["node"]), "sets")
 
     # every member against its pivot, with what it lacks or has beyond the pivot
@@ -375,6 +396,9 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     apart = keyed_by("apart", "a", "na", "ea").join(keyed_by("apart", "b", "nb", "eb"), ["y", "key"]).where("a < b")
     rest = with_linked.unionByName(apart).where(f"{total} * abs(ea - eb) <= {gap} * (na + nb)")
     rest = rest.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("if(a < b, na, nb)").alias("nx"), F.expr("if(a < b, nb, na)").alias("ny")).distinct()
+    bits = sets.select("node", "bits")
+    rest = rest.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y")
+    rest = rest.where(_links(hamming("bx", "by"), F.col("nx"), F.col("ny"), percent)).drop("bx", "by")
     second = _with_sets(rest, sets).where(_links(F.size(F.array_except("sx", "sy")) + F.size(F.array_except("sy", "sx")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
     links = first.unionByName(second).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return membership, persist_table(links, "links")
@@ -420,10 +444,7 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     found = persist_table(jaccard_components(docs, words, percent), "components")
     dropped = found.where("doc_id != component_id").select(F.col("doc_id")).distinct()
     # only rows that may go are shuffled
-    maybe = docs.withColumn("_maybe", _place("doc_id"))
-    bits = _bitmap(dropped, "doc_id")
-    marked = maybe.join(F.broadcast(bits), F.shiftright("_maybe", 6) == F.col("_word"), "left").withColumn("_hit", F.expr("coalesce(shiftright(_bits, cast(_maybe & 63 as int)) & 1 = 1, false)"))
-    sure = marked.where("not _hit").select(*[F.col(f"`{c}`") for c in docs.columns])
-    rest = marked.where("_hit").select(*[F.col(f"`{c}`") for c in docs.columns])
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
-    return sure.unionByName(rest.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    marked = boxed(docs, id=F.col("doc_id"), at=_place("doc_id")).join(F.broadcast(_bitmap(dropped, "doc_id")), F.shiftright("at", 6) == F.col("_word"), "left")
+    marked = marked.select("doc", "id", F.expr("coalesce(shiftright(_bits, cast(at & 63 as int)) & 1 = 1, false)").alias("hit"))
+    rest = marked.where("hit").join(dropped.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return marked.where("not hit").select("doc.*").unionByName(rest.select("doc.*"))

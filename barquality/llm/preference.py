@@ -2,13 +2,14 @@
 
 A pair is a chosen and a rejected conversation.  Their longest common prefix of
 turns (same role, same text) is rendered once as the prompt; what follows in
-each becomes a completion, and a mask says which spans of it are trained on
-(assistant turns) and which are context (all others).
+each becomes a completion, and a mask says which spans of it are trained on (the
+text of assistant turns with its end marker) and which are context (role headers
+and all other turns).
 
 Turns are matched with one full outer join per pair and turn, the first
 difference is a grouped minimum, and each side is gathered per pair only for
-its own rendering.  Turns are ordered by ``turn``; repeated rows of a turn count
-once; a null text is empty, a null role is ``user``; a turn or conversation id
+its own rendering.  Turns are ordered by ``turn``; equal rows of a turn count once,
+different ones follow each other by role and text; a null text is empty, a null role is ``user``; a turn or conversation id
 that is null is left out.  A conversation without partner makes no pair.
 Identical conversations have empty completions and are flagged.  Very long
 turns are rendered whole; an empty table gives an empty result; other columns
@@ -17,7 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slim
@@ -25,21 +26,25 @@ from .common import slim
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def header(role: Column) -> Column:
+    return F.concat(F.lit(OPEN), role, F.lit("\n"))
+
+
 def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit("\n"), text, F.lit(CLOSE))
+    return F.concat(header(role), text, F.lit(CLOSE))
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with one row per turn and no nulls in role and text."""
+    """conv_id, turn, part, role, text: the messages of each turn, without nulls in role and text."""
     clean = slim(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    clean = clean.withColumn("role", F.coalesce("role", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit("")))
-    return clean.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t")).select("conv_id", "turn", "t.role", "t.text")
+    clean = clean.withColumn("role", F.coalesce("role", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit(""))).distinct()
+    return clean.withColumn("part", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:
     """conv_id, pair_id, chosen: conversations 2k (chosen) and 2k + 1 (rejected) make pair k."""
     ids = slim(conversations, "conv_id").where("conv_id is not null").distinct()
-    return ids.select("conv_id", F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"))
+    return ids.select("conv_id", F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"))
 
 
 def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -52,24 +57,31 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     turns = turns_of(conversations).join(slim(pairs, "conv_id", "pair_id", "chosen"), "conv_id")
     side = F.when(F.col("chosen"), 1)
     other = F.when(~F.col("chosen"), 1)
-    # both sides of a turn meet in one group of at most two rows
-    met = turns.groupBy("pair_id", "turn").agg(
+    # both sides of a message meet in one group of at most two rows
+    met = turns.groupBy("pair_id", "turn", "part").agg(
         F.max(F.when(side == 1, F.struct("role", "text"))).alias("c"),
         F.max(F.when(other == 1, F.struct("role", "text"))).alias("r"),
         F.max(F.when(side == 1, F.col("conv_id"))).alias("c_id"),
         F.max(F.when(other == 1, F.col("conv_id"))).alias("r_id"),
     )
+    place = F.struct("turn", "part")
     first = met.groupBy("pair_id").agg(
-        F.min(F.when(~F.coalesce(F.col("c").eqNullSafe(F.col("r")), F.lit(False)), F.col("turn"))).alias("at"),
+        F.min(F.when(~F.coalesce(F.col("c").eqNullSafe(F.col("r")), F.lit(False)), place)).alias("at"),
         F.max("c_id").alias("chosen_id"),
         F.max("r_id").alias("rejected_id"),
     )
     first = first.where("chosen_id is not null and rejected_id is not null")
-    held = met.join(first, "pair_id").withColumn("common", F.coalesce(F.col("turn") < F.col("at"), F.lit(True)))
+    held = met.join(first, "pair_id").withColumn("common", F.coalesce(place < F.col("at"), F.lit(True)))
+    before = Window.partitionBy("pair_id", "common").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, -1)
+    for x in ("c", "r"):
+        role = F.col(f"{x}.role")
+        held = held.withColumn(f"{x}_text", F.when(F.col(x).isNotNull(), rendered(role, F.col(f"{x}.text"))))
+        held = held.withColumn(f"{x}_start", F.coalesce(F.sum(F.length(f"{x}_text").cast("bigint")).over(before), F.lit(0).cast("bigint")))
 
     def gathered(keep: Column, turn: str) -> Column:
-        part = F.when(keep & F.col(turn).isNotNull(), F.struct("turn", F.col(f"{turn}.role").alias("role"), rendered(F.col(f"{turn}.role"), F.col(f"{turn}.text")).alias("text")))
-        return F.array_sort(F.collect_list(part))
+        role = F.col(f"{turn}.role")
+        part = F.struct("turn", "part", role.alias("role"), F.col(f"{turn}_text").alias("text"), F.col(f"{turn}_start").alias("start"), F.length(header(role)).cast("bigint").alias("head"))
+        return F.array_sort(F.collect_list(F.when(keep & F.col(turn).isNotNull(), part)))
 
     sides = held.groupBy("pair_id").agg(
         F.first("chosen_id").alias("chosen_id"),
@@ -84,13 +96,8 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(side, lambda t: t["text"]), "")
 
     def mask(side: str) -> Column:
-        spans = F.expr(
-            f"""aggregate({side}, cast(array() as array<struct<start:bigint,length:bigint,trained:boolean>>),
-            (a, t) -> concat(a, array(named_struct(
-                'start', coalesce(try_element_at(a, -1).start + try_element_at(a, -1).length, 0L),
-                'length', cast(length(t.text) as bigint), 'trained', t.role = 'assistant'))))"""
-        )
-        return F.when(F.size(side) > 0, spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,length:bigint,trained:boolean>>)"))
+        span = lambda start, length, trained: F.struct(start.alias("start"), length.alias("length"), trained.alias("trained"))
+        return F.flatten(F.transform(side, lambda t: F.array(span(t["start"], t["head"], F.lit(False)), span(t["start"] + t["head"], F.length(t["text"]).cast("bigint") - t["head"], t["role"] == "assistant"))))
 
     return sides.select(
         "pair_id",

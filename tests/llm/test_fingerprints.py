@@ -55,3 +55,10 @@ def test_equal_hashes_of_different_bytes_are_told_apart(docs_of, monkeypatch):
 class _Typed:
     def __init__(self, docs, stand_in):
         self.dtypes, self.mapInArrow = docs.dtypes, stand_in.mapInArrow
+
+
+def test_types_of_ids(spark):
+    for kind, ids in (("smallint", [2, 1]), ("decimal(9,0)", [2, 1]), ("date", ["2024-01-02", "2024-01-01"])):
+        docs = spark.createDataFrame([(str(i), t) for i, t in zip(ids, ("ab", "AB"))], "i string, text string").selectExpr(f"cast(i AS {kind}) AS doc_id", "text")
+        out = fp.fingerprints(docs).collect()
+        assert len(out) == 2 and len({r["group_id"] for r in out}) == 1 and all(r["near_next"] == 1.0 for r in out)

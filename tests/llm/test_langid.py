@@ -66,3 +66,20 @@ def test_codewords_are_apart():
         code = langid.codewords(n)
         far = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
         assert far >= (1 if n == 2 else 2) and (np.abs(code.sum(0)) < n).all()
+
+
+def test_a_repeated_row_is_one_of_the_sample_and_null_ids_are_not_held_out(spark, docs_of):
+    rows = [(1, "the same text of one row")] * 300 + [(i, f"another text number {i} of many") for i in range(2, 40)] + [(None, "kein Wort", "de")]
+    docs = docs_of(rows)
+    seen = []
+    real = langid.fit
+    langid.fit = lambda langs, feature, n: (seen.append(dict(zip(langs, [0] * len(langs)))), real(langs, feature, n))[1]
+    try:
+        langid.train(docs, ~langid.held_out("doc_id", 5, 0), per_language=50)
+    finally:
+        langid.fit = real
+    assert set(seen[0]) == {"en", "de"}
+    once = langid.train(docs.distinct(), ~langid.held_out("doc_id", 5, 0), per_language=50)
+    again = langid.train(docs, ~langid.held_out("doc_id", 5, 0), per_language=50)
+    assert (once.weights == again.weights).all()
+    assert docs.where("doc_id is null").select(langid.held_out("doc_id", 5, 0)).first()[0] is False

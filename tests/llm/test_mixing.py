@@ -67,3 +67,32 @@ def test_nulls_empty_texts_and_empty_tables(docs_of):
     assert out[3]["target"] == 2.0 and out[3]["taken"] == 2
     assert mixing.mix(docs_of([])).count() == 0
     assert mixing.repeat(docs_of([(1, None), (2, "")])).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Rows of one id have their own counts; names of inner columns may occur in the table."""
+    schema = "doc_id long, text string, source string, _id string, _times int, _copy string, doc string, tie int, n int"
+    text = lambda i: " ".join(["w"] * (1 + i % 7))
+    rows = [(i // 3 if i % 11 else None, text(i), "ab"[i % 5 == 0], f"x{i % 2}", i % 2, None, "d", 1, 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.repeat(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(str, map(tuple, out.collect())))
+    assert got == sorted(map(str, map(tuple, mixing.repeat(docs.repartition(3)).collect())))
+    words = {}
+    for r in out.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    want = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    assert all(abs(words[s] - t) <= 7 for s, t in want.items())
+    times = {}
+    for row in got:
+        times[row] = times.get(row, 0) + 1
+    assert set(times) <= {str(r) for r in rows}
+
+
+def test_equal_rows_share_what_is_taken(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")] * 5 + [(2, "c", "t")] * 3, "doc_id long, text string, source string")
+    taken = mixing.mix(docs)
+    want = {r["doc_id"]: r["n"] for r in taken.groupBy("doc_id").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    got = {r["doc_id"]: r["count"] for r in mixing.repeat(docs).groupBy("doc_id").count().collect()}
+    assert {1: 2 * got[1], 2: got[2]} == want

@@ -105,3 +105,24 @@ def test_components_of_chains_stars_loops_and_nulls(spark):
     out = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parity_bits_differ_at_most_as_much_as_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (5, 100, 3000):
+        one = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        two = np.unique(np.concatenate([one[n // 10 :], rng.integers(0, 1 << 63, n // 8, np.uint64)]))
+        a, b = ngram_join.parity_bits(one), ngram_join.parity_bits(two)
+        assert len(a) == ngram_join.SKETCH_BITS // 64
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(one, two))
+
+
+def test_drop_similar_with_clashing_names_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, text, "a"), (4, text, "b"), (6, text + " x", "c"), (None, "some other words of their own", "d"), (None, None, "e"), (9, "short", "f")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, x, 5) for i, t, x in rows], "doc_id long, text string, _word int, _bits int, _maybe int, _hit int, hit string, at int")
+    out = ngram_join.drop_similar(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["hit"] for r in out.collect()) == ["a", "b", "d", "e", "f"]
+    ids = [(r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs, 5, 80).collect()]
+    assert sorted(map(str, ids)) == sorted(map(str, [(4, 4, 1), (4, 4, 1), (6, 4, 1), (None, None, 0), (None, None, 0), (9, 9, 0)]))

@@ -22,7 +22,8 @@ def test_common_prefix_is_rendered_once(spark):
     assert a["chosen"] == turn("assistant", "good") + turn("user", "more") and a["rejected"] == turn("assistant", "bad")
     spans = [tuple(s) for s in a["chosen_mask"]]
     first = len(turn("assistant", "good"))
-    assert spans == [(0, first, True), (first, len(turn("user", "more")), False)]
+    head, user = len("<|im_start|>assistant\n"), len("<|im_start|>user\n")
+    assert spans == [(0, head, False), (head, first - head, True), (first, user, False), (first + user, len(turn("user", "more")) - user, False)]
     assert out[1]["identical"] and out[1]["chosen"] == out[1]["rejected"] == "" and out[1]["chosen_mask"] == []
     assert out[3]["n_prompt_turns"] == 1 and out[3]["rejected"] == turn("assistant", "x")
     assert out[4]["n_prompt_turns"] == 0 and out[4]["prompt"] == ""
@@ -37,3 +38,25 @@ def test_a_later_equal_turn_is_no_prefix(spark):
 def test_empty_table(spark):
     turns = spark.createDataFrame([], SCHEMA)
     assert p.digests(p.format_pairs(turns, p.neighbours(turns))).count() == 0
+
+
+def test_large_ids_and_messages_of_one_turn(spark):
+    """Integer pairs beyond 2^53; different messages of one turn all stay, in order."""
+    big = 2**53 + 2
+    rows = [(big, 0, "user", "q"), (big + 1, 0, "user", "q"), (big, 1, "assistant", "b"), (big, 1, "assistant", "a"), (big + 1, 1, "assistant", "a"), (big + 1, 1, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = p.format_pairs(turns, p.neighbours(turns)).collect()
+    assert [(r["pair_id"], r["chosen_id"], r["rejected_id"], r["n_prompt_turns"]) for r in pairs] == [(big // 2, big, big + 1, 2)]
+    assert pairs[0]["prompt"] == turn("user", "q") + turn("assistant", "a") and pairs[0]["chosen"] == turn("assistant", "b") and pairs[0]["rejected"] == ""
+
+
+def test_masks_cover_completions_of_many_turns(spark):
+    rows = [(0, i, "user" if i % 2 == 0 else "assistant", f"t{i}" * (i % 7)) for i in range(300)] + [(1, 0, "user", "other")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = p.format_pairs(turns, p.neighbours(turns)).first()
+    at = 0
+    for start, length, _ in r["chosen_mask"]:
+        assert start == at
+        at += length
+    assert at == len(r["chosen"])
+    assert "".join(r["chosen"][s : s + n] for s, n, t in r["chosen_mask"] if t) == "".join(f"{x[3]}<|im_end|>\n" for x in rows[:300] if x[2] == "assistant")
