@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, int64_list, mix64, persist_table, pieces, slim, text_bytes, word_hashes
+from .common import boxed, int64_list, mix64, persist_table, pieces, release, slim, text_bytes, word_hashes
 from .components import connected_components
 
 #: Upper end of a size band over its lower end.
@@ -181,6 +181,7 @@ def _sketch_rows(words: int, percent: int, share: int, repeated):
                     [batch.column("doc_id"), pa.array(size), pa.array(nodes, mask=size == 0), int64_list(np.concatenate(keys), lengths), int64_list(np.concatenate(tags), lengths)],
                     ["doc_id", "n_shingles", "node", "keys", "tags"],
                 )
+        release()
 
     return run
 
@@ -249,6 +250,8 @@ def _packed_keys(parts: int, read):
                     nodes.clear()
         if size:
             yield from doubled(held, packed)
+        held.clear()
+        release()
 
     def doubled(held: list[np.ndarray], packed) -> Iterator[pa.RecordBatch]:
         """All keys once, and those that two classes of this task share a second time."""

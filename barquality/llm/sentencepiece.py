@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, pieces, slim, texts_of
+from .common import mix64, pieces, release, slim, texts_of
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -40,11 +40,11 @@ _UNIGRAM, _BPE = 1, 2
 _BASE = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: Bytes of distinct words that a worker keeps with their ids, and what an entry takes beside its characters.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 #: Characters of the words that advance together.
-CELLS = 1 << 17
+CELLS = 1 << 16
 #: Bytes of the texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Slots of a worker's table of checked pairs, and of the directory of the sorted keys.
 PAIR_BITS, DIRECTORY_BITS = 20, 18
 _NEVER = -(10.0**18)
@@ -422,5 +422,6 @@ def _mapped(docs: DataFrame, model_file: str, rows, names: list[str], ddl: str)
                 yield pa.RecordBatch.from_arrays(rows(model, batch), names)
         # a worker outlives its task; what it has cached would stay in its memory
         model.forget()
+        release()
 
     return docs.mapInArrow(run, ddl)
