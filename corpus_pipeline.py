@@ -22,18 +22,31 @@ from barquality.llm.common import shared_dir
 TOKENIZERS = os.environ.get("BARQUALITY_TOKENIZERS", "/opt/tokenizers")
 
 
+#: Rows that go to Python workers at a time: documents are wide, and workers share an executor's memory.
+ROWS_AT_A_TIME = 512
+
+
+def _narrow(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_A_TIME:
+        spark.conf.set(key, str(ROWS_AT_A_TIME))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the base rules and the compression bands."""
+    _narrow(spark)
     return quality.keep(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and not ambiguous; trained on a bounded labelled sample."""
+    _narrow(spark)
     return langid.confident(docs, langid.train(docs, F.lit(True)))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles."""
+    _narrow(spark)
     return ngram_join.drop_similar(docs, words=5, percent=80)
 
 
@@ -43,7 +56,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, n_pieces, n_byte_pieces, ids_sha256, round_trip of each row."""
+    """doc_id, n_chars, n_pieces, n_byte_pieces, ids_sha256, round_trip, ids of each row."""
+    _narrow(spark)
     return sentencepiece.digests(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
