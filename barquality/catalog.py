@@ -64,7 +64,7 @@ DIRTY = f"""{INTRADAY}, hours AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS
 LINES = """lines AS (
   SELECT concat('P', l_partkey) AS contract, CAST(l_shipdate AS TIMESTAMP) AS ts, l_extendedprice AS price,
          CAST(trunc(l_quantity) AS BIGINT) AS volume, l_orderkey * 100 + l_linenumber AS row_number FROM lineitem),
-  twice AS (SELECT * FROM lines UNION ALL SELECT contract, ts, price, volume, row_number + 1000000000000 FROM lines WHERE row_number % 50 = 0)"""
+  twice AS (SELECT * FROM lines UNION ALL SELECT contract, ts, price, volume, row_number + 1000000000000 FROM lines WHERE (row_number // 100) % 50 = 0)"""
 GAPS = f"""{INTRADAY}, actives AS (SELECT contract, coalesce(min(ts) FILTER (WHERE volume > 0), min(ts)) AS a FROM bars GROUP BY 1),
   steps AS (SELECT contract, ts, lag(ts) OVER (PARTITION BY contract ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT b.contract, ts FROM bars b JOIN actives USING (contract) WHERE ts >= a)),
   spaced AS (SELECT *, date_diff('second', prev_ts, ts) AS gap_s FROM steps WHERE prev_ts IS NOT NULL),

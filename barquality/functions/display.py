@@ -19,7 +19,8 @@ def count(value: Column) -> Column:
 
 
 def signed_percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%+.2f%%", value), F.lit(DASH))
+    # format_string would write a null as text
+    return F.when(value.isNotNull(), F.format_string("%+.2f%%", value)).otherwise(DASH)
 
 
 def candle(open_: Column, close: Column) -> Column:

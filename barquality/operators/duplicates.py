@@ -43,8 +43,8 @@ def last_write_wins(bars: DataFrame, ordinal: str = "row_number") -> tuple[DataF
     Rows with an equal hash are one row (the first).  Both come from grouped
     extremes, so an instant with very many rows is never sorted in one task.
     """
-    once = bars.groupBy("contract", "row_hash").agg(F.min(ordinal).alias("_first"))
-    unique = bars.join(once, (bars["contract"].eqNullSafe(once["contract"])) & (bars["row_hash"] == once["row_hash"]) & (bars[ordinal] == once["_first"]), "left_semi")
+    rest = [c for c in bars.columns if c not in ("contract", "row_hash")]
+    unique = bars.groupBy("contract", "row_hash").agg(F.min_by(F.struct(*rest), ordinal).alias("_row")).select("contract", "row_hash", "_row.*").select(*bars.columns)
     win = unique.groupBy("contract", "ts").agg(F.max(ordinal).alias("_win"), F.max_by("row_hash", ordinal).alias("winning_row_hash"))
     marked = unique.join(win, ["contract", "ts"])
     winners = marked.where(F.col(ordinal) == F.col("_win")).drop("_win", "winning_row_hash")

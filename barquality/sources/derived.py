@@ -56,7 +56,7 @@ def intraday_bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of order lines per part and ship date, with repeated and conflicting instants; a slice is doubled."""
+    """Bars of order lines per part and ship date, with repeated and conflicting instants; every fiftieth order is doubled."""
     lines = _table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice")
     bars = lines.select(
@@ -66,7 +66,7 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("volume"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_number"),
     )
-    doubled = bars.unionByName(bars.where(F.col("row_number") % 50 == 0).withColumn("row_number", F.col("row_number") + 1_000_000_000_000))
+    doubled = bars.unionByName(bars.where(F.expr("row_number div 100") % 50 == 0).withColumn("row_number", F.col("row_number") + 1_000_000_000_000))
     return doubled.withColumn("frequency", F.lit(MINUTE)).withColumn("row_hash", row_hash())
 
 

@@ -21,7 +21,7 @@ def test_readers_keep_provenance(spark, tmp_path):
     f.write_text("x,y,z\n1,NA,3\n4,5\n6,7,8,9\n")
     rows = readers.read_file(spark, f).orderBy(readers.ROW_NUMBER).collect()
     assert [tuple(r) for r in rows] == [("1", None, "3", str(f), 1), ("4", "5", None, str(f), 2), ("6", "7", "8", str(f), 3)]
-    spark.range(3).write.parquet(str(tmp_path / "p"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
     part = next((tmp_path / "p").glob("*.parquet"))
     assert readers.read_file(spark, part).first()[readers.ROW_NUMBER] == 1
     with pytest.raises(readers.UnsupportedFileError):
