@@ -1,9 +1,11 @@
 """A store of bars as versioned Parquet, with an audit trail.
 
-Bars lie in one folder per frequency, contract and version; a manifest names
-the current folders.  An upsert rewrites the partitions it touches into new
-folders and then swaps the manifest by a rename, so readers see the old or the
-new state.  One writer at a time.  Audit tables are append-only.
+Bars lie in one folder per frequency, contract and version; numbered manifests
+name the folders of each version, and the highest counts.  An upsert rewrites the
+partitions it touches into new folders and then adds a manifest by one rename, so
+readers see the old or the new state whatever fails in between.  One writer at a
+time.  Audit tables have a folder per run, so a run that is repeated under its
+id replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -63,15 +65,16 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        fs, new = self._at(f"{name}.{uuid.uuid4().hex}")
+    def add(self, name: str, text: str) -> None:
+        """A new file that appears whole; one that is there already is an error."""
+        fs, new = self._at(f"staging/{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
         _, path = self._at(name)
-        fs.delete(path, False)
-        if not fs.rename(new, path):
-            raise OSError(f"could not replace {path}")
+        fs.mkdirs(path.getParent())
+        if fs.exists(path) or not fs.rename(new, path):
+            raise OSError(f"could not add {path}")
 
     def children(self, name: str) -> list[str]:
         fs, path = self._at(name)
@@ -81,14 +84,21 @@ class Files:
 class BarStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
-        text = self.files.read("MANIFEST")
-        if text is None:
-            self.files.replace("MANIFEST", json.dumps({"schema_version": SCHEMA_VERSION, "version": 0, "partitions": {}}))
-        elif json.loads(text)["schema_version"] != SCHEMA_VERSION:
-            raise SchemaMismatchError(f"{root}: schema version {json.loads(text)['schema_version']}, expected {SCHEMA_VERSION}")
+        if not self._manifests():
+            if self.files.children("bars"):
+                raise SchemaMismatchError(f"{root}: there are bars without a manifest")
+            self._save({"schema_version": SCHEMA_VERSION, "version": 0, "partitions": {}})
+        elif self._manifest()["schema_version"] != SCHEMA_VERSION:
+            raise SchemaMismatchError(f"{root}: schema version {self._manifest()['schema_version']}, expected {SCHEMA_VERSION}")
+
+    def _manifests(self) -> list[str]:
+        return sorted(n for n in self.files.children("manifests") if n.endswith(".json"))
 
     def _manifest(self) -> dict:
-        return json.loads(self.files.read("MANIFEST"))
+        return json.loads(self.files.read(f"manifests/{self._manifests()[-1]}"))
+
+    def _save(self, manifest: dict) -> None:
+        self.files.add(f"manifests/{manifest['version']:012d}.json", json.dumps(manifest))
 
     def _rows(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -112,7 +122,7 @@ class BarStore:
     def _audit(self, name: str, schema) -> DataFrame:
         if not self.files.children(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.root}/{name}")
 
     def superseded(self, frequency: str | None = None, contract: str | None = None, start=None, end=None) -> DataFrame:
         out = self._audit("superseded_bars", SUPERSEDED)
@@ -131,8 +141,8 @@ class BarStore:
     def runs(self) -> DataFrame:
         return self._audit("ingestion_runs", RUNS)
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+    def _audited(self, df: DataFrame, name: str, part: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}")
 
     def upsert(self, incoming: DataFrame, run_id: str) -> int:
         """Write bars over stored ones of the same key; returns how many instants are new.
@@ -140,11 +150,13 @@ class BarStore:
         What is displaced with other values goes to the audit trail first.
         """
         manifest = self._manifest()
+        if manifest.get("last_run") == run_id:
+            return manifest["last_new"]
         touched = [(r[0], r[1]) for r in incoming.select("frequency", "contract").distinct().collect()]
         old = [p for p in (manifest["partitions"].get(f"{f}\t{c}") for f, c in touched) if p]
         stored = self._rows(old)
         displaced = displaced_rows(stored, incoming).withColumn("run_id", F.lit(run_id)).withColumn("superseded_at", F.current_timestamp())
-        self._append(displaced.select(*SUPERSEDED.fieldNames()), "superseded_bars")
+        self._audited(displaced.select(*SUPERSEDED.fieldNames()), "superseded_bars", f"{run_id}/by-run")
         fresh = incoming.join(stored.select(*KEY), list(KEY), "left_anti").count()
         version = manifest["version"] + 1
         base = f"bars/v{version}-{uuid.uuid4().hex[:8]}"
@@ -156,23 +168,26 @@ class BarStore:
                     if c.startswith("_c="):
                         key = f"{unquote(f[3:])}\t{unquote(c[3:])}"
                         manifest["partitions"][key] = f"{base}/{f}/{c}"
-        self.files.replace("MANIFEST", json.dumps(manifest | {"version": version}))
+        self._save(manifest | {"version": version, "last_run": run_id, "last_new": fresh})
         return fresh
 
-    def ingest(self, raw: DataFrame, source: str = "<memory>", frequency: str | None = None, settings: Settings = Settings()) -> RunResult:
-        """Normalise a raw frame and store it: bars, then rejections, displaced rows and the run."""
-        run_id = uuid.uuid4().hex
+    def ingest(self, raw: DataFrame, source: str = "<memory>", frequency: str | None = None, settings: Settings = Settings(), run_id: str | None = None) -> RunResult:
+        """Normalise a raw frame and store it: bars, then rejections, displaced rows and the run.
+
+        The latest run may be repeated under its ``run_id``; nothing is recorded twice.
+        """
+        run_id = run_id or uuid.uuid4().hex
         done = normalize(raw, frequency, source, settings)
         staged = self._staged(done, run_id)
         counts = staged.counts()
         new = self.upsert(staged.clean, run_id)
-        self._append(staged.rejected.withColumn("run_id", F.lit(run_id)).select(*REJECTED.fieldNames()), "rejected_rows")
+        self._audited(staged.rejected.withColumn("run_id", F.lit(run_id)).select(*REJECTED.fieldNames()), "rejected_rows", run_id)
         lost = staged.superseded.withColumn("run_id", F.lit(run_id)).withColumn("superseded_at", F.current_timestamp())
-        self._append(lost.select(*SUPERSEDED.fieldNames()), "superseded_bars")
+        self._audited(lost.select(*SUPERSEDED.fieldNames()), "superseded_bars", f"{run_id}/in-file")
         names = tuple(r[0] for r in staged.clean.select("contract").distinct().orderBy("contract").collect())
         result = RunResult(run_id, source, done.frequency, counts["rows_read"], new, counts["rows_rejected"], counts["rows_deduplicated"], counts["rows_superseded"], names, counts["rejections_by_reason"])
         run = self.spark.createDataFrame([(run_id, source, done.frequency, result.rows_read, new, result.rows_rejected, result.rows_deduplicated, result.rows_superseded, list(names))], "run_id string, source string, frequency string, rows_read long, rows_new long, rows_rejected long, rows_deduplicated long, rows_superseded long, contracts array<string>")
-        self._append(run.withColumn("ingested_at", F.current_timestamp()), "ingestion_runs")
+        self._audited(run.withColumn("ingested_at", F.current_timestamp()), "ingestion_runs", run_id)
         return result
 
     def _staged(self, done: Normalized, run_id: str) -> Normalized:
@@ -180,7 +195,7 @@ class BarStore:
 
         def kept(df: DataFrame, name: str) -> DataFrame:
             path = f"{self.root}/staging/{run_id}/{name}"
-            df.write.parquet(path)
+            df.write.mode("overwrite").parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
         return Normalized(*(kept(getattr(done, n), n) for n in ("clean", "rejected", "superseded", "accepted")), done.frequency)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,12 +13,14 @@ from ..schema import Settings
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: str, store: BarStore, checkpoint: str, frequency: str | None = None, settings: Settings = Settings()) -> StreamingQuery:
-    """Normalise and store every new CSV file; a batch that is retried changes nothing, as upserts are idempotent."""
+    """Normalise and store every new CSV file; a batch that is retried changes nothing, as its run has the id of its epoch."""
     files = spark.readStream.schema(schema).option("header", True).csv(folder)
 
+    name = f"stream-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}"
+
     def stored(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            store.ingest(batch, f"stream-{epoch}", frequency, settings)
+            store.ingest(batch, f"stream-{epoch}", frequency, settings, f"{name}-{epoch}")
 
     return files.writeStream.foreachBatch(stored).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

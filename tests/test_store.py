@@ -1,4 +1,3 @@
-import json
 
 import pytest
 
@@ -29,21 +28,21 @@ def test_readers_keep_provenance(spark, tmp_path):
     assert readers.expand([tmp_path, f, tmp_path / "*.csv", tmp_path / "none"]).count(f.resolve()) == 1
 
 
-def test_ingest_again_changes_nothing_and_keeps_four_conflicts(spark, tmp_path):
+def test_ingest_again_changes_nothing_and_keeps_five_conflicts(spark, tmp_path):
     f = write_csv(tmp_path / "dirty_minute.csv", synthetic.dirty_minute_rows())
     engine = Engine(spark, str(tmp_path / "store"))
     one = engine.store.ingest_paths([str(f)])[0]
     two = engine.store.ingest_paths([str(f)])[0]
-    assert (one.rows_new, one.rows_deduplicated, one.rows_superseded, one.rows_rejected) == (99, 2, 4, 3) and two.rows_new == 0
-    assert engine.store.bars("minute").count() == 99 and engine.store.superseded().count() == 8 and engine.store.runs().count() == 2 and engine.store.rejected().count() == 6
+    assert (one.rows_new, one.rows_deduplicated, one.rows_superseded, one.rows_rejected) == (137, 3, 5, 4) and two.rows_new == 0
+    assert engine.store.bars("minute").count() == 137 and engine.store.superseded().count() == 10 and engine.store.runs().count() == 2 and engine.store.rejected().count() == 8
     issues = {r["code"]: r for r in engine.quality_report("CL_TEST")["issues"].collect()}
-    assert issues["resolved_instant_conflict"]["count"] == 4 and issues["resolved_instant_conflict"]["context"]["discarded_rows"] == 8
+    assert issues["resolved_instant_conflict"]["count"] == 5 and issues["resolved_instant_conflict"]["context"]["discarded_rows"] == 10
     assert issues["intra_session_gap"]["count"] == 1 and issues["high_lt_low"]["count"] == 1 and issues["negative_volume"]["count"] == 1 and issues["non_positive_price"]["count"] == 1
-    assert engine.missing_timestamps("CL_TEST")["total"] == 21
+    assert engine.missing_timestamps("CL_TEST")["total"] == 13
     day = engine.daily_ohlcv("CL_TEST").first()
-    assert day["bar_count"] == 99
+    assert day["bar_count"] == 137
     assert engine.vwap("CL_TEST", limit=10).count() == 10
-    assert engine.contracts().first()["bar_count"] == 99
+    assert engine.contracts().first()["bar_count"] == 137
     pack = ins.evidence_pack(engine.store.bars("minute"), engine.store.superseded())
     assert [e["id"] for e in pack["evidence"]] == [f"E{i + 1}" for i in range(len(pack["evidence"]))]
 
@@ -79,7 +78,28 @@ def test_a_correction_displaces_by_run(spark, tmp_path):
 
 def test_other_schema_versions_are_refused(spark, tmp_path):
     store = BarStore(spark, str(tmp_path / "s"))
-    store.files.replace("MANIFEST", json.dumps({"schema_version": 0, "version": 0, "partitions": {}}))
+    store._save({"schema_version": 0, "version": 1, "partitions": {}})
+    with pytest.raises(SchemaMismatchError):
+        BarStore(spark, str(tmp_path / "s"))
+
+
+def test_a_crash_before_the_manifest_leaves_the_old_state_and_a_retried_run_adds_nothing(spark, tmp_path, monkeypatch):
+    store = BarStore(spark, str(tmp_path / "s"))
+    rows = synthetic.daily_rows(days=10)
+    store.ingest(synthetic.frame(spark, rows), run_id="one")
+    fixed = synthetic.frame(spark, [rows[0] | {"close": "1"}, *rows[1:3]])
+    with monkeypatch.context() as broken:
+        broken.setattr(BarStore, "_save", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.ingest(fixed, run_id="two")
+    store = BarStore(spark, str(tmp_path / "s"))
+    assert store.bars("daily").count() == len(rows) and store.bars("daily").where("close = 1").count() == 0
+    for _ in range(2):
+        run = store.ingest(fixed, run_id="two")
+        assert run.rows_new == 0 and store.superseded().count() == 1 and store.runs().count() == 2
+    assert store.bars("daily").where("close = 1").count() == 1
+    for f in (tmp_path / "s" / "manifests").iterdir():
+        f.unlink()
     with pytest.raises(SchemaMismatchError):
         BarStore(spark, str(tmp_path / "s"))
 
