@@ -49,7 +49,7 @@ OP5 = _op5()
 OP7 = r"""WITH m0 AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT *, {'t': turn, 'k': row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text)} AS pl, conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen FROM m0),
 paired AS (SELECT pair_id FROM c GROUP BY 1 HAVING count(DISTINCT chosen) = 2),
-m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.at, b.at) AS pl, a.role AS ar, a.text AS atext, b.role AS br, b.text AS bt
+m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pl, b.pl) AS pl, a.role AS ar, a.text AS atext, b.role AS br, b.text AS bt
   FROM (SELECT * FROM c WHERE chosen) a FULL JOIN (SELECT * FROM c WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.pl = b.pl),
 f AS (SELECT pair_id, min(pl) FILTER (WHERE (ar, atext) IS DISTINCT FROM (br, bt)) AS first FROM m GROUP BY 1),
 r AS (SELECT pair_id, pl, first IS NULL OR pl < first AS common, ar, br, length(atext) + length('<|im_end|>') + 1 AS an, length(bt) + length('<|im_end|>') + 1 AS bn,
