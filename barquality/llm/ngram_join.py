@@ -21,14 +21,13 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
 4. The member of a bucket that lies in the most crowded buckets is its pivot;
    each member is verified against the pivot only, never against all others.
 5. What is left are pairs of members of which one is not linked to the pivot.
-   With ``E`` a member's difference to the pivot, such a pair can only link if
-   both share much of their ``E``; prefix-filtered joins on the elements of
-   ``E`` find all of those.  Of these candidates only the pairs whose parity
-   sketches of ``SKETCH_BITS`` single bits are near enough get their sets: each
-   shingle flips one bit, so the Hamming distance is at most the symmetric
-   difference.  No link is lost.  Groups are not expanded as such, but members that
-   differ from their pivot in the same places do meet in pairs: within such a
-   group the candidates grow faster than its members (README has figures).
+   They are joined on what both have beyond the pivot, or both lack, but only on
+   the elements that a link cannot do without (``_open_pairs``), and on elements
+   that many members share after all others.  Of these candidates only the pairs whose
+   parity sketches of ``SKETCH_BITS`` single bits are near enough get their sets:
+   each shingle flips one bit, so the Hamming distance is at most the symmetric
+   difference.  No link is lost.  Members that differ from their pivot by the same
+   crowded elements still meet in pairs there (README has figures).
 
 A class is known by a 64-bit digest of its set; at 10^9 different sets two of them
 are expected to share one with a probability of 3%.
@@ -64,6 +63,8 @@ TAG_BITS = 20
 SKETCH_BITS = 1024
 #: Bits of the table of repeated shingles: 16 MiB, broadcast.
 REPEATED_BITS = 1 << 27
+#: Members of a pivot that may share an element before it is tried after all others; any number is right.
+CROWD = 8
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -373,32 +374,9 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     gap, total = 100 - percent, 100 + percent
     met = _with_sets(pairs, sets).select("x", "nx", "y", "ny", F.array_except("sx", "sy").alias("beyond"), F.array_except("sy", "sx").alias("lacks"))
     met = met.withColumn("e", F.size("beyond") + F.size("lacks")).withColumn("linked", _links(F.col("e"), F.col("nx"), F.col("ny"), percent))
-    # a member links to a linked one only if its own difference is at most both their limits
-    middle = ~F.col("linked") & (F.expr(f"{total} * e <= {gap} * (nx + ny + 2 * nx * 100 / {percent})"))
-    need = F.expr(f"int(floor(({total} * e + {gap} * (ny - nx)) / {2 * total})) + 1")
-    most = F.expr(f"int(floor({gap} * nx / {percent})) + 1")
-    off = F.concat("beyond", "lacks")
-    deltas = persist_table(
-        met.select(
-            "x", "nx", "y", "ny", "e", "linked",
-            F.when(F.col("linked"), F.slice(off, F.lit(1), F.greatest(F.lit(1), F.col("e") - need + 1))).alias("near"),
-            F.when(middle, off).alias("far"),
-            F.when(~F.col("linked"), F.slice(F.concat(F.array_sort("beyond"), F.array_sort("lacks")), F.lit(1), F.greatest(F.lit(1), F.least(most, F.col("e") - need + 1)))).alias("apart"),
-        ),
-        "deltas",
-    )
+    deltas = persist_table(met, "deltas")
     first = deltas.where("linked").select("x", "y")
-
-    # pairs of which one is not linked to the pivot: against linked members, all of its difference
-    # meets a prefix of theirs (what they have beyond the pivot first); among each other, prefixes
-    # in that order meet, as two members that are not linked to the pivot share over half as well
-    def keyed_by(name: str, x: str, n: str, e: str) -> DataFrame:
-        return deltas.where(f"{name} is not null").select("y", F.col("x").alias(x), F.col("nx").alias(n), F.col("e").alias(e), F.explode(name).alias("key"))
-
-    with_linked = keyed_by("far", "a", "na", "ea").join(keyed_by("near", "b", "nb", "eb"), ["y", "key"])
-    apart = keyed_by("apart", "a", "na", "ea").join(keyed_by("apart", "b", "nb", "eb"), ["y", "key"]).where("a < b")
-    rest = with_linked.unionByName(apart).where(f"{total} * abs(ea - eb) <= {gap} * (na + nb)")
-    rest = rest.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("if(a < b, na, nb)").alias("nx"), F.expr("if(a < b, nb, na)").alias("ny")).distinct()
+    rest = persist_table(_open_pairs(deltas, percent), "open")
     bits = sets.select("node", "bits")
     rest = rest.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y")
     rest = rest.where(_links(hamming("bx", "by"), F.col("nx"), F.col("ny"), percent)).drop("bx", "by")
@@ -407,6 +385,96 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     return membership, persist_table(links, "links")
 
 
+def _crowded_bits(keys: DataFrame) -> np.ndarray:
+    """A bit table of the keys that more than ``CROWD`` rows have, by their upper bits."""
+    crowded = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD)
+    at = crowded.select(F.shiftrightunsigned("key", 64 - FILTER_BITS.bit_length() + 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    for row in words.toLocalIterator():
+        table[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
+    return table
+
+
+def _few_keys(gap: int, crowded):
+    """The keys of a member that have to be tried, those not crowded first: one more than may be missing in a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for keys, n in zip(batch.column("keys"), batch.column("nx").to_pylist()):
+                k = np.sort(keys.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                at = k >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+                full = crowded.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+                kept.append(np.concatenate([k[~full], k[full]])[: gap * n // 100 + 1])
+            lists = int64_list(np.concatenate(kept) if kept else np.zeros(0, np.uint64), np.array([len(k) for k in kept], np.int64))
+            yield batch.set_column(batch.schema.get_field_index("keys"), "keys", lists)
+        release()
+
+    return run
+
+
+def _shared_keys(members: DataFrame, name: str) -> DataFrame:
+    """A row per member and key that others have too, one of them not linked to its pivot; ``c`` have it."""
+    rows = members.select("x", "nx", "ny", "e", "linked", "inner", F.explode("keys").alias("key"))
+    rows = bit_filter(rows, rows.where("not linked").select("key"), "key")
+    crowds = rows.groupBy("key").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("open")).where("c > 1 and open").select("key", "c")
+    return persist_table(rows.join(crowds, "key"), name)
+
+
+def _probes(shared: DataFrame, need: str) -> DataFrame:
+    """Inner members not linked to the pivot, with what they share, rarest first; ``early``: one of these is shared if ``need`` are."""
+    keys = shared.where("inner and not linked").groupBy("x", "nx", "ny", "e").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    rows = keys.select("x", "nx", "ny", "e", F.expr(f"size(keys) - ({need}) + 1").alias("first"), F.posexplode("keys"))
+    return rows.select("x", "nx", "ny", "e", F.lit(True).alias("inner"), (F.col("pos") < F.col("first")).alias("early"), F.col("col.key").alias("key"))
+
+
+def _open_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """``x, y, nx, ny``: members of one pivot, not both linked to it, that may link with each other.
+
+    Of a set of size ``n``, at most ``n * (100 - percent) / 100`` elements are
+    missing in a set that it links to.  A member with more than that beyond the pivot
+    must share one of them with its partner, and the first that they share is among
+    that many and one more in either, in any order; crowded elements come last.
+
+    The others, ``inner`` here, lie almost within the pivot.  Let ``a`` not be linked
+    to the pivot, of size ``n``.  With nothing beyond the pivot in common, ``a`` and
+    ``b`` differ in at least ``ea + nb - n`` elements, and without a lack in common in
+    at least ``ea + n - nb``; each element in common takes two from that.  So a ``b``
+    no shorter than the pivot only links if both share elements beyond it; a
+    shorter one only if they share lacks, or elements beyond where the first bound says so.
+    """
+    gap, total = 100 - percent, 100 + percent
+    members = deltas.withColumn("inner", F.expr(f"100 * size(beyond) <= {gap} * nx"))
+
+    def keyed(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("x", "nx", "ny", "e", "linked", "inner", F.transform(side, lambda element: F.xxhash64("y", element)).alias("keys"))
+
+    outside = keyed(members, "beyond")
+    crowded = deltas.sparkSession.sparkContext.broadcast(_crowded_bits(outside.select(F.explode("keys").alias("key"))))
+    beyond = _shared_keys(outside.mapInArrow(_few_keys(gap, crowded), outside.schema), "beyond")
+    lacks = _shared_keys(keyed(members.where("inner and (not linked or nx < ny)"), "lacks"), "lacks")
+    up, two = 2 * total - 1, 2 * total
+    by_beyond = persist_table(_probes(beyond, f"({total} * e - {gap} * (nx + ny) + {up}) div {two}"), "probes")
+    by_lack = _probes(lacks, f"({total} * (e + 1) - {gap} * (nx + ny - 1) + {up}) div {two}")
+
+    def meet(probes: DataFrame, shared: DataFrame, also: str) -> DataFrame:
+        # of two members not linked to the pivot, the one that is further away looks for the other
+        once = "linked or eb < ea or (eb = ea and b < a)"
+        near = f"{total} * abs(ea - eb) <= {gap} * (na + nb) and {percent} * na <= 100 * nb and {percent} * nb <= 100 * na"
+        one = probes.select("key", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("e").alias("ea"), F.col("ny").alias("n"), F.col("inner").alias("ia"))
+        two = shared.select("key", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("e").alias("eb"), F.col("inner").alias("ib"), "linked")
+        return one.join(two, "key").where(f"a != b and ({once}) and {near} and ({also})").select("a", "b", "na", "nb")
+
+    apart = f"{total} * (ea + nb - n) > {gap} * (na + nb)"
+    pairs = meet(beyond.where("not linked"), beyond, "not (ia and ib)")
+    inner = beyond.where("inner")
+    pairs = pairs.unionByName(meet(by_beyond.where("early"), inner.where("nx >= ny"), "true"))
+    pairs = pairs.unionByName(meet(by_beyond, inner.where("nx < ny"), apart))
+    pairs = pairs.unionByName(meet(by_lack.where("early"), lacks.where("nx < ny"), f"not ({apart})"))
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("if(a < b, na, nb)").alias("nx"), F.expr("if(a < b, nb, na)").alias("ny")).distinct()
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
     two = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
