@@ -59,3 +59,55 @@ o AS (SELECT pair_id, count(*) FILTER (WHERE common) AS n_prompt_turns, bool_and
   CAST(coalesce(sum(an) FILTER (WHERE NOT common AND ar = 'assistant'), 0) AS BIGINT) AS chosen_trained, CAST(coalesce(sum(bn) FILTER (WHERE NOT common AND br = 'assistant'), 0) AS BIGINT) AS rejected_trained FROM r GROUP BY 1)
 SELECT pair_id, pair_id * 2 AS chosen_id, pair_id * 2 + 1 AS rejected_id, n_prompt_turns, identical, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256,
   CAST(length(prompt) AS BIGINT) AS prompt_chars, CAST(length(chosen) AS BIGINT) AS chosen_chars, CAST(length(rejected) AS BIGINT) AS rejected_chars, chosen_trained, rejected_trained FROM o"""
+
+
+def _kept(scale: int, also: str) -> str:
+    return f"""kept AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {also} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+_APART = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+#: Division of whole numbers rounds to zero in SQL, so the rest is taken off first.
+_FLOOR_MEAN = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT kept.*, c{i}.c, {_APART.format("kept.v", f"c{i}.w")} AS d FROM kept, c{i}) GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS (SELECT c, coalesce(m.w, c{i}.w) AS w FROM c{i} LEFT JOIN (SELECT c, list(x ORDER BY j) AS w
+  FROM (SELECT c, j, {_FLOOR_MEAN} AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) m USING (c))"""
+            )
+    return f"""WITH {_kept(64, "len(embedding) = 64")}, c0 AS (SELECT row_number() OVER (ORDER BY h, w) - 1 AS c, w FROM
+  (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v AS w FROM kept ORDER BY h, w LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS (SELECT r, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT cut.*, b{i}.e, {_APART.format("cut.v", f"b{i}.w")} AS d FROM cut JOIN b{i} USING (p)) GROUP BY r, p)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} AS (SELECT p, e, coalesce(m.w, b{i}.w) AS w FROM b{i} LEFT JOIN (SELECT p, e, list(x ORDER BY j) AS w
+  FROM (SELECT p, e, j, {_FLOOR_MEAN} AS x FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY p, e, j) GROUP BY p, e) m USING (p, e))"""
+            )
+    return f"""WITH {_kept(4096, "embedding IS NOT NULL")}, cut AS (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept ORDER BY vec_id, v LIMIT {entries}), b0 AS (SELECT p, e, v AS w FROM cut JOIN first USING (r)),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM kept JOIN coded USING (r)"""
+
+
+OP11, OP12 = _op11(), _op12()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, langid, lm, mixing, ngram_join, oracles, preference, quality, sentencepiece, urls
+from . import centroids, codebooks, fingerprints, html_extract, langid, lm, mixing, ngram_join, oracles, preference, quality, sentencepiece, urls
 
 #: The folder of public vocabulary files; a parameter, not part of the package.
 TOKENIZERS = os.environ.get("BARQUALITY_TOKENIZERS", "/opt/tokenizers")
@@ -65,6 +65,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_mixing, op4_fingerprints, op5_url_filters,
-        op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_sentencepiece, op10_language_id, pipeline,
+        op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_sentencepiece, op10_language_id,
+        op11_centroid_clustering, op12_vector_codes, pipeline,
     )
 }
 
@@ -85,4 +94,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": oracles.OP3,
     "op5_url_filters": oracles.OP5,
     "op7_chat_formatting": oracles.OP7,
+    "op11_centroid_clustering": oracles.OP11,
+    "op12_vector_codes": oracles.OP12,
 }
