@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import licenses, urls
 from .common import WORD
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,3 +111,28 @@ SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTI
 
 
 OP11, OP12 = _op11(), _op12()
+
+
+def _op13() -> str:
+    templates = [licenses.words_of(t.text.encode()) for t in licenses.TEMPLATES]
+    sets = [sorted({w.decode() for w in ws}) for ws in templates]
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    known = ", ".join(f"({i}, '{t.label}', {licenses.step_of(len(ws))}, {licenses.needed(len(s), licenses.PERCENT)}, {quoted(s)})" for i, (t, ws, s) in enumerate(zip(licenses.TEMPLATES, templates, sets)))
+    phrases = ", ".join(f"('{p.label}', {quoted([w.decode() for w in licenses.words_of(p.text.encode())])})" for p in licenses.PHRASES)
+    return rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+phrases(label, p) AS (VALUES {phrases}),
+place AS (SELECT r, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(p)] = p)) AS i FROM w JOIN phrases ON len(list_intersect(ws, p)) = len(p)),
+templates(t, label, step, need, s) AS (VALUES {known}),
+steps AS (SELECT step, list_distinct(flatten(list(s))) AS vocabulary FROM templates GROUP BY step),
+cut AS (SELECT r, step, vocabulary, ws, unnest(range(0, len(ws), step)) AS first FROM w, steps),
+blocks AS (SELECT r, step, first, list_intersect(list_distinct(ws[first + 1 : first + 2 * step]), vocabulary) AS b FROM cut),
+met AS (SELECT r, t, label, s, first, first + 2 * step AS stop, len(list_intersect(b, s)) / len(s) AS share FROM blocks JOIN templates USING (step) WHERE len(b) >= need AND len(list_intersect(b, s)) >= need),
+left_over AS (SELECT * FROM met a WHERE NOT EXISTS (FROM met b WHERE a.r = b.r AND a.label <> b.label AND len(a.s) < len(b.s) AND list_has_all(b.s, a.s) AND b.first < a.stop AND a.first < b.stop)),
+based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
+labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM place UNION SELECT r, label FROM left_over) GROUP BY r),
+scored AS (SELECT r, max(share) AS score, count(*) AS n_blocks FROM left_over GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM w LEFT JOIN based USING (r) LEFT JOIN labelled USING (r) LEFT JOIN scored USING (r)"""
+
+
+OP13 = _op13()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, codebooks, fingerprints, html_extract, langid, lm, mixing, ngram_join, oracles, preference, quality, sentencepiece, urls
+from . import centroids, codebooks, fingerprints, html_extract, langid, licenses, lm, mixing, ngram_join, oracles, preference, quality, sentencepiece, urls
 
 #: The folder of public vocabulary files; a parameter, not part of the package.
 TOKENIZERS = os.environ.get("BARQUALITY_TOKENIZERS", "/opt/tokenizers")
@@ -73,6 +73,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_mixing, op4_fingerprints, op5_url_filters,
         op6_lm_scoring, op7_chat_formatting, op8_html_extraction, op9_sentencepiece, op10_language_id,
-        op11_centroid_clustering, op12_vector_codes, pipeline,
+        op11_centroid_clustering, op12_vector_codes, op13_license_scan, pipeline,
     )
 }
 
@@ -96,4 +100,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_formatting": oracles.OP7,
     "op11_centroid_clustering": oracles.OP11,
     "op12_vector_codes": oracles.OP12,
+    "op13_license_scan": oracles.OP13,
 }
