@@ -474,6 +474,64 @@ def evidence_pack(spark, sf_dir):
     return full.select("contract", "code", "occurrences", "per_1k_bars", "days_affected_share", "max_magnitude", naive("first_seen"))
 
 
+# -- all codes at once -----------------------------------------------------------
+
+#: ``derived.audited_bars`` and the occurrences of all codes in them, of the daily bars the missing sessions.
+_AUDITED = INTRADAY.replace("bars AS", "base AS", 1) + """, hours AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM base),
+  once AS (SELECT contract, ts, CASE WHEN h % 13 = 0 THEN high + 5 WHEN h % 19 = 0 THEN 0.0 ELSE open END AS open, CASE WHEN h % 11 = 0 THEN low - 1 WHEN h % 23 = 0 THEN CAST('inf' AS DOUBLE) ELSE high END AS high, low,
+    CASE WHEN h % 17 = 0 THEN low - 5 ELSE close END AS close, CASE WHEN h % 29 = 0 THEN -volume WHEN h % 31 = 0 THEN NULL ELSE volume END AS volume, h FROM hours),
+  bars AS (SELECT contract, ts, open, high, low, close, volume FROM once UNION ALL SELECT contract, ts, open, high, low, close, volume FROM once WHERE h % 37 = 0 UNION ALL SELECT contract, ts, open + 0.5, high, low, close, volume FROM once WHERE h % 41 = 0),
+  audit AS (SELECT contract, ts, 'superseded_in_file' AS reason FROM once WHERE h % 43 = 0 UNION ALL SELECT contract, ts, 'superseded_by_run' FROM once WHERE h % 86 = 0)"""
+_NONE = "CAST(NULL AS TIMESTAMP) AS end_ts, 1 AS weight, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS minutes, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(NULL AS BIGINT) AS expected_s"
+_FOUND = f"""{GAPS.replace(INTRADAY, _AUDITED)}, {DATED},
+  {_OUTLIERS.replace(INTRADAY + ", ", "")},
+  spikes AS (SELECT *, CASE WHEN count(*) OVER f >= 20 THEN quantile_cont(coalesce(volume, 0), 0.5) OVER f END AS local_median FROM bars WINDOW f AS (PARTITION BY contract ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+  copies AS (SELECT contract, ts, open, count(*) AS n FROM bars GROUP BY contract, ts, open, high, low, close, volume HAVING count(*) > 1),
+  instants AS (SELECT contract, ts, count(*) AS n, count(DISTINCT (open, high, low, close, volume)) AS variants FROM bars GROUP BY 1, 2 HAVING count(*) > 1),
+  found AS (SELECT contract, 'exact_duplicate' AS code, concat(ts, open) AS grp, ts, {_NONE.replace("1 AS weight", "n - 1 AS weight")} FROM copies
+    UNION ALL SELECT contract, CASE WHEN variants > 1 THEN 'conflicting_duplicate' ELSE 'repeated_timestamp' END, '', ts, {_NONE} FROM instants
+    UNION ALL SELECT contract, 'price_return_outlier', '', ts, {_NONE.replace("CAST(NULL AS DOUBLE) AS x", "round(score, 1) AS x")} FROM scored WHERE score > 3
+    UNION ALL SELECT contract, 'volume_spike', '', ts, {_NONE.replace("CAST(NULL AS DOUBLE) AS x", "round(volume / local_median, 1) AS x")} FROM spikes WHERE local_median > 0 AND volume > 3 * local_median AND contract IN (SELECT contract FROM bars GROUP BY 1 HAVING count(*) >= 50)
+    UNION ALL SELECT contract, 'resolved_instant_conflict', '', ts, {_NONE} FROM audit
+    UNION ALL SELECT contract, code, '', prev_ts + to_seconds(expected_s), ts - to_seconds(expected_s), 1, NULL, gap_minutes, prev_ts, ts, expected_s FROM classified
+    {" ".join(f"UNION ALL SELECT contract, '{c}', '', ts, {_NONE} FROM bars WHERE {p}" for c, p in _CHECKS.items())})"""
+_EVERY = f"""{_FOUND}, holed AS ({_SESSIONS}),
+  every AS (SELECT 'minute' AS frequency, *, CAST({CHICAGO.format("ts")} AS DATE) AS day, CAST(hour({CHICAGO.format("ts")}) AS INTEGER) AS hour,
+      EXISTS (SELECT 1 FROM classified g WHERE g.contract = found.contract AND g.ts <= found.ts AND found.ts - g.ts <= INTERVAL 5 MINUTE) AS near, EXISTS (SELECT 1 FROM classified g WHERE g.contract = found.contract) AS gapped FROM found
+    UNION ALL SELECT 'daily', contract, 'missing_sessions', '', CAST(missing_date AS TIMESTAMP), {_NONE}, missing_date, NULL, false, false FROM holed),
+  scope AS (SELECT 'minute' AS frequency, count(*) AS bars, count(DISTINCT trading_date) AS days FROM dated UNION ALL SELECT 'daily', count(*), count(DISTINCT trading_date) FROM days WHERE trading_date NOT IN (DATE '1996-03-05', DATE '1997-07-09'))"""
+_KEY = "frequency, contract, code, grp"
+
+
+@query(f"""WITH {DAYS}, {_EVERY}, total AS (SELECT {_KEY}, CAST(CASE WHEN code = 'resolved_instant_conflict' THEN count(DISTINCT ts) ELSE sum(weight) END AS BIGINT) AS occurrences, count(*) AS analysed,
+    CASE WHEN code IN ('intra_session_gap', 'extended_gap') THEN min(lo) ELSE min(ts) END AS first_seen,
+    CASE WHEN code IN ('intra_session_gap', 'extended_gap') THEN max(hi) WHEN code = 'session_break' THEN max(ts) ELSE max(coalesce(end_ts, ts)) END AS last_seen, count(DISTINCT day) AS days_affected, CAST(round_even(max(x), 1) AS DOUBLE) AS max_magnitude, max(expected_s) AS expected_interval_s,
+    list(minutes ORDER BY minutes) FILTER (WHERE minutes IS NOT NULL) AS m, CASE WHEN bool_or(gapped) AND max(lo) IS NULL THEN CAST(round_even(count(*) FILTER (WHERE near) / count(*), 3) AS DOUBLE) END AS share_after_gap,
+    CASE WHEN max(day) - min(day) <= 182 THEN 'week' WHEN max(day) - min(day) <= 1098 THEN 'month' ELSE 'quarter' END AS period FROM every GROUP BY {_KEY}),
+  tops AS (SELECT {_KEY}, string_agg(hour || ':' || n || ':' || CAST(round(round_even(n / t, 3) * 1000) AS BIGINT), ',' ORDER BY r) AS top_hours FROM (SELECT {_KEY}, hour, count(*) AS n, sum(count(*)) OVER (PARTITION BY {_KEY}) AS t, row_number() OVER (PARTITION BY {_KEY} ORDER BY count(*) DESC, hour) AS r FROM every WHERE frequency = 'minute' GROUP BY {_KEY}, hour) WHERE r <= 3 GROUP BY {_KEY}),
+  week AS (SELECT {_KEY}, string_agg(left(dayname(day), 3) || '=' || n, ',' ORDER BY isodow(day)) AS weekdays FROM (SELECT {_KEY}, min(day) AS day, count(*) AS n FROM every GROUP BY {_KEY}, isodow(day)) GROUP BY {_KEY}),
+  trend AS (SELECT {_KEY}, string_agg(start || '=' || n, ',' ORDER BY start) AS period_counts FROM (SELECT {_KEY}, CAST(CASE period WHEN 'week' THEN date_trunc('week', day) WHEN 'month' THEN date_trunc('month', day) ELSE date_trunc('quarter', day) END AS DATE) AS start, count(*) AS n FROM every JOIN total USING ({_KEY}) GROUP BY {_KEY}, start) GROUP BY {_KEY})
+  SELECT frequency, contract, code, occurrences, analysed, CAST(round_even(occurrences * 1000 / s.bars, 2) AS DOUBLE) AS per_1k_bars, first_seen, last_seen, expected_interval_s, days_affected,
+    CASE WHEN days_affected <= s.days AND code <> 'missing_sessions' THEN CAST(round_even(days_affected / s.days, 3) AS DOUBLE) END AS days_affected_share, max_magnitude,
+    CAST(round_even(list_aggregate(m, 'median'), 1) AS DOUBLE) AS median_duration_min, CAST(round_even(m[CAST(floor((len(m) - 1) * 0.9 + 0.5) AS BIGINT) + 1], 1) AS DOUBLE) AS p90_duration_min, share_after_gap, period, top_hours, weekdays, period_counts
+  FROM total JOIN scope s USING (frequency) JOIN week USING ({_KEY}) JOIN trend USING ({_KEY}) LEFT JOIN tops USING ({_KEY})""")
+def evidence_all_codes(spark, sf_dir):
+    bars, superseded = derived.audited_bars(spark, sf_dir)
+    days = _holed(spark, sf_dir)
+    minutes = evidence.evidence(occurrences.of_bars(bars, MINUTE, TIGHT, superseded), bars, MINUTE, TIGHT)
+    daily = evidence.evidence(occurrences.of_bars(days, DAILY, TIGHT).where("code = 'missing_sessions'"), days, DAILY, TIGHT)
+    both = minutes.withColumn("frequency", F.lit(MINUTE)).unionByName(daily.withColumn("frequency", F.lit(DAILY)), allowMissingColumns=True)
+    listed = {
+        "top_hours": F.concat_ws(",", F.transform("top_hours", lambda h: F.concat_ws(":", h["hour"], h["n"], F.round(h["share"] * 1000).cast("bigint")))),
+        "weekdays": F.concat_ws(",", *[F.concat(F.lit(f"{d}="), F.col("weekday_counts")[d]) for d in evidence.WEEKDAYS]),
+        "period_counts": F.concat_ws(",", F.transform("period_counts", lambda p: F.concat_ws("=", p["start"], p["n"]))),
+    }
+    return both.withColumns(listed).select(
+        "frequency", "contract", "code", "occurrences", "analysed", "per_1k_bars", naive("first_seen"), naive("last_seen"), "expected_interval_s", "days_affected", "days_affected_share", "max_magnitude",
+        "median_duration_min", "p90_duration_min", "share_after_gap", "period", F.when(F.col("frequency") == MINUTE, F.col("top_hours")).alias("top_hours"), "weekdays", "period_counts",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -5,56 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import local_date, wall
 from ..schema import MINUTE, Settings
+from ..shared import written
+from . import cube as cubes
+from .cube import AFTER_GAP_MINUTES, FINDING
 from .occurrences import GAP_CODES
 
-AFTER_GAP_MINUTES = 5
 TOP_HOURS = 3
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
-#: The figure that says how extreme an occurrence is.
-MAGNITUDE = {"price_return_outlier": "mad_score", "volume_spike": "x_median"}
 
 
-def dated(occurrences: DataFrame, frequency: str = MINUTE, settings: Settings = Settings()) -> DataFrame:
-    """Occurrences with the day and hour they belong to: exchange time for minutes, the session date for days."""
-    if frequency == MINUTE:
-        return occurrences.withColumn("day", local_date(F.col("ts"), settings.daily_bar_tz)).withColumn("hour", F.hour(wall(F.col("ts"), settings.daily_bar_tz)))
-    return occurrences.withColumn("day", F.to_date("ts")).withColumn("hour", F.lit(None).cast("int"))
+def _n(rows: DataFrame) -> Column:
+    """How many occurrences rows stand for: one each, or what the cells of a cube have counted."""
+    return (F.sum("rows") if "rows" in rows.columns else F.count("*")).alias("n")
 
 
-def top_hours(occurrences: DataFrame, by: list[str]) -> DataFrame:
+def top_hours(rows: DataFrame, by: list[str]) -> DataFrame:
     """The busiest hours per finding with their share, the earlier hour first on ties."""
-    counts = occurrences.groupBy(*by, "hour").agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*by, "hour").agg(_n(rows))
     best = Window.partitionBy(*by).orderBy(F.col("n").desc(), "hour")
     total = F.sum("n").over(Window.partitionBy(*by))
     ranked = counts.withColumn("rank", F.row_number().over(best)).withColumn("share", F.bround(F.col("n") / total, 3))
     return ranked.where(F.col("rank") <= TOP_HOURS).select(*by, "rank", "hour", "n", "share")
 
 
-def weekday_counts(occurrences: DataFrame, by: list[str]) -> DataFrame:
-    return occurrences.groupBy(*by, F.weekday("day").alias("_d")).agg(F.count("*").alias("n")).select(*by, F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.col("_d") + 1).alias("weekday"), "n")
+def weekday_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by, F.weekday("day").alias("_d")).agg(_n(rows)).select(*by, F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.col("_d") + 1).alias("weekday"), "n")
 
 
-def durations(occurrences: DataFrame, by: list[str]) -> DataFrame:
-    """Median and 90th percentile (nearest rank) of gap lengths in minutes."""
-    sizes = occurrences.select(*by, F.col("metrics")["gap_minutes"].alias("m")).where("m is not null")
-    # nearest rank over counts per distinct length, so no list of lengths is gathered
-    counts = sizes.groupBy(*by, "m").agg(F.count("*").alias("n"))
+def durations(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Median and 90th percentile (nearest rank) of gap lengths in minutes, from the count of each length."""
+    length = F.col("minutes") if "minutes" in rows.columns else F.col("metrics")["gap_minutes"]
+    counts = rows.withColumn("m", length).where("m is not null").groupBy(*by, "m").agg(_n(rows))
     upto = F.sum("n").over(Window.partitionBy(*by).orderBy("m"))
     total = F.sum("n").over(Window.partitionBy(*by))
-    place = F.floor((F.col("total") - 1) * 0.9 + 0.5) + 1
-    p90 = counts.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= place).groupBy(*by).agg(F.min("m").alias("p90"))
-    median = sizes.groupBy(*by).agg(F.percentile("m", F.lit(0.5)).alias("median"))
-    return median.join(p90, by).select(*by, F.bround("median", 1).alias("median_duration_min"), F.bround("p90", 1).alias("p90_duration_min"))
 
+    def at(place: Column) -> Column:
+        """The length at a place counted from 0."""
+        return F.min(F.when(F.col("upto") > place, F.col("m")))
+
+    t = F.col("total")
+    placed = counts.withColumn("upto", upto).withColumn("total", total)
+    median = (at(F.floor((t - 1) / 2)) + at(F.ceil((t - 1) / 2))) / 2
+    return placed.groupBy(*by).agg(F.bround(median, 1).alias("median_duration_min"), F.bround(at(F.floor((t - 1) * 0.9 + 0.5)), 1).alias("p90_duration_min"))
 
-def periods(occurrences: DataFrame, by: list[str]) -> DataFrame:
+
+def periods(rows: DataFrame, by: list[str]) -> DataFrame:
     """Occurrences per week, month or quarter, depending on the span; empty periods are left out."""
-    span = occurrences.groupBy(*by).agg(F.datediff(F.max("day"), F.min("day")).alias("span"))
+    days = rows.groupBy(*by, "day").agg(_n(rows))
+    whole = Window.partitionBy(*by)
+    span = F.datediff(F.max("day").over(whole), F.min("day").over(whole))
     size = F.when(F.col("span") <= 182, "week").when(F.col("span") <= 1098, "month").otherwise("quarter")
     start = F.when(F.col("period") == "week", F.date_trunc("week", "day")).when(F.col("period") == "month", F.date_trunc("month", "day")).otherwise(F.date_trunc("quarter", "day"))
-    return occurrences.join(span.withColumn("period", size).drop("span"), by).groupBy(*by, "period", start.cast("date").alias("start")).agg(F.count("*").alias("n"))
+    return days.withColumn("span", span).withColumn("period", size).groupBy(*by, "period", start.cast("date").alias("start")).agg(F.sum("n").alias("n"))
 
 
 def share_after_gap(occurrences: DataFrame, resumes: DataFrame, by: list[str]) -> DataFrame:
@@ -73,40 +76,46 @@ def share_after_gap(occurrences: DataFrame, resumes: DataFrame, by: list[str]) -
     return met.groupBy(*by).agg(F.bround(F.count("_near") / F.count("*"), 3).alias("share_after_gap"))
 
 
+dated = cubes.dated
+
+
 def resumes(occurrences: DataFrame) -> DataFrame:
     """contract, resume: the bars that end gaps."""
     return occurrences.where(F.col("code").isin(*GAP_CODES)).select("contract", F.timestamp_micros(F.col("metrics")["resume_us"].cast("bigint")).alias("resume"))
 
 
-def magnitude(code: Column, metrics: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, key in MAGNITUDE.items():
-        out = F.when(code == name, metrics[key]).otherwise(out)
-    return out
+def scope_of(bars: DataFrame) -> DataFrame:
+    return bars.agg(F.count("*").alias("bars_checked"), F.countDistinct("trading_date").alias("trading_days"))
 
 
-def evidence(occurrences: DataFrame, bars: DataFrame, frequency: str = MINUTE, settings: Settings = Settings()) -> DataFrame:
-    """One row per finding (contract, code, group) with its counts, days, hours, lengths, trend and extremes."""
-    by = ["contract", "code", "group"]
-    occ = dated(occurrences.withColumn("group", F.coalesce("group", F.lit(""))), frequency, settings)
-    scope = bars.agg(F.count("*").alias("bars_checked"), F.countDistinct("trading_date").alias("trading_days"))
-    base = occ.groupBy(*by).agg(
-        F.sum("weight").alias("occurrences"),
-        F.count("*").alias("analysed"),
-        F.min("ts").alias("first_seen"),
-        F.max(F.coalesce("end_ts", "ts")).alias("last_seen"),
-        F.countDistinct("day").alias("days_affected"),
-        F.bround(F.max(magnitude(F.col("code"), F.col("metrics"))), 1).alias("max_magnitude"),
-        F.max(F.col("metrics")["expected_s"]).cast("bigint").alias("expected_interval_s"),
-    )
-    figures = base.withColumn("bars_checked", scope.select("bars_checked").scalar()).withColumn("trading_days", scope.select("trading_days").scalar())
+def figures(cube: DataFrame, scope: DataFrame, frequency: str = MINUTE, page: DataFrame | None = None) -> DataFrame:
+    """All figures of each finding (contract, code, group) from a written cube.
+
+    ``scope`` is one row, bars_checked and trading_days; ``page`` names the
+    findings that are wanted, a bounded number of them.
+    """
+    by = list(FINDING)
+    gapped = cubes.contracts_with_gaps(cube)
+    if page is not None:
+        cube = cube.join(F.broadcast(page), by, "left_semi")
+    found = cubes.seen(cube).withColumn("bars_checked", scope.select("bars_checked").scalar()).withColumn("trading_days", scope.select("trading_days").scalar())
     share = F.when((F.col("days_affected") <= F.col("trading_days")) & (F.col("code") != "missing_sessions"), F.bround(F.col("days_affected") / F.col("trading_days"), 3))
-    figures = figures.withColumn("days_affected_share", share).withColumn("per_1k_bars", F.when(F.col("bars_checked") > 0, F.bround(F.col("occurrences") * 1000 / F.col("bars_checked"), 2)).otherwise(0.0))
-    days = weekday_counts(occ, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("weekday", "n"))).alias("weekday_counts"))
-    trend = periods(occ, by).groupBy(*by).agg(F.first("period").alias("period"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("period_counts"))
-    figures = figures.join(days, by, "left").join(trend, by, "left").join(durations(occ, by), by, "left")
+    found = found.withColumn("days_affected_share", share).withColumn("per_1k_bars", F.when(F.col("bars_checked") > 0, F.bround(F.col("occurrences") * 1000 / F.col("bars_checked"), 2)).otherwise(0.0))
+    days = weekday_counts(cube, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("weekday", "n"))).alias("weekday_counts"))
+    trend = periods(cube, by).groupBy(*by).agg(F.first("period").alias("period"), F.array_sort(F.collect_list(F.struct("start", "n"))).alias("period_counts"))
+    found = found.join(days, by, "left").join(trend, by, "left").join(durations(cube, by), by, "left")
     if frequency == MINUTE:
-        hours = top_hours(occ, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "hour", "n", "share"))).alias("top_hours"))
-        after = share_after_gap(occ.where(~F.col("code").isin(*GAP_CODES)), resumes(occurrences), by)
-        figures = figures.join(hours, by, "left").join(after, by, "left")
-    return figures
+        hours = top_hours(cube, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "hour", "n", "share"))).alias("top_hours"))
+        near = cube.where(~F.col("code").isin(*GAP_CODES)).groupBy(*by).agg(F.bround(F.sum(F.when(F.col("near"), F.col("rows")).otherwise(0)) / F.sum("rows"), 3).alias("share_after_gap"))
+        after = near.join(gapped, "contract", "left_semi")
+        found = found.join(hours, by, "left").join(after, by, "left")
+    return found
+
+
+def evidence(occurrences: DataFrame, bars: DataFrame, frequency: str = MINUTE, settings: Settings = Settings()) -> DataFrame:
+    """One row per finding with its counts, days, hours, lengths, trend and extremes.
+
+    The rules run once, for the cube, which is written to the shared folder.
+    """
+    cube = written(cubes.cells(occurrences, frequency, settings), "evidence-cube")
+    return figures(cube, scope_of(bars), frequency)

@@ -50,7 +50,7 @@ RUNS = T.StructType(
 #: Rank of a severity; reports put the highest first.
 SEVERITIES = {"info": 0, "warning": 1, "error": 2}
 
-#: category and severity (minute, daily) of every finding code.
+#: Category and severity (minute, daily) of every finding code.
 CODES: dict[str, tuple[str, str, str]] = {
     "exact_duplicate": ("duplicate", "error", "error"),
     "conflicting_duplicate": ("conflict", "error", "error"),
@@ -87,4 +87,5 @@ class Settings:
     volume_spike_threshold: float = 20.0
     gap_min_multiple: float = 1.5
     detail_cap: int = 500
-    insights_detail_cap: int = 50_000
+    #: Findings of an evidence pack that come to the driver at a time.
+    pack_limit: int = 500

@@ -87,3 +87,28 @@ def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("orders").alias("__source_file"),
         key.cast("bigint").alias("__row_number"),
     )
+
+
+def audited_bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, superseded): hourly bars in which every rule for minutes finds something.
+
+    Prices and volumes are broken by the hour since 1970; some rows come twice,
+    some again with another open, and some are in the audit trail.
+    """
+    hour = F.floor(F.unix_seconds("ts") / 3600)
+    base = intraday_bars(spark, sf_dir).withColumn("_hour", hour).withColumn("_high", F.col("high"))
+    h = F.col("_hour")
+    once = base.withColumns(
+        {
+            "high": F.when(h % 11 == 0, F.col("low") - 1).when(h % 23 == 0, F.lit(float("inf"))).otherwise(F.col("high")),
+            "open": F.when(h % 13 == 0, F.col("_high") + 5).when(h % 19 == 0, F.lit(0.0)).otherwise(F.col("open")),
+            "close": F.when(h % 17 == 0, F.col("low") - 5).otherwise(F.col("close")),
+            "volume": F.when(h % 29 == 0, -F.col("volume")).when(h % 31 == 0, F.lit(None)).otherwise(F.col("volume")),
+        }
+    )
+    # the copies come out of one pass over the rows
+    copies = F.array_compact(F.array(F.lit(0), F.when(h % 37 == 0, F.lit(1)), F.when(h % 41 == 0, F.lit(2))))
+    bars = once.withColumn("_copy", F.explode(copies)).withColumn("open", F.when(F.col("_copy") == 2, F.col("open") + 0.5).otherwise(F.col("open")))
+    times = F.when(h % 86 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    superseded = once.where(h % 43 == 0).withColumn("_copy", F.explode(times)).withColumn("reason", F.when(F.col("_copy") == 0, "superseded_in_file").otherwise("superseded_by_run"))
+    return tuple(x.withColumn("row_hash", row_hash()) for x in (bars.select(*BAR_COLUMNS), superseded.select(*BAR_COLUMNS, "reason")))

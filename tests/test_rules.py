@@ -1,9 +1,11 @@
 import datetime as dt
 import math
 import random
+import statistics
+import zoneinfo
 
-from barquality.operators import duplicates, evidence, gaps, occurrences, outliers, values
-from barquality.plans import report
+from barquality.operators import cube, duplicates, evidence, gaps, occurrences, outliers, values
+from barquality.plans import insights, report
 from barquality.schema import DAILY, Settings
 from helpers import at, bars, flat
 
@@ -95,6 +97,74 @@ def test_halt_week_evidence(spark):
     assert e["weekday_counts"] == dict.fromkeys(("Mon", "Tue", "Wed", "Thu", "Fri"), 1) and e["period"] == "week"
 
 
+def _plain_evidence(occ, codes_of_gaps):
+    """Figures of each finding from all its occurrences, one by one."""
+    rows = [r.asDict() for r in occ.collect()]
+    ends = {}
+    for r in rows:
+        if r["code"] in codes_of_gaps:
+            ends.setdefault(r["contract"], []).append(r["metrics"]["resume_us"] / 1e6)
+    out = {}
+    for r in rows:
+        e = out.setdefault((r["contract"], r["code"], r["group"] or ""), {"n": 0, "weight": 0, "hours": {}, "days": set(), "lengths": [], "near": 0})
+        t = r["ts"].replace(tzinfo=dt.UTC)
+        local = t.astimezone(zoneinfo.ZoneInfo("America/Chicago"))
+        e["n"] += 1
+        e["weight"] += r["weight"]
+        e["hours"][local.hour] = e["hours"].get(local.hour, 0) + 1
+        e["days"].add(local.date())
+        e["near"] += any(0 <= t.timestamp() - x <= 300 for x in ends.get(r["contract"], []))
+        if r["metrics"] and r["metrics"].get("gap_minutes") is not None:
+            e["lengths"].append(r["metrics"]["gap_minutes"])
+    return out, ends
+
+
+def test_the_cube_gives_what_all_occurrences_give(spark):
+    rng, rows = random.Random(9), []
+    for contract in "AB":
+        for day in range(3, 8):
+            start = dt.datetime(2024, 6, day, 13, tzinfo=dt.UTC)
+            for i in range(300):
+                if rng.random() < 0.9 and not 100 <= i < 100 + 10 * day:
+                    price = 100 + rng.random() + (30 if rng.random() < 0.03 else 0)
+                    rows += flat(contract, [start + dt.timedelta(minutes=i)], price, rng.choice([1, 5, 100, 5000, None, -1])) * rng.choice([1, 1, 1, 2])
+    rows += flat("C", [at(i) for i in range(60)], volume=None)  # no gap
+    b = bars(spark, rows)
+    lost = b.where("minute(ts) % 10 = 0").selectExpr("*", "'superseded_by_run' AS reason")
+    occ = occurrences.of_bars(b, superseded=lost, settings=Settings(outlier_mad_threshold=3.0, volume_spike_threshold=3.0)).cache()
+    want, ends = _plain_evidence(occ, occurrences.GAP_CODES)
+    got = {(r["contract"], r["code"], r["group"]): r for r in evidence.evidence(occ, b).collect()}
+    assert set(got) == set(want) and len({code for _, code, _ in got}) >= 8
+    for key, e in want.items():
+        r = got[key]
+        assert r["analysed"] == e["n"] and r["days_affected"] == len(e["days"])
+        best = sorted(e["hours"].items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [(h["hour"], h["n"]) for h in r["top_hours"]] == best
+        assert sum(r["weekday_counts"].values()) == sum(p["n"] for p in r["period_counts"]) == e["n"]
+        if key[1] in occurrences.GAP_CODES or key[0] not in ends:
+            assert r["share_after_gap"] is None
+        else:
+            assert r["share_after_gap"] == round(e["near"] / e["n"], 3)
+        assert r["median_duration_min"] == (round(statistics.median(e["lengths"]), 1) if e["lengths"] else None)
+    assert any(r["share_after_gap"] for r in got.values())
+
+
+def test_a_pack_is_a_page_of_the_findings(spark):
+    rows = [("C", at(i), 1, 2, 1, 1, 5) for i in range(7) for _ in range(2)] + [("C", at(9), 1, 1, 2, 1, -1)]
+    b = bars(spark, rows)
+    whole = insights.evidence_pack(b)
+    some = [insights.evidence_pack(b, settings=Settings(pack_limit=4), offset=i) for i in (0, 4, 8)]
+    assert whole["scope"]["findings"] == len(whole["evidence"]) == 12  # seven doubled bars, one repetition of instants, and what the last row breaks
+    assert [e for s in some for e in s["evidence"]] == whole["evidence"] and all(len(s["evidence"]) == 4 for s in some)
+
+
+def test_the_cube_runs_each_rule_once(spark):
+    b = bars(spark, flat("C", [at(i) for i in range(90) if i % 13]))
+    occ = occurrences.of_bars(b)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans(cube.cells(occ)) == scans(occ)
+
+
 def test_deep_pages_do_not_overlap(spark):
     rows = flat("C", [at(i) for i in range(3000) if i % 7])
     occ = occurrences.of_bars(bars(spark, rows)).cache()
