@@ -395,9 +395,9 @@ def localise_dst(spark, sf_dir):
 # -- reports and evidence --------------------------------------------------------
 
 
-def _occurrences(spark, sf_dir, dirty: bool = True) -> DataFrame:
+def _occurrences(spark, sf_dir, *codes: str, dirty: bool = True) -> DataFrame:
     bars = (derived.intraday_bars_dirty if dirty else derived.intraday_bars)(spark, sf_dir)
-    return occurrences.of_bars(bars, MINUTE, TIGHT)
+    return occurrences.of_bars(bars, MINUTE, TIGHT, codes=codes)
 
 
 _ALL = "WITH " + DIRTY + ", " + " , ".join(f"q_{c} AS (SELECT contract, '{c}' AS code FROM dirty WHERE {p})" for c, p in _CHECKS.items()) + ", found AS (" + " UNION ALL ".join(f"SELECT * FROM q_{c}" for c in _CHECKS) + ")"
@@ -406,29 +406,29 @@ _RANKS = "CASE code " + " ".join(f"WHEN '{c}' THEN '{v[1]}'" for c, v in CODES.i
 
 @query(f"{_ALL} SELECT contract, code, {_RANKS} AS severity, 'invalid_value' AS category, count(*) AS count FROM found GROUP BY 1, 2")
 def quality_summary(spark, sf_dir):
-    found = report.findings(_occurrences(spark, sf_dir))
-    return found.where(F.col("code").isin(*_CHECKS)).select("contract", "code", "severity", "category", "count")
+    found = report.findings(_occurrences(spark, sf_dir, *_CHECKS))
+    return found.select("contract", "code", "severity", "category", "count")
 
 
 @query(f"{_ALL} SELECT {_RANKS} AS severity, CAST(count(*) AS BIGINT) AS count, count(DISTINCT (contract, code)) AS issues FROM found GROUP BY 1")
 def severity_tally(spark, sf_dir):
-    return report.severity_tally(report.findings(_occurrences(spark, sf_dir)).where(F.col("code").isin(*_CHECKS)))
+    return report.severity_tally(report.findings(_occurrences(spark, sf_dir, *_CHECKS)))
 
 
 @query(f"WITH {DIRTY} SELECT contract, ts FROM dirty WHERE {_CHECKS['high_lt_low']} ORDER BY contract, ts LIMIT 40 OFFSET 20")
 def issue_detail_page(spark, sf_dir):
-    _, page = report.issue_details(_occurrences(spark, sf_dir), "high_lt_low", 40, 20)
+    _, page = report.issue_details(_occurrences(spark, sf_dir, "high_lt_low"), "high_lt_low", 40, 20)
     return page.select("contract", naive())
 
 
 @query(f"WITH {DIRTY}, n AS (SELECT contract, ts, row_number() OVER (PARTITION BY contract ORDER BY ts) AS r, count(*) OVER (PARTITION BY contract) AS t FROM dirty WHERE {_CHECKS['open_out_of_range']}) SELECT contract, ts, t AS detail_total, t > 10 AS truncated FROM n WHERE r <= 10")
 def issue_detail_samples(spark, sf_dir):
-    rows = report.samples(_occurrences(spark, sf_dir).where(F.col("code") == "open_out_of_range"), 10)
+    rows = report.samples(_occurrences(spark, sf_dir, "open_out_of_range"), 10)
     return rows.select("contract", naive(), "detail_total", "truncated")
 
 
 def _dated(spark, sf_dir, *codes: str) -> DataFrame:
-    return evidence.dated(_occurrences(spark, sf_dir, dirty=False).where(F.col("code").isin(*codes)))
+    return evidence.dated(_occurrences(spark, sf_dir, *codes, dirty=False))
 
 
 _OCC = f"WITH {GAPS}, occ AS (SELECT contract, code, prev_ts + to_seconds(expected_s) AS ts, ts AS resume, gap_minutes FROM classified), placed AS (SELECT *, CAST({CHICAGO.format('ts')} AS DATE) AS day, hour({CHICAGO.format('ts')}) AS hour FROM occ)"
@@ -457,7 +457,7 @@ def evidence_durations(spark, sf_dir):
 
 @query(f"{_OCC}, {_SPIKES.split(', w AS', 1)[1].join(['w AS', ''])}, hit AS (SELECT contract, ts FROM w WHERE local_median > 0 AND volume > 3 * local_median) SELECT contract, CAST(round_even(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM occ o WHERE o.contract = hit.contract AND o.resume <= hit.ts AND hit.ts - o.resume <= INTERVAL 5 MINUTE)) / count(*), 3) AS DOUBLE) AS share_after_gap FROM hit GROUP BY 1")
 def evidence_after_gap(spark, sf_dir):
-    occ = _occurrences(spark, sf_dir, dirty=False)
+    occ = _occurrences(spark, sf_dir, "volume_spike", *_GAP_CODES, dirty=False)
     return evidence.share_after_gap(occ.where("code = 'volume_spike'"), evidence.resumes(occ), ["contract"])
 
 
@@ -470,7 +470,7 @@ def evidence_days_affected(spark, sf_dir):
   SELECT contract, code, count(*) AS occurrences, CAST(round_even(count(*) * 1000 / (SELECT bars FROM n), 2) AS DOUBLE) AS per_1k_bars, CAST(round_even(count(DISTINCT CAST({CHICAGO.format('ts')} AS DATE)) / (SELECT days FROM n), 3) AS DOUBLE) AS days_affected_share, CAST(max(x) AS DOUBLE) AS max_magnitude, min(ts) AS first_seen FROM hit GROUP BY 1, 2""")
 def evidence_pack(spark, sf_dir):
     bars = derived.intraday_bars(spark, sf_dir)
-    full = evidence.evidence(occurrences.of_bars(bars, MINUTE, TIGHT).where("code = 'price_return_outlier'"), bars, MINUTE, TIGHT)
+    full = evidence.evidence(occurrences.of_bars(bars, MINUTE, TIGHT, codes=["price_return_outlier"]), bars, MINUTE, TIGHT)
     return full.select("contract", "code", "occurrences", "per_1k_bars", "days_affected_share", "max_magnitude", naive("first_seen"))
 
 
@@ -519,7 +519,7 @@ def evidence_all_codes(spark, sf_dir):
     bars, superseded = derived.audited_bars(spark, sf_dir)
     days = _holed(spark, sf_dir)
     minutes = evidence.evidence(occurrences.of_bars(bars, MINUTE, TIGHT, superseded), bars, MINUTE, TIGHT)
-    daily = evidence.evidence(occurrences.of_bars(days, DAILY, TIGHT).where("code = 'missing_sessions'"), days, DAILY, TIGHT)
+    daily = evidence.evidence(occurrences.of_bars(days, DAILY, TIGHT, codes=["missing_sessions"]), days, DAILY, TIGHT)
     both = minutes.withColumn("frequency", F.lit(MINUTE)).unionByName(daily.withColumn("frequency", F.lit(DAILY)), allowMissingColumns=True)
     listed = {
         "top_hours": F.concat_ws(",", F.transform("top_hours", lambda h: F.concat_ws(":", h["hour"], h["n"], F.round(h["share"] * 1000).cast("bigint")))),

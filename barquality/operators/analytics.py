@@ -110,9 +110,15 @@ def chart_points(points: DataFrame, zone: str = "America/Chicago") -> DataFrame:
 
     The second pass of the hour that a clock repeats goes.
     """
-    at = wall_seconds(F.col("ts"), zone)
-    before = Window.partitionBy("contract").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("wall_s", at).withColumn("_before", F.max("wall_s").over(before)).where("_before is null or wall_s > _before").drop("_before")
+    timed = points.withColumn("wall_s", wall_seconds(F.col("ts"), zone)).withColumn("_day", F.to_date("ts"))
+    # the latest of all earlier days, from a row per day, and of the rows before in the day itself
+    daily = timed.groupBy("contract", "_day").agg(F.max("wall_s").alias("_most"))
+    days = Window.partitionBy("contract").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = daily.select("contract", "_day", F.max("_most").over(days).alias("_carried"))
+    inside = Window.partitionBy("contract", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    met = timed.withColumn("_inside", F.max("wall_s").over(inside)).join(carried, ["contract", "_day"])
+    before = F.greatest("_carried", "_inside")
+    return met.where(before.isNull() | (F.col("wall_s") > before)).select(*points.columns, "wall_s")
 
 
 def contracts(bars: DataFrame) -> DataFrame:

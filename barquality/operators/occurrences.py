@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,33 +40,53 @@ def _shaped(rows: DataFrame, code: Column, *, group: Column | None = None, end:
     )
 
 
-def of_bars(bars: DataFrame, frequency: str = MINUTE, settings: Settings = Settings(), superseded: DataFrame | None = None, ordinal: str | None = None) -> DataFrame:
-    """The occurrences of every rule over all contracts of one frequency."""
+def of_bars(
+    bars: DataFrame, frequency: str = MINUTE, settings: Settings = Settings(), superseded: DataFrame | None = None, ordinal: str | None = None, codes: Collection[str] | None = None
+) -> DataFrame:
+    """The occurrences of every rule over all contracts of one frequency; with ``codes``, only rules that find these are run."""
     if ordinal is None:
         # stored bars have no order of arrival; any fixed one will do
         bars, ordinal = bars.withColumn("_order", F.xxhash64("row_hash", "source_file")), "_order"
     c = F.col
-    parts = [
-        _shaped(duplicates.exact_duplicates(bars, ordinal), F.lit("exact_duplicate"), group=c("row_hash"), end=c("end_ts"), weight=c("copies") - 1, metrics={"copies": c("copies")}, notes={"row_hash": c("row_hash")}),
-        _shaped(duplicates.repeated_instants(bars, ordinal), F.when(c("variants") > 1, "conflicting_duplicate").otherwise("repeated_timestamp"), metrics={"rows": c("rows"), "variants": c("variants")}),
-        _shaped(outliers.price_return_outliers(bars, settings), F.lit("price_return_outlier"), metrics={"log_return": c("log_return"), "mad_score": c("mad_score")}),
-        _shaped(outliers.volume_spikes(bars, settings), F.lit("volume_spike"), metrics={"local_median": c("local_median"), "x_median": c("x_median")}),
-        _shaped(values.invalid_values(bars, frequency), c("code")),
-    ]
-    if superseded is not None:
-        parts.append(_shaped(superseded, F.lit("resolved_instant_conflict"), notes={"reason": c("reason")}))
-    if frequency == MINUTE:
+
+    def duplicate():
+        return _shaped(duplicates.exact_duplicates(bars, ordinal), F.lit("exact_duplicate"), group=c("row_hash"), end=c("end_ts"), weight=c("copies") - 1, metrics={"copies": c("copies")}, notes={"row_hash": c("row_hash")})
+
+    def repeated():
+        return _shaped(duplicates.repeated_instants(bars, ordinal), F.when(c("variants") > 1, "conflicting_duplicate").otherwise("repeated_timestamp"), metrics={"rows": c("rows"), "variants": c("variants")})
+
+    def jumps():
+        return _shaped(outliers.price_return_outliers(bars, settings), F.lit("price_return_outlier"), metrics={"log_return": c("log_return"), "mad_score": c("mad_score")})
+
+    def spikes():
+        return _shaped(outliers.volume_spikes(bars, settings), F.lit("volume_spike"), metrics={"local_median": c("local_median"), "x_median": c("x_median")})
+
+    def restated():
+        return _shaped(superseded, F.lit("resolved_instant_conflict"), notes={"reason": c("reason")})
+
+    def spaced():
         step = F.make_dt_interval(secs=c("expected_s"))
         found = gaps.classified(bars, settings).withColumns({"_from": c("prev_ts") + step, "_to": c("ts") - step, "_resume": c("ts")}).drop("ts").withColumnRenamed("_from", "ts")
-        parts.append(
-            _shaped(
-                found, c("code"), end=c("_to"),
-                metrics={"missing_bars": c("missing_bars"), "gap_minutes": c("gap_minutes"), "gap_s": c("gap_s"), "expected_s": c("expected_s"), "resume_us": F.unix_micros("_resume"), "prev_us": F.unix_micros("prev_ts"), "weekend": c("weekend").cast("int")},
-            )
-        )
+        seconds = {"missing_bars": c("missing_bars"), "gap_minutes": c("gap_minutes"), "gap_s": c("gap_s"), "expected_s": c("expected_s")}
+        return _shaped(found, c("code"), end=c("_to"), metrics=seconds | {"resume_us": F.unix_micros("_resume"), "prev_us": F.unix_micros("prev_ts"), "weekend": c("weekend").cast("int")})
+
+    rules = {
+        ("exact_duplicate",): duplicate,
+        ("conflicting_duplicate", "repeated_timestamp"): repeated,
+        ("price_return_outlier",): jumps,
+        ("volume_spike",): spikes,
+        tuple(values.TEXT): lambda: _shaped(values.invalid_values(bars, frequency), c("code")),
+    }
+    if superseded is not None:
+        rules["resolved_instant_conflict",] = restated
+    if frequency == MINUTE:
+        rules[GAP_CODES] = spaced
     if frequency == DAILY:
-        parts.append(_shaped(gaps.missing_daily(bars), F.lit("missing_sessions"), label=c("label")))
-    return reduce(DataFrame.unionByName, parts)
+        rules["missing_sessions",] = lambda: _shaped(gaps.missing_daily(bars), F.lit("missing_sessions"), label=c("label"))
+    wanted = set(CODES) if codes is None else set(codes)
+    parts = [rule() for found, rule in rules.items() if wanted.intersection(found)]
+    every = reduce(DataFrame.unionByName, parts) if parts else _shaped(bars.where("false"), F.lit(None).cast("string"))
+    return every if codes is None else every.where(c("code").isin(*wanted))
 
 
 def severity(frequency: str) -> Column:

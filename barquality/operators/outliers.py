@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import OHLC, Settings
-from .sequence import with_previous
+from ..shared import written
+from .selection import medians
+from .sequence import trailing, with_previous
 
 #: Scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
@@ -23,11 +25,15 @@ def returns(bars: DataFrame) -> DataFrame:
 
 
 def price_return_outliers(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Bars whose return lies too many scaled deviations from the median; silent where the deviation is 0."""
-    scored = returns(bars)
-    middle = scored.groupBy("contract").agg(F.percentile("log_return", F.lit(0.5)).alias("med"))
-    off = scored.join(middle, "contract").withColumn("off", F.abs(F.col("log_return") - F.col("med")))
-    spread = off.groupBy("contract").agg(F.percentile("off", F.lit(0.5)).alias("mad")).where("mad > 0")
+    """Bars whose return lies too many scaled deviations from the median; silent where the deviation is 0.
+
+    Returns are written once; both medians are selected from them without
+    gathering a contract.
+    """
+    scored = written(returns(bars), "returns")
+    middle = medians(scored, ["contract"], "log_return").withColumnRenamed("median", "med")
+    off = written(scored.join(middle, "contract").withColumn("off", F.abs(F.col("log_return") - F.col("med"))), "deviations")
+    spread = medians(off, ["contract"], "off").withColumnRenamed("median", "mad").where("mad > 0")
     score = F.col("off") / (MAD_SCALE * F.col("mad"))
     hits = off.join(spread, "contract").withColumn("score", score).where(F.col("score") > settings.outlier_mad_threshold)
     return hits.select("contract", "ts", F.round("log_return", 6).alias("log_return"), F.round("score", 1).alias("mad_score"), *OHLC, "volume")
@@ -37,8 +43,7 @@ def volume_spikes(bars: DataFrame, settings: Settings = Settings()) -> DataFrame
     """Bars whose volume is far above the median of the last 50 rows (at least 20, itself included)."""
     rows = bars.select("contract", "ts", *OHLC, "volume", "row_hash").withColumn("v", F.coalesce("volume", F.lit(0)))
     enough = rows.groupBy("contract").agg(F.count("*").alias("n"), F.sum("v").alias("total")).where((F.col("n") >= MIN_VOLUME_BARS) & (F.col("total") != 0))
-    frame = Window.partitionBy("contract").orderBy("ts", "row_hash").rowsBetween(1 - MEDIAN_ROWS, 0)
-    local = F.when(F.count("*").over(frame) >= MEDIAN_LEAST, F.percentile("v", F.lit(0.5)).over(frame))
-    hits = rows.join(enough.select("contract"), "contract").withColumn("local_median", local)
+    local = {"local_median": lambda frame: F.when(F.count("*").over(frame) >= MEDIAN_LEAST, F.percentile("v", F.lit(0.5)).over(frame))}
+    hits = trailing(rows.join(enough.select("contract"), "contract"), MEDIAN_ROWS, local, tie="row_hash")
     hits = hits.where((F.col("local_median") > 0) & (F.col("v") > settings.volume_spike_threshold * F.col("local_median")))
     return hits.select("contract", "ts", "local_median", F.round(F.col("v") / F.col("local_median"), 1).alias("x_median"), *OHLC, "volume")

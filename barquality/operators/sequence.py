@@ -25,6 +25,41 @@ def with_previous(rows: DataFrame, values: dict[str, str], tie: str | None = Non
     return met.select(*rows.columns, *[F.col(f"_before.{new}").alias(new) for new in values])
 
 
+def placed(rows: DataFrame, tie: str) -> DataFrame:
+    """Adds ``place``: how many rows of the contract come before in time (then ``tie``).
+
+    Rows are numbered inside their day, and days go on from each other by the
+    running sum of their counts.
+    """
+    dated = rows.withColumn("_day", F.to_date("ts"))
+    counts = dated.groupBy("contract", "_day").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("contract").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("contract", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("contract", "_day").orderBy("ts", tie)) - 1
+    return dated.withColumn("_inside", inside).join(before, ["contract", "_day"]).withColumn("place", F.col("_before") + F.col("_inside")).select(*rows.columns, "place")
+
+
+#: Rows of a contract that are windowed together.
+BLOCK = 4096
+
+
+def trailing(rows: DataFrame, size: int, figures: dict, tie: str, block: int = BLOCK) -> DataFrame:
+    """Adds figures over the last ``size`` rows of the contract, the row itself included.
+
+    ``figures`` are functions of a window.  Rows are windowed in blocks of
+    consecutive places; the last ``size - 1`` rows of a block are copied to the
+    next one, so a frame never leaves its block and a contract is never one task.
+    """
+    if not 1 <= size <= block:
+        raise ValueError("a frame must fit into a block")
+    home = F.floor(F.col("place") / block)
+    both = F.when(F.col("place") % block > block - size, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = placed(rows, tie).withColumn("_block", F.explode(both))
+    frame = Window.partitionBy("contract", "_block").orderBy("place").rowsBetween(1 - size, 0)
+    met = spread.withColumns({name: f(frame) for name, f in figures.items()})
+    return met.where(F.col("_block") == home).select(*rows.columns, *figures)
+
+
 def active_start(bars: DataFrame) -> DataFrame:
     """contract, active_start: the first bar with volume, or the first bar where none has."""
     traded = F.min(F.when(F.col("volume") > 0, F.col("ts")))

@@ -35,9 +35,9 @@ class Engine:
         points = analytics.rolling_vwap(self.store.bars(MINUTE, contract, start, end), window or self.settings.vwap_window_minutes)
         return analytics.latest(points, limit).orderBy("contract", "ts")
 
-    def occurrences(self, contract: str | None = None, frequency: str = MINUTE, start=None, end=None) -> DataFrame:
+    def occurrences(self, contract: str | None = None, frequency: str = MINUTE, start=None, end=None, codes: list[str] | None = None) -> DataFrame:
         scope = (self._known(frequency), contract, start, end)
-        return occurrences.of_bars(self.store.bars(*scope), frequency, self.settings, self.store.superseded(*scope))
+        return occurrences.of_bars(self.store.bars(*scope), frequency, self.settings, self.store.superseded(*scope), codes=codes)
 
     def quality_report(self, contract: str | None = None, frequency: str = MINUTE, start=None, end=None) -> dict:
         """bars_checked, issues in report order, and samples of their occurrences."""
@@ -49,7 +49,7 @@ class Engine:
         }
 
     def issue_details(self, code: str, contract: str | None = None, frequency: str = MINUTE, start=None, end=None, limit: int = 100, offset: int = 0) -> dict:
-        total, rows = report.issue_details(self.occurrences(contract, frequency, start, end), code, limit, offset)
+        total, rows = report.issue_details(self.occurrences(contract, frequency, start, end, [code]), code, limit, offset)
         return {"total": total, "offset": offset, "rows": rows, "has_more": offset + limit < total}
 
     def missing_timestamps(self, contract: str | None = None, frequency: str = MINUTE, start=None, end=None, limit: int = 2000, offset: int = 0) -> dict:
