@@ -16,7 +16,7 @@ from .functions import clock, display
 from .operators import analytics, duplicates, evidence, gaps, normalize, occurrences, outliers, values
 from .plans import report, store
 from .schema import CODES, DAILY, MINUTE, OHLC, Settings
-from .sources import derived
+from .sources import derived, readers
 
 TIGHT = Settings(outlier_mad_threshold=3.0, volume_spike_threshold=3.0)
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,7 +320,22 @@ def missing_instants_page(spark, sf_dir):
 
 @query(f"{_MISSING} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, count(*) AS n FROM missing GROUP BY 1, 2", dates=("day",))
 def missing_by_exchange_date(spark, sf_dir):
-    return report.by_exchange_date(gaps.missing_instants(derived.intraday_bars(spark, sf_dir)).withColumn("label", F.lit(None).cast("string")))
+    return gaps.missing_by_date(derived.intraday_bars(spark, sf_dir))
+
+
+_MINUTES = """bars AS (SELECT event_type AS contract, date_trunc('minute', ts) AS ts, CAST(sum(user_id) AS BIGINT) AS volume FROM events GROUP BY 1, 2)"""
+
+
+@query(f"{_MISSING.replace(INTRADAY, _MINUTES)} SELECT contract, ts, classification, (SELECT count(*) FROM missing) AS total FROM missing ORDER BY contract, ts LIMIT 500 OFFSET 60000")
+def missing_minutes_deep_page(spark, sf_dir):
+    total, page = report.missing_timestamps(derived.minute_bars(spark, sf_dir), MINUTE, 500, 60_000)
+    return page.select("contract", naive(), "classification", F.lit(total).cast("bigint").alias("total"))
+
+
+@query(f"{_MISSING.replace(INTRADAY, _MINUTES)} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, classification, count(*) AS n, min(ts) AS first, max(ts) AS last FROM missing GROUP BY 1, 2, 3", dates=("day",))
+def missing_minutes_by_date(spark, sf_dir):
+    slices = gaps.missing_slices(derived.minute_bars(spark, sf_dir))
+    return slices.groupBy("contract", "day", "classification").agg(F.sum("n").alias("n"), F.min("first").cast("timestamp_ntz").alias("first"), F.max("last").cast("timestamp_ntz").alias("last"))
 
 
 # -- outliers ------------------------------------------------------------------
@@ -392,6 +407,24 @@ def localise_dst(spark, sf_dir):
     return walls.select("wall", clock.localised(F.col("wall"), "America/Chicago").cast("timestamp_ntz").alias("ts"))
 
 
+@query("SELECT o_orderkey % 4 AS file, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS row_number FROM orders")
+def csv_row_numbers(spark, sf_dir):
+    # small blocks, so that files have several at every size; the setting belongs to a session of the query's own
+    reading = spark.newSession()
+    reading.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    raw = readers.CsvReader().read(reading, f"{derived.vendor_files(spark, sf_dir)}/*/*.csv")
+    file = F.regexp_extract(readers.SOURCE_FILE, "/file=([0-9]+)/", 1).cast("bigint").alias("file")
+    return raw.select(file, F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", F.col(readers.ROW_NUMBER).alias("row_number"))
+
+
+@query("SELECT source, row_number() OVER (PARTITION BY source ORDER BY id) AS row_number, id FROM (SELECT 'w' || l_linenumber AS source, l_orderkey AS id FROM lineitem WHERE l_linenumber <= 3)")
+def frame_row_numbers(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
+    # in the order of their keys, over several tasks
+    placed = lines.select(F.concat(F.lit("w"), F.col("l_linenumber").cast("string")).alias(readers.SOURCE_FILE), F.col("l_orderkey").alias("id")).orderBy("id")
+    return readers.from_frame(placed).select(F.col(readers.SOURCE_FILE).alias("source"), F.col(readers.ROW_NUMBER).alias("row_number"), "id")
+
+
 # -- reports and evidence --------------------------------------------------------
 
 

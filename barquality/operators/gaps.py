@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_weekday, local_date
@@ -64,14 +64,45 @@ def missing_sessions(bars: DataFrame) -> DataFrame:
     return wanted.join(days.withColumnRenamed("trading_date", "missing_date"), ["contract", "missing_date"], "left_anti")
 
 
-def missing_instants(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """contract, ts, classification: the instants that intra-session and extended gaps skip."""
-    step = F.make_dt_interval(secs=F.col("expected_s"))
+def missing_slices(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """contract, classification, day, first, last, step, n: the absent instants of each gap and exchange date.
+
+    The numbers follow from the ends of a gap and of a day; no instant is made
+    here, so counts and totals cost a row per gap and day.
+    """
     found = classified(bars, settings).where(F.col("code").isin("intra_session_gap", "extended_gap"))
     kind = F.when(F.col("code") == "intra_session_gap", "intra_session").otherwise("extended")
+    step = F.col("expected_s") * 1_000_000
     # a gap below twice the interval skips no instant
-    spans = found.select("contract", kind.alias("classification"), (F.col("prev_ts") + step).alias("lo"), (F.col("ts") - step).alias("hi"), step.alias("step")).where("lo <= hi")
-    return spans.select("contract", F.explode(F.sequence("lo", "hi", "step")).alias("ts"), "classification")
+    spans = found.select("contract", kind.alias("classification"), (F.unix_micros("prev_ts") + step).alias("lo"), (F.unix_micros("ts") - step).alias("hi"), step.alias("step")).where("lo <= hi")
+    zone = settings.daily_bar_tz
+    days = F.sequence(local_date(F.timestamp_micros("lo"), zone), local_date(F.timestamp_micros("hi"), zone), F.expr("interval 1 day"))
+    cut = spans.withColumn("day", F.explode(days))
+
+    def midnight(day) -> Column:
+        return F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), zone))
+
+    lo, size = F.col("lo"), F.col("step")
+    skipped = F.greatest(F.ceil((midnight(F.col("day")) - lo) / size), F.lit(0))
+    last = F.floor((F.least(F.col("hi"), midnight(F.date_add("day", 1)) - 1) - lo) / size)
+    placed = cut.withColumns({"_skipped": skipped, "_last": last}).where("_last >= _skipped")
+    return placed.select("contract", "classification", "day", F.timestamp_micros(lo + F.col("_skipped") * size).alias("first"), F.timestamp_micros(lo + F.col("_last") * size).alias("last"), "step", (F.col("_last") - F.col("_skipped") + 1).alias("n"))
+
+
+def expanded(slices: DataFrame) -> DataFrame:
+    """contract, ts, classification of each instant in the slices; an array holds a day at most."""
+    step = F.make_dt_interval(secs=F.col("step") / 1_000_000)
+    return slices.select("contract", F.explode(F.sequence("first", "last", step)).alias("ts"), "classification")
+
+
+def missing_instants(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """contract, ts, classification: the instants that intra-session and extended gaps skip."""
+    return expanded(missing_slices(bars, settings))
+
+
+def missing_by_date(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """contract, day, n: absent instants per exchange date, counted without making them."""
+    return missing_slices(bars, settings).groupBy("contract", "day").agg(F.sum("n").alias("n"))
 
 
 def missing_daily(bars: DataFrame) -> DataFrame:

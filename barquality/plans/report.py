@@ -9,6 +9,7 @@ from ..functions.clock import local_date
 from ..operators import gaps, occurrences
 from ..operators.values import TEXT
 from ..schema import DAILY, MINUTE, SEVERITIES, Settings
+from . import paging
 
 
 def _message() -> Column:
@@ -99,21 +100,21 @@ def samples(occ: DataFrame, cap: int) -> DataFrame:
     return met.select(*[first[c] for c in occ.columns], "detail_total", (F.col("detail_total") > cap).alias("truncated"))
 
 
-def _page(rows: DataFrame, order: list, limit: int, offset: int) -> tuple[int, DataFrame]:
-    return rows.count(), rows.orderBy(*order).offset(offset).limit(limit)
-
-
 def issue_details(occ: DataFrame, code: str, limit: int = 100, offset: int = 0) -> tuple[int, DataFrame]:
     """(total, page) of one code's occurrences; an unknown code has an empty page."""
     _checked(limit, 1000, offset)
-    return _page(occ.where(F.col("code") == code), ["contract", "ts", F.coalesce("group", F.lit(""))], limit, offset)
+    return paging.page(occ.where(F.col("code") == code), [F.coalesce("group", F.lit(""))], limit, offset)
 
 
 def missing_timestamps(bars: DataFrame, frequency: str = MINUTE, limit: int = 2000, offset: int = 0, settings: Settings = Settings()) -> tuple[int, DataFrame]:
-    """(total, page) of absent instants."""
+    """(total, page) of absent instants; of minutes only those of the page are made."""
     _checked(limit, 20_000, offset)
-    rows = gaps.missing_daily(bars) if frequency == DAILY else gaps.missing_instants(bars, settings).withColumn("label", F.lit(None).cast("string"))
-    return _page(rows.select("contract", "ts", "label", "classification"), ["contract", "ts"], limit, offset)
+    if frequency == DAILY:
+        total, found = paging.page(gaps.missing_daily(bars), [], limit, offset)
+    else:
+        total, found = paging.slice_page(gaps.missing_slices(bars, settings), gaps.expanded, limit, offset)
+        found = found.withColumn("label", F.lit(None).cast("string"))
+    return total, found.select("contract", "ts", "label", "classification")
 
 
 def by_exchange_date(missing: DataFrame, zone: str = "America/Chicago") -> DataFrame:

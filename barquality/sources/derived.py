@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import local_date
 from ..operators.normalize import row_hash
 from ..schema import BAR_COLUMNS, DAILY, MINUTE
+from ..shared import folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,13 @@ def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(bars.withColumn("trading_date", local_date(F.col("ts"), "America/Chicago")), MINUTE, "events")
 
 
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of events per type and minute; most minutes have none."""
+    minutes = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("contract"), F.date_trunc("minute", "ts").cast("timestamp").alias("ts"))
+    bars = minutes.agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.sum("user_id").alias("volume"))
+    return _finished(bars.withColumn("trading_date", local_date(F.col("ts"), "America/Chicago")), MINUTE, "events")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of order prices per priority."""
     orders = _table(spark, sf_dir, "orders")
@@ -70,6 +80,14 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubled.withColumn("frequency", F.lit(MINUTE)).withColumn("row_hash", row_hash())
 
 
+def vendor_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of four CSV files of orders in the order of their keys, written to the shared folder."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string").alias("price"), (F.col("o_orderkey") % 4).alias("file"))
+    at = f"{folder(spark)}/vendor-{uuid.uuid4().hex}"
+    orders.repartition(4, "file").sortWithinPartitions("file", "o_orderkey").write.option("header", True).partitionBy("file").csv(at)
+    return at
+
+
 def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a vendor's text file, with rows broken by their key."""
     key = F.col("o_orderkey")

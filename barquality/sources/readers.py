@@ -9,6 +9,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 SOURCE_FILE, ROW_NUMBER = "__source_file", "__row_number"
 #: Fixed value: texts that a CSV file uses for null.
 NULL_TOKENS = ("", "NA", "N/A", "null", "NULL", "NaN")
@@ -23,21 +25,38 @@ class FileReader(Protocol):
 
     suffixes: tuple[str, ...]
 
-    def read(self, spark: SparkSession, path: str) -> DataFrame: ...
+    def read(self, spark: SparkSession, *paths: str) -> DataFrame: ...
+
+
+def numbered(placed: DataFrame, unit: list[str], part: str, at: str) -> DataFrame:
+    """Adds ROW_NUMBER, from 1 in each unit: a row's number inside its part, after the counts of the parts before.
+
+    Only one row per part is ordered per unit; the rows of a unit never meet.
+    """
+    counts = placed.groupBy(*unit, part).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*unit, part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*unit, part).orderBy(at))
+    met = placed.withColumn("_inside", inside).join(before, [*unit, part])
+    kept = [F.col(f"`{c}`") for c in placed.columns if c not in (part, at)]
+    return met.select(*kept, (F.col("_before") + F.col("_inside")).cast("bigint").alias(ROW_NUMBER))
 
 
 class CsvReader:
-    """All columns as text; short rows are padded, long ones cut, null tokens read as null."""
+    """All columns as text; short rows are padded, long ones cut, null tokens read as null.
+
+    Files are read in blocks, and rows are numbered by the counts of the blocks
+    before, so a long file is as many tasks as it has blocks.
+    """
 
     suffixes = (".csv", ".txt")
 
-    def read(self, spark: SparkSession, path: str) -> DataFrame:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
-        raw = raw.select(*[F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns], F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
-        # files are read in blocks; the numbers go on from block to block
-        placed = raw.withColumn("_at", F.monotonically_increasing_id())
-        order = Window.partitionBy("_path").orderBy("_block", "_at")
-        return placed.withColumn(SOURCE_FILE, _local(F.col("_path"))).withColumn(ROW_NUMBER, F.row_number().over(order).cast("bigint")).drop("_path", "_block", "_at")
+    def read(self, spark: SparkSession, *paths: str) -> DataFrame:
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(list(paths))
+        texts = [F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+        placed = raw.select(*texts, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+        out = numbered(placed, ["_path"], "_block", "_at")
+        return out.select(*[F.col(f"`{c}`") for c in raw.columns], _local(F.col("_path")).alias(SOURCE_FILE), ROW_NUMBER)
 
 
 class ParquetReader:
@@ -45,8 +64,8 @@ class ParquetReader:
 
     suffixes = (".parquet", ".pq")
 
-    def read(self, spark: SparkSession, path: str) -> DataFrame:
-        raw = spark.read.parquet(path)
+    def read(self, spark: SparkSession, *paths: str) -> DataFrame:
+        raw = spark.read.parquet(*paths)
         return raw.select("*", _local(F.col("_metadata.file_path")).alias(SOURCE_FILE), (F.col("_metadata.row_index") + 1).alias(ROW_NUMBER))
 
 
@@ -83,10 +102,15 @@ def expand(paths: list[str | Path]) -> list[Path]:
 
 
 def from_frame(df: DataFrame, source: str = "<memory>") -> DataFrame:
-    """A frame as a source: provenance is added where it is missing."""
+    """A frame as a source: provenance is added where it is missing.
+
+    To be numbered, the frame is written once with the place of each row, so
+    that numbers cannot change when a task runs again.
+    """
     if SOURCE_FILE not in df.columns:
         df = df.withColumn(SOURCE_FILE, F.lit(source))
     if ROW_NUMBER not in df.columns:
-        placed = df.withColumn("_at", F.monotonically_increasing_id())
-        df = placed.withColumn(ROW_NUMBER, F.row_number().over(Window.partitionBy(SOURCE_FILE).orderBy("_at")).cast("bigint")).drop("_at")
+        placed = written(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+        # the task that made a row stands in the upper bits of its place
+        df = numbered(placed.withColumn("_part", F.shiftright("_at", 33)), [SOURCE_FILE], "_part", "_at")
     return df

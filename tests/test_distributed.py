@@ -8,7 +8,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from barquality.operators import analytics, outliers, selection, sequence
+from barquality.functions import clock
+from barquality.operators import analytics, gaps, outliers, selection, sequence
+from barquality.plans import paging, report
+from barquality.sources import readers
 from helpers import at, bars, flat
 
 INF = math.inf
@@ -84,3 +87,63 @@ def test_no_window_holds_all_rows_of_a_contract(spark):
         for line in (x for x in plan.splitlines() if "windowspecdefinition(contract#" in x):
             assert any(x in line for x in ("_day#", "_block#", "_bucket#", "sum(n#"))
         assert "percentile(log_return" not in plan and "percentile(off" not in plan
+
+
+def test_rows_of_a_csv_file_are_numbered_over_its_blocks(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 1), ("c", 0), ("d", 800)):
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{i},{'z' * (i % 40)}\n" for i in range(1, n + 1)))
+    reading = spark.newSession()
+    reading.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    raw = readers.CsvReader().read(reading, str(tmp_path))
+    rows = raw.select(readers.SOURCE_FILE, readers.ROW_NUMBER, "x").collect()
+    assert len(rows) == 5801 and all(int(r["x"]) == r[readers.ROW_NUMBER] for r in rows)
+    assert {r[readers.SOURCE_FILE].rsplit("/", 1)[1] for r in rows} == {"a.csv", "b.csv", "d.csv"}
+    blocks = reading.read.csv(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+    assert blocks > 20
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block#" in line for line in plan.splitlines() if "windowspecdefinition(" in line)
+
+
+def test_rows_of_a_frame_are_numbered_over_its_tasks(spark):
+    df = spark.range(10_000).repartitionByRange(7, "id").sortWithinPartitions("id").withColumn("_n", F.lit("kept"))
+    rows = readers.from_frame(df).collect()
+    assert all(r["id"] + 1 == r[readers.ROW_NUMBER] and r["_n"] == "kept" for r in rows) and len(rows) == 10_000
+    own = df.withColumn(readers.ROW_NUMBER, F.lit(5)).withColumn(readers.SOURCE_FILE, F.lit("f"))
+    assert readers.from_frame(own) is own and readers.from_frame(df.where("false")).collect() == []
+
+
+def test_a_page_at_an_offset_of_a_million_rows(spark):
+    # one contract without a bar for more than two years, and one with many small gaps
+    rows = flat("A", [at(i) for i in range(15)] + [at(1_100_000)]) + flat("B", [at(3 * i) for i in range(3)] + [at(9 + i) for i in range(20)])
+    b = bars(spark, rows)
+    total, page = report.missing_timestamps(b, limit=700, offset=1_000_000)
+    assert total == 1_099_985 + 6
+    assert [r["ts"] for r in page.collect()] == [at(15 + 1_000_000 + i).replace(tzinfo=None) for i in range(700)]
+    _, last = report.missing_timestamps(b, limit=100, offset=total - 8)
+    assert [(r["contract"], r["ts"]) for r in last.collect()] == [("A", at(1_099_998 + i).replace(tzinfo=None)) for i in range(2)] + [("B", at(i).replace(tzinfo=None)) for i in (1, 2, 4, 5, 7, 8)]
+    assert report.missing_timestamps(b, limit=5, offset=total)[1].collect() == []
+
+
+def test_slices_count_what_they_expand_to(spark):
+    start = dt.datetime(2024, 11, 1, 3, tzinfo=dt.UTC)  # over the night the clocks go back, and past a month's end
+    times = [start + dt.timedelta(minutes=7 * i) for i in range(30)] + [start + dt.timedelta(days=d, minutes=m) for d, m in ((4, 1), (40, 3))]
+    b = bars(spark, flat("A", times))
+    slices = gaps.missing_slices(b)
+    made = gaps.expanded(slices).withColumn("day", clock.local_date(F.col("ts"), "America/Chicago"))
+    want = {(r["day"], r["classification"]): r["n"] for r in made.groupBy("day", "classification").agg(F.count("*").alias("n")).collect()}
+    got = {}
+    for r in slices.collect():
+        got[r["day"], r["classification"]] = got.get((r["day"], r["classification"]), 0) + r["n"]
+        assert r["n"] <= 206  # a day of 25 hours
+    assert got == want and sum(got.values()) == made.select("ts").distinct().count()
+
+
+def test_ranks_of_cells_and_pages_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), at(rng.randint(0, 20_000)), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "contract string, ts timestamp, i int")
+    key = lambda r: (r[0] is not None, r[0] or "", r[1], r[2])
+    want = [r[2] for r in sorted(rows, key=key)]
+    for offset in (0, 17, 450, 880, 900, 5000):
+        total, page = paging.page(df, ["i"], 60, offset)
+        assert total == 900 and [r["i"] for r in page.collect()] == want[offset : offset + 60]
