@@ -37,16 +37,18 @@ def resolved_conflicts(superseded: DataFrame) -> DataFrame:
     )
 
 
-def last_write_wins(bars: DataFrame, ordinal: str = "row_number") -> tuple[DataFrame, DataFrame]:
+def last_write_wins(bars: DataFrame, ordinal: str = "row_number", within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(winners, losers): the last distinct row of each instant, and the others with their winner's hash.
 
-    Rows with an equal hash are one row (the first).  Both come from grouped
+    Rows with an equal hash are one row (the first); with ``within``, rows
+    that differ in these columns have nothing to do with each other.  Both come from grouped
     extremes, so an instant with very many rows is never sorted in one task.
     """
-    rest = [c for c in bars.columns if c not in ("contract", "row_hash")]
-    unique = bars.groupBy("contract", "row_hash").agg(F.min_by(F.struct(*rest), ordinal).alias("_row")).select("contract", "row_hash", "_row.*").select(*bars.columns)
-    win = unique.groupBy("contract", "ts").agg(F.max(ordinal).alias("_win"), F.max_by("row_hash", ordinal).alias("winning_row_hash"))
-    marked = unique.join(win, ["contract", "ts"])
+    own = ("contract", *within)
+    rest = [c for c in bars.columns if c not in (*own, "row_hash")]
+    unique = bars.groupBy(*own, "row_hash").agg(F.min_by(F.struct(*rest), ordinal).alias("_row")).select(*own, "row_hash", "_row.*").select(*bars.columns)
+    win = unique.groupBy(*own, "ts").agg(F.max(ordinal).alias("_win"), F.max_by("row_hash", ordinal).alias("winning_row_hash"))
+    marked = unique.join(win, [*own, "ts"])
     winners = marked.where(F.col(ordinal) == F.col("_win")).drop("_win", "winning_row_hash")
     losers = marked.where(F.col(ordinal) != F.col("_win")).drop("_win")
     return winners, losers

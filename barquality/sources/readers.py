@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import glob
-from pathlib import Path
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from pathlib import Path, PurePosixPath
 from typing import Protocol
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,25 +85,70 @@ def register(reader: FileReader) -> None:
     READERS.update({s: reader for s in reader.suffixes})
 
 
-def read_file(spark: SparkSession, path: str | Path) -> DataFrame:
-    suffix = Path(path).suffix.lower()
+def _reader(path: str) -> FileReader:
+    suffix = PurePosixPath(path).suffix.lower()
     if suffix not in READERS:
         raise UnsupportedFileError(f"{path}: suffix {suffix!r} is not one of {', '.join(sorted(READERS))}")
-    return READERS[suffix].read(spark, str(path))
+    return READERS[suffix]
+
+
+def read_file(spark: SparkSession, path: str | Path) -> DataFrame:
+    return _reader(str(path)).read(spark, str(path))
 
 
-def expand(paths: list[str | Path]) -> list[Path]:
-    """The files of paths, folders (with all below) and patterns, sorted, each once; what is missing is left out."""
-    found: set[Path] = set()
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of one reader and one header in one plan."""
+    return _reader(paths[0]).read(spark, *paths)
+
+
+def expand(spark: SparkSession, paths: list[str | Path]) -> list[str]:
+    """The files of paths, folders (with all below) and patterns, sorted, each once; what is missing is left out.
+
+    Spark lists them, so they may be in any file system that it reads, and
+    large folders are listed in parallel.
+    """
+    found: set[str] = set()
     for p in paths:
-        at = Path(p)
-        if at.is_file():
-            found.add(at.resolve())
-        elif at.is_dir():
-            found.update(f.resolve() for f in at.rglob("*") if f.suffix.lower() in READERS)
-        else:
-            found.update(Path(f).resolve() for f in glob.glob(str(p), recursive=True) if Path(f).is_file())
-    return sorted(found)
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        try:
+            found.update(listing.load(str(p)).inputFiles())
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    local = {re.sub("^file:(//)?(?=/)", "", unquote(f)) for f in found}
+    return sorted(f for f in local if PurePosixPath(f).suffix.lower() in READERS)
+
+
+@dataclass(frozen=True)
+class Alike:
+    """Files that one plan can read: one reader, one header, one kind."""
+
+    header: tuple[str, ...]
+    kind: str
+    files: list[str]
+
+
+def header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The column names of a file; of text only the first line is read."""
+    if not isinstance(_reader(path), CsvReader):
+        return tuple(_reader(path).read(spark, path).columns)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+
+def by_header(spark: SparkSession, files: list[str], kind_of) -> list[Alike]:
+    """Files grouped by reader, header and ``kind_of(columns, path)``; headers are read side by side."""
+    groups: dict[tuple, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, names in zip(files, pool.map(lambda f: header(spark, f), files)):
+            groups.setdefault((_reader(path).suffixes, names, kind_of(list(names), path)), []).append(path)
+    return [Alike(names, kind, paths) for (_, names, kind), paths in groups.items()]
 
 
 def from_frame(df: DataFrame, source: str = "<memory>") -> DataFrame:
