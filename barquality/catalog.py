@@ -528,17 +528,18 @@ _FOUND = f"""{GAPS.replace(INTRADAY, _AUDITED)}, {DATED},
     UNION ALL SELECT contract, 'resolved_instant_conflict', '', ts, {_NONE} FROM audit
     UNION ALL SELECT contract, code, '', prev_ts + to_seconds(expected_s), ts - to_seconds(expected_s), 1, NULL, gap_minutes, prev_ts, ts, expected_s FROM classified
     {" ".join(f"UNION ALL SELECT contract, '{c}', '', ts, {_NONE} FROM bars WHERE {p}" for c, p in _CHECKS.items())})"""
-_EVERY = f"""{_FOUND}, holed AS ({_SESSIONS}),
+_HOLED_SPAN = _NONE.replace("CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi", "CAST(lo AS TIMESTAMP) AS lo, CAST(hi AS TIMESTAMP) AS hi")
+_EVERY = f"""{_FOUND}, holed AS ({_SESSIONS}), sessions AS (SELECT contract, min(trading_date) AS lo, max(trading_date) AS hi FROM days WHERE trading_date NOT IN (DATE '1996-03-05', DATE '1997-07-09') GROUP BY 1),
   every AS (SELECT 'minute' AS frequency, *, CAST({CHICAGO.format("ts")} AS DATE) AS day, CAST(hour({CHICAGO.format("ts")}) AS INTEGER) AS hour,
       EXISTS (SELECT 1 FROM classified g WHERE g.contract = found.contract AND g.ts <= found.ts AND found.ts - g.ts <= INTERVAL 5 MINUTE) AS near, EXISTS (SELECT 1 FROM classified g WHERE g.contract = found.contract) AS gapped FROM found
-    UNION ALL SELECT 'daily', contract, 'missing_sessions', '', CAST(missing_date AS TIMESTAMP), {_NONE}, missing_date, NULL, false, false FROM holed),
+    UNION ALL SELECT 'daily', contract, 'missing_sessions', '', CAST(missing_date AS TIMESTAMP), {_HOLED_SPAN}, missing_date, NULL, false, false FROM holed JOIN sessions USING (contract)),
   scope AS (SELECT 'minute' AS frequency, count(*) AS bars, count(DISTINCT trading_date) AS days FROM dated UNION ALL SELECT 'daily', count(*), count(DISTINCT trading_date) FROM days WHERE trading_date NOT IN (DATE '1996-03-05', DATE '1997-07-09'))"""
 _KEY = "frequency, contract, code, grp"
 
 
 @query(f"""WITH {DAYS}, {_EVERY}, total AS (SELECT {_KEY}, CAST(CASE WHEN code = 'resolved_instant_conflict' THEN count(DISTINCT ts) ELSE sum(weight) END AS BIGINT) AS occurrences, count(*) AS analysed,
-    CASE WHEN code IN ('intra_session_gap', 'extended_gap') THEN min(lo) ELSE min(ts) END AS first_seen,
-    CASE WHEN code IN ('intra_session_gap', 'extended_gap') THEN max(hi) WHEN code = 'session_break' THEN max(ts) ELSE max(coalesce(end_ts, ts)) END AS last_seen, count(DISTINCT day) AS days_affected, CAST(round_even(max(x), 1) AS DOUBLE) AS max_magnitude, max(expected_s) AS expected_interval_s,
+    CASE WHEN code IN ('intra_session_gap', 'extended_gap', 'missing_sessions') THEN min(lo) ELSE min(ts) END AS first_seen,
+    CASE WHEN code IN ('intra_session_gap', 'extended_gap', 'missing_sessions') THEN max(hi) WHEN code = 'session_break' THEN max(ts) ELSE max(coalesce(end_ts, ts)) END AS last_seen, count(DISTINCT day) AS days_affected, CAST(round_even(max(x), 1) AS DOUBLE) AS max_magnitude, max(expected_s) AS expected_interval_s,
     list(minutes ORDER BY minutes) FILTER (WHERE minutes IS NOT NULL) AS m, CASE WHEN bool_or(gapped) AND max(lo) IS NULL THEN CAST(round_even(count(*) FILTER (WHERE near) / count(*), 3) AS DOUBLE) END AS share_after_gap,
     CASE WHEN max(day) - min(day) <= 182 THEN 'week' WHEN max(day) - min(day) <= 1098 THEN 'month' ELSE 'quarter' END AS period FROM every GROUP BY {_KEY}),
   tops AS (SELECT {_KEY}, string_agg(hour || ':' || n || ':' || CAST(round(round_even(n / t, 3) * 1000) AS BIGINT), ',' ORDER BY r) AS top_hours FROM (SELECT {_KEY}, hour, count(*) AS n, sum(count(*)) OVER (PARTITION BY {_KEY}) AS t, row_number() OVER (PARTITION BY {_KEY} ORDER BY count(*) DESC, hour) AS r FROM every WHERE frequency = 'minute' GROUP BY {_KEY}, hour) WHERE r <= 3 GROUP BY {_KEY}),
@@ -565,6 +566,54 @@ def evidence_all_codes(spark, sf_dir):
     )
 
 
+_SAYS = {c: f"n || ' bar(s): {t}'" for c, t in values.TEXT.items()} | {
+    "exact_duplicate": "n + 1 || ' byte-identical rows for ' || contract",
+    "conflicting_duplicate": "n || ' timestamps with conflicting OHLCV values for ' || contract",
+    "repeated_timestamp": "n || ' timestamps repeated with identical values for ' || contract",
+    "resolved_instant_conflict": "n || ' timestamps had conflicting OHLCV values for ' || contract || '; the latest row was kept and the rest are in superseded_bars'",
+    "intra_session_gap": "n || ' intra-session gaps (~' || missing || ' missing ' || expected_s || 's bars) for ' || contract",
+    "extended_gap": "n || ' multi-day gaps for ' || contract || ' (holiday or data outage)'",
+    "session_break": "n || ' expected session breaks (overnight/weekend) for ' || contract",
+    "missing_sessions": "n || ' business days with no bar for ' || contract || ' between ' || CAST(lo AS DATE) || ' and ' || CAST(hi AS DATE) || ' (some are exchange holidays)'",
+    "price_return_outlier": "n || ' bar(s) with an extreme close-to-close return for ' || contract",
+    "volume_spike": "n || ' bar(s) with volume >3.0x the local median for ' || contract",
+}
+_EXAMPLED = ", ".join(f"'{c}'" for c in ("conflicting_duplicate", "resolved_instant_conflict", *_CHECKS))
+
+
+@query(f"""WITH {DAYS}, {_EVERY}, weekends AS (SELECT contract, count(*) FILTER (WHERE weekend) AS weekend FROM classified WHERE code = 'session_break' GROUP BY 1), moves AS (SELECT contract, max(abs(round(ret, 6))) AS most FROM scored WHERE score > 3 GROUP BY 1),
+  whys AS (SELECT contract, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM audit GROUP BY 1),
+  g AS (SELECT {_KEY}, CAST(CASE WHEN code = 'resolved_instant_conflict' THEN count(DISTINCT ts) ELSE sum(weight) END AS BIGINT) AS n, count(*) AS detail_total, min(ts) AS first, max(coalesce(end_ts, ts)) AS last, min(lo) AS lo, max(hi) AS hi,
+    max(expected_s) AS expected_s, CAST(max(epoch(hi - lo)) AS BIGINT) AS largest, CAST(floor(sum(epoch(hi - lo) / expected_s - 1)) AS BIGINT) AS missing, array_to_string(list_slice(list_sort(list(CAST(day AS VARCHAR))), 1, 5), ',') AS days FROM every GROUP BY {_KEY})
+  SELECT frequency, contract, code, CASE code {" ".join(f"WHEN '{c}' THEN '{v[0]}'" for c, v in CODES.items())} END AS category, {_RANKS} AS severity, n AS count, detail_total, CASE code {" ".join(f"WHEN '{c}' THEN {t}" for c, t in _SAYS.items())} END AS message,
+    CASE WHEN code IN ('intra_session_gap', 'extended_gap', 'missing_sessions') THEN lo WHEN code <> 'session_break' THEN first END AS start_ts, CASE WHEN code IN ('intra_session_gap', 'extended_gap', 'missing_sessions') THEN hi WHEN code <> 'session_break' THEN last END AS end_ts,
+    CASE WHEN code = 'intra_session_gap' THEN expected_s END AS expected_interval_s, CASE WHEN code = 'intra_session_gap' THEN largest END AS largest_gap_s, CASE WHEN code = 'intra_session_gap' THEN missing END AS estimated_missing_bars,
+    CASE WHEN code = 'extended_gap' THEN round(largest / 86400, 1) END AS largest_gap_days, CASE WHEN code = 'session_break' THEN weekend END AS weekend, CASE WHEN code = 'session_break' THEN n - weekend END AS overnight,
+    CASE WHEN code = 'price_return_outlier' THEN CAST(3 AS DOUBLE) END AS mad_threshold, CASE WHEN code = 'price_return_outlier' THEN round(most, 5) END AS max_abs_return, CASE WHEN code = 'resolved_instant_conflict' THEN detail_total END AS discarded_rows,
+    CASE WHEN code IN ({_EXAMPLED}) THEN strftime(first, '%Y-%m-%d %H:%M:%S') || '+00:00' END AS example_ts, CASE WHEN code = 'resolved_instant_conflict' THEN reasons END AS reasons, CASE WHEN code = 'missing_sessions' THEN days END AS examples
+  FROM g LEFT JOIN weekends USING (contract) LEFT JOIN moves USING (contract) LEFT JOIN whys USING (contract)""")
+def findings_all_codes(spark, sf_dir):
+    bars, superseded = derived.audited_bars(spark, sf_dir)
+    minutes = report.findings(occurrences.of_bars(bars, MINUTE, TIGHT, superseded), MINUTE, TIGHT).withColumn("frequency", F.lit(MINUTE))
+    daily = report.findings(occurrences.of_bars(_holed(spark, sf_dir), DAILY, TIGHT, codes=["missing_sessions"]), DAILY, TIGHT).withColumn("frequency", F.lit(DAILY))
+    both = minutes.unionByName(daily)
+    listed = [F.array_join(F.col("context")[n], ",").alias(n) for n in ("reasons", "examples")]
+    plain = [F.col("context")[f.name].alias(f.name) for f in both.schema["context"].dataType if f.name not in ("reasons", "examples")]
+    return both.select("frequency", "contract", "code", "category", "severity", "count", "detail_total", "message", naive("start_ts"), naive("end_ts"), *plain, *listed)
+
+
+_FIGURES = {
+    "exact_duplicate": ["copies", "row_hash"], "conflicting_duplicate": ["rows", "variants"], "repeated_timestamp": ["rows", "variants"], "price_return_outlier": ["log_return", "mad_score"], "volume_spike": ["local_median", "x_median"],
+    "resolved_instant_conflict": ["reason"],
+} | dict.fromkeys(_GAP_CODES, ["missing_bars", "gap_minutes", "gap_s", "expected_s", "resume_us", "prev_us", "weekend"])
+
+
+@query(f"WITH {_FOUND} SELECT code, CAST(position AS INTEGER) AS position, name FROM (VALUES {', '.join(repr((c, i, n)) for c, names in _FIGURES.items() for i, n in enumerate(names, 1))}) t(code, position, name) WHERE code IN (SELECT code FROM found)")
+def detail_columns(spark, sf_dir):
+    bars, superseded = derived.audited_bars(spark, sf_dir)
+    return report.detail_columns(occurrences.of_bars(bars, MINUTE, TIGHT, superseded))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -92,10 +92,10 @@ def seen(cube: DataFrame) -> DataFrame:
     """Per finding its count, rows, span, days, extreme and expected interval.
 
     A restated instant counts once however often it was restated; gaps span
-    from the bar before the first to the bar after the last, but for session
-    breaks, which state no span of their own.
+    from the bar before the first to the bar after the last and missing sessions
+    the sessions that were searched, but session breaks state no span.
     """
-    spans = _is_gap() & (F.col("code") != "session_break")
+    spans = F.col("code").isin("intra_session_gap", "extended_gap", "missing_sessions")
     grouped = cube.groupBy(*FINDING).agg(
         F.sum("weight").alias("_weight"), F.sum("instants").alias("_instants"), F.sum("rows").alias("analysed"),
         F.min("first").alias("_first"), F.max("latest").alias("_latest"), F.max("last").alias("_last"), F.min("start").alias("_start"), F.max("end").alias("_end"),

@@ -55,15 +55,20 @@ def classified(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
-def missing_sessions(bars: DataFrame) -> DataFrame:
-    """contract, missing_date: weekdays without a bar between the first and the last session."""
+def _absent(bars: DataFrame) -> DataFrame:
+    """contract, missing_date, lo, hi: weekdays without a bar between the first and the last session."""
     days = since_active(bars.select("contract", "ts", "volume", "trading_date")).select("contract", "trading_date").distinct()
     spans = days.groupBy("contract").agg(F.min("trading_date").alias("lo"), F.max("trading_date").alias("hi"), F.count("*").alias("n")).where(F.col("n") >= MIN_SESSIONS)
-    every = spans.select("contract", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("missing_date"))
+    every = spans.select("contract", "lo", "hi", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("missing_date"))
     wanted = every.where(iso_weekday(F.col("missing_date")) <= 5)
     return wanted.join(days.withColumnRenamed("trading_date", "missing_date"), ["contract", "missing_date"], "left_anti")
 
 
+def missing_sessions(bars: DataFrame) -> DataFrame:
+    """contract, missing_date: weekdays without a bar between the first and the last session."""
+    return _absent(bars).select("contract", "missing_date")
+
+
 def missing_slices(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """contract, classification, day, first, last, step, n: the absent instants of each gap and exchange date.
 
@@ -106,7 +111,7 @@ def missing_by_date(bars: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def missing_daily(bars: DataFrame) -> DataFrame:
-    """contract, ts (UTC midnight), label (ISO date), classification of each missing session."""
-    return missing_sessions(bars).select(
-        "contract", F.col("missing_date").cast("timestamp").alias("ts"), F.date_format("missing_date", "yyyy-MM-dd").alias("label"), F.lit("missing_session").alias("classification")
+    """contract, ts (UTC midnight), label (ISO date), classification of each missing session, and the sessions it lies between (lo, hi)."""
+    return _absent(bars).select(
+        "contract", F.col("missing_date").cast("timestamp").alias("ts"), F.date_format("missing_date", "yyyy-MM-dd").alias("label"), F.lit("missing_session").alias("classification"), "lo", "hi"
     )

@@ -82,7 +82,7 @@ def of_bars(
     if frequency == MINUTE:
         rules[GAP_CODES] = spaced
     if frequency == DAILY:
-        rules["missing_sessions",] = lambda: _shaped(gaps.missing_daily(bars), F.lit("missing_sessions"), label=c("label"))
+        rules["missing_sessions",] = lambda: _shaped(gaps.missing_daily(bars), F.lit("missing_sessions"), label=c("label"), metrics={"prev_us": F.unix_micros(c("lo").cast("timestamp")), "resume_us": F.unix_micros(c("hi").cast("timestamp"))})
     wanted = set(CODES) if codes is None else set(codes)
     parts = [rule() for found, rule in rules.items() if wanted.intersection(found)]
     every = reduce(DataFrame.unionByName, parts) if parts else _shaped(bars.where("false"), F.lit(None).cast("string"))

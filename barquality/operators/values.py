@@ -25,16 +25,18 @@ def predicates(frequency: str = MINUTE) -> dict[str, Column]:
     return checks
 
 
-#: What a finding of each code says about its bars.
+#: What a finding of each code says about its bars.
 TEXT = {
-    "high_lt_low": "high below low",
-    "open_out_of_range": "open outside high and low",
-    "close_out_of_range": "close outside high and low",
-    "non_positive_price": "price of zero or below",
-    "non_finite_price": "price that is no finite number",
-    "negative_volume": "volume below zero",
-    "missing_volume": "no volume",
+    "high_lt_low": "high < low",
+    "open_out_of_range": "open outside [low, high]",
+    "close_out_of_range": "close outside [low, high]",
+    "non_positive_price": "price <= 0",
+    "non_finite_price": "non-finite price (inf/nan)",
+    "negative_volume": "negative volume",
+    "missing_volume": "minute bar with no volume",
 }
+#: Fixed value: what it says besides of daily bars.
+DAILY_TEXT = {"close_out_of_range": " (settlement prints legitimately do this)"}
 
 
 def invalid_values(bars: DataFrame, frequency: str = MINUTE) -> DataFrame:

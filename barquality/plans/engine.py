@@ -44,7 +44,7 @@ class Engine:
         occ = self.occurrences(contract, frequency, start, end)
         return {
             "bars_checked": self.store.bars(frequency, contract, start, end).count(),
-            "issues": report.ordered(report.findings(occ, frequency)),
+            "issues": report.ordered(report.findings(occ, frequency, self.settings)),
             "details": report.samples(occ, self.settings.detail_cap),
         }
 

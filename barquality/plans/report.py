@@ -2,74 +2,93 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import local_date
 from ..operators import gaps, occurrences
-from ..operators.values import TEXT
+from ..operators.values import DAILY_TEXT, TEXT
 from ..schema import DAILY, MINUTE, SEVERITIES, Settings
 from . import paging
 
 
-def _message() -> Column:
-    """What each finding says."""
-    n, c = F.col("count").cast("string"), F.col("contract")
-    seconds = F.col("expected_s").cast("bigint").cast("string")
-    say = {
-        "exact_duplicate": F.concat(n, F.lit(" byte-identical rows for "), c),
-        "conflicting_duplicate": F.concat(n, F.lit(" timestamps with conflicting OHLCV values for "), c),
-        "repeated_timestamp": F.concat(n, F.lit(" timestamps repeated with identical values for "), c),
-        "resolved_instant_conflict": F.concat(n, F.lit(" timestamps had conflicting OHLCV values for "), c, F.lit("; the latest row was kept and the rest are in superseded_bars")),
-        "intra_session_gap": F.concat(n, F.lit(" intra-session gaps (~"), F.col("missing_total").cast("bigint").cast("string"), F.lit(" missing "), seconds, F.lit("s bars) for "), c),
-        "extended_gap": F.concat(n, F.lit(" multi-day gaps for "), c, F.lit(" (holiday or data outage)")),
-        "session_break": F.concat(n, F.lit(" expected session breaks (overnight/weekend) for "), c),
-        "missing_sessions": F.concat(n, F.lit(" business days with no bar for "), c, F.lit(" (some are exchange holidays)")),
-        "price_return_outlier": F.concat(n, F.lit(" bar(s) with an extreme close-to-close return for "), c),
-        "volume_spike": F.concat(n, F.lit(" bar(s) with volume far above the local median for "), c),
-    } | {code: F.concat(n, F.lit(f" bar(s): {text}")) for code, text in TEXT.items()}
+#: What a finding of each code says; names in braces are columns of ``_figures``.
+MESSAGES = {
+    "exact_duplicate": "{copies} byte-identical rows for {contract}",
+    "conflicting_duplicate": "{count} timestamps with conflicting OHLCV values for {contract}",
+    "repeated_timestamp": "{count} timestamps repeated with identical values for {contract}",
+    "resolved_instant_conflict": "{count} timestamps had conflicting OHLCV values for {contract}; the latest row was kept and the rest are in superseded_bars",
+    "intra_session_gap": "{count} intra-session gaps (~{missing} missing {expected}s bars) for {contract}",
+    "extended_gap": "{count} multi-day gaps for {contract} (holiday or data outage)",
+    "session_break": "{count} expected session breaks (overnight/weekend) for {contract}",
+    "missing_sessions": "{count} business days with no bar for {contract} between {lo} and {hi} (some are exchange holidays)",
+    "price_return_outlier": "{count} bar(s) with an extreme close-to-close return for {contract}",
+    "volume_spike": "{count} bar(s) with volume >{factor}x the local median for {contract}",
+} | {code: "{count} bar(s): " + text for code, text in TEXT.items()}
+#: Examples that a finding shows.
+EXAMPLES = 5
+
+
+def _message(figures: dict[str, Column], frequency: str) -> Column:
     out = F.lit(None).cast("string")
-    for code, text in say.items():
-        out = F.when(F.col("code") == code, text).otherwise(out)
+    for code, text in MESSAGES.items():
+        text += DAILY_TEXT.get(code, "") if frequency == DAILY else ""
+        # names and texts take turns
+        pieces = [F.lit(x) if i % 2 == 0 else figures[x].cast("string") for i, x in enumerate(re.split(r"[{}]", text)) if x]
+        out = F.when(F.col("code") == code, F.concat(*pieces)).otherwise(out)
     return out
 
 
-def findings(occ: DataFrame, frequency: str = MINUTE) -> DataFrame:
-    """One row per contract, code and group: category, severity, count, span, message, context figures.
+def _instant(ts: Column) -> Column:
+    """An instant as text, with its zone, and with microseconds only where it has some."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.when(F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
+def findings(occ: DataFrame, frequency: str = MINUTE, settings: Settings = Settings()) -> DataFrame:
+    """One row per contract, code and group: category, severity, count, span, message, context.
 
-    Instants of resolved conflicts count once however often they were restated.
+    ``context`` is a struct of the figures that codes state about themselves,
+    null where a code does not (``context_json`` leaves those out).  Instants of
+    resolved conflicts count once however often they were restated.  All of it
+    comes from one aggregation of bounded state: examples are dates of a calendar.
     """
-    metrics = F.col("metrics")
+    m, code = F.col("metrics"), F.col("code")
     grouped = occ.groupBy("contract", "code", "group").agg(
         F.sum("weight").alias("_weight"),
-        F.countDistinct("ts").alias("_instants"),
+        F.countDistinct(F.when(code == "resolved_instant_conflict", F.col("ts"))).alias("_instants"),
         F.count("*").alias("detail_total"),
         F.min("ts").alias("_start"),
         F.max(F.coalesce("end_ts", "ts")).alias("_end"),
-        F.min(F.timestamp_micros(metrics["prev_us"].cast("bigint"))).alias("_gap_start"),
-        F.max(F.timestamp_micros(metrics["resume_us"].cast("bigint"))).alias("_gap_end"),
-        F.max(metrics["expected_s"]).alias("expected_s"),
-        F.max(metrics["gap_s"]).alias("largest_gap_s"),
-        F.sum(metrics["gap_s"] / metrics["expected_s"] - 1).alias("missing_total"),
-        F.sum(metrics["weekend"]).alias("_weekend"),
-        F.max(F.abs(metrics["log_return"])).alias("_max_return"),
+        F.timestamp_micros(F.min(m["prev_us"]).cast("bigint")).alias("_lo"),
+        F.timestamp_micros(F.max(m["resume_us"]).cast("bigint")).alias("_hi"),
+        F.max(m["expected_s"]).cast("bigint").alias("_expected"),
+        F.max(m["gap_s"]).cast("bigint").alias("_largest"),
+        F.floor(F.sum(m["gap_s"] / m["expected_s"] - 1)).cast("bigint").alias("_missing"),
+        F.sum(m["weekend"]).cast("bigint").alias("_weekend"),
+        F.max(F.abs(m["log_return"])).alias("_return"),
         F.sort_array(F.collect_set(F.col("notes")["reason"])).alias("_reasons"),
+        F.slice(F.sort_array(F.collect_set("label")), 1, EXAMPLES).alias("_labels"),
     )
-    is_gap = F.col("code").isin(*occurrences.GAP_CODES)
-    count = F.when(F.col("code") == "resolved_instant_conflict", F.col("_instants")).otherwise(F.col("_weight"))
+    count = F.when(code == "resolved_instant_conflict", F.col("_instants")).otherwise(F.col("_weight"))
     shown = grouped.withColumns({"count": count, "category": occurrences.category(), "severity": occurrences.severity(frequency)})
-    shown = shown.withColumn("message", _message())
-    context = F.when(F.col("code") == "intra_session_gap", F.create_map(F.lit("expected_interval_s"), F.col("expected_s"), F.lit("largest_gap_s"), F.col("largest_gap_s"), F.lit("estimated_missing_bars"), F.floor("missing_total").cast("double")))
-    context = context.when(F.col("code") == "extended_gap", F.create_map(F.lit("largest_gap_days"), F.round(F.col("largest_gap_s") / 86400, 1)))
-    context = context.when(F.col("code") == "session_break", F.create_map(F.lit("weekend"), F.col("_weekend"), F.lit("overnight"), F.col("count") - F.col("_weekend")))
-    context = context.when(F.col("code") == "price_return_outlier", F.create_map(F.lit("max_abs_return"), F.round("_max_return", 5)))
-    context = context.when(F.col("code") == "resolved_instant_conflict", F.create_map(F.lit("discarded_rows"), F.col("detail_total").cast("double")))
-    hidden = F.col("code") == "session_break"
-    return shown.select(
-        "contract", "code", "group", "category", "severity", "count", "detail_total", "message",
-        F.when(is_gap & ~hidden, F.col("_gap_start")).when(~hidden, F.col("_start")).alias("start_ts"),
-        F.when(is_gap & ~hidden, F.col("_gap_end")).when(~hidden, F.col("_end")).alias("end_ts"),
-        context.alias("context"), F.col("_reasons").alias("reasons"),
+    c = F.col
+    figures = {
+        "count": c("count"), "contract": c("contract"), "copies": c("_weight") + 1, "missing": c("_missing"), "expected": c("_expected"), "lo": F.to_date("_lo"), "hi": F.to_date("_hi"), "factor": F.lit(float(settings.volume_spike_threshold)),
+    }
+    stated = {
+        "expected_interval_s": (c("_expected"), "intra_session_gap"), "largest_gap_s": (c("_largest"), "intra_session_gap"), "estimated_missing_bars": (c("_missing"), "intra_session_gap"),
+        "largest_gap_days": (F.round(c("_largest") / 86400, 1), "extended_gap"), "weekend": (c("_weekend"), "session_break"), "overnight": (c("count") - c("_weekend"), "session_break"),
+        "mad_threshold": (F.lit(float(settings.outlier_mad_threshold)), "price_return_outlier"), "max_abs_return": (F.round("_return", 5), "price_return_outlier"),
+        "discarded_rows": (c("detail_total"), "resolved_instant_conflict"), "example_ts": (_instant(c("_start")), "conflicting_duplicate", "resolved_instant_conflict", *TEXT),
+        "reasons": (c("_reasons"), "resolved_instant_conflict"), "examples": (c("_labels"), "missing_sessions"),
+    }
+    context = F.struct(*[F.when(code.isin(*codes), figure).alias(name) for name, (figure, *codes) in stated.items()])
+    spans, hidden = code.isin("intra_session_gap", "extended_gap", "missing_sessions"), code == "session_break"
+    return shown.withColumn("context", context).select(
+        "contract", "code", "group", "category", "severity", "count", "detail_total", _message(figures, frequency).alias("message"),
+        F.when(spans, c("_lo")).when(~hidden, c("_start")).alias("start_ts"), F.when(spans, c("_hi")).when(~hidden, c("_end")).alias("end_ts"), "context", F.to_json("context").alias("context_json"),
     )
 
 
@@ -124,9 +143,15 @@ def by_exchange_date(missing: DataFrame, zone: str = "America/Chicago") -> DataF
 
 
 def detail_columns(occ: DataFrame) -> DataFrame:
-    """The figures that the details of each code have."""
-    keys = occ.select("code", F.explode(F.array_distinct(F.concat(F.coalesce(F.map_keys("metrics"), F.array()), F.coalesce(F.map_keys("notes"), F.array())))).alias("name"))
-    return keys.distinct()
+    """code, position, name: the figures that the details of each code have, in the order in which they are first seen.
+
+    A name stands where the smallest (time, place in its row) has it: a minimum
+    per name, not an order of rows.
+    """
+    names = F.array_distinct(F.concat(F.coalesce(F.map_keys("metrics"), F.array()), F.coalesce(F.map_keys("notes"), F.array())))
+    keys = occ.select("code", "ts", F.posexplode(names).alias("place", "name"))
+    first = keys.groupBy("code", "name").agg(F.min(F.struct("ts", "place")).alias("seen"))
+    return first.select("code", F.row_number().over(Window.partitionBy("code").orderBy("seen", "name")).alias("position"), "name")
 
 
 def _checked(limit: int, most: int, offset: int) -> None:
