@@ -46,10 +46,13 @@ def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [F.round(n, digits).alias(n) for n in names]
 
 
-INTRADAY = """bars AS (
+_BARS_OF = """bars AS (
   SELECT event_type AS contract, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS open, max(value) AS high,
          min(value) AS low, arg_max(value, event_id) AS close, CAST(sum(user_id) AS BIGINT) AS volume
-  FROM events WHERE NOT (event_type = 'click' AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-12') GROUP BY 1, 2)"""
+  FROM {0} GROUP BY 1, 2)"""
+INTRADAY = _BARS_OF.format("events")
+#: What one type has on three days came three days earlier, which leaves an extended gap.
+GAPPED = _BARS_OF.format("(SELECT * REPLACE (CASE WHEN event_type = 'click' AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-12' THEN ts - INTERVAL 3 DAY ELSE ts END AS ts) FROM events)")
 CHICAGO = "timezone('America/Chicago', timezone('UTC', {0}))"
 DATED = f"dated AS (SELECT *, CAST({CHICAGO.format('ts')} AS DATE) AS trading_date FROM bars)"
 DAYS = """days AS (
@@ -65,7 +68,7 @@ LINES = """lines AS (
   SELECT concat('P', l_partkey) AS contract, CAST(l_shipdate AS TIMESTAMP) AS ts, l_extendedprice AS price,
          CAST(trunc(l_quantity) AS BIGINT) AS volume, l_orderkey * 100 + l_linenumber AS row_number FROM lineitem),
   twice AS (SELECT * FROM lines UNION ALL SELECT contract, ts, price, volume, row_number + 1000000000000 FROM lines WHERE (row_number // 100) % 50 = 0)"""
-GAPS = f"""{INTRADAY}, actives AS (SELECT contract, coalesce(min(ts) FILTER (WHERE volume > 0), min(ts)) AS a FROM bars GROUP BY 1),
+GAPS = f"""{GAPPED}, actives AS (SELECT contract, coalesce(min(ts) FILTER (WHERE volume > 0), min(ts)) AS a FROM bars GROUP BY 1),
   steps AS (SELECT contract, ts, lag(ts) OVER (PARTITION BY contract ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT b.contract, ts FROM bars b JOIN actives USING (contract) WHERE ts >= a)),
   spaced AS (SELECT *, date_diff('second', prev_ts, ts) AS gap_s FROM steps WHERE prev_ts IS NOT NULL),
   modal AS (SELECT contract, gap_s AS expected_s FROM (SELECT contract, gap_s, row_number() OVER (PARTITION BY contract ORDER BY count(*) DESC, gap_s) AS r, sum(count(*)) OVER (PARTITION BY contract) AS n FROM spaced WHERE gap_s > 0 GROUP BY 1, 2) WHERE r = 1 AND n >= 10),
@@ -253,11 +256,11 @@ def displaced_by_run(spark, sf_dir):
 
 @query(f"WITH {GAPS} SELECT contract, expected_s FROM modal")
 def modal_interval(spark, sf_dir):
-    return gaps.modal_interval(gaps.spacings(derived.intraday_bars(spark, sf_dir))).select("contract", "expected_s")
+    return gaps.modal_interval(gaps.spacings(derived.gapped_bars(spark, sf_dir))).select("contract", "expected_s")
 
 
 def _gaps(spark, sf_dir, *codes: str) -> DataFrame:
-    found = gaps.classified(derived.intraday_bars(spark, sf_dir))
+    found = gaps.classified(derived.gapped_bars(spark, sf_dir))
     found = found.where(F.col("code").isin(*codes)) if codes else found
     return found.select("contract", naive("prev_ts"), naive(), "gap_s", "expected_s", "missing_bars", "gap_minutes", "code", "weekend")
 
@@ -309,30 +312,30 @@ _MISSING = f"""WITH {GAPS}, g AS (SELECT contract, code, unnest(generate_series(
 
 @query(f"{_MISSING} SELECT * FROM missing")
 def missing_instants_minute(spark, sf_dir):
-    return gaps.missing_instants(derived.intraday_bars(spark, sf_dir)).select("contract", naive(), "classification")
+    return gaps.missing_instants(derived.gapped_bars(spark, sf_dir)).select("contract", naive(), "classification")
 
 
 @query(f"{_MISSING} SELECT contract, ts, classification FROM missing ORDER BY contract, ts LIMIT 50 OFFSET 100")
 def missing_instants_page(spark, sf_dir):
-    _, page = report.missing_timestamps(derived.intraday_bars(spark, sf_dir), MINUTE, 50, 100)
+    _, page = report.missing_timestamps(derived.gapped_bars(spark, sf_dir), MINUTE, 50, 100)
     return page.select("contract", naive(), "classification")
 
 
 @query(f"{_MISSING} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, count(*) AS n FROM missing GROUP BY 1, 2", dates=("day",))
 def missing_by_exchange_date(spark, sf_dir):
-    return gaps.missing_by_date(derived.intraday_bars(spark, sf_dir))
+    return gaps.missing_by_date(derived.gapped_bars(spark, sf_dir))
 
 
 _MINUTES = """bars AS (SELECT event_type AS contract, date_trunc('minute', ts) AS ts, CAST(sum(user_id) AS BIGINT) AS volume FROM events GROUP BY 1, 2)"""
 
 
-@query(f"{_MISSING.replace(INTRADAY, _MINUTES)} SELECT contract, ts, classification, (SELECT count(*) FROM missing) AS total FROM missing ORDER BY contract, ts LIMIT 500 OFFSET 60000")
+@query(f"{_MISSING.replace(GAPPED, _MINUTES)} SELECT contract, ts, classification, (SELECT count(*) FROM missing) AS total FROM missing ORDER BY contract, ts LIMIT 500 OFFSET 60000")
 def missing_minutes_deep_page(spark, sf_dir):
     total, page = report.missing_timestamps(derived.minute_bars(spark, sf_dir), MINUTE, 500, 60_000)
     return page.select("contract", naive(), "classification", F.lit(total).cast("bigint").alias("total"))
 
 
-@query(f"{_MISSING.replace(INTRADAY, _MINUTES)} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, classification, count(*) AS n, min(ts) AS first, max(ts) AS last FROM missing GROUP BY 1, 2, 3", dates=("day",))
+@query(f"{_MISSING.replace(GAPPED, _MINUTES)} SELECT contract, CAST({CHICAGO.format('ts')} AS DATE) AS day, classification, count(*) AS n, min(ts) AS first, max(ts) AS last FROM missing GROUP BY 1, 2, 3", dates=("day",))
 def missing_minutes_by_date(spark, sf_dir):
     slices = gaps.missing_slices(derived.minute_bars(spark, sf_dir))
     return slices.groupBy("contract", "day", "classification").agg(F.sum("n").alias("n"), F.min("first").cast("timestamp_ntz").alias("first"), F.max("last").cast("timestamp_ntz").alias("last"))
@@ -429,7 +432,7 @@ def frame_row_numbers(spark, sf_dir):
 
 
 def _occurrences(spark, sf_dir, *codes: str, dirty: bool = True) -> DataFrame:
-    bars = (derived.intraday_bars_dirty if dirty else derived.intraday_bars)(spark, sf_dir)
+    bars = (derived.intraday_bars_dirty if dirty else derived.gapped_bars)(spark, sf_dir)
     return occurrences.of_bars(bars, MINUTE, TIGHT, codes=codes)
 
 
@@ -510,13 +513,13 @@ def evidence_pack(spark, sf_dir):
 # -- all codes at once -----------------------------------------------------------
 
 #: ``derived.audited_bars`` and the occurrences of all codes in them, of the daily bars the missing sessions.
-_AUDITED = INTRADAY.replace("bars AS", "base AS", 1) + """, hours AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM base),
+_AUDITED = GAPPED.replace("bars AS", "base AS", 1) + """, hours AS (SELECT *, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM base),
   once AS (SELECT contract, ts, CASE WHEN h % 13 = 0 THEN high + 5 WHEN h % 19 = 0 THEN 0.0 ELSE open END AS open, CASE WHEN h % 11 = 0 THEN low - 1 WHEN h % 23 = 0 THEN CAST('inf' AS DOUBLE) ELSE high END AS high, low,
     CASE WHEN h % 17 = 0 THEN low - 5 ELSE close END AS close, CASE WHEN h % 29 = 0 THEN -volume WHEN h % 31 = 0 THEN NULL ELSE volume END AS volume, h FROM hours),
   bars AS (SELECT contract, ts, open, high, low, close, volume FROM once UNION ALL SELECT contract, ts, open, high, low, close, volume FROM once WHERE h % 37 = 0 UNION ALL SELECT contract, ts, open + 0.5, high, low, close, volume FROM once WHERE h % 41 = 0),
   audit AS (SELECT contract, ts, 'superseded_in_file' AS reason FROM once WHERE h % 43 = 0 UNION ALL SELECT contract, ts, 'superseded_by_run' FROM once WHERE h % 86 = 0)"""
 _NONE = "CAST(NULL AS TIMESTAMP) AS end_ts, 1 AS weight, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS minutes, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(NULL AS BIGINT) AS expected_s"
-_FOUND = f"""{GAPS.replace(INTRADAY, _AUDITED)}, {DATED},
+_FOUND = f"""{GAPS.replace(GAPPED, _AUDITED)}, {DATED},
   {_OUTLIERS.replace(INTRADAY + ", ", "")},
   spikes AS (SELECT *, CASE WHEN count(*) OVER f >= 20 THEN quantile_cont(coalesce(volume, 0), 0.5) OVER f END AS local_median FROM bars WINDOW f AS (PARTITION BY contract ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
   copies AS (SELECT contract, ts, open, count(*) AS n FROM bars GROUP BY contract, ts, open, high, low, close, volume HAVING count(*) > 1),

@@ -15,8 +15,8 @@ from .store import BarStore
 class Engine:
     version = __version__
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
-        self.spark, self.settings, self.store = spark, settings, BarStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
+        self.spark, self.settings, self.store = spark, settings or Settings.from_environment(), BarStore(spark, root)
 
     def health(self) -> dict:
         return {"status": "ok", "version": self.version}

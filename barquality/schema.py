@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import types as T
 
@@ -78,7 +80,7 @@ def severity_of(code: str, frequency: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """What the user may tune."""
+    """What the user may tune; ``from_environment`` takes values from variables named ``BARQUALITY_`` and the setting."""
 
     vwap_window_minutes: int = 15
     source_tz: str = "America/Chicago"
@@ -89,3 +91,8 @@ class Settings:
     detail_cap: int = 500
     #: Findings of an evidence pack that come to the driver at a time.
     pack_limit: int = 500
+
+    @classmethod
+    def from_environment(cls, environment: Mapping[str, str] = os.environ) -> Settings:
+        named = {f.name: environment.get(f"BARQUALITY_{f.name.upper()}") for f in fields(cls)}
+        return cls(**{name: type(getattr(cls, name))(value) for name, value in named.items() if value is not None})

@@ -11,6 +11,7 @@ from ..functions.clock import local_date
 from ..operators.normalize import row_hash
 from ..schema import BAR_COLUMNS, DAILY, MINUTE
 from ..shared import folder
+from .writers import write_csv
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +25,26 @@ def _finished(bars: DataFrame, frequency: str, source: str) -> DataFrame:
     return bars.withColumn("row_hash", row_hash()).select(*BAR_COLUMNS)
 
 
-def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of events per type; three days of one type are left out to make an extended gap."""
-    events = _table(spark, sf_dir, "events")
-    hole = (F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-09").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"))
-    hours = events.where(~hole).groupBy(F.col("event_type").alias("contract"), F.date_trunc("hour", "ts").cast("timestamp").alias("ts"))
-    bars = hours.agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.sum("user_id").alias("volume"))
+def _event_bars(events: DataFrame, unit: str) -> DataFrame:
+    times = events.groupBy(F.col("event_type").alias("contract"), F.date_trunc(unit, "ts").cast("timestamp").alias("ts"))
+    bars = times.agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.sum("user_id").alias("volume"))
     return _finished(bars.withColumn("trading_date", local_date(F.col("ts"), "America/Chicago")), MINUTE, "events")
 
 
+def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of events per type."""
+    return _event_bars(_table(spark, sf_dir, "events"), "hour")
+
+
+def gapped_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``intraday_bars``, but what one type has on three days arrived three days earlier, which leaves an extended gap."""
+    late = (F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-09").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"))
+    return _event_bars(_table(spark, sf_dir, "events").withColumn("ts", F.when(late, F.col("ts") - F.expr("interval 3 days")).otherwise(F.col("ts"))), "hour")
+
+
 def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of events per type and minute; most minutes have none."""
-    minutes = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("contract"), F.date_trunc("minute", "ts").cast("timestamp").alias("ts"))
-    bars = minutes.agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.sum("user_id").alias("volume"))
-    return _finished(bars.withColumn("trading_date", local_date(F.col("ts"), "America/Chicago")), MINUTE, "events")
+    return _event_bars(_table(spark, sf_dir, "events"), "minute")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +91,7 @@ def vendor_files(spark: SparkSession, sf_dir: str) -> str:
     """The folder of four CSV files of orders in the order of their keys, written to the shared folder."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string").alias("price"), (F.col("o_orderkey") % 4).alias("file"))
     at = f"{folder(spark)}/vendor-{uuid.uuid4().hex}"
-    orders.repartition(4, "file").sortWithinPartitions("file", "o_orderkey").write.option("header", True).partitionBy("file").csv(at)
+    write_csv(orders.repartition(4, "file").sortWithinPartitions("file", "o_orderkey"), at, by=["file"])
     return at
 
 
@@ -114,7 +121,7 @@ def audited_bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     some again with another open, and some are in the audit trail.
     """
     hour = F.floor(F.unix_seconds("ts") / 3600)
-    base = intraday_bars(spark, sf_dir).withColumn("_hour", hour).withColumn("_high", F.col("high"))
+    base = gapped_bars(spark, sf_dir).withColumn("_hour", hour).withColumn("_high", F.col("high"))
     h = F.col("_hour")
     once = base.withColumns(
         {

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import math
 import random
 import statistics
@@ -158,6 +159,38 @@ def test_a_pack_is_a_page_of_the_findings(spark):
     assert [e for s in some for e in s["evidence"]] == whole["evidence"] and all(len(s["evidence"]) == 4 for s in some)
 
 
+def test_messages_and_contexts(spark):
+    rows = [("C", at(0), 1, 1, 2, 1, -1), ("C", at(1, hour=14), 5, 2, 1, 1, None), ("C", at(1, hour=14), 5, 2, 1, 7, None), ("C", at(3), 1, 1, 1, 1, 1), ("C", at(3), 1, 1, 1, 1, 1), ("C", at(3), 1, 1, 1, 1, 1)]
+    b = bars(spark, rows)
+    lost = b.where("ts = '2024-03-04 15:00:00'").selectExpr("*", "explode(array('b', 'a')) AS reason")
+    found = {r["code"]: r for r in report.findings(occurrences.of_bars(b, superseded=lost)).collect()}
+    assert found["exact_duplicate"]["message"] == "3 byte-identical rows for C" and found["exact_duplicate"]["count"] == 2
+    assert found["high_lt_low"]["message"] == "1 bar(s): high < low" and json.loads(found["high_lt_low"]["context_json"]) == {"example_ts": "2024-03-04 15:00:00+00:00"}
+    assert found["conflicting_duplicate"]["context"]["example_ts"] == "2024-03-04 14:01:00+00:00"
+    assert json.loads(found["resolved_instant_conflict"]["context_json"]) == {"discarded_rows": 2, "example_ts": "2024-03-04 15:00:00+00:00", "reasons": ["a", "b"]}
+    assert found["repeated_timestamp"]["context_json"] == "{}"
+    days = [d for i in range(30) if (d := dt.date(2024, 1, 1) + dt.timedelta(days=i)).weekday() < 5 and not 9 <= d.day <= 17]
+    daily = report.findings(occurrences.of_bars(bars(spark, [("C", dt.datetime.combine(d, dt.time(), dt.UTC), 1, 2, 1, 9, 1) for d in days], DAILY), DAILY), DAILY).collect()
+    found = {r["code"]: r for r in daily}
+    assert found["missing_sessions"]["message"] == "7 business days with no bar for C between 2024-01-01 and 2024-01-30 (some are exchange holidays)"
+    assert found["missing_sessions"]["context"]["examples"] == ["2024-01-09", "2024-01-10", "2024-01-11", "2024-01-12", "2024-01-15"]
+    assert str(found["missing_sessions"]["start_ts"])[:10] == "2024-01-01" and found["close_out_of_range"]["message"].endswith("close outside [low, high] (settlement prints legitimately do this)")
+
+
+def test_settings_come_from_the_environment():
+    got = Settings.from_environment({"BARQUALITY_GAP_MIN_MULTIPLE": "2", "BARQUALITY_DETAIL_CAP": "7", "OTHER": "x"})
+    assert got == Settings(gap_min_multiple=2.0, detail_cap=7)
+
+
+def test_replies_are_checked_against_their_types(spark):
+    good = {"pattern_id": "P1", "type": "adjust_threshold", "kind": "validation", "params": {"setting": "gap_min_multiple", "value": 3}, "rationale": "r"}
+    bad = [good | {"kind": "cleansing"}, good | {"params": {"setting": "other", "value": 3}}, good | {"params": {"setting": "gap_min_multiple", "value": "3"}}, good | {"type": "none"}, 5]
+    kept, refused = insights.verify_suggestions([good, *bad])
+    assert kept == [good] and [r.reason.split(":")[0] for r in refused] == ["kind", "setting", "value", "type", "type"]
+    schema = insights.suggestions_schema()["properties"]["suggestions"]["items"]["anyOf"]
+    assert len(schema) == 6 and schema[1]["properties"]["params"]["properties"]["value"] == {"type": "number"} and schema[5]["properties"]["kind"]["enum"] == ["cleansing", "validation"]
+
+
 def test_the_cube_runs_each_rule_once(spark):
     b = bars(spark, flat("C", [at(i) for i in range(90) if i % 13]))
     occ = occurrences.of_bars(b)
