@@ -47,17 +47,21 @@ FROM low LEFT JOIN fit USING (page_id) JOIN hit USING (page_id)"""
 OP5 = _op5()
 
 OP7 = r"""WITH m0 AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-c AS (SELECT *, {'t': turn, 'k': row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text)} AS pl, conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen FROM m0),
-paired AS (SELECT pair_id FROM c GROUP BY 1 HAVING count(DISTINCT chosen) = 2),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM m0),
+z AS (SELECT conv_id, arg_max(turn, (turn, k)) AS turn, arg_max(k, (turn, k)) AS k, arg_max(text, (turn, k)) AS text FROM n0 WHERE role = 'assistant' GROUP BY 1),
+paired AS (SELECT a.conv_id AS pair_id, a.turn, a.k, b.text FROM z a JOIN z b ON b.conv_id = a.conv_id + 1),
+s0 AS (SELECT conv_id AS pair_id, true AS chosen, n0.turn, role, n0.text FROM n0 JOIN paired ON conv_id = pair_id
+  UNION ALL SELECT conv_id, false, n0.turn, role, CASE WHEN n0.turn = paired.turn AND n0.k = paired.k THEN paired.text ELSE n0.text END FROM n0 JOIN paired ON conv_id = pair_id),
+c AS (SELECT *, {'t': turn, 'k': row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role, text)} AS pl FROM (SELECT DISTINCT * FROM s0)),
 m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pl, b.pl) AS pl, a.role AS ar, a.text AS atext, b.role AS br, b.text AS bt
   FROM (SELECT * FROM c WHERE chosen) a FULL JOIN (SELECT * FROM c WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.pl = b.pl),
 f AS (SELECT pair_id, min(pl) FILTER (WHERE (ar, atext) IS DISTINCT FROM (br, bt)) AS first FROM m GROUP BY 1),
 r AS (SELECT pair_id, pl, first IS NULL OR pl < first AS common, ar, br, length(atext) + length('<|im_end|>') + 1 AS an, length(bt) + length('<|im_end|>') + 1 AS bn,
-  '<|im_start|>' || ar || chr(10) || atext || '<|im_end|>' || chr(10) AS a, '<|im_start|>' || br || chr(10) || bt || '<|im_end|>' || chr(10) AS b FROM m JOIN f USING (pair_id) JOIN paired USING (pair_id)),
+  '<|im_start|>' || ar || chr(10) || atext || '<|im_end|>' || chr(10) AS a, '<|im_start|>' || br || chr(10) || bt || '<|im_end|>' || chr(10) AS b FROM m JOIN f USING (pair_id)),
 o AS (SELECT pair_id, count(*) FILTER (WHERE common) AS n_prompt_turns, bool_and(common) AS identical,
   coalesce(string_agg(a, '' ORDER BY pl) FILTER (WHERE common), '') AS prompt, coalesce(string_agg(a, '' ORDER BY pl) FILTER (WHERE NOT common), '') AS chosen, coalesce(string_agg(b, '' ORDER BY pl) FILTER (WHERE NOT common), '') AS rejected,
   CAST(coalesce(sum(an) FILTER (WHERE NOT common AND ar = 'assistant'), 0) AS BIGINT) AS chosen_trained, CAST(coalesce(sum(bn) FILTER (WHERE NOT common AND br = 'assistant'), 0) AS BIGINT) AS rejected_trained FROM r GROUP BY 1)
-SELECT pair_id, pair_id * 2 AS chosen_id, pair_id * 2 + 1 AS rejected_id, n_prompt_turns, identical, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256,
+SELECT pair_id, n_prompt_turns, identical, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256,
   CAST(length(prompt) AS BIGINT) AS prompt_chars, CAST(length(chosen) AS BIGINT) AS chosen_chars, CAST(length(rejected) AS BIGINT) AS rejected_chars, chosen_trained, rejected_trained FROM o"""
 
 

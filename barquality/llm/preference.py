@@ -47,6 +47,27 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     return ids.select("conv_id", F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"))
 
 
+def borrowed_ends(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, pairs) in which both sides share all turns but one.
+
+    Chosen is a conversation as it is; rejected is the same with the text of
+    its last assistant message replaced by that of the conversation with the
+    next id.  A conversation without that neighbour, or where either has no
+    assistant message, makes no pair.  Pairs have the id of their conversation;
+    the ids of both sides are structs of it and which side they are.
+    """
+    turns = turns_of(conversations)
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "part", "text")).alias("m"))
+    place = last.select("conv_id", F.struct("m.turn", "m.part").alias("_at"))
+    # the smallest id has no id before it
+    donor = last.select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.col("m.text").alias("_text")).where("conv_id is not null")
+    met = turns.join(place.join(donor, "conv_id"), "conv_id")
+    other = F.when(F.struct("turn", "part").eqNullSafe(F.col("_at")), F.col("_text")).otherwise(F.col("text"))
+    sides = F.array(F.struct(F.lit(True).alias("chosen"), F.col("text").alias("text")), F.struct(F.lit(False).alias("chosen"), other.alias("text")))
+    both = met.withColumn("_s", F.explode(sides)).select(F.struct("conv_id", "_s.chosen").alias("conv_id"), "turn", "role", "_s.text")
+    return both, both.select("conv_id", F.col("conv_id.conv_id").alias("pair_id"), F.col("conv_id.chosen").alias("chosen")).distinct()
+
+
 def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per pair of ``pairs(conv_id, pair_id, chosen)`` that has both sides.
 

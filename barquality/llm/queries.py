@@ -46,8 +46,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    return preference.digests(preference.format_pairs(turns, preference.neighbours(turns)))
+    turns, pairs = preference.borrowed_ends(_table(spark, sf_dir, "conversations"))
+    return preference.digests(preference.format_pairs(turns, pairs)).drop("chosen_id", "rejected_id")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,20 @@ def test_masks_cover_completions_of_many_turns(spark):
         at += length
     assert at == len(r["chosen"])
     assert "".join(r["chosen"][s : s + n] for s, n, t in r["chosen_mask"] if t) == "".join(f"{x[3]}<|im_end|>\n" for x in rows[:300] if x[2] == "assistant")
+
+
+def test_borrowed_ends_share_all_turns_before_the_last_answer(spark):
+    rows = [
+        (-5, 0, "user", "q"), (-5, 1, "assistant", "a"), (-5, 2, "user", "r"), (-5, 3, "assistant", "b"), (-5, 4, "user", "bye"), (-4, 0, "user", "x"), (-4, 1, "assistant", "y"),
+        (-3, 0, "user", "no answer"), (7, 0, "assistant", "same"), (8, 0, "assistant", "same"), (9, 0, "assistant", "z" * 300_000), (-(2**63), 0, "assistant", "least"),
+    ]
+    turns, pairs = p.borrowed_ends(spark.createDataFrame([(*r, 1) for r in rows + rows[:2]], SCHEMA))
+    out = {r["pair_id"]: r for r in p.format_pairs(turns, pairs).collect()}
+    assert set(out) == {-5, 7, 8}
+    a = out[-5]
+    assert a["n_prompt_turns"] == 3 and a["prompt"] == turn("user", "q") + turn("assistant", "a") + turn("user", "r")
+    assert a["chosen"] == turn("assistant", "b") + turn("user", "bye") and a["rejected"] == turn("assistant", "y") + turn("user", "bye")
+    assert out[7]["identical"] and out[8]["n_prompt_turns"] == 0 and out[8]["rejected"] == turn("assistant", "z" * 300_000)
+    assert out[8]["rejected_mask"][1]["length"] == 300_000 + len("<|im_end|>\n")
+    empty = spark.createDataFrame([], SCHEMA)
+    assert p.format_pairs(*p.borrowed_ends(empty)).count() == 0
