@@ -8,7 +8,8 @@ the content clusters.  The clusters select the regions:
 
 * each line of a cluster speaks for the article or main element around it; where
   these hold half of the clustered text, the regions are the elements spoken
-  for (those with at least a quarter of what the largest holds);
+  for; those marked as other stories (related, promoted) are left out where
+  the others hold at least half of their text;
 * elsewhere the region is the least container around all lines of clusters, less
   lines outside the clusters that are links and nothing else.
 
@@ -20,6 +21,10 @@ ratios are smoothed once more without them.
 A null or empty page has an empty text, and so has a page without text.  Broken
 markup is read as far as it goes: unknown end tags are ignored, an unclosed
 element ends with its parent, an article ends what was left open before it.
+Declarations that are none are skipped to their end, what stands after the last
+end of a tag is text, and a start tag that never ends is text as well; after
+``RETRIES`` of these, tags are read without their attributes, so that a page
+of unclosed quotes costs no more than its length.
 Very long and very deep pages are taken whole, one at a time, with constant work
 per tag; repeated rows give repeated results; an empty table an empty result;
 other columns are ignored.
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,6 +53,8 @@ MARKERS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended widget toolbar pagination pager search complementary contentinfo".split()
 )
+#: Those of them that mark another story.
+RELATED = frozenset("sponsor sponsored promo promotion advert adverts advertisement advertising advertorial related recommended widget".split())
 COMMENTS = frozenset("comment comments commentlist respond replies disqus discussion".split())
 CONTENT = frozenset(("article", "main"))
 CONTAINERS = frozenset(
@@ -55,6 +63,9 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr caption figcaption summary legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
+#: Start tags without an end that are searched for one through the rest of a page.
+RETRIES = 16
+_BARE_TAG = re.compile(r"<([a-zA-Z][^\s/<>]*)[^<>]*>")
 
 
 class Lines(HTMLParser):
@@ -64,6 +75,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         # container: tag, parent, whether it is boilerplate itself, whether it is a reader's comment
         self.tags, self.parents, self.marked, self.comment = ["#page"], [-1], [False], [False]
+        #: content elements that are marked as another story, or stand where one was announced
+        self.related: set[int] = set()
+        self.other = [False]
         self.open = [0]
         #: where in ``open`` the containers of each tag are
         self.places: dict[str, list[int]] = {}
@@ -71,6 +85,38 @@ class Lines(HTMLParser):
         self.plain = False
         self.n_tags, self.n_links = 0, 0
         self.lines: list[tuple[str, int, int, bool]] = []
+        self.n_failed, self.unclosed = 0, set()
+
+    def read(self, html: str) -> None:
+        """All events of a page."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if html[end:]:
+            self.handle_data(unescape(html[end:]))
+        self.cut()
+
+    def parse_starttag(self, i: int) -> int:
+        if self.n_failed < RETRIES:
+            end = super().parse_starttag(i)
+            self.n_failed += end < 0
+            return end
+        bare = _BARE_TAG.match(self.rawdata, i)
+        if not bare:
+            return -1
+        self.handle_starttag(bare[1].lower(), [])
+        return bare.end()
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Past a comment, a CDATA section or anything else that begins like a declaration."""
+        for opened, closed in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if self.rawdata.startswith(opened, i) and closed not in self.unclosed:
+                end = self.rawdata.find(closed, i + len(opened))
+                if end >= 0:
+                    return end + len(closed)
+                # nor does any that begins later
+                self.unclosed.add(closed)
+        return self.rawdata.find(">", i) + 1 or -1
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -94,10 +140,14 @@ class Lines(HTMLParser):
             return
         words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v.lower())}
         comment = bool(words & COMMENTS)
+        other = bool(words & RELATED)
         if tag in CONTENT and not comment:
             # what is still open and no content ends here, unless it is a thread of comments
             while self.open[-1] and self._ends(self.open[-1]):
+                other = other or self.other[self.open[-1]]
                 self._pop()
+            if other:
+                self.related.add(len(self.tags))
         inside = any(self.places.get(c) for c in CONTENT)
         marked = tag in UNSEEN or tag in BOILERPLATE or bool(words & MARKERS) or (tag == "header" and not inside)
         if tag in ("html", "body") or (tag in CONTENT and not comment):
@@ -105,6 +155,7 @@ class Lines(HTMLParser):
         self.tags.append(tag)
         self.parents.append(self.open[-1])
         self.marked.append(marked)
+        self.other.append(other)
         self.comment.append(comment)
         self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tags) - 1)
@@ -138,10 +189,6 @@ class Lines(HTMLParser):
         self.text.append(data)
         self.plain = self.plain or (not self.n_links and not data.isspace())
 
-    def finish(self) -> None:
-        self.close()
-        self.cut()
-
 
 def smooth(values: np.ndarray, sigma: float, radius: int) -> np.ndarray:
     """Gaussian smoothing; at the ends over what is there."""
@@ -167,8 +214,11 @@ def _summed(parents: list[int], held: np.ndarray) -> np.ndarray:
     return np.array(total)
 
 
-def regions(page: Lines, lines: list, clusters: np.ndarray, hidden: list[bool]) -> tuple[set[int], bool]:
-    """The containers that the clustered lines select, and whether they are content elements."""
+def regions(page: Lines, lines: list, clusters: np.ndarray, hidden: list[bool], aside: list[bool]) -> tuple[set[int], bool]:
+    """The containers that the clustered lines select, and whether they are content elements.
+
+    Those ``aside`` are left where the others hold at least half of the text.
+    """
     size = len(page.tags)
     held = np.zeros(size)
     for (text, _, container, _), in_cluster in zip(lines, clusters):
@@ -181,9 +231,9 @@ def regions(page: Lines, lines: list, clusters: np.ndarray, hidden: list[bool])
     spoken = np.bincount(content, held, size)
     spoken[0] = 0
     if 2 * spoken.sum() >= held.sum():
-        with_inner = _summed(page.parents, held)
-        least = 0.25 * with_inner[spoken > 0].max()
-        return {i for i in np.flatnonzero(spoken).tolist() if with_inner[i] >= least}, True
+        found = np.flatnonzero(spoken)
+        own = found[[not aside[i] for i in found]]
+        return set((own if 2 * spoken[own].sum() >= spoken.sum() else found).tolist()), True
     count = np.zeros(size)
     for (_, _, container, _), in_cluster in zip(lines, clusters):
         count[container] += in_cluster
@@ -194,13 +244,13 @@ def regions(page: Lines, lines: list, clusters: np.ndarray, hidden: list[bool])
 def main_text(html: str, sigma: float = 1.0, radius: int = 2, cluster=clustered) -> tuple[str, int, int]:
     """The content of a page, its number of lines, and how many of all lines were in a content cluster."""
     page = Lines()
-    page.feed(html)
-    page.finish()
+    page.read(html)
     # a container is out when it or one around it is marked; content elements shed marks around them
-    out, hidden = [False], [False]
+    out, hidden, aside = [False], [False], [False]
     for i in range(1, len(page.tags)):
         parent = page.parents[i]
         hidden.append(hidden[parent] or page.comment[i])
+        aside.append(aside[parent] or i in page.related)
         out.append(page.marked[i] or (out[parent] and page.tags[i] not in CONTENT))
     lines = [x for x in page.lines if page.tags[x[2]] not in UNSEEN]
     kept = np.array([not out[c] and not hidden[c] for _, _, c, _ in lines], bool)
@@ -208,7 +258,7 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2, cluster=clustered)
     chosen = dense & kept
     if dense.any() and not chosen.any():
         chosen[kept] = cluster([x[:2] for x, k in zip(lines, kept) if k], sigma, radius)
-    selected, content = regions(page, lines, chosen, hidden)
+    selected, content = regions(page, lines, chosen, hidden, aside)
     inside = [0 in selected]
     for i in range(1, len(page.tags)):
         inside.append(i in selected or inside[page.parents[i]])

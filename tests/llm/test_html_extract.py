@@ -107,3 +107,24 @@ def test_work_is_constant_per_tag():
     assert main_text("<div>" * 100_000 + "deep" + "</span></p></section>" * 30_000)[0] == "deep"
     assert main_text("<article>" * 50_000 + "deep")[0] == "deep"
     assert time.perf_counter() - start < 8
+
+
+@pytest.mark.parametrize("end", ["", ">", "<p>after this the page goes on with text</p>"])
+@pytest.mark.parametrize("piece", ['<a href="', "<a b='", "<!--", "</a ", "<!doctype ", "<?x ", "<![", "<![CDATA[", "&#", "<", "</", '<a href=">', "<script>", '<b><a href="', '<a b=c"', "<![if x]>", "<!x>"])
+def test_broken_markup_of_great_length_costs_no_more_than_its_length(piece, end):
+    started = time.process_time()
+    text = main_text("<p>hello world, here is some text</p>" + piece * (500_000 // len(piece)) + end)[0]
+    assert time.process_time() - started < 5 and text.startswith("hello world")
+
+
+def test_broken_tags_leave_the_rest_of_the_page():
+    got = main_text('<article><p>first paragraph of the text, long enough to be content</p>' + '<a href="x' * 3 + "<p>second paragraph of the text &amp; more of it, also long enough</p></article>")[0]
+    assert got.startswith("first paragraph") and "second paragraph of the text & more" in got
+    assert main_text("<![bad]><p>some text that is the content of the page</p><![CDATA[x > y]]>")[0] == "some text that is the content of the page"
+
+
+def test_a_short_second_article_stays_and_a_related_one_goes():
+    long, short = "long text of the first article, " * 40, "short text of the second article, a few words only"
+    page = f"<body><main><article><p>{long}</p></article><article><p>{short}</p></article></main><article class='related'><p>{'another story that is told elsewhere, ' * 5}</p></article></body>"
+    got = main_text(page)[0]
+    assert short in got and "elsewhere" not in got
