@@ -111,10 +111,11 @@ def literal_tokens(pattern: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` runs over ``host + path`` in lower case."""
+    """``pattern`` runs over ``host + path`` in lower case; a rule that allows goes before those that block."""
 
     name: str
     pattern: str
+    verdict: str = "block"
 
     @cached_property
     def literals(self) -> tuple[str, ...]:
@@ -136,12 +137,38 @@ def pattern_of(line: str) -> str:
     return start + "".join(parts.get(c) or re.escape(c) for c in body.rstrip("|")) + end
 
 
+#: What may stand beside the text of a filter and changes nothing for the address of a page.
+OPTIONS = frozenset(("all", "document", "doc", "important"))
+_OPTIONS = re.compile(r"\$(~?[a-z0-9-]+(?:=[^,]*)?(?:,~?[a-z0-9-]+(?:=[^,]*)?)*)$", re.IGNORECASE)
+#: What separates the hosts of a rule about elements inside a page from its selector.
+_ELEMENTS = re.compile(r"#@?[?$%]?#")
+
+
+def rule_of(name: str | None, line: str) -> PatternRule | None:
+    """The rule of a line of a filter list; None for comments, headers and rules about elements of a page.
+
+    ``@@`` makes an exception, a rule that allows.  Options other than
+    ``OPTIONS`` ask for what an address does not tell and are refused.
+    """
+    body = line.strip()
+    if not body or body[0] in "![" or _ELEMENTS.search(body):
+        return None
+    verdict = "allow" if body.startswith("@@") else "block"
+    body = body.removeprefix("@@")
+    if found := _OPTIONS.search(body):
+        for option in found[1].split(","):
+            if option.lower() not in OPTIONS:
+                raise ValueError(f"rule {line}: option {option} is not known")
+        body = body[: found.start()]
+    return PatternRule(name or line, pattern_of(body), verdict)
+
+
 def rules_of(table: DataFrame, most: int = 100_000) -> tuple[PatternRule, ...]:
-    """The rules of ``table(name, line)``, without null lines; more than ``most`` are refused."""
+    """The rules of ``table(name, line)`` by ``rule_of``, without null lines; more than ``most`` lines are refused."""
     rows = slim(table, "name", "line").where("line is not null").distinct().orderBy("name", "line").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rules")
-    return tuple(PatternRule(r["name"] or r["line"], pattern_of(r["line"])) for r in rows)
+    return tuple(rule for r in rows if (rule := rule_of(r["name"], r["line"])))
 
 
 SITE_RULES = (
@@ -204,8 +231,8 @@ class RuleIndex:
         best = max((e[1] for e in found if e[0] == 0 and e[1].fits(host, path)), key=lambda r: (len(r.name), r.name), default=None)
         if best:
             return host, path, best.name, best.verdict, None, len(found)
-        hit = min((e[1].name for e in found if e[0] == 1 and e[2].search(lowered)), default=None)
-        return host, path, None, "block" if hit else "allow", hit, len(found)
+        hit = min(((e[1].verdict, e[1].name) for e in found if e[0] == 1 and e[2].search(lowered)), default=("allow", None))
+        return host, path, None, *hit, len(found)
 
 
 def token_counts(pages: DataFrame, tokens: list[str]) -> dict[str, int]:
@@ -218,11 +245,13 @@ def judge(pages: DataFrame, sites: tuple[SiteRule, ...] = SITE_RULES, patterns:
     """page_id, host, path, rule, verdict, pattern, n_candidates of every row of ``pages(page_id, url)``."""
     pages = slim(pages, "page_id", "url")
     tokens = sorted({t for r in sites for t in r.tokens()} | {t for r in patterns for t in r.literals})
-    index = RuleIndex(sites, patterns, token_counts(pages, tokens))
+    # its size is bounded by that of the rules, of which rules_of takes a stated number
+    sent = pages.sparkSession.sparkContext.broadcast(RuleIndex(sites, patterns, token_counts(pages, tokens)))
     types = [pa.string()] * 5 + [pa.int64()]
     names = ["host", "path", "rule", "verdict", "pattern", "n_candidates"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
             rows = [index.judge(u) for u in batch.column("url").to_pylist()]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]

@@ -98,3 +98,31 @@ def test_rules_from_a_table_of_filter_lines(spark):
     assert hit == {"bad.example/x": "a", "x.bad.example": "a", "notbad.example/": None, "bad.examples/": None, "q.net/banners/1": "b", "q.net/mybanners/1": None, "www.start.com/": "c", "a.www.start.com/": None, "a.regex.net/": "d"}
     with pytest.raises(ValueError):
         urls.rules_of(spark.createDataFrame(lines, "name string, line string"), most=2)
+
+
+def test_lines_of_filter_lists(spark):
+    lines = ["! a comment", "[Adblock Plus 2.0]", "", "  ", "example.com##.banner", "a.com#@#div", "b.com#?#x:has(y)", "||ads.example.com^", "@@||ads.example.com/fine^", "||track.net^$document,important", "/^stats\\./", None]
+    rules = urls.rules_of(spark.createDataFrame([(None, x) for x in lines], "name string, line string"))
+    assert sorted((r.name, r.verdict) for r in rules) == [("/^stats\\./", "block"), ("@@||ads.example.com/fine^", "allow"), ("||ads.example.com^", "block"), ("||track.net^$document,important", "block")]
+    index = urls.RuleIndex((), rules, {})
+    judged = {u: index.judge(u)[3:5] for u in ("http://ads.example.com/x", "http://ads.example.com/fine/1", "http://www.track.net/", "http://stats.org/", "http://acomment.org/")}
+    assert judged == {
+        "http://ads.example.com/x": ("block", "||ads.example.com^"), "http://ads.example.com/fine/1": ("allow", "@@||ads.example.com/fine^"),
+        "http://www.track.net/": ("block", "||track.net^$document,important"), "http://stats.org/": ("block", "/^stats\\./"), "http://acomment.org/": ("allow", None),
+    }
+    for line in ("||ads.example.com^$third-party", "||a.com^$script,document", "||a.com^$domain=b.com|c.com"):
+        with pytest.raises(ValueError, match="option"):
+            urls.rule_of(None, line)
+
+
+def test_the_index_agrees_with_all_rules_of_a_list():
+    rng = random.Random(4)
+    names = [f"{a}{b}" for a in ("ads", "cdn", "news", "track") for b in ("one", "two", "")]
+    lines = [f"||{n}.{t}^" for n in names for t in ("com", "net")] + [f"@@||{n}.com/ok^" for n in names[:5]] + [f"/{n}/click" for n in names]
+    rules = [r for x in lines if (r := urls.rule_of(None, x))]
+    index = urls.RuleIndex((), rules, {})
+    for _ in range(3000):
+        url = f"https://{rng.choice(['', 'www.', 'x-'])}{rng.choice(names)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['', 'ok', 'ok/1', rng.choice(names) + '/click', 'a'])}"
+        low = "".join(urls.host_and_path(url)).lower()
+        hits = [(r.verdict, r.name) for r in rules if re.search(r.pattern, low)]
+        assert index.judge(url)[3:5] == min(hits, default=("allow", None))
