@@ -53,7 +53,7 @@ def test_empty_table(spark, docs_of):
 def test_queries_match_their_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]

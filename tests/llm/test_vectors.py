@@ -4,12 +4,11 @@ import hashlib
 import math
 import random
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from barquality.llm import centroids, codebooks, oracles, queries, vectors
+from barquality.llm import centroids, codebooks, vectors
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, cluster string, n int"
 
@@ -153,14 +152,3 @@ def test_integers_round_down_and_mark_what_is_too_large():
     rows, near, values = vectors.integers(column.slice(0), 2, 10)
     assert rows.tolist() == [0, 2, 5] and near.tolist() == [True, False, True] and values.tolist() == [[5, -3], [-1, 30]]
     assert vectors.integers(column.slice(4), 2, 10)[0].tolist() == [1]
-
-
-@pytest.mark.parametrize("name", ["op11_centroid_clustering", "op12_vector_codes"])
-def test_queries_equal_their_sql(spark, name):
-    at = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet'")
-    want = con.execute(queries.ORACLES[name])
-    names = [d[0] for d in want.description]
-    got = queries.QUERIES[name](spark, at).select(*names)
-    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and want is not None
