@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import persist_table, slim
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -56,16 +56,18 @@ def borrowed_ends(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     assistant message, makes no pair.  Pairs have the id of their conversation;
     the ids of both sides are structs of it and which side they are.
     """
-    turns = turns_of(conversations)
+    turns = persist_table(turns_of(conversations), "turns")
     last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "part", "text")).alias("m"))
     place = last.select("conv_id", F.struct("m.turn", "m.part").alias("_at"))
     # the smallest id has no id before it
     donor = last.select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.col("m.text").alias("_text")).where("conv_id is not null")
-    met = turns.join(place.join(donor, "conv_id"), "conv_id")
+    ends = persist_table(place.join(donor, "conv_id"), "ends")
+    met = turns.join(ends, "conv_id")
     other = F.when(F.struct("turn", "part").eqNullSafe(F.col("_at")), F.col("_text")).otherwise(F.col("text"))
     sides = F.array(F.struct(F.lit(True).alias("chosen"), F.col("text").alias("text")), F.struct(F.lit(False).alias("chosen"), other.alias("text")))
     both = met.withColumn("_s", F.explode(sides)).select(F.struct("conv_id", "_s.chosen").alias("conv_id"), "turn", "role", "_s.text")
-    return both, both.select("conv_id", F.col("conv_id.conv_id").alias("pair_id"), F.col("conv_id.chosen").alias("chosen")).distinct()
+    ids = ends.select("conv_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("chosen"))
+    return both, ids.select(F.struct("conv_id", "chosen").alias("conv_id"), F.col("conv_id").alias("pair_id"), "chosen")
 
 
 def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
