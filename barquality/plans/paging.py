@@ -47,7 +47,8 @@ def page(rows: DataFrame, order: list[str | Column], limit: int, offset: int) ->
     ``rows`` are counted once, and once more read for the days that hold the page.
     """
     dated = rows.withColumn("_day", F.to_date("ts"))
-    cells = written(ranked(dated.groupBy("contract", "_day").agg(F.count("*").alias("n")), [["contract"], ["_day"]]), "page-cells")
+    counted = written(dated.groupBy("contract", "_day").agg(F.count("*").alias("n")), "page-counts")
+    cells = written(ranked(counted, [["contract"], ["_day"]]), "page-cells")
     held = _holding(cells, limit, offset)
     (total, _), (_, start) = _start(cells), _start(held)
     days = held.select(F.col("contract").alias("_c"), F.col("_day").alias("_d"))
@@ -57,7 +58,7 @@ def page(rows: DataFrame, order: list[str | Column], limit: int, offset: int) ->
 
 def slice_page(slices: DataFrame, expand, limit: int, offset: int) -> tuple[int, DataFrame]:
     """(total, page) of what slices (contract, day, first, n) would expand to, without expanding any but those of the page."""
-    cells = written(ranked(slices, [["contract"], ["day"], ["first"]]), "page-slices")
+    cells = written(ranked(written(slices, "slices"), [["contract"], ["day"], ["first"]]), "page-slices")
     held = _holding(cells, limit, offset)
     (total, _), (_, start) = _start(cells), _start(held)
     return total, expand(held).orderBy("contract", "ts").offset(max(offset - start, 0)).limit(limit)
