@@ -19,16 +19,19 @@ symmetric difference, a similarity of at least ``p/q`` is exactly
    whatever it links to.  Every other word is a key.  Keys that occur twice are
    found from packed, pre-combined arrays; only those become rows.
 4. The member of a bucket that lies in the most crowded buckets is its pivot;
-   each member is verified against the pivot only, never against all others.
-5. What is left are pairs of members of which one is not linked to the pivot.
-   With ``E`` a member's difference to the pivot, such a pair can only link if
-   both share much of their ``E``; prefix-filtered joins on the elements of
-   ``E`` find all of those.  Of these candidates only the pairs whose parity
-   sketches of ``SKETCH_BITS`` single bits are near enough get their sets: each
-   shingle flips one bit, so the Hamming distance is at most the symmetric
-   difference.  No link is lost.  Groups are not expanded as such, but members that
-   differ from their pivot in the same places do meet in pairs: within such a
-   group the candidates grow faster than its members (README has figures).
+   each member meets the pivot only, never all others.  Pairs whose parity sketches
+   of ``SKETCH_BITS`` single bits are too far apart end there: each shingle flips one
+   bit, so the Hamming distance is at most the symmetric difference.  The sets of the
+   others are fetched and compared.
+5. A bucket whose members are connected by these links is done.  Members of the
+   other buckets are joined by prefixes (``_open_pairs``): shingles that several components share
+   are ordered by their number, a shingle's place counts those before it, and two
+   members of different components meet on a shingle only if as many follow it in
+   both as a link takes.  The members of a large group of copies have their own
+   shingles first and so drop out before they meet.  Again sketches are compared, then sets.
+
+No link between different texts is lost: its ends are connected through links that
+are listed.  Links inside a component that is known already are not all listed.
 
 A class is known by a 64-bit digest of its set; at 10^9 different sets two of them
 are expected to share one with a probability of 3%.
@@ -62,6 +65,8 @@ PRUNINGS = 3
 TAG_BITS = 20
 #: Single bits of the parity sketch that is compared before sets are fetched.
 SKETCH_BITS = 1024
+#: Upper end of a class of sizes over its lower end, for what a prefix reaches; any number is right.
+SIZE_CLASS = 1.05
 #: Bits of the table of repeated shingles: 16 MiB, broadcast.
 REPEATED_BITS = 1 << 27
 #: Bits of the fixed-size filters that keep needless rows out of a shuffle.
@@ -328,13 +333,14 @@ def bit_filter(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     )
 
 
-def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """``(membership, links)`` of ``docs(doc_id, text)``.
+def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(membership, links, components)`` of ``docs(doc_id, text)``.
 
     membership: doc_id, n_shingles, node, the class of equal sets (null: no words).
     links: a, b, the nodes of verified pairs.  Every pair of different sets that
-    reach the threshold is connected through links; pairs that are both linked
-    to a common pivot are not listed again.
+    reach the threshold is connected through links; pairs that are connected
+    already are not all listed.
+    components: node, component of every node of a link; a component is known by one of its nodes.
     """
     docs = slim(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
@@ -369,48 +375,65 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple
     sets = bit_filter(docs, wanted.select("doc_id"), "doc_id").mapInArrow(_set_rows(words), "node bigint, shingles array<bigint>, bits array<bigint>")
     sets = persist_table(sets.join(wanted.select("node"), "node").dropDuplicates(["node"]), "sets")
 
-    # every member against its pivot, with what it lacks or has beyond the pivot
+    first = persist_table(_verified(pairs, sets, percent).select("x", "y"), "links")
+    found = persist_table(connected_components(first, "x", "y"), "components")
+    second = persist_table(_verified(_open_pairs(members, found, sets, percent), sets, percent), "links")
+    links = first.unionByName(second.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # components that the second links join
+    merged = connected_components(second, "cx", "cy").select(F.col("node").alias("component"), F.col("component").alias("_into"))
+    alone = merged.join(found, "component", "left_anti").select(F.col("component").alias("node"), F.col("_into").alias("component"))
+    joined = found.join(merged, "component", "left").select("node", F.coalesce("_into", "component").alias("component"))
+    return membership, links, joined.unionByName(alone)
+
+
+def _open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``x, y, nx, ny, cx, cy``: members of a common bucket, of different components, that may link.
+
+    A link takes ``o`` common shingles with ``(100 + percent) * o >= percent * (nx + ny)``.
+    All that two sets share comes after the first that they share, in any order of
+    shingles that is the same for both; so at place ``i`` (from 0) of a set of size
+    ``n``, a partner has at most ``(100 + percent) * (n - i) / percent - n`` shingles, and no
+    place beyond ``n * (100 - percent) / 100`` has one.  Here shingles found in one component
+    only come first (their number is enough), then the others from rare to frequent.
+    Sizes form classes, and a set looks into the classes that it reaches; members of the component
+    that has most of a shingle's places look for nobody, they are looked for.
+    """
     gap, total = 100 - percent, 100 + percent
-    met = _with_sets(pairs, sets).select("x", "nx", "y", "ny", F.array_except("sx", "sy").alias("beyond"), F.array_except("sy", "sx").alias("lacks"))
-    met = met.withColumn("e", F.size("beyond") + F.size("lacks")).withColumn("linked", _links(F.col("e"), F.col("nx"), F.col("ny"), percent))
-    # a member links to a linked one only if its own difference is at most both their limits
-    middle = ~F.col("linked") & (F.expr(f"{total} * e <= {gap} * (nx + ny + 2 * nx * 100 / {percent})"))
-    need = F.expr(f"int(floor(({total} * e + {gap} * (ny - nx)) / {2 * total})) + 1")
-    most = F.expr(f"int(floor({gap} * nx / {percent})) + 1")
-    off = F.concat("beyond", "lacks")
-    deltas = persist_table(
-        met.select(
-            "x", "nx", "y", "ny", "e", "linked",
-            F.when(F.col("linked"), F.slice(off, F.lit(1), F.greatest(F.lit(1), F.col("e") - need + 1))).alias("near"),
-            F.when(middle, off).alias("far"),
-            F.when(~F.col("linked"), F.slice(F.concat(F.array_sort("beyond"), F.array_sort("lacks")), F.lit(1), F.greatest(F.lit(1), F.least(most, F.col("e") - need + 1)))).alias("apart"),
-        ),
-        "deltas",
-    )
-    first = deltas.where("linked").select("x", "y")
-
-    # pairs of which one is not linked to the pivot: against linked members, all of its difference
-    # meets a prefix of theirs (what they have beyond the pivot first); among each other, prefixes
-    # in that order meet, as two members that are not linked to the pivot share over half as well
-    def keyed_by(name: str, x: str, n: str, e: str) -> DataFrame:
-        return deltas.where(f"{name} is not null").select("y", F.col("x").alias(x), F.col("nx").alias(n), F.col("e").alias(e), F.explode(name).alias("key"))
-
-    with_linked = keyed_by("far", "a", "na", "ea").join(keyed_by("near", "b", "nb", "eb"), ["y", "key"])
-    apart = keyed_by("apart", "a", "na", "ea").join(keyed_by("apart", "b", "nb", "eb"), ["y", "key"]).where("a < b")
-    rest = with_linked.unionByName(apart).where(f"{total} * abs(ea - eb) <= {gap} * (na + nb)")
-    rest = rest.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("if(a < b, na, nb)").alias("nx"), F.expr("if(a < b, nb, na)").alias("ny")).distinct()
-    bits = sets.select("node", "bits")
-    rest = rest.join(bits.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y")
-    rest = rest.where(_links(hamming("bx", "by"), F.col("nx"), F.col("ny"), percent)).drop("bx", "by")
-    second = _with_sets(rest, sets).where(_links(F.size(F.array_except("sx", "sy")) + F.size(F.array_except("sy", "sx")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
-    links = first.unionByName(second).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return membership, persist_table(links, "links")
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
-    two = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
-    return pairs.join(one, "x").join(two, "y")
+    named = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    opened = persist_table(named.join(mixed, "key").select("node", "n", "comp").distinct(), "open")
+
+    elements = opened.join(sets.select("node", "shingles"), "node").select("node", "n", "comp", F.explode("shingles").alias("s"))
+    crossing = persist_table(elements.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s"), "crossing")
+    shared = persist_table(bit_filter(elements, crossing, "s").join(crossing, "s"), "shared")
+    ranked = shared.join(shared.groupBy("s").agg(F.count("*").alias("c")), "s").groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("k"))
+    places = ranked.select("node", "n", "comp", F.expr("n - size(k)").alias("own"), F.posexplode("k")).select("node", "n", "comp", (F.col("own") + F.col("pos")).alias("i"), F.col("col.s").alias("s"))
+    places = persist_table(places.where(f"100 * i <= {gap} * n"), "places")
+
+    most = places.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    size_class = f"int(floor(ln({{}}) / ln({SIZE_CLASS})))"
+    index = places.join(most.where("comps > 1").select("s", F.col("top.comp").alias("most")), "s")
+    index = persist_table(index.withColumn("class", F.expr(size_class.format("n"))), "index")
+    reach = index.where("comp != most").withColumn("least", F.expr(f"({percent} * n + 99) div 100"))
+    reach = reach.withColumn("longest", F.expr(f"least(100 * n div {percent}, {total} * (n - i) div {percent} - n)")).where("least <= longest")
+    classes = F.expr(f"sequence({size_class.format('least')}, {size_class.format('longest')})")
+    p = reach.select("s", F.explode(classes).alias("class"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("comp").alias("cx"))
+    q = index.select("s", "class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("comp").alias("cy"), (F.col("comp") == F.col("most")).alias("found_only"))
+    far = (F.col("cx") != F.col("cy")) & (F.col("found_only") | (F.col("x") < F.col("y")))
+    room = F.expr(f"{total} * least(nx - ix, ny - iy) >= {percent} * (nx + ny)")
+    met = p.alias("p").join(q.alias("q"), (F.col("p.s") == F.col("q.s")) & (F.col("p.class") == F.col("q.class")) & far & room)
+    return persist_table(met.select("x", "y", "nx", "ny", "cx", "cy").distinct(), "candidates")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (``x, y, nx, ny`` and others) that link: first by parity sketches, then by the sets."""
+    bits, whole = sets.select("node", "bits"), sets.select("node", "shingles")
+    one, two = (t.select(F.col("node").alias("x"), F.col(c).alias("sx")) for t, c in ((bits, "bits"), (whole, "shingles")))
+    other, last = (t.select(F.col("node").alias("y"), F.col(c).alias("sy")) for t, c in ((bits, "bits"), (whole, "shingles")))
+    near = pairs.join(one, "x").join(other, "y").where(_links(hamming("sx", "sy"), F.col("nx"), F.col("ny"), percent)).select(*pairs.columns)
+    near = persist_table(near, "near")
+    differ = F.col("nx") + F.col("ny") - 2 * F.size(F.array_intersect("sx", "sy"))
+    return near.join(two, "x").join(last, "y").where(_links(differ, F.col("nx"), F.col("ny"), percent)).select(*pairs.columns)
 
 
 def _links(difference: Column, nx: Column, ny: Column, percent: int) -> Column:
@@ -423,8 +446,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     One row per input row.  ``class_size`` counts the rows with an equal set,
     ``n_links`` the verified links of the class with other sets.
     """
-    membership, links = similar_classes(docs, words, percent)
-    found = connected_components(links)
+    membership, links, found = similar_classes(docs, words, percent)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = membership.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
     named = classes.join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -72,6 +72,47 @@ def test_a_large_group_of_near_copies_with_a_far_fringe(docs_of):
     assert got == brute(rows, 3, 90)
 
 
+def test_candidates_of_a_graded_group_stay_below_its_members(docs_of, monkeypatch):
+    """Copies of one text with ever more edits, most of them beyond any link: few pairs of them are looked at."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(160), i // 15):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    written, persist = {}, ngram_join.persist_table
+
+    def noted(df, name):
+        out = persist(df, name)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(ngram_join, "persist_table", noted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(rows), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert 20 < len({c for _, c in got.values()}) < 280
+    assert written["candidates"].count() < len(rows)
+
+
+def test_links_between_members_that_are_far_from_every_pivot(docs_of):
+    """Families whose members share a long passage: pivots of the passage link with one family at most."""
+    rng = random.Random(12)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for g in range(30):
+        own = [f"g{g}w{k}" for k in range(40)]
+        for _ in range(4):
+            text = passage + own
+            for _ in range(rng.choice([0, 1, 2])):
+                text[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    for words, percent in ((5, 80), (3, 90)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(rows), words, percent).collect()}
+        assert got == brute(rows, words, percent)
+
+
 def test_drop_similar_keeps_one_of_each_group_and_all_columns(docs_of):
     text = " ".join(f"w{i}" for i in range(100))
     docs = docs_of([(3, text), (5, text + " end"), (7, text.upper()), (8, "other words here and there"), (9, None), (None, "a text without id")])
