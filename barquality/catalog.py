@@ -201,28 +201,31 @@ def repeated_timestamps(spark, sf_dir):
     return duplicates.repeated_timestamps(derived.line_bars(spark, sf_dir)).select("contract", naive(), "rows", F.round("close", 4).alias("close"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``line_bars`` that the queries show, so that no others are shuffled."""
+    return derived.line_bars(spark, sf_dir).select("contract", "ts", "close", "volume", "row_number", "row_hash")
+
+
 _UNIQUE = f"{LINES}, uniq AS (SELECT contract, ts, price, volume, min(row_number) AS row_number FROM twice GROUP BY contract, ts, price, volume)"
 
 
 @query(f"""WITH {_UNIQUE} SELECT contract, ts, round(price, 4) AS close, volume, row_number FROM uniq QUALIFY row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) = 1""")
 def last_write_wins(spark, sf_dir):
-    winners, _ = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
+    winners, _ = duplicates.last_write_wins(_lines(spark, sf_dir), winning=())
     return winners.select("contract", naive(), F.round("close", 4).alias("close"), "volume", "row_number")
 
 
 @query(f"""WITH {_UNIQUE}, w AS (SELECT *, first_value(price) OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS win, row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS n FROM uniq)
   SELECT contract, ts, round(price, 4) AS close, volume, row_number, round(win, 4) AS winning_close FROM w WHERE n > 1""")
 def superseded_audit(spark, sf_dir):
-    winners, losers = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
-    by_hash = winners.select(F.col("contract").alias("c"), F.col("row_hash").alias("h"), F.round("close", 4).alias("winning_close"))
-    met = losers.join(by_hash, (F.col("contract") == F.col("c")) & (F.col("winning_row_hash") == F.col("h")))
-    return met.select("contract", naive(), F.round("close", 4).alias("close"), "volume", "row_number", "winning_close")
+    _, losers = duplicates.last_write_wins(_lines(spark, sf_dir), winning=("close",))
+    return losers.select("contract", naive(), F.round("close", 4).alias("close"), "volume", "row_number", F.round("winning_close", 4).alias("winning_close"))
 
 
 @query(f"""WITH {_UNIQUE}, w AS (SELECT *, row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS n FROM uniq)
   SELECT contract, count(DISTINCT ts) AS instants, count(*) AS discarded_rows, 'superseded_in_file' AS reasons FROM w WHERE n > 1 GROUP BY 1""")
 def resolved_conflicts(spark, sf_dir):
-    _, losers = duplicates.last_write_wins(derived.line_bars(spark, sf_dir))
+    _, losers = duplicates.last_write_wins(_lines(spark, sf_dir), winning=())
     found = duplicates.resolved_conflicts(losers.withColumn("reason", F.lit(normalize.SUPERSEDED_IN_FILE)))
     return found.select("contract", "instants", "discarded_rows", F.array_join("reasons", ",").alias("reasons"))
 

@@ -37,18 +37,25 @@ def resolved_conflicts(superseded: DataFrame) -> DataFrame:
     )
 
 
-def last_write_wins(bars: DataFrame, ordinal: str = "row_number", within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(winners, losers): the last distinct row of each instant, and the others with their winner's hash.
+def last_write_wins(bars: DataFrame, ordinal: str = "row_number", within: tuple[str, ...] = (), winning: tuple[str, ...] = ("row_hash",)) -> tuple[DataFrame, DataFrame]:
+    """(winners, losers): the last distinct row of each instant, and the others with their winner's columns ``winning``, named ``winning_`` and the column.
 
     Rows with an equal hash are one row (the first); with ``within``, rows
-    that differ in these columns have nothing to do with each other.  Both come from grouped
+    that differ in these columns have nothing to do with each other.  Of distinct rows with an
+    equal ordinal one wins, by its hash.  Both come from grouped
     extremes, so an instant with very many rows is never sorted in one task.
     """
     own = ("contract", *within)
+    key = (*own, "ts")
     rest = [c for c in bars.columns if c not in (*own, "row_hash")]
     unique = bars.groupBy(*own, "row_hash").agg(F.min_by(F.struct(*rest), ordinal).alias("_row")).select(*own, "row_hash", "_row.*").select(*bars.columns)
-    win = unique.groupBy(*own, "ts").agg(F.max(ordinal).alias("_win"), F.max_by("row_hash", ordinal).alias("winning_row_hash"))
-    marked = unique.join(win, [*own, "ts"])
-    winners = marked.where(F.col(ordinal) == F.col("_win")).drop("_win", "winning_row_hash")
-    losers = marked.where(F.col(ordinal) != F.col("_win")).drop("_win")
+    # a short stand-in, so that no shuffle after the first needs the hash
+    unique = unique.withColumn("_tie", F.xxhash64("row_hash"))
+    last = F.max(F.struct(ordinal, "_tie", *[F.col(c).alias(f"winning_{c}") for c in winning]))
+    contested = unique.groupBy(*key).agg(last.alias("_last"), F.count("*").alias("_variants")).where("_variants > 1")
+    won = contested.select(*[F.col(k).alias(f"_{k}") for k in key], "_last")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    wins = F.col(ordinal).eqNullSafe(F.col("_last")[ordinal]) & (F.col("_tie") == F.col("_last")["_tie"])
+    winners = unique.join(won, same, "left").where(F.col("_last").isNull() | wins).select(*bars.columns)
+    losers = unique.join(won, same).where(~wins).select(*bars.columns, *[f"_last.winning_{c}" for c in winning])
     return winners, losers

@@ -5,10 +5,13 @@ import random
 import statistics
 import zoneinfo
 
+from barquality import catalog
 from barquality.operators import cube, duplicates, evidence, gaps, occurrences, outliers, values
+from barquality.operators.normalize import row_hash
 from barquality.plans import insights, report
 from barquality.schema import DAILY, Settings
 from helpers import at, bars, flat
+from pyspark.sql import functions as F
 
 
 def codes(spark, rows, frequency="minute", **options):
@@ -76,6 +79,39 @@ def test_duplicates_and_conflicts(spark):
     assert winners.count() == 2 and losers.count() == 1
 
 
+def _arrivals(spark, rows):
+    """Bars of (contract, minute, close, row_number); the minute may be absent."""
+    b = bars(spark, [(c, at(minute or 0), 1, 2, 1, close, n) for c, minute, close, n in rows])
+    b = b.withColumnRenamed("volume", "row_number").withColumn("volume", F.lit(5).cast("bigint"))
+    absent = [n for _, minute, _, n in rows if minute is None]
+    return b.withColumn("ts", F.when(~F.col("row_number").isin(*absent), F.col("ts")) if absent else F.col("ts")).withColumn("row_hash", row_hash())
+
+
+def test_losers_carry_the_columns_of_their_winner(spark):
+    b = _arrivals(spark, [("C", 0, 1.0, 1), ("C", 0, 1.5, 2), ("C", 0, 1.0, 3), ("C", 0, 1.25, 0), ("C", 1, 2.0, 4), ("D", 0, 1.0, 5), ("D", 0, 1.0, 6)])
+    winners, losers = duplicates.last_write_wins(b, winning=("close", "row_number"))
+    assert sorted((r["contract"], r["ts"].minute, r["close"], r["row_number"]) for r in winners.collect()) == [("C", 0, 1.5, 2), ("C", 1, 2.0, 4), ("D", 0, 1.0, 5)]
+    assert sorted((r["close"], r["row_number"], r["winning_close"], r["winning_row_number"]) for r in losers.collect()) == [(1.0, 1, 1.5, 2), (1.25, 0, 1.5, 2)]
+    by_hash = {r["row_hash"]: r["close"] for r in winners.collect()}
+    assert {by_hash[r["winning_row_hash"]] for r in duplicates.last_write_wins(b)[1].collect()} == {1.5}
+
+
+def test_one_row_wins_where_ordinals_are_equal_or_the_instant_is_absent(spark):
+    b = _arrivals(spark, [("C", 0, 1.0, 7), ("C", 0, 1.5, 7), ("C", None, 1.0, 1), ("C", None, 1.5, 2), ("C", None, 1.75, 3)])
+    winners, losers = duplicates.last_write_wins(b, winning=("close",))
+    won, lost = winners.collect(), losers.collect()
+    tied = {r["close"] for r in won if r["ts"] is not None}
+    assert len(won) == 2 and len(tied) == 1 and [r["close"] for r in won if r["ts"] is None] == [1.75]
+    assert sorted((r["close"], r["winning_close"]) for r in lost if r["ts"] is None) == [(1.0, 1.75), (1.5, 1.75)]
+    assert [({r["close"]}, {r["winning_close"]}) for r in lost if r["ts"] is not None] == [({1.0, 1.5} - tied, tied)]
+
+
+def test_the_audit_has_one_join_and_groups_only_the_columns_it_shows(spark):
+    plan = catalog.queries()["superseded_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate [") == 3
+    assert "high" not in plan.split("min_by(")[1].split(")")[0]
+
+
 def test_missing_sessions(spark):
     days = [d for i in range(20) if (d := dt.date(2024, 1, 1) + dt.timedelta(days=i)).weekday() < 5 and d != dt.date(2024, 1, 10)]
     rows = flat("C", [dt.datetime.combine(d, dt.time(), dt.UTC) for d in days])
