@@ -225,7 +225,7 @@ def superseded_audit(spark, sf_dir):
 @query(f"""WITH {_UNIQUE}, w AS (SELECT *, row_number() OVER (PARTITION BY contract, ts ORDER BY row_number DESC) AS n FROM uniq)
   SELECT contract, count(DISTINCT ts) AS instants, count(*) AS discarded_rows, 'superseded_in_file' AS reasons FROM w WHERE n > 1 GROUP BY 1""")
 def resolved_conflicts(spark, sf_dir):
-    _, losers = duplicates.last_write_wins(_lines(spark, sf_dir), winning=())
+    _, losers = duplicates.last_write_wins(_lines(spark, sf_dir).drop("close", "volume"), winning=())
     found = duplicates.resolved_conflicts(losers.withColumn("reason", F.lit(normalize.SUPERSEDED_IN_FILE)))
     return found.select("contract", "instants", "discarded_rows", F.array_join("reasons", ",").alias("reasons"))
 
